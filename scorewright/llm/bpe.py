@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
 CACHE = 600_000
@@ -241,12 +242,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary file
     rest = [c for c in df.columns if c not in (text, out)]
     given = df.select(*rest, F.col(text).alias(f"{text}__in"))
-    schema = given.drop(f"{text}__in").schema.add(out, "array<int>")
+    schema = T.StructType([*given.drop(f"{text}__in").schema, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, pieces = regex.compile(pattern).findall, __pieces(shared)
+        ids_of = encoder(shared.value, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -274,7 +273,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
                 data = [b"".join(flat[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*names, out])
 
-    return kept.mapInArrow(run, kept.schema.add(out, "binary"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(out, T.BinaryType())]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
+from scorewright.llm.secrets import report_sql, secret_report
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets}
+
+ORACLES: dict[str, str] = {"op2_secrets": report_sql()}
