@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
+from scorewright.llm.decontaminate import REPORT_SQL, contamination_report
 from scorewright.llm.secrets import report_sql, secret_report
 
 
@@ -17,6 +18,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLES: dict[str, str] = {"op2_secrets": report_sql()}
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_decontaminate": op6_decontaminate}
+
+ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL}
