@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
 from scorewright.llm.decontaminate import REPORT_SQL, contamination_report
+from scorewright.llm.neardup import near_duplicate_classes
 from scorewright.llm.secrets import report_sql, secret_report
 
 
@@ -22,6 +23,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op6_decontaminate": op6_decontaminate}
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_near_duplicates": op4_near_duplicates, "op6_decontaminate": op6_decontaminate}
 
 ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL}
