@@ -8,6 +8,7 @@ from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
 from scorewright.llm.decontaminate import REPORT_SQL, contamination_report
 from scorewright.llm.neardup import near_duplicate_classes
+from scorewright.llm.pii import pseudonym_report
 from scorewright.llm.quality import classify
 from scorewright.llm.secrets import report_sql, secret_report
 
@@ -32,6 +33,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_near_duplicates": op4_near_duplicates, "op6_decontaminate": op6_decontaminate, "op9_quality": op9_quality}
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op6_decontaminate": op6_decontaminate, "op9_quality": op9_quality}
 
 ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL}
