@@ -249,7 +249,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     by_lang = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), bound).filter(F.col("n") >= LEAST_TRUSTED).drop("n")
     out = scored.join(by_lang.withColumnRenamed("lang", "its_lang"), F.col("lang").eqNullSafe(F.col("its_lang")), "left")
     out = out.withColumn("bound", F.coalesce("bound", F.lit(every).cast("double")))
-    out = out.withColumn("keep", F.coalesce(F.col("score") <= F.col("bound"), F.lit(True))  # no bound: nothing to judge by)
+    out = out.withColumn("keep", F.coalesce(F.col("score") <= F.col("bound"), F.lit(True)))
     empty = docs.filter("text IS NULL OR text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_bytes"))
     names = ["doc_id", "lang", "n_bytes", "perplexity", "score", "bound", "keep"]
     return out.select(*names).unionByName(empty.withColumn("keep", F.lit(False)), allowMissingColumns=True)

@@ -8,9 +8,11 @@ from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
 from scorewright.llm.decontaminate import REPORT_SQL, contamination_report
 from scorewright.llm.neardup import near_duplicate_classes
+from scorewright.llm.packing import packed_documents
 from scorewright.llm.pii import pseudonym_report
 from scorewright.llm.quality import classify
 from scorewright.llm.secrets import report_sql, secret_report
+from scorewright.llm.warc import archive_round_trip, round_trip_sql
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,14 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op6_decontaminate": op6_decontaminate, "op9_quality": op9_quality}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL}
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op9_quality": op9_quality}
+
+ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL, "op7_warc": round_trip_sql()}
