@@ -115,7 +115,7 @@ class _Output:
         self.system.create_dir(self.path, recursive=True)
         self.name, self.at = name, 0
         self.attempt = f"{self.path}/.{name}.{TaskContext.get().taskAttemptId()}"
-        self.file = self.system.open_output_stream(self.attempt)
+        self.file = self.system.open_output_stream(self.attempt, compression=None)
 
     def write(self, data: bytes) -> None:
         self.file.write(data)
@@ -168,7 +168,7 @@ def normalize(archives: DataFrame, source: str, target: str) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 out, index = _Output(target, archive), []
-                with system.open_input_stream(f"{path}/{archive}") as f:
+                with system.open_input_stream(f"{path}/{archive}", compression=None) as f:
                     for head, block in records(inflated(f)):
                         record, start = Record.read(head, block), out.at
                         squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
