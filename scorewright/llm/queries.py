@@ -8,6 +8,7 @@ from scorewright.llm.bpe import token_digests
 from scorewright.llm.common import table
 from scorewright.llm.decontaminate import REPORT_SQL, contamination_report
 from scorewright.llm.neardup import near_duplicate_classes
+from scorewright.llm.neighbours import NEAREST_SQL, nearest
 from scorewright.llm.packing import packed_documents
 from scorewright.llm.pii import pseudonym_report
 from scorewright.llm.quality import classify
@@ -47,6 +48,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op9_quality": op9_quality}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
 
-ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL, "op7_warc": round_trip_sql()}
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
+
+ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL, "op7_warc": round_trip_sql(), "op10_neighbours": NEAREST_SQL}

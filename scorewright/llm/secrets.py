@@ -162,7 +162,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = tuple(r for r in rules if queries[r.kind])
     grams = sorted({g for q in queries.values() for clause in q for grams in clause for g in grams})
-    given = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    given = docs  # nothing is found in null
     if grams:
         found = materialize(candidates(trigram_index(given, grams), indexed), "candidates")
         found = found.select(F.col("doc_id").alias("found__id"), F.col("kinds").alias("found__kinds"))
