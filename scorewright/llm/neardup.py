@@ -6,9 +6,11 @@ documents agree in a register with the probability Jaccard similarity of their w
 all registers of a band are candidates; candidates are links if the Jaccard similarity of their shingle sets is at least
 0.8, and classes are the connected components of the links.
 
-Candidates are not all pairs of a band's bucket. First a hub is compared with the rest of its bucket: the member that
-meets most others over all bands, so in a group of near copies the text that they come from. Members that the links
-found so far already connect need no comparison; all others are compared with each other in the end.
+Candidates are not all pairs of a band's bucket. In rounds, a hub is compared with the rest of its bucket: the member that
+meets most others over all bands, so in a group of near copies the text that they come from; then the most popular of
+those still apart. Members that the links found so far already connect need no comparison. What is still apart when a round
+finds no more links, such as many documents that share a passage, is joined exactly by the rarest of their shingles: two
+sets of this similarity share one among the first fifth of each (prefix and position filter), or they are not similar.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import free_shuffles, materialize
+from scorewright.llm.common import forget, free_shuffles, materialize
 from scorewright.llm.components import components
 from scorewright.llm.words import batches_of, grams, mixed, word_hashes
 
@@ -29,8 +31,12 @@ from scorewright.llm.words import batches_of, grams, mixed, word_hashes
 WORDS, BANDS, ROWS = 5, 24, 4
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
-#: Rounds in which one hub of a bucket is compared with the rest, before all comparisons that are left.
-HUB_ROUNDS = 3
+#: Rounds at most in which one hub of a bucket is compared with the rest, before the exact join of what is left.
+HUB_ROUNDS = 8
+#: Ids that are broadcast at most (2 million: 16 MB) to filter the sketches; with more they are joined by a shuffle.
+IDS_SENT = 2_000_000
+#: Registers that agree in a pair that is worth an exact comparison: at 0.8, 4.8 deviations below what is expected.
+AGREE = 58
 
 
 def prob_minhash(shingles: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, registers: int) -> np.ndarray:
@@ -53,7 +59,7 @@ def prob_minhash(shingles: np.ndarray, row: np.ndarray, weight: np.ndarray, n_ro
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, words_key, n, bands, shingles) of each row with words; words_key is a digest of its words in their order.
+    """(doc_id, words_key, n, bands, registers, shingles) of each row with words; words_key is a digest of its words in their order.
 
     A text of fewer than five words has one shingle, of them all. shingles are the sorted upper 32 bits of the different
     shingle hashes: two sets of a thousand have 0.0002 false common elements on average.
@@ -85,87 +91,154 @@ def sketches(docs: DataFrame) -> DataFrame:
         for j in range(ROWS):
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + first.reshape(len(rows), BANDS, ROWS)[:, :, j])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-        columns = [part.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), lists, pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "words_key", "n", "bands", "shingles"])
+        registers = [x.tobytes() for x in (first >> np.uint64(56)).astype(np.uint8)]  # a byte each: enough to tell whether they agree
+        columns = [part.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array([len(x) // 4 for x in sets], pa.int32()), lists, pa.array(registers, pa.binary()), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "words_key", "n", "bands", "registers", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words_key binary, n int, bands array<long>, shingles binary")
+    schema = "doc_id long, words_key binary, n int, bands array<long>, registers binary, shingles binary"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILAR."""
-    up, down = SIMILAR
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b, of_a, of_b): the pairs with a column of both. Rows of table that no pair needs are dropped before any shuffle."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+    table = table.join(ids, "id", "left_semi").select("id", column)
+    one = pairs.join(table.select(F.col("id").alias("a"), F.col(column).alias("of_a")), "a")
+    return one.join(table.select(F.col("id").alias("b"), F.col(column).alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+
 
+def _filtered(rows: DataFrame, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(down * both >= up * (len(x) + len(y) - both))
+            keep = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def probable(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in at least AGREE registers."""
+    count = lambda x, y: int(np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) >= AGREE
+    return _filtered(_with(pairs, sketch, "registers"), count)
+
+
+def similar(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILAR."""
+    up, down = SIMILAR
+
+    def test(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return down * both >= up * (len(x) + len(y) - both)
+
+    return _filtered(_with(pairs, sketch, "shingles"), test)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (id, other) as (a, b), a < b, each once."""
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def hub_pairs(members: DataFrame, first: bool) -> DataFrame:
+    """(id, other): in each bucket with several labels the hub and the members of other labels.
+
+    The hub is the most popular member, later the most popular one without the bucket's most frequent label.
+    """
+    per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n_label"), F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("best"))
+    most = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n_label", (-F.col("label")).alias("minus"))).alias("main")).filter("labels > 1")
+    hub = per.join(most, "bucket")
+    if not first:
+        hub = hub.filter("label <> -main.minus")
+    hub = hub.groupBy("bucket").agg(F.max(F.struct("best.popular", "best.minus", "label")).alias("hub"))
+    hub = hub.select("bucket", (-F.col("hub.minus")).alias("other"), F.col("hub.label").alias("other_label"))
+    return members.join(hub, "bucket").filter("label <> other_label").select("id", "other")
+
+
+def apart(members: DataFrame) -> DataFrame:
+    """(id, label, minor) of the members of buckets with several labels; minor: not of the most frequent label in one of them."""
+    per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n_label"))
+    most = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n_label", (-F.col("label")).alias("minus"))).alias("main")).filter("labels > 1")
+    j = members.join(most, "bucket").select("id", "label", (F.col("label") != -F.col("main.minus")).alias("minor"))
+    return j.groupBy("id", "label").agg(F.bool_or("minor").alias("minor"))
+
+
+def prefix_pairs(left: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(id, other) among `left` (id, label, minor), one of them minor and of different labels, that can be similar at all."""
+    up, down = SIMILAR
+    sets = sketch.select("id", "n", "shingles").join(left, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column(1)]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(sets).astype(np.int64))], names=["id", "token"])
+
+    tokens = materialize(sets.select("id", "shingles").mapInArrow(run, "id long, token long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = tokens.join(shared, "token")
+    # tokens of one document only come first in its order: they fill the prefix, but meet nothing
+    order = Window.partitionBy("id").orderBy("df", "token")
+    ranked = common.withColumn("place", F.row_number().over(order))
+    many = common.groupBy("id").agg(F.count(F.lit(1)).alias("n_common"))
+    about = sets.select("id", "n", "label", "minor").join(many, "id").filter(F.col("n_common") * down >= F.col("n") * up)
+    prefix = ranked.join(about, "id").withColumn("place", F.col("place") + F.col("n") - F.col("n_common"))
+    prefix = prefix.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(up / down) - 1e-9) + 1)
+    prefix = materialize(prefix.select("token", "id", "n", "label", "minor", "place"), "prefix")
+    x = prefix.filter("minor").toDF("token", "id", "n", "label", "minor", "place")
+    y = prefix.toDF("token", "other", "n_other", "label_other", "minor_other", "place_other")
+    reach = 1 + F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other"))
+    enough = reach * (up + down) >= up * (F.col("n") + F.col("n_other"))
+    return x.join(y, "token").filter((F.col("label") != F.col("label_other")) & enough & (~F.col("minor_other") | (F.col("id") < F.col("other")))).select("id", "other")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id), a row for each row of docs; class_id is the least doc_id of the class.
 
     Rows with the same words in the same order are copies and in one class. A text without words (null, empty) is in a
-    class of its own, and so is a row with a null doc_id, whose class is null. Rows of the same doc_id with different texts count as
-    one document with all of them. Other columns of docs are ignored.
+    class of its own, and so is a row with a null doc_id, whose class is null. Rows of the same doc_id with different texts
+    count as one document with all of them. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    sketch = materialize(sketches(docs.filter("doc_id IS NOT NULL")), "sketch")
-    copies = materialize(sketch.groupBy("words_key").agg(F.min("doc_id").alias("id")), "copies")
-    reps = copies.join(sketch, (sketch.words_key == copies.words_key) & (sketch.doc_id == copies.id)).select("id", "n", "bands")
-    bands = materialize(reps.select("id", "n", F.explode("bands").alias("bucket")).distinct(), "bands")
+    drafts = materialize(sketches(docs.filter("doc_id IS NOT NULL")), "sketch")
+    copies = materialize(drafts.groupBy("words_key").agg(F.min("doc_id").alias("rep")), "copies")
+    sketch = drafts.withColumnRenamed("doc_id", "id")
+    reps = copies.withColumnRenamed("words_key", "key").join(sketch.select("id", "words_key", "bands"), (F.col("words_key") == F.col("key")) & (F.col("id") == F.col("rep")))
+    bands = materialize(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialize(bands.join(shared, "bucket"), "members")
+    members = bands.join(shared, "bucket")
     popular = members.groupBy("id").agg(F.sum("size").alias("popular"))
-    members = materialize(members.join(popular, "id").withColumn("label", F.col("id")), "members")
-    sets = sketch.select(F.col("doc_id").alias("id"), "words_key", "shingles").join(copies.withColumnRenamed("id", "of"), "words_key")
-    sets = sets.filter("id = of").select("id", "shingles").join(members.select("id").distinct(), "id", "left_semi")
-    sets = materialize(sets, "sets")
+    members = materialize(members.join(popular, "id").select("bucket", "id", "popular", F.col("id").alias("label")), "members")
+    forget(bands)
     free_shuffles(spark)
 
     links, labels = None, None
     for step in range(HUB_ROUNDS + 1):
-        if labels is not None:
-            known = labels.withColumnRenamed("label", "now")
-            members = members.join(known, "id", "left").withColumn("label", F.coalesce("now", F.col("id"))).drop("now")
-            members = materialize(members, "members")
-        per = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n_label"), F.max(F.struct("popular", -F.col("id"))).alias("best"))
-        most = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n_label", -F.col("label"))).alias("main")).filter("labels > 1")
-        most = most.select("bucket", (-F.col("main.col2")).alias("main"))
-        if step < HUB_ROUNDS:
-            hub = per.join(most, "bucket")
-            if step:
-                hub = hub.filter("label != main")  # the most popular of those that are still apart
-            hub = hub.groupBy("bucket").agg(F.max(F.struct("best.popular", "best.col2", "label")).alias("hub"))
-            hub = hub.select("bucket", (-F.col("hub.col2")).alias("hub"), F.col("hub.label").alias("hub_label"))
-            pairs = members.join(hub, "bucket").filter("label != hub_label").select("id", F.col("hub").alias("other"))
-        else:
-            apart = members.join(most, "bucket").select("bucket", F.col("id").alias("other"), F.col("label").alias("other_label"), "main")
-            apart = apart.filter("other_label != main")
-            pairs = members.join(apart, "bucket").filter("label != other_label").select("id", "other")
-        sizes = bands.select("id", "n").distinct()
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-        pairs = pairs.filter(SIMILAR[1] * F.least("n_a", "n_b") >= SIMILAR[0] * F.greatest("n_a", "n_b") - 1).select("a", "b")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        new = materialize(similar(pairs, sets), "similar")
-        links = new if links is None else links.union(new)
+        last = step == HUB_ROUNDS
+        found = None
+        if not last:
+            pairs = materialize(_ordered(hub_pairs(members, step == 0)), "pairs")
+            found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
+            if found.isEmpty():
+                last = True
+        if last:
+            left = materialize(apart(members), "apart")
+            if left.isEmpty():
+                break
+            pairs = materialize(_ordered(prefix_pairs(left, sketch)), "pairs")
+            found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
+        links = found if links is None else links.union(found)
         labels = components(links)
         free_shuffles(spark)
-
-    own = sketch.select("doc_id", "words_key").join(copies.withColumnRenamed("id", "rep"), "words_key").select("doc_id", "rep")
-    if labels is not None:
-        own = own.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    else:
-        own = own.select("doc_id", F.col("rep").alias("class_id"))
+        if last:
+            break
+        known = labels.withColumnRenamed("label", "now")
+        old, members = members, materialize(members.join(known, "id", "left").select("bucket", "id", "popular", F.coalesce("now", "id").alias("label")), "members")
+        forget(old)
+
+    own = drafts.select("doc_id", "words_key").join(copies, "words_key").select("doc_id", "rep")
+    own = own.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")) if labels is not None else own.withColumnRenamed("rep", "class_id")
     own = own.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
