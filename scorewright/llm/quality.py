@@ -23,8 +23,9 @@ from scorewright.llm.words import batches_of
 ORDER = 5
 #: Ids of trusted documents that are broadcast at most (2 million: 16 MB); more are joined by a shuffle.
 IDS_SENT = 2_000_000
-#: n-grams whose probabilities are broadcast at most (4 million: 48 MB); with more, blocks of documents are grouped with theirs.
-GRAMS_SENT = 4_000_000
+#: n-grams whose probabilities every worker reads as a whole at most (3 million: 36 MB as a file, 100 MB as a table); with
+#: more, blocks of documents are grouped with their own.
+GRAMS_READ = 3_000_000
 #: Documents whose ids fall into one range of this length form a block.
 BLOCK = 4_096
 #: Quantile of the trusted documents' perplexities by language up to which documents are kept, and the number of trusted
@@ -157,7 +158,9 @@ class Lookup:
 
     def __call__(self, asked: np.ndarray) -> np.ndarray:
         """The values of numbers that are all there."""
-        out = np.zeros(len(asked), self.levels[0][2].dtype)
+        if not self.levels and len(asked):
+            raise KeyError("an n-gram has no probability")
+        out = np.zeros(len(asked), self.levels[0][2].dtype if self.levels else np.float32)
         rest = None
         for level, (bits, table, found) in enumerate(self.levels):
             now = asked if rest is None else asked[rest]
@@ -174,6 +177,25 @@ class Lookup:
         raise KeyError("an n-gram has no probability")
 
 
+_READ: dict[tuple[str, ...], Lookup] = {}
+
+
+def _lookup(files: list[str]) -> Lookup:
+    """The table (g, lp) in these Parquet files of the shared folder, which a worker reads once."""
+    from pyarrow import fs, parquet
+
+    key = tuple(files)
+    if key not in _READ:
+        parts = []
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            parts.append(parquet.read_table(path, filesystem=system, columns=["g", "lp"]))
+        table = pa.concat_tables(parts) if parts else pa.table({"g": pa.array([], pa.int64()), "lp": pa.array([], pa.float32())})
+        _READ.clear()
+        _READ[key] = Lookup(table.column("g").to_numpy(), table.column("lp").to_numpy())
+    return _READ[key]
+
+
 def _sums(texts: pa.Array, lookup: Lookup) -> list[pa.Array]:
     """The bytes of each text and the sum of their log probabilities."""
     out = []
@@ -198,12 +220,11 @@ def log_likelihoods(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = docs.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     marked = marked.select("doc_id", "lang", "trusted", F.coalesce("block", F.lit(-1)).alias("block"), "text")
     names, schema = ["doc_id", "lang", "trusted", "n_bytes", "lp"], "doc_id long, lang string, trusted boolean, n_bytes long, lp double"
-    if (size := lp.count()) <= GRAMS_SENT:
-        table = lp.toPandas() if size else None
-        sent = docs.sparkSession.sparkContext.broadcast((table["g"].to_numpy(), table["lp"].to_numpy(np.float32)) if size else (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+    if lp.count() <= GRAMS_READ:
+        files = lp.inputFiles()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = Lookup(*sent.value)
+            lookup = _lookup(files)
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_sums(batch.column(4), lookup)], names=names)
 
