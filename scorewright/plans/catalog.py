@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from scorewright.plans import evidence_queries, policy_queries, retrieval_queries
+
+QUERIES: dict = {**retrieval_queries.QUERIES, **evidence_queries.QUERIES, **policy_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **evidence_queries.ORACLES, **policy_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pricing summary over lineitem."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
-    )
+    """The aggregated retrieval metrics of the derived trace."""
+    return retrieval_queries.metric_aggregate(spark, sf_dir)

@@ -1,0 +1,174 @@
+"""Operators on small tables: edge cases and what SQL does not reach."""
+
+import json
+from decimal import Decimal
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from scorewright.functions import digests, text
+from scorewright.operators import aggregate, answers, compare, dedup, evidence, lifecycle, mses, segment, validate
+from scorewright.sources import readers, sinks
+from scorewright.streaming.metrics import running_metrics
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=80), st.integers(1, 20))
+def test_split_text(value, most):
+    parts = text.split_text(value, most)
+    assert "".join(parts) == value
+    assert all(0 < len(p) <= most for p in parts)
+
+
+def test_formula():
+    assert text.canonical_formula_text(r"\eta = \frac{a}{b} \times 2") == "eta=a/b2"
+    assert text.canonical_formula_text(r"\left( x_{1} \right)") == "x_1"
+
+
+def test_normalize(spark):
+    row = spark.createDataFrame([("  Straße  ＡＢＣ ",)], "x string").select(text.normalize_text(F.col("x")).alias("n"), text.normalize_lines(F.lit("a\r\nb")).alias("l"), text.comparison_text(F.lit(" Ａ  b ")).alias("c")).first()
+    assert row.n == "strasse abc" and row.l == "a\nb" and row.c == "A b"
+
+
+@pytest.mark.parametrize(("value", "quote", "found"), [("use HTTP协议", "HTTP", True), ("xHTTP", "HTTP", False), ("a 12 b", "1", False), ("a (1) b", "(1)", True), ("", "a", False), ("a\\E b", "\\E", True)])
+def test_contains_value(spark, value, quote, found):
+    df = spark.createDataFrame([(value, quote)], "t string, q string")
+    assert df.select(text.contains_value(F.col("t"), F.col("q"))).first()[0] is found
+
+
+def test_numbers(spark):
+    row = spark.createDataFrame([("-1,234.5 and 1.2.3 or 7",)], "t string").select(text.numbers(F.col("t"))).first()[0]
+    assert row == [Decimal("-1234.5"), Decimal("7")]
+
+
+def test_formula_and_text_answers(spark):
+    rows = [("formula", r"\frac{a}{b}", ["a/b"]), ("text", "ＡＢ c", ["ab C"]), ("text", "other", ["ab"]), ("text", " ", ["ab"]), ("formula", "x", ["y"])]
+    df = spark.createDataFrame(rows, "kind string, answer string, gold array<string>").selectExpr("*", "array() accepted", "cast(null as decimal(38,18)) tolerance", "cast(null as string) unit").withColumn("accepted", F.col("accepted").cast("array<string>"))
+    assert [r.verdict for r in answers.score_answers(df).collect()] == ["PASS", "PASS", "NEEDS_REVIEW", "FAIL", "NEEDS_REVIEW"]
+
+
+def test_json(spark):
+    value = json.dumps({"b": [1, {}], "a": {"c": None}, "d": 2})
+    row = spark.createDataFrame([(value,)], "j string").select(digests.json_digest(F.col("j"), ("d",)).alias("d"), digests.flatten_config(F.col("j")).alias("f")).first()
+    import hashlib
+
+    assert row.d == hashlib.sha256(b'{"a":{"c":null},"b":[1,{}]}').hexdigest()
+    assert [(x.path, x.value) for x in row.f] == [("b.0", "1"), ("b.1", "{}"), ("a.c", "null"), ("d", "2")]
+
+
+def test_explode_paths_and_cut(spark):
+    cases = spark.createDataFrame([("c", [[["a"], ["b", "d"]], [["x"]]])], "case_id string, evidence_paths array<array<array<string>>>")
+    gold = mses.explode_paths(cases)
+    items = spark.createDataFrame([("c", "raw", "a", 1), ("c", "raw", "d", 4)], "case_id string, stage string, evidence_id string, rank long")
+    grid = spark.createDataFrame([("c", "raw", 3), ("c", "raw", None)], "case_id string, stage string, k int")
+    best = {r.k: (r.path, r.hits, r.complete) for r in mses.best_path(mses.path_coverage(mses.clause_ranks(gold, items, grid))).collect()}
+    assert best == {3: (0, 1, False), None: (0, 2, True)}
+
+
+def test_union_used_pieces(spark):
+    gold = spark.createDataFrame([(1, 1, 0, 12)], "case_id long, evidence_id long, start long, end long")
+    pieces = spark.createDataFrame([(1, 1, "a", 1, 0, 5), (1, 1, "b", 9, 0, 8), (1, 1, "c", 2, 5, 12)], "case_id long, evidence_id long, item_id string, rank long, start long, end long")
+    assert evidence.interval_union(gold, pieces).first().rank == 9
+    assert evidence.interval_union(gold, pieces.filter("rank <= 2")).first().rank == 2
+    assert not evidence.interval_union(gold, pieces.filter("item_id = 'a'")).first().complete
+
+
+def test_quote_matches(spark):
+    counts = spark.createDataFrame([(1, 10, 1), (2, 10, 2), (2, 11, 1)], "quote_id long, doc_id long, n long")
+    gold = spark.createDataFrame([(1, 5, 10, 1, "q1"), (1, 6, 10, 2, "q2")], "case_id long, evidence_id long, document_id long, quote_id long, quote string")
+    items = spark.createDataFrame([(1, "i", 1, 10, "has q1 q2", "legacy", None), (1, "j", 2, None, "q1", "legacy", None), (1, "k", 1, 11, "q1", "legacy", None), (1, "l", 1, 10, "q1", "formal", None)],
+                                  "case_id long, item_id string, rank long, document_id long, content string, integrity string, provenance_status string")
+    assert sorted(r.item_id for r in evidence.quote_matches(items, gold, counts).collect()) == ["i", "j"]
+
+
+def test_integrity(spark):
+    df = spark.createDataFrame([(None, None, "x", None, "s", ["s"], "m", ["m"]), ("v1", "complete", "x", None, "s", ["s"], "m", ["m"]), ("v1", "complete", "x", "0" * 64, "s", ["s"], "m", ["m"]), ("v1", "odd", "x", None, "s", ["s"], "m", ["m"])],
+                               "provenance_schema string, provenance_status string, content string, content_sha256 string, source_sha256 string, candidates array<string>, map_digest string, pins array<string>")
+    assert [(r.integrity, r.reason) for r in evidence.integrity(df).collect()] == [("legacy", None), ("formal", None), ("invalid", "content_differs"), ("invalid", "unknown_status")]
+
+
+def test_metrics_without_values(spark):
+    df = spark.createDataFrame([("m", "error", None, "b"), ("m", "needs_review", None, "a")], "metric_id string, status string, value double, reason string")
+    row = aggregate.aggregate_metrics(df).first()
+    assert (row.status, row.value, row.coverage, row.reason) == ("needs_review", None, 0.0, "a · b")
+
+
+def test_unmatched_seeds_fail(spark):
+    df = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 1, "y", 2.0), ("a", 2, "x", 1.0)], "case_id string, seed int, system string, value double")
+    with pytest.raises(Exception, match="do not match"):
+        compare.paired_deltas(df, "x", "y").collect()
+    assert compare.paired_deltas(df.filter("seed = 1"), "x", "y").first().delta == 1.0
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x")], "source string, target string")
+    assert sorted(r.node for r in validate.cycles(edges).collect()) == ["x", "y", "z"]
+
+
+def test_separation(spark):
+    revisions = spark.createDataFrame([(1, "ann")], "revision_id long, actor string")
+    reviews = spark.createDataFrame([(1, "ann", "ok"), (1, "bob", "ok")], "revision_id long, reviewer string, decision string")
+    judged = spark.createDataFrame([(1, "bob")], "revision_id long, adjudicator string")
+    faults = sorted(r.fault for r in lifecycle.separation_faults(revisions, reviews, judged).collect())
+    assert faults == ["adjudicator_is_reviewer", "author_is_reviewer", "fewer_than_two_decisions"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=8), min_size=1, max_size=12), st.sampled_from([0.5, 0.8, 0.9]))
+def test_similar_sets(spark, sets, threshold):
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    rep = {}
+    for k, s in enumerate(sets):
+        if s:
+            rep.setdefault(frozenset(s), k)
+    want = set()
+    for s, a in rep.items():
+        for t, b in rep.items():
+            if a < b and len(s & t) / len(s | t) >= threshold - 1e-12:
+                want.add((a, b))
+    assert {(r.a, r.b) for r in dedup.similar_sets(df, threshold).collect()} == want
+
+
+def test_json_tables(spark):
+    value = '<table format="json">[["a","b"],["1","2"]]</table> <table format="json">[["a"],["1","2"]]</table>'
+    rows = segment.json_tables(spark.createDataFrame([(1, value)], "key long, text string")).collect()
+    assert [(r.table_no, r.grid) for r in rows] == [(0, [["a", "b"], ["1", "2"]])]
+
+
+def test_leaves(spark):
+    df = spark.createDataFrame([("d", "o", 1, "one. two. three"), ("d", "e", 2, None)], "document_id string, object_id string, document_order long, content string")
+    rows = segment.leaves(df, 10).orderBy("ordinal").collect()
+    assert [(r.content, r.start, r.end) for r in rows] == [("one. two.", 0, 9), (" three", 9, 15)]
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "documents").mkdir()
+    (tmp_path / "documents/a.md").write_text("text")
+    (tmp_path / "questions.jsonl").write_text('{"case_id":"1","question":"q"}\n\n{broken\n')
+    (tmp_path / "gold_answers.jsonl").write_text('{"gold_answer_id":"g","kind":"text","canonical":"x"}\n')
+    (tmp_path / "gold_evidence.jsonl").write_text(json.dumps({"gold_evidence_set_id": "s", "evidence": [{"evidence_id": "e", "document_id": "a"}], "required_groups": [["e"]]}) + "\n")
+    tables = readers.bundle(spark, str(tmp_path))
+    assert [(r.line, r.case_id, r.broken) for r in tables["questions"].orderBy("line").collect()] == [(1, "1", None), (3, None, "{broken")]
+    assert [(r.path, r.clause, r.evidence_id) for r in tables["clauses"].collect()] == [(0, 0, "e")]
+    assert tables["documents"].first().text == "text"
+    assert readers.checksums(spark, str(tmp_path)).count() == 4
+    assert sinks.runtime_view(tables["questions"]).columns.count("gold_answer_id") == 0
+    (tmp_path / "plan.csv").write_text("# note\na,b\n1,x or Y\n")
+    assert readers.plan(spark, str(tmp_path / "plan.csv")).select(readers.alternatives("b")).first()[0] == ["x", "y"]
+    (tmp_path / "kv.json").write_text(json.dumps({"c1": {"chunk_order_index": 0, "content": "t", "source_span": {"start": 0, "end": 1}}}))
+    assert readers.chunk_store(spark, str(tmp_path / "kv.json")).first().end == 1
+    sinks.publish(tables["documents"], str(tmp_path / "out"))
+    with pytest.raises(Exception, match="already exists"):
+        sinks.publish(tables["documents"], str(tmp_path / "out"))
+
+
+def test_streaming(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' ts, 'm' metric_id, 'observed' status, 0.5D value UNION ALL SELECT timestamp'2024-01-01 00:20:00', 'm', 'error', null")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = running_metrics(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("running").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    row = spark.table("running").first()
+    assert (row.value, row.denominator, row.n) == (0.5, 1, 2)
