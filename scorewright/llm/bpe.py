@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorewright.llm.common import claim
+
 #: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
-CACHE = 600_000
+CACHE = 450_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -191,16 +193,13 @@ class Encoder:
         return b"".join([*map(self.pieces.__getitem__, self.find(first)), *map(self.words.__getitem__, rest)])
 
 
-_KNOWN: dict[tuple, Encoder] = {}
-
-
 def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """This Python worker's encoder for these ranks; workers outlive tasks, and so does what they remember."""
-    key = (pattern, len(ranks), next(reversed(ranks)))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Encoder(ranks, pattern)
-    return _KNOWN[key]
+    """This Python worker's encoder for these ranks, with what it remembers from earlier tasks."""
+    known, key = claim("bpe"), (pattern, len(ranks), next(reversed(ranks)))
+    if key not in known:
+        known.clear()
+        known[key] = Encoder(ranks, pattern)
+    return known[key]
 
 
 def cutter(pattern: str):
@@ -233,24 +232,30 @@ def _int_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """df without its text, with the token ids (array<int>) of the whole text in out.
 
     The text is cut by pattern and each match is encoded separately, without special tokens. Null and empty texts give
-    an empty array; other columns, repeated rows and their number stay as they are; a former column named out goes.
+    an empty array; other columns, repeated rows and their number stay as they are; a former column named out goes. With
+    decoded, the ids are decoded again in the same pass, into a column (binary) of that name.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary file
-    rest = [c for c in df.columns if c not in (text, out)]
+    rest = [c for c in df.columns if c not in (text, out, decoded)]
     given = df.select(*rest, F.col(text).alias(f"{text}__in"))
-    schema = T.StructType([*given.drop(f"{text}__in").schema, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    schema = T.StructType([*given.drop(f"{text}__in").schema, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(shared.value, pattern)
+        token = ids_of.pieces.vocabulary.bytes_of.__getitem__
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 300):
+                part = batch.slice(k, 300)
                 rows = [ids_of(value) for value in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _int_lists(rows)], names=[*rest, out])
+                columns = [*part.columns[:-1], _int_lists(rows)]
+                if decoded:
+                    columns.append(pa.array([b"".join(map(token, np.frombuffer(r, np.int32).tolist())) for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -291,4 +296,4 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(decode(encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks))
+    return digests(encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded"))

@@ -46,6 +46,17 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def claim(name: str) -> dict:
+    """What this Python worker remembers under a name. Workers outlive tasks and stages, so all else that they remember goes."""
+    for other, cache in _CACHES.items():
+        if other != name:
+            cache.clear()
+    return _CACHES.setdefault(name, {})
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """mapInArrow of a function from batch to batch."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import materialize, utf8
+from scorewright.llm.common import claim, materialize, utf8
 from scorewright.llm.words import batches_of
 
 #: Bytes in an n-gram (7 at most, so that it fits into a long).
@@ -56,6 +56,7 @@ def _counted(df: DataFrame, group: str | None) -> DataFrame:
     given = df.select((F.coalesce(F.col(group), F.lit(-1)) if group else F.lit(0)).cast("long").alias("block"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality").clear()
         held: dict[int, list] = {}
         rows = 0
 
@@ -177,23 +178,20 @@ class Lookup:
         raise KeyError("an n-gram has no probability")
 
 
-_READ: dict[tuple[str, ...], Lookup] = {}
-
-
 def _lookup(files: list[str]) -> Lookup:
     """The table (g, lp) in these Parquet files of the shared folder, which a worker reads once."""
     from pyarrow import fs, parquet
 
-    key = tuple(files)
-    if key not in _READ:
+    key, read = tuple(files), claim("quality")
+    if key not in read:
         parts = []
         for file in files:
             system, path = fs.FileSystem.from_uri(file)
             parts.append(parquet.read_table(path, filesystem=system, columns=["g", "lp"]))
         table = pa.concat_tables(parts) if parts else pa.table({"g": pa.array([], pa.int64()), "lp": pa.array([], pa.float32())})
-        _READ.clear()
-        _READ[key] = Lookup(table.column("g").to_numpy(), table.column("lp").to_numpy())
-    return _READ[key]
+        read.clear()
+        read[key] = Lookup(table.column("g").to_numpy(), table.column("lp").to_numpy())
+    return read[key]
 
 
 def _sums(texts: pa.Array, lookup: Lookup) -> list[pa.Array]:

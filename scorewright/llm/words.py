@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from scorewright.llm.common import utf8
+from scorewright.llm.common import claim, utf8
 
 #: Bytes of a word are digits, letters and all bytes of characters beyond ASCII; A-Z become a-z, others part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -25,14 +25,11 @@ class _Hashes(dict):
         return out
 
 
-_HASHES = _Hashes()
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """uint64 hashes of all words of a string column, and the len+1 offsets of its rows."""
     data, offsets = utf8(texts)
     folded = data.tobytes().translate(_FOLD)
-    of, counts, parts = _HASHES.__getitem__, np.zeros(len(offsets), np.int64), []
+    of, counts, parts = claim("words").setdefault("hashes", _Hashes()).__getitem__, np.zeros(len(offsets), np.int64), []
     for k in range(len(offsets) - 1):
         found = folded[offsets[k] : offsets[k + 1]].split()
         counts[k + 1] = len(found)
