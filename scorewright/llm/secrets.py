@@ -173,7 +173,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         wanted = F.array_contains("found__kinds", rule.kind) if queries[rule.kind] else F.col("text").rlike(rule.pattern)
         none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
-        spans.append(F.when(wanted, _spans(rule, order)).otherwise(none))
+        spans.append(F.coalesce(F.when(wanted, _spans(rule, order)), none))
     return given.withColumn("secrets", F.array_sort(F.concat(*spans))).drop("found__kinds")
 
 
