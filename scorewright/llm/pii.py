@@ -158,7 +158,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
     ("date", re.compile(r"(?<![0-9])(?:(?P<y>[0-9]{4})(?P<s>[-/])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2})(?P<s2>[./])(?P<m2>[0-9]{2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9])"), _date),
     ("national", re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"), _national),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?<![0-9][ .-])(?:(?P<country>\+[0-9]{1,3}[ .-]?)(?P<abroad>\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})|(?P<home>\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}))(?![0-9A-Za-z-])(?![ .-][0-9])"), _phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:(?P<country>\+[0-9]{1,3}[ .-]?)(?P<abroad>\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})|(?<![0-9][ .-])(?P<home>\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}))(?![0-9A-Za-z-])"), _phone),
 )
 #: Whether a text can have any of them: an @, or three digits not far from each other.
 _MAYBE = re.compile(r"@|[0-9](?:[^0-9]{0,3}[0-9]){2}")
