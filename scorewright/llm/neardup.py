@@ -33,6 +33,8 @@ WORDS, BANDS, ROWS = 5, 24, 4
 SIMILAR = (4, 5)
 #: Rounds at most in which one hub of a bucket is compared with the rest, before the exact join of what is left.
 HUB_ROUNDS = 8
+#: Part of a round's pairs that must be similar for another round; below it the exact join takes over.
+WORTH = 0.05
 #: Ids that are broadcast at most (2 million: 16 MB) to filter the sketches; with more they are joined by a shuffle.
 IDS_SENT = 2_000_000
 #: Registers that agree in a pair that is worth an exact comparison: at 0.8, 4.8 deviations below what is expected.
@@ -214,29 +216,28 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     forget(bands)
     free_shuffles(spark)
 
-    links, labels = None, None
-    for step in range(HUB_ROUNDS + 1):
-        last = step == HUB_ROUNDS
-        found = None
-        if not last:
-            pairs = materialize(_ordered(hub_pairs(members, step == 0)), "pairs")
-            found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
-            if found.isEmpty():
-                last = True
-        if last:
-            left = materialize(apart(members), "apart")
-            if left.isEmpty():
-                break
-            pairs = materialize(_ordered(prefix_pairs(left, sketch)), "pairs")
-            found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
+    links = None
+
+    def add(pairs: DataFrame) -> tuple[int, int]:
+        """Adds the similar ones to the links; how many pairs there were, and how many of them are similar."""
+        nonlocal links
+        pairs = materialize(_ordered(pairs), "pairs")
+        found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
         links = found if links is None else links.union(found)
-        labels = components(links)
-        free_shuffles(spark)
-        if last:
+        return pairs.count(), found.count()
+
+    for step in range(HUB_ROUNDS):
+        compared, found = add(hub_pairs(members, step == 0))
+        if found <= compared * WORTH:
             break
-        known = labels.withColumnRenamed("label", "now")
+        known = components(links).withColumnRenamed("label", "now")
         old, members = members, materialize(members.join(known, "id", "left").select("bucket", "id", "popular", F.coalesce("now", "id").alias("label")), "members")
         forget(old)
+        free_shuffles(spark)
+    left = materialize(apart(members), "apart")
+    if not left.isEmpty():
+        add(prefix_pairs(left, sketch))
+    labels = None if links is None else components(links)
 
     own = drafts.select("doc_id", "words_key").join(copies, "words_key").select("doc_id", "rep")
     own = own.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")) if labels is not None else own.withColumnRenamed("rep", "class_id")

@@ -12,6 +12,7 @@ from scorewright.llm.neighbours import NEAREST_SQL, nearest
 from scorewright.llm.packing import packed_documents
 from scorewright.llm.pii import pseudonym_report
 from scorewright.llm.quality import classify
+from scorewright.llm.repeats import REPORT_SQL as REPEATS_SQL
 from scorewright.llm.repeats import repeat_report
 from scorewright.llm.secrets import report_sql, secret_report
 from scorewright.llm.warc import archive_round_trip, round_trip_sql
@@ -59,4 +60,4 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_decontaminate": op6_decontaminate, "op7_warc": op7_warc, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
 
-ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL, "op7_warc": round_trip_sql(), "op10_neighbours": NEAREST_SQL}
+ORACLES: dict[str, str] = {"op2_secrets": report_sql(), "op6_decontaminate": REPORT_SQL, "op7_warc": round_trip_sql(), "op8_repeats": REPEATS_SQL, "op10_neighbours": NEAREST_SQL}

@@ -359,3 +359,15 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+REPORT_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p - 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS p FROM h)),
+d AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM d)),
+r AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS since FROM r),
+o AS (SELECT k.doc_id, sum(e - s)::bigint AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since - 1, 2 * (s - since)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) - 1) AS kept FROM k JOIN h USING (doc_id) GROUP BY k.doc_id)
+SELECT h.doc_id, n::bigint AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN o USING (doc_id)
+"""
