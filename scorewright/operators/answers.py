@@ -10,25 +10,24 @@ from scorewright.functions.text import canonical_formula, contains_unit, decline
 PASS, FAIL, REVIEW = "PASS", "FAIL", "NEEDS_REVIEW"
 
 
-def numeric_verdict(answer: Column, gold: Column, tolerance: Column, unit: Column) -> Column:
-    """No number or none within the tolerance fails; others beside it need review; a missing unit fails."""
-    found = numbers(answer)
-    near = lambda x: F.abs(x - gold) <= F.coalesce(tolerance, F.lit(0))
+def numeric_verdict(answer: Column, accepted: Column, tolerance: Column, unit: Column) -> Column:
+    """No number, or none within the tolerance of an accepted one, fails; others beside it need review; a missing unit fails."""
+    found, want = numbers(answer), F.flatten(F.transform(accepted, numbers))
+    near = lambda x: F.coalesce(F.exists(want, lambda y: F.abs(x - y) <= F.coalesce(tolerance, F.lit(0))), F.lit(False))
     return (
-        F.when(F.size(found) == 0, FAIL)
-        .when(~F.exists(found, lambda x: F.coalesce(near(x), F.lit(False))), FAIL)
-        .when(F.exists(found, lambda x: ~F.coalesce(near(x), F.lit(False))), REVIEW)
+        F.when((F.size(found) == 0) | (F.size(want) == 0) | ~F.exists(found, near), FAIL)
+        .when(F.exists(found, lambda x: ~near(x)), REVIEW)
         .when(unit.isNotNull() & ~contains_unit(answer, unit), FAIL)
         .otherwise(PASS)
     )
 
 
 def set_verdict(answer: Column, gold: Column) -> Column:
-    """Equal sets pass, more or fewer members fail, others need review. Members are parted by , ; and line ends."""
+    """Equal sets pass, more or fewer members fail, others and an empty gold set need review. Members are parted by , ; and line ends."""
     given = F.filter(F.transform(F.split(answer, "[,;\n、，；]"), normalize_ascii), lambda x: x != "")
-    want = F.transform(gold, normalize_ascii)
+    want = F.filter(F.transform(gold, normalize_ascii), lambda x: x != "")
     more, less = F.size(F.array_except(given, want)), F.size(F.array_except(want, given))
-    return F.when((more == 0) & (less == 0), PASS).when((more == 0) | (less == 0), FAIL).otherwise(REVIEW)
+    return F.when(F.size(want) == 0, REVIEW).when((more == 0) & (less == 0), PASS).when((more == 0) | (less == 0), FAIL).otherwise(REVIEW)
 
 
 def text_verdict(answer: Column, accepted: Column, ascii_only: bool = False) -> Column:
@@ -54,7 +53,7 @@ def score_answers(answers: DataFrame, ascii_only: bool = False) -> DataFrame:
     verdict = (
         F.when(F.col("kind") == "abstain", F.when(declines(F.coalesce(a, F.lit(""))), PASS).otherwise(FAIL))
         .when(F.coalesce(F.trim(a), F.lit("")) == "", FAIL)
-        .when(F.col("kind") == "numeric", numeric_verdict(a, F.try_element_at(gold, F.lit(1)).try_cast("decimal(38,18)"), F.col("tolerance"), F.col("unit")))
+        .when(F.col("kind") == "numeric", numeric_verdict(a, everything, F.col("tolerance"), F.col("unit")))
         .when(F.col("kind") == "set", set_verdict(a, gold))
         .when(F.col("kind") == "text", text_verdict(a, everything, ascii_only))
     )
@@ -88,22 +87,34 @@ def segment_answer_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+#: The failure labels that this table of a case's stages can give, in their order.
+FAILURES = ("timeout", "adapter_error", "provenance_unavailable", "retrieval_missing", "ranking_failure", "context_selection_loss", "generation_failure", "unsupported_answer", "needs_review")
+
+
 def failure_labels(cases: DataFrame) -> DataFrame:
-    """cases with `labels`: what failed, in the order of the stages, each once.
+    """cases with `labels`: what failed, each once.
 
-    Columns: execution_error, raw, ranked, context (recall at the widest cutoff, null if unobservable), verdict.
+    Columns: status; for each stage x of raw, ranked, context: x_complete (null where the stage is not observable) and
+    x_unknown (evidence whose provenance is missing decides); context_empty, verdict, groundedness. A case that did not
+    complete has one label. A stage loses what the one before it had whole.
     """
-    label = lambda when, name: F.when(F.coalesce(when, F.lit(False)), F.lit(name))
+    is_true = lambda c: F.coalesce(c, F.lit(False))
+    seen = {x: F.col(f"{x}_complete").isNotNull() for x in ("raw", "ranked", "context")}
+    unknown = {"raw": seen["raw"] & F.col("raw_unknown"), "ranked": seen["raw"] & seen["ranked"] & F.col("ranked_unknown"), "context": seen["ranked"] & seen["context"] & F.col("context_unknown")}
+    lost = lambda before, after: seen[before] & seen[after] & ~unknown[after] & F.col(f"{before}_complete") & ~F.col(f"{after}_complete")
+    review = ~seen["raw"] | ~seen["ranked"] | ~seen["context"] | unknown["raw"] | unknown["ranked"] | unknown["context"] | (F.col("verdict") == REVIEW)
     found = F.array(
-        label(F.col("execution_error"), "execution_error"),
-        label(F.col("raw").isNull() & ~F.coalesce(F.col("execution_error"), F.lit(False)), "stage_unobservable"),
-        label(F.col("raw") < 1, "retrieval_miss"),
-        label(F.col("ranked") < F.col("raw"), "ranking_loss"),
-        label(F.col("context") < F.col("ranked"), "context_selection_loss"),
-        label((F.col("context") == 1) & (F.col("verdict") == FAIL), "answer_generation"),
-        label(F.col("verdict") == REVIEW, "needs_review"),
+        F.when(is_true(unknown["raw"] | unknown["ranked"] | unknown["context"]), "provenance_unavailable"),
+        F.when(is_true(seen["raw"] & ~unknown["raw"] & ~F.col("raw_complete")), "retrieval_missing"),
+        F.when(is_true(lost("raw", "ranked")), "ranking_failure"),
+        F.when(is_true(lost("ranked", "context")), "context_selection_loss"),
+        F.when(is_true(F.col("context_complete") & (F.col("verdict") == FAIL)), "generation_failure"),
+        F.when(is_true(F.col("context_empty") & (F.col("groundedness") == 0)), "unsupported_answer"),
+        F.when(is_true(review), "needs_review"),
     )
-    return cases.withColumn("labels", F.array_distinct(F.array_compact(found)))
+    whole = F.when(F.col("status") == "timeout", F.array(F.lit("timeout"))).when(F.col("status") == "system_error", F.array(F.lit("adapter_error")))
+    whole = whole.when(F.col("status").eqNullSafe("completed"), F.array_compact(found)).otherwise(F.array(F.lit("needs_review")))
+    return cases.withColumn("labels", whole)
 
 
 def capability_faults(stages: DataFrame) -> DataFrame:

@@ -24,9 +24,13 @@ def leaves(objects: DataFrame, most: int = 600) -> DataFrame:
     return out.select(joined_digest(F.col("document_id"), F.col("object_id"), F.col("ordinal"), sha).alias("segment_id"), "document_id", "object_id", "ordinal", "start", "end", "content", sha.alias("content_sha256"))
 
 
+#: Fixed value: the line before a segment's content.
+ENVELOPE = "[[RAG_BENCHMARK_SEGMENT id=%s]]\n%s"
+
+
 def enveloped(segments: DataFrame) -> DataFrame:
     """segments with the text that goes to a system: a line with the id before the content."""
-    return segments.withColumn("envelope", F.format_string("[[RAG_BENCHMARK_SEGMENT id=%s]]\n%s", "segment_id", "content"))
+    return segments.withColumn("envelope", F.format_string(ENVELOPE, "segment_id", "content"))
 
 
 def packed(segments: DataFrame, most: int) -> DataFrame:

@@ -80,10 +80,15 @@ def micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace(spark, sf_dir)
-    rec = retrieval.recall(t.gold, t.items, t.stages, (5,))
-    wide = rec.groupBy("case_id").pivot("stage", ["raw", "ranked", "context"]).agg(F.first("value"))
-    verdict = F.element_at(F.array(F.lit("PASS"), F.lit("FAIL"), F.lit("NEEDS_REVIEW")), (F.col("case_id") % 3 + 1).cast("int"))
-    cases = wide.withColumn("verdict", verdict).withColumn("execution_error", F.col("case_id") % 29 == 0)
+    rec = retrieval.recall(t.gold, t.items, t.stages, (5,)).join(t.stages, ["case_id", "stage"])
+    wide = rec.groupBy("case_id").pivot("stage", ["raw", "ranked", "context"]).agg(F.first(F.when(F.col("observable"), F.col("complete"))))
+    n = F.col("case_id")
+    cases = wide.select(
+        "case_id", *[F.col(x).alias(f"{x}_complete") for x in ("raw", "ranked", "context")],
+        (n % 23 == 0).alias("raw_unknown"), (n % 19 == 0).alias("ranked_unknown"), (n % 17 == 0).alias("context_unknown"), (n % 7 == 0).alias("context_empty"), (n % 2).cast("double").alias("groundedness"),
+        F.element_at(F.array(F.lit("PASS"), F.lit("FAIL"), F.lit("NEEDS_REVIEW")), (n % 3 + 1).cast("int")).alias("verdict"),
+        F.when(n % 29 == 0, "timeout").when(n % 31 == 0, "system_error").when(n % 37 == 0, "cancelled").otherwise("completed").alias("status"),
+    )
     return answers.failure_labels(cases).select("case_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -129,8 +134,11 @@ ORACLES = {
     "execution_counts": """SELECT 10000000::bigint AS expected, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS failed,
  greatest(0, 10000000 - count(*))::bigint AS not_run, (10000000 - count(*) FILTER (o_orderstatus = 'F')) / 10000000 AS failure_rate FROM orders""",
     "micro_macro": f"""{TRACE_SQL}, {_LOC} SELECT metric_id, sum(value)::bigint AS numerator, sum(denominator)::bigint AS denominator, count(*) AS cases, round(sum(value) / sum(denominator), 9) AS micro, round(avg(value / denominator), 9) AS macro FROM ll GROUP BY 1""",
-    "failure_labels": f"""{TRACE_SQL}, w AS (SELECT case_id, raw, ranked, context, case_id % 29 = 0 AS err FROM wide WHERE k = 5)
- SELECT case_id, array_to_string(list_filter([CASE WHEN err THEN 'execution_error' END, CASE WHEN raw IS NULL AND NOT err THEN 'stage_unobservable' END, CASE WHEN raw < 1 THEN 'retrieval_miss' END,
- CASE WHEN ranked < raw THEN 'ranking_loss' END, CASE WHEN context < ranked THEN 'context_selection_loss' END, CASE WHEN context = 1 AND case_id % 3 = 1 THEN 'answer_generation' END, CASE WHEN case_id % 3 = 2 THEN 'needs_review' END], lambda x: x IS NOT NULL), ',') AS labels FROM w""",
+    "failure_labels": f"""{TRACE_SQL}, z AS (SELECT case_id, max(CASE WHEN stage = 'raw' AND observable THEN complete::int END) AS a, max(CASE WHEN stage = 'ranked' THEN complete::int END) AS b, max(CASE WHEN stage = 'context' THEN complete::int END) AS c FROM rec WHERE k = 5 GROUP BY 1),
+y AS (SELECT *, a IS NOT NULL AND case_id % 23 = 0 AS ua, a IS NOT NULL AND case_id % 19 = 0 AS ub, case_id % 17 = 0 AS uc FROM z)
+SELECT case_id, CASE WHEN case_id % 29 = 0 THEN 'timeout' WHEN case_id % 31 = 0 THEN 'adapter_error' WHEN case_id % 37 = 0 THEN 'needs_review' ELSE
+ array_to_string(list_filter([CASE WHEN ua OR ub OR uc THEN 'provenance_unavailable' END, CASE WHEN NOT ua AND a = 0 THEN 'retrieval_missing' END, CASE WHEN NOT ub AND a = 1 AND b = 0 THEN 'ranking_failure' END,
+ CASE WHEN NOT uc AND b = 1 AND c = 0 THEN 'context_selection_loss' END, CASE WHEN c = 1 AND case_id % 3 = 1 THEN 'generation_failure' END, CASE WHEN case_id % 7 = 0 AND case_id % 2 = 0 THEN 'unsupported_answer' END,
+ CASE WHEN a IS NULL OR ua OR ub OR uc OR case_id % 3 = 2 THEN 'needs_review' END], lambda x: x IS NOT NULL), ',') END AS labels FROM y""",
     "trace_status": f"""{TRACE_SQL} SELECT stage, CASE WHEN case_id % 19 = 0 THEN 'not_applicable' WHEN NOT observable THEN 'not_applicable' WHEN case_id % 17 IN (1, 2, 3, 4, 5, 6) THEN 'error' WHEN case_id % 5 > 1 THEN 'not_applicable' ELSE 'observed' END AS status, count(*) AS n FROM stages GROUP BY ALL""",
 }
