@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +56,6 @@ def claim(name: str) -> dict:
     return _CACHES.setdefault(name, {})
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """mapInArrow of a function from batch to batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-
-    return df.mapInArrow(run, schema)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one uint8 array, and the len+1 offsets of its rows; null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):

@@ -53,8 +53,8 @@ def whole_windows(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.n
     return at, prints[at] + np.uint64(n)
 
 
-def benchmark_prints(benchmark: DataFrame) -> DataFrame:
-    """(print, item, at, n) of the different word sequences of the benchmark; item is the words joined by spaces."""
+def benchmark_prints(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, item) of the benchmark, and (print, item, at, n) of its different word sequences; item is the words joined by spaces."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
