@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.llm.common import claim
+from scorewright.llm.common import claim, give_back, small_batches
 
 #: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
 CACHE = 450_000
@@ -239,6 +239,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     an empty array; other columns, repeated rows and their number stay as they are; a former column named out goes. With
     decoded, the ids are decoded again in the same pass, into a column (binary) of that name.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary file
     rest = [c for c in df.columns if c not in (text, out, decoded)]
     given = df.select(*rest, F.col(text).alias(f"{text}__in"))
@@ -256,6 +257,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
                 if decoded:
                     columns.append(pa.array([b"".join(map(token, np.frombuffer(r, np.int32).tolist())) for r in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
     return given.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -45,14 +47,34 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of rows that go to a Python worker at once; the JVM and the worker hold a few times as much.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of texts by their bytes, as a number of rows says little where texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system: workers outlive tasks, and the next ones are others' work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _CACHES: dict[str, dict] = {}
 
 
 def claim(name: str) -> dict:
     """What this Python worker remembers under a name. Workers outlive tasks and stages, so all else that they remember goes."""
-    for other, cache in _CACHES.items():
-        if other != name:
-            cache.clear()
+    others = [cache for other, cache in _CACHES.items() if other != name and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
     return _CACHES.setdefault(name, {})
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import forget, free_shuffles, materialize
+from scorewright.llm.common import forget, free_shuffles, give_back, materialize, small_batches
 from scorewright.llm.components import components
 from scorewright.llm.words import batches_of, grams, mixed, word_hashes
 
@@ -71,6 +71,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, stop in batches_of(batch.column(1)):
                 yield one(batch.slice(start, stop - start))
+        give_back()
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, offsets = word_hashes(part.column(1))
@@ -204,6 +205,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     count as one document with all of them. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     drafts = materialize(sketches(docs.filter("doc_id IS NOT NULL")), "sketch")
     copies = materialize(drafts.groupBy("words_key").agg(F.min("doc_id").alias("rep")), "copies")
     sketch = drafts.withColumnRenamed("doc_id", "id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import claim, materialize, utf8
+from scorewright.llm.common import claim, give_back, materialize, small_batches, utf8
 from scorewright.llm.words import batches_of
 
 #: Bytes in an n-gram (7 at most, so that it fits into a long).
@@ -91,6 +91,7 @@ def _counted(df: DataFrame, group: str | None) -> DataFrame:
                 yield from out()
                 rows = 0
         yield from out()
+        give_back()
 
     return given.mapInArrow(run, "block long, g long, c long")
 
@@ -253,6 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no perplexity and are not kept; with no trusted text at all, every other document is.
     Labels that repeat count once, contradictory ones as trusted.
     """
+    small_batches(docs.sparkSession)
     scored = materialize(log_likelihoods(docs, labels), "likelihoods").filter("n_bytes > 0")
     average = (-F.sum("lp") / F.sum("n_bytes")).alias("average")
     trusted = scored.filter("trusted")
