@@ -1,16 +1,17 @@
-"""Near-duplicate classes by ProbMinHash over weighted five-word shingles.
+"""Near-duplicate classes by ProbMinHash over five-word shingles.
 
-Each shingle of a document sends a Poisson process of arrivals whose rate is its weight, 1 + ln(its count); every arrival
-picks one of the registers, which keeps its earliest arrival. A process ends once it is later than every register's. Two
-documents agree in a register with the probability Jaccard similarity of their weighted shingles. Documents that agree in
-all registers of a band are candidates; candidates are links if the Jaccard similarity of their shingle sets is at least
-0.8, and classes are the connected components of the links.
+Each different shingle of a document sends a Poisson process of arrivals; every arrival picks one of the registers, which
+keeps its earliest arrival. A process ends once it is later than every register's. All rates are 1, however often a shingle
+is repeated, so two documents agree in a register with the Jaccard similarity of their shingle sets, by which links are
+defined. Documents that agree in all registers of a band are candidates; candidates are links if the Jaccard similarity of
+their shingle sets is at least 0.8, and classes are the connected components of the links.
 
 Candidates are not all pairs of a band's bucket. In rounds, a hub is compared with the rest of its bucket: the member that
 meets most others over all bands, so in a group of near copies the text that they come from; then the most popular of
 those still apart. Members that the links found so far already connect need no comparison. What is still apart when a round
 finds no more links, such as many documents that share a passage, is joined exactly by the rarest of their shingles: two
-sets of this similarity share one among the first fifth of each (prefix and position filter), or they are not similar.
+sets of this similarity share one among the first fifth of each (prefix and position filter), or they are not similar. The
+pairs of that join are compared as they are; only hub pairs are first pruned by their registers.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ HUB_ROUNDS = 8
 WORTH = 0.05
 #: Ids that are broadcast at most (2 million: 16 MB) to filter the sketches; with more they are joined by a shuffle.
 IDS_SENT = 2_000_000
-#: Registers that agree in a pair that is worth an exact comparison: at 0.8, 4.8 deviations below what is expected.
+#: Registers that agree in a hub pair that is worth an exact comparison: at 0.8, 4.8 deviations below what is expected.
 AGREE = 58
 
 
@@ -77,19 +78,17 @@ def sketches(docs: DataFrame) -> DataFrame:
         hashes, offsets = word_hashes(part.column(1))
         all_grams = grams(hashes, WORDS)
         rows = np.flatnonzero(np.diff(offsets))
-        keys, sets, found, counts = [], [], [], []
+        keys, sets, found = [], [], []
         for k in rows.tolist():
             a, b = int(offsets[k]), int(offsets[k + 1])
             keys.append(xxhash.xxh3_128_digest(hashes[a:b].tobytes()))
             got = all_grams[a : b - WORDS + 1] if b - a >= WORDS else grams(hashes[a:b], b - a)
-            got, n = np.unique(got, return_counts=True)
+            got = np.unique(got)
             found.append(got)
-            counts.append(n)
             sets.append(np.unique((got >> np.uint64(32)).astype(np.uint32)).tobytes())
         n = np.array([len(x) for x in found], np.int64)
         flat = np.concatenate(found or [np.zeros(0, np.uint64)])
-        weight = 1 + np.log(np.concatenate(counts)) if counts else np.zeros(0)
-        first = prob_minhash(flat, np.repeat(np.arange(len(rows)), n), weight, len(rows), BANDS * ROWS)
+        first = prob_minhash(flat, np.repeat(np.arange(len(rows)), n), np.ones(len(flat)), len(rows), BANDS * ROWS)
         bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(rows), BANDS)).copy()
         for j in range(ROWS):
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + first.reshape(len(rows), BANDS, ROWS)[:, :, j])
@@ -220,11 +219,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     links = None
 
-    def add(pairs: DataFrame) -> tuple[int, int]:
+    def add(pairs: DataFrame, prune: bool = True) -> tuple[int, int]:
         """Adds the similar ones to the links; how many pairs there were, and how many of them are similar."""
         nonlocal links
         pairs = materialize(_ordered(pairs), "pairs")
-        found = materialize(similar(materialize(probable(pairs, sketch), "probable"), sketch), "similar")
+        found = materialize(similar(materialize(probable(pairs, sketch), "probable") if prune else pairs, sketch), "similar")
         links = found if links is None else links.union(found)
         return pairs.count(), found.count()
 
@@ -238,7 +237,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         free_shuffles(spark)
     left = materialize(apart(members), "apart")
     if not left.isEmpty():
-        add(prefix_pairs(left, sketch))
+        add(prefix_pairs(left, sketch), prune=False)
     labels = None if links is None else components(links)
 
     own = drafts.select("doc_id", "words_key").join(copies, "words_key").select("doc_id", "rep")

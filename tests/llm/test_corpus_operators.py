@@ -62,6 +62,22 @@ def test_exact_join_finds_what_hubs_miss(spark, monkeypatch):
     assert got == classes_of(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 8])
+@pytest.mark.parametrize("times", [20, 1000])
+def test_repeated_blocks_do_not_part_near_copies(spark, monkeypatch, times, rounds):
+    rng = random.Random(6)
+    rows = []
+    for k in range(20):  # a text, and the same with its second half repeated; from the eleventh on with some other words, at a Jaccard similarity of about 0.85
+        base = [str(rng.random()) for _ in range(120)]
+        near = base if k < 10 else [w if j not in (20, 50) else str(rng.random()) for j, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near[:60] + near[60:] * times))]
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", rounds)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    want = classes_of(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(20))
+    assert got == want
+
+
 def test_prob_minhash_estimates():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 400, dtype=np.uint64), None
