@@ -150,16 +150,65 @@ def _email(f: Feistel, m: re.Match, back: bool) -> str | None:
     return "".join(next(following) if c.isalnum() else c for c in name) + "@" + m["host"]
 
 
+_BANK = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 #: Kind, pattern and rule, in the order in which overlapping finds take precedence.
 KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]{1,64})@(?P<host>[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"), _email),
-    ("bank", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _bank),
+    ("bank", _BANK, _bank),
     ("card", re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"), _card),
     ("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
     ("date", re.compile(r"(?<![0-9])(?:(?P<y>[0-9]{4})(?P<s>[-/])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2})(?P<s2>[./])(?P<m2>[0-9]{2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9])"), _date),
     ("national", re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"), _national),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:(?P<country>\+[0-9]{1,3}[ .-]?)(?P<abroad>\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})|(?<![0-9][ .-])(?P<home>\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}))(?![0-9A-Za-z-])"), _phone),
 )
+_WHOLE = re.compile(r"(?s:.*)")
+#: Digits with single separators, of any length; groups of a card as they are printed.
+_RUN = re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,}")
+_PRINTED = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{4}([ -])[0-9]{3}\3[0-9]{3}\3[0-9]{3}")
+_BANK_START = re.compile(r"\b[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9])*))")
+#: Length of a bank number by country.
+BANK_LENGTHS = {
+    country: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
+
+
+def _card_parts(text: str) -> list[tuple[int, int]]:
+    """Whole groups with 13 to 19 digits of each run of digits: first those that are grouped like a card, then the others, the longest first."""
+    printed, others = [], []
+    for run in _RUN.finditer(text):
+        groups = [m.span() for m in re.finditer("[0-9]+", run[0])]
+        base, last = run.start(), len(groups) - 1
+        open_end = re.match("[A-Za-z-]", text[run.end() : run.end() + 1])
+        for i, (a, _) in enumerate(groups):
+            digits = 0
+            for j in range(i, len(groups)):
+                digits += groups[j][1] - groups[j][0]
+                if digits > 19:
+                    break
+                if digits >= 13 and not (j == last and open_end):
+                    span = base + a, base + groups[j][1]
+                    (printed if _PRINTED.fullmatch(text, *span) else others).append(span)
+    length = lambda x: x[0] - x[1]
+    return sorted(printed, key=length) + sorted(others, key=length)
+
+
+def _bank_parts(text: str) -> list[tuple[int, int]]:
+    """From each beginning of a bank number the length of its country, or every length if the country has none, that ends with a word."""
+    spans = []
+    for m in _BANK_START.finditer(text):
+        ends = [m.end() + k for k, c in enumerate(m[1], 1) if c != " "]  # of lengths 5 and more
+        known = BANK_LENGTHS.get(m[0][:2])
+        for n in [known] if known else range(34, 14, -1):
+            if n - 5 < len(ends) and not re.match(r"\w", text[ends[n - 5] : ends[n - 5] + 1]) and _BANK.fullmatch(text, m.start(), ends[n - 5]):
+                spans.append((m.start(), ends[n - 5]))
+    return spans
+
+
+#: Where else a value can be, in the order of trial, if the pattern's match is not valid.
+PARTS = {"card": _card_parts, "bank": _bank_parts}
 #: Whether a text can have any of them: an @, or three digits not far from each other.
 _MAYBE = re.compile(r"@|[0-9](?:[^0-9]{0,3}[0-9]){2}")
 
@@ -174,19 +223,49 @@ def find(text: str) -> list[tuple[int, int, str, re.Match, Callable]]:
     return sorted(taken, key=lambda x: x[0])
 
 
-def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with its values replaced, and (kind, start, end) of each in the given text; back undoes it."""
-    rank = {kind: k for k, (kind, _, _) in enumerate(KINDS)}
-    chosen, used = [], []
-    for start, end, kind, m, rule in sorted(find(text), key=lambda x: (rank[x[2]], x[0])):
-        if not any(start < b and a < end for a, b in used) and (new := rule(f, m, back)) is not None:
-            used.append((start, end))
-            chosen.append((start, end, kind, new))
+#: Characters between a part and values that are permuted together with it.
+NEAR = 40
+
+
+def _chosen(text: str, f: Feistel, back: bool) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, kind, whether it is a part, new value) of the values to replace, by place; kinds in their order, matches before parts."""
+    found, chosen = find(text), []
+    for kind, _, rule in KINDS:
+        spans, failed = [(m.start(), m.end(), m, False) for _, _, of, m, _ in found if of == kind], False
+        for parts in (False, True):
+            if parts:
+                spans = [(a, b, _WHOLE.fullmatch(text, a, b), True) for a, b in PARTS[kind](text)] if failed and kind in PARTS else []
+            for start, end, m, part in spans:
+                if not any(start < x[1] and x[0] < end for x in chosen) and (new := rule(f, m, back)) is not None:
+                    chosen.append((start, end, kind, part, new))
+                else:
+                    failed = True
+    return sorted(chosen)
+
+
+def _put(text: str, chosen: list[tuple[int, int, str, bool, str]]) -> str:
     out, at = [], 0
-    for start, end, _, new in sorted(chosen):
+    for start, end, _, _, new in chosen:
         out += [text[at:start], new]
         at = end
-    return "".join([*out, text[at:]]), [(kind, start, end) for start, end, kind, _ in sorted(chosen)]
+    return "".join([*out, text[at:]])
+
+
+def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its values replaced, and (kind, start, end) of each in the given text; back undoes it.
+
+    New values of parts can look valid together with their neighbours. Then a part and the values near it are permuted
+    once more, until the same spans are found again: so back finds them too, but equal values can differ there.
+    """
+    chosen = _chosen(text, f, back)
+    parts = [x for x in chosen if x[3]]
+    if parts:
+        rules = {kind: (_WHOLE if kind in PARTS else pattern, rule) for kind, pattern, rule in KINDS}
+        moving = [x for x in chosen if any(x[0] < p[1] + NEAR and p[0] < x[1] + NEAR for p in parts)]
+        while [x[:4] for x in _chosen(_put(text, moving), f, back)] != [x[:4] for x in chosen]:
+            moving = [(*x[:4], rules[x[2]][1](f, rules[x[2]][0].fullmatch(x[4]), back)) for x in moving]
+        chosen = sorted([x for x in chosen if x[:2] not in {y[:2] for y in moving}] + moving)
+    return _put(text, chosen), [(kind, start, end) for start, end, kind, _, _ in chosen]
 
 
 def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:

@@ -132,6 +132,20 @@ def test_invalid_values_stay(text):
     assert pii.pseudonymize(text, F1) == (text, [])
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/27"), ("id 12 ", "4111 1111 1111 1111", ""), ("1234 ", "4111 1111 1111 1111", ""), ("12-34 56 78 ", "4111 1111 1111 1111", " 1234 5678 x"),
+    ("no 7 ", "4111111111111111", " 123"), ("12 ", "3782 822463 10005", " 1"), ("", "BE68 5390 0754 7034", " BIC"), ("", "AT61 1904 3002 3457 3201", " PAID"), ("XX12 ABCD ", "BE68 5390 0754 7034", " BIC"), ("BE68 5390 0754 7034 ", "4111 1111 1111 1111", ""),
+])
+def test_values_beside_digits_and_words(before, value, after):
+    for key in range(40):  # with some keys the new value and its neighbours look valid together
+        f = pii.Feistel(str(key).encode())
+        text = f"{before}{value}{after}"
+        new, spans = pii.pseudonymize(text, f)
+        kind = "bank" if value[0].isalpha() else "card"
+        assert (kind, len(before), len(before) + len(value)) in spans and value not in new
+        assert pii.pseudonymize(new, f, back=True)[0] == text
+
+
 def test_pseudonym_rows(spark):
     rows = [(1, "a@b.org"), (2, "a@b.org"), (2, "a@b.org"), (None, None), (3, "")]
     df = spark.createDataFrame(rows, DOCS).withColumn("found", F.lit(1)).withColumn("other", F.lit("o"))
