@@ -91,6 +91,12 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_cases", *[F.round(c, 9).alias(c) for c in ("estimate", "low", "high")])
 
 
+def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = compare.paired_deltas(_scores(spark, sf_dir), "base", "new").withColumn("stratum", F.col("case_id") % 3)
+    out = compare.stratified_bootstrap(deltas, weights={"0": 1.0, "1": 2.0, "2": 1.0})
+    return out.select("n_cases", *[F.round(c, 9).alias(c) for c in ("estimate", "low", "high")])
+
+
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -183,7 +189,7 @@ def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", m["name"].alias("name"), m["key"].alias("key"), m["more"].alias("more"))
 
 
-QUERIES = {f.__name__: f for f in (answer_scores, grounding, segment_answers, capability_faults, expected_metrics, portfolio_coverage, judgments, representability, paired_deltas, bootstrap, table_diff, manifest_check,
+QUERIES = {f.__name__: f for f in (answer_scores, grounding, segment_answers, capability_faults, expected_metrics, portfolio_coverage, judgments, representability, paired_deltas, bootstrap, stratified_bootstrap, table_diff, manifest_check,
                                    config_drift, incompatible_fields, first_wins, policy_violations, endpoint_types, packed_once, lossiness, clause_necessity, content_register, path_expansion, config_merge)}
 
 _SCORES = "sc AS (SELECT s_suppkey AS case_id, seed, (s_suppkey * 7 + seed * 3) % 10 AS a, (s_suppkey * 7 + seed * 3 + 5 * s_suppkey) % 10 AS b FROM supplier, (VALUES (0), (1), (2)) t(seed)), de AS (SELECT case_id, avg((b - a)::double) AS delta, count(*) AS seeds FROM sc GROUP BY 1)"
@@ -212,6 +218,11 @@ SELECT case_id, min(code) AS code, ['UNOBSERVABLE', 'PARTIAL', 'FULL'][min(code)
 dr AS (SELECT i.range // n AS it, ((((i.range + 1) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS no FROM range(0, 200 * (SELECT n FROM n)) i, n),
 me AS (SELECT it, sum(delta) / any_value(n) AS mean FROM dr JOIN nu USING (no), n GROUP BY 1)
 SELECT (SELECT n FROM n) AS n_cases, round((SELECT avg(delta) FROM de), 9) AS estimate, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM me""",
+    "stratified_bootstrap": f"""WITH {_SCORES}, nu AS (SELECT case_id % 3 AS st, row_number() OVER (PARTITION BY case_id % 3 ORDER BY case_id) - 1 AS no, count(*) OVER (PARTITION BY case_id % 3) AS n, delta FROM de),
+dr AS (SELECT it.range AS it, st, n, ('0x' || substr(md5('1:' || it.range || ':' || st || ':' || no), 1, 15))::bigint % n AS no FROM nu, range(0, 10000) it),
+sm AS (SELECT it, dr.st, avg(delta) AS mean FROM dr JOIN nu ON nu.st = dr.st AND nu.no = dr.no GROUP BY ALL), me AS (SELECT it, sum(mean * CASE st WHEN 1 THEN 2 ELSE 1 END) / 4 AS mean FROM sm GROUP BY 1),
+es AS (SELECT sum(mean * CASE st WHEN 1 THEN 2 ELSE 1 END) / 4 AS e FROM (SELECT st, avg(delta) AS mean FROM nu GROUP BY 1))
+SELECT (SELECT count(*) FROM nu) AS n_cases, round((SELECT e FROM es), 9) AS estimate, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM me""",
     "table_diff": """WITH x AS (SELECT c_custkey, c_custkey % 11 <> 3 AS o, c_custkey % 13 <> 5 AS n, c_custkey % 7 = 0 AND c_acctbal <> 0 AS b, c_custkey % 17 = 0 AS m FROM customer)
 SELECT c_custkey, CASE WHEN NOT o THEN 'added' WHEN NOT n THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o AND n THEN array_to_string(list_filter([CASE WHEN b THEN 'c_acctbal' END, CASE WHEN m THEN 'c_mktsegment' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS fields
 FROM x WHERE (o OR n) AND (NOT o OR NOT n OR b OR m)""",

@@ -172,3 +172,14 @@ def test_streaming(spark, tmp_path):
     query.stop()
     row = spark.table("running").first()
     assert (row.value, row.denominator, row.n) == (0.5, 1, 2)
+
+
+def test_stratified_bootstrap_draws_all_cases(spark):
+    late = spark.range(40000).selectExpr("id AS case_id", "0 AS stratum", "CAST(id >= 32768 AS DOUBLE) AS delta")
+    r = compare.stratified_bootstrap(late, iterations=20).first()
+    share = 7232 / 40000
+    assert r.n_cases == 40000 and abs(r.estimate - share) < 1e-9 and share - 0.01 < r.low < share < r.high < share + 0.01
+    two = spark.range(30).selectExpr("id AS case_id", "IF(id < 10, 'a', 'b') AS stratum", "IF(id < 10, 1.0D, 4.0D) AS delta")
+    for weights, want in ((None, 3.0), ({"a": 3, "b": 1}, 1.75)):
+        r = compare.stratified_bootstrap(two, iterations=20, weights=weights).first()
+        assert all(abs(x - want) < 1e-9 for x in (r.estimate, r.low, r.high))
