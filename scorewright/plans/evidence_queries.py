@@ -179,6 +179,10 @@ def overlap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.overlap_gate(dedup.similar_sets(_word_sets(spark, sf_dir), 0.75))
 
 
+def set_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.set_gate(_word_sets(spark, sf_dir))
+
+
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = F.col("text"), F.lit("the")
     return _t(spark, sf_dir, "conversations").select(
@@ -219,7 +223,7 @@ def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (quote_counts, interval_union, overlap_edges, section_of, active_spans, earliest_match, table_footprint, true_misses, edge_round_trip, localization, locator_cover, leaf_chunks,
-                                   unique_bridges, latest_revision, review_decisions, illegal_steps, sentence_packing, leaf_segments, cell_headers, shared_tokens, near_sets, overlap_gate, text_functions, markup, digests, seeded_order, range_merge, range_parse)}
+                                   unique_bridges, latest_revision, review_decisions, illegal_steps, sentence_packing, leaf_segments, cell_headers, shared_tokens, near_sets, overlap_gate, set_gate, text_functions, markup, digests, seeded_order, range_merge, range_parse)}
 
 _EDGES = """o AS (SELECT user_id AS d, event_id AS id, event_id AS s, event_id + 30 + event_id % 50 AS e FROM events), c AS (SELECT user_id AS d, event_id AS id, event_id - 20 AS s, event_id + 300 AS e FROM events WHERE event_id % 5 = 0),
 x AS (SELECT o.d AS document_id, o.id AS object_id, c.id AS chunk_id, CASE WHEN c.s <= o.s AND c.e >= o.e THEN 'full' ELSE 'partial' END AS coverage, greatest(o.s, c.s) AS start, least(o.e, c.e) AS "end" FROM o JOIN c ON o.d = c.d AND o.s < c.e AND c.s < o.e)"""
@@ -269,6 +273,9 @@ SELECT doc_id AS document_id, batch, min(o)::bigint AS first, max(o)::bigint AS
     "shared_tokens": "WITH t AS (SELECT DISTINCT p_partkey AS s, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, count(*) AS n_sections, array_to_string(list_sort(list(s))[1:3], ',') AS sections FROM t GROUP BY 1 HAVING count(*) >= 2",
     "near_sets": f"WITH {_SETS} SELECT a, b, jaccard FROM j WHERE jaccard >= 0.9 - 1e-12",
     "overlap_gate": f"WITH {_SETS}, s AS (SELECT a AS id, jaccard FROM j WHERE jaccard >= 0.75 - 1e-12 UNION ALL SELECT b, jaccard FROM j WHERE jaccard >= 0.75 - 1e-12) SELECT id, max(jaccard) AS jaccard, CASE WHEN max(jaccard) >= 0.98 THEN 'FAIL' WHEN max(jaccard) >= 0.75 THEN 'FLAG' ELSE 'PASS' END AS gate FROM s GROUP BY 1",
+    "set_gate": f"""WITH {_SETS}, q AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.tok = y.tok AND x.id <> y.id GROUP BY ALL),
+m AS (SELECT a AS id, max(c / (na.n + nb.n - c)) AS jaccard FROM q JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.75 - 1e-12 GROUP BY 1), k AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM h)
+SELECT doc_id AS id, rep, jaccard, CASE WHEN jaccard >= 0.98 THEN 'FAIL' WHEN jaccard >= 0.75 THEN 'FLAG' ELSE 'PASS' END AS gate FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN m ON m.id = doc_id""",
     "markup": r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, length(t)::bigint AS n_chars, sha256(t) AS digest FROM p""",
     "digests": "SELECT o_orderkey, sha256(o_orderkey::varchar || chr(0) || o_orderstatus || chr(0) || o_orderpriority) AS id, CASE WHEN o_orderkey % 3 = 0 THEN sha256(o_orderstatus) WHEN o_orderkey % 3 = 1 THEN sha256(o_orderpriority) END AS digest FROM orders",

@@ -183,3 +183,11 @@ def test_stratified_bootstrap_draws_all_cases(spark):
     for weights, want in ((None, 3.0), ({"a": 3, "b": 1}, 1.75)):
         r = compare.stratified_bootstrap(two, iterations=20, weights=weights).first()
         assert all(abs(x - want) < 1e-9 for x in (r.estimate, r.low, r.high))
+
+
+def test_set_gate_has_every_copy(spark):
+    words = [f"w{k}" for k in range(10)]
+    sets = [(1, words), (2, words[::-1]), (3, words[:8]), (4, words[:8]), (5, ["x"]), (6, []), (7, ["y", "z"]), (8, ["z", "y", "y"])]
+    got = {r.id: (r.rep, r.jaccard, r.gate) for r in dedup.set_gate(spark.createDataFrame(sets, "id long, tokens array<string>")).collect()}
+    same = {k: (rep, 1.0, "FAIL") for k, rep in ((1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7))}
+    assert got == {**same, 5: (5, None, "PASS"), 6: (None, None, "PASS")}
