@@ -11,6 +11,7 @@ import datetime
 import hashlib
 import hmac
 import re
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.common import small_batches
+
 ROUNDS = 8
 #: The key of the query. Users pass their own.
 QUERY_KEY = b"pseudonym-key-of-the-example-query"
@@ -77,9 +80,19 @@ def _card(f: Feistel, m: re.Match, back: bool) -> str | None:
     return _relay(m[0], body + str(luhn(body)))
 
 
+#: Country codes of telephone numbers with one digit and with two; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
-    country, number = m["country"] or "", m["abroad"] or m["home"]
-    return country + _relay(number, f.digits(f"phone{country.strip()}", re.sub("[^0-9]", "", number), back))
+    """Telephone numbers: the country code stays, the digits behind it are permuted, whatever separates them. Numbers without
+    a country are of code 1. With code 1 they have ten digits, else six or more and 15 with the code at most."""
+    digits, abroad = re.sub("[^0-9]", "", m[0]), m[0].startswith("+")
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3]) if abroad else "1"
+    number = digits[len(code) :] if abroad else digits
+    if len(number) != 10 if code == "1" else not 6 <= len(number) <= 15 - len(code):
+        return None
+    return _relay(m[0], (code if abroad else "") + f.digits(f"phone{code}", number, back))
 
 
 def _national(f: Feistel, m: re.Match, back: bool) -> str | None:
@@ -159,8 +172,9 @@ KINDS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
     ("date", re.compile(r"(?<![0-9])(?:(?P<y>[0-9]{4})(?P<s>[-/])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2})(?P<s2>[./])(?P<m2>[0-9]{2})(?P=s2)(?P<y2>[0-9]{4}))(?![0-9])"), _date),
     ("national", re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"), _national),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:(?P<country>\+[0-9]{1,3}[ .-]?)(?P<abroad>\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})|(?<![0-9][ .-])(?P<home>\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}))(?![0-9A-Za-z-])"), _phone),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.+-])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[02-9][0-9]{0,2}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9][ .-])(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}))(?![0-9A-Za-z-])"), _phone),
 )
+_PHONE = dict((kind, pattern) for kind, pattern, _ in KINDS)["phone"]
 _WHOLE = re.compile(r"(?s:.*)")
 #: Digits with single separators, of any length; groups of a card as they are printed.
 _RUN = re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,}")
@@ -207,8 +221,13 @@ def _bank_parts(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _phone_parts(text: str) -> list[tuple[int, int]]:
+    """The beginnings of each match that end with a group of digits, the longest first: other numbers can follow."""
+    return [(m.start(), m.start() + g.end()) for m in _PHONE.finditer(text) for g in reversed(list(re.finditer("[0-9]+", m[0])))]
+
+
 #: Where else a value can be, in the order of trial, if the pattern's match is not valid.
-PARTS = {"card": _card_parts, "bank": _bank_parts}
+PARTS = {"card": _card_parts, "bank": _bank_parts, "phone": _phone_parts}
 #: Whether a text can have any of them: an @, or three digits not far from each other.
 _MAYBE = re.compile(r"@|[0-9](?:[^0-9]{0,3}[0-9]){2}")
 
@@ -229,15 +248,21 @@ NEAR = 40
 
 def _chosen(text: str, f: Feistel, back: bool) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, kind, whether it is a part, new value) of the values to replace, by place; kinds in their order, matches before parts."""
-    found, chosen = find(text), []
+    found, chosen, taken = find(text), [], []
+
+    def free(start: int, end: int) -> bool:
+        at = bisect(taken, (end,))  # those before it begin before the end
+        return not at or taken[at - 1][1] <= start
+
     for kind, _, rule in KINDS:
         spans, failed = [(m.start(), m.end(), m, False) for _, _, of, m, _ in found if of == kind], False
         for parts in (False, True):
             if parts:
                 spans = [(a, b, _WHOLE.fullmatch(text, a, b), True) for a, b in PARTS[kind](text)] if failed and kind in PARTS else []
             for start, end, m, part in spans:
-                if not any(start < x[1] and x[0] < end for x in chosen) and (new := rule(f, m, back)) is not None:
+                if free(start, end) and (new := rule(f, m, back)) is not None:
                     chosen.append((start, end, kind, part, new))
+                    insort(taken, (start, end))
                 else:
                     failed = True
     return sorted(chosen)
@@ -261,7 +286,8 @@ def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[t
     parts = [x for x in chosen if x[3]]
     if parts:
         rules = {kind: (_WHOLE if kind in PARTS else pattern, rule) for kind, pattern, rule in KINDS}
-        moving = [x for x in chosen if any(x[0] < p[1] + NEAR and p[0] < x[1] + NEAR for p in parts)]
+        begins = [p[0] for p in parts]  # parts do not overlap, so that their ends are in order, too
+        moving = [x for x in chosen if (k := bisect(begins, x[1] + NEAR - 1)) and parts[k - 1][1] + NEAR > x[0]]
         while [x[:4] for x in _chosen(_put(text, moving), f, back)] != [x[:4] for x in chosen]:
             moving = [(*x[:4], rules[x[2]][1](f, rules[x[2]][0].fullmatch(x[4]), back)) for x in moving]
         chosen = sorted([x for x in chosen if x[:2] not in {y[:2] for y in moving}] + moving)
@@ -274,6 +300,7 @@ def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     Null and empty texts stay as they are, with nothing found. Repeated rows and ids are treated one by one; other
     columns stay, but for a former column `found`.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("found")
     names, at = docs.columns, docs.columns.index("text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -297,7 +324,7 @@ def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
 
 def pseudonym_report(docs: DataFrame) -> DataFrame:
-    """Per document the counts by kind, all spans, and the new text's digest."""
+    """Per document the counts by kind, all spans, and the new text."""
     done = pseudonyms(docs.select("doc_id", "text"), QUERY_KEY)
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return done.select(
