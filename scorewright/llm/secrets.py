@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index, with DataFrame functions only.
 
 From each rule's regex a Boolean trigram query is derived: every match must contain the trigrams of at least one of some
-literal strings. The index has a posting (trigram, doc_id) for each trigram of these queries and each document with it.
-Intersecting the postings gives candidates, and only those are searched with the regex. Rules without mandatory
-trigrams search every document.
+literal strings. The index has a posting (trigram, doc_id) for each trigram of these queries and each document with it; it is
+written once. The queries are answered from it alone: postings meet the queries' table by trigram, an alternative holds where
+the postings of all its trigrams intersect, a clause is the union of its alternatives, a query the intersection of its
+clauses. Only candidates are searched with the regex. Rules without mandatory trigrams search every document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import materialize
+from scorewright.llm.common import forget, materialize
 
 _parser, _c = re._parser, re._constants
 
@@ -44,6 +45,10 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+#: Candidates whose ids and kinds are broadcast at most (1 million: some 60 MB); more are joined by a shuffle.
+IDS_SENT = 1_000_000
+
+
 def _strings(node) -> set[str] | None:
     """All strings that a piece of a regex can match, in lower case; None if they are many or unknown."""
     op, arg = node
@@ -113,22 +118,58 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     return low.select("doc_id", F.explode(present).alias("trigram"))
 
 
+def query_rows(rules: tuple[Rule, ...]) -> list[tuple]:
+    """(trigram, kind, clauses, clause, whole, bit): the trigram is that bit of an alternative's mask `whole`, the alternative
+    one of the clause with this number, and the kind's query has so many clauses."""
+    rows = []
+    for rule in rules:
+        clauses = trigram_query(rule.pattern)
+        for number, clause in enumerate(clauses):
+            for alternative, grams in enumerate(clause):
+                used = sorted(grams)[:62]  # a longer conjunction finds more by some of its trigrams, never less
+                rows += [(t, rule.kind, len(clauses), number, alternative, (1 << len(used)) - 1, 1 << k) for k, t in enumerate(used)]
+    return rows
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, kinds): the documents whose postings satisfy the trigram query of some rules, and the kinds of these."""
-    has = lambda grams: F.forall(F.array(*map(F.lit, sorted(grams))), lambda t: F.array_contains("grams", t))
+    schema = "trigram string, kind string, clauses int, clause int, alternative int, whole long, bit long"
+    asked = F.broadcast(index.sparkSession.createDataFrame(query_rows(rules), schema))  # a row for each trigram of the rules
+    met = index.join(asked, "trigram").groupBy("doc_id", "kind", "clauses", "clause", "alternative", "whole").agg(F.bit_or("bit").alias("bits"))
+    met = met.filter("bits = whole").groupBy("doc_id", "kind", "clauses").agg(F.bit_or(F.expr("shiftleft(1L, clause)")).alias("held"))
+    met = met.filter("held = shiftleft(1L, clauses) - 1")
+    return met.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))  # no more than there are rules
+
+
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once, however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def holds(clauses) -> Column:
-        out = F.lit(True)
-        for clause in clauses:
-            either = F.lit(False)
-            for grams in clause:
-                either = either | has(grams)
-            out = out & either
-        return out
+#: Elements that `running` sums at once: an aggregate copies its array with each.
+_STEP = 64
 
-    kinds = F.array_compact(F.array(*[F.when(holds(trigram_query(r.pattern)), F.lit(r.kind)) for r in rules]))
-    sets = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("grams"))  # no more than the queries have trigrams
-    return sets.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+
+def running(numbers: Column) -> Column:
+    """array<long>: the sum of the numbers before each element. Blocks of _STEP are summed one by one, from what their
+    predecessors come to, so that the work grows with the length and not with its square."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+
+    def sums(of: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("sums"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+        return F.aggregate(of, first, step, lambda acc: acc["sums"])
+
+    def whole(numbers: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _STEP).cast("int"))
+        return let(F.transform(places, lambda k: F.slice(numbers, k * _STEP + 1, _STEP)), joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, x: acc + x))
+        pairs = F.arrays_zip(blocks.alias("block"), sums(totals, zero).alias("start"))
+        return F.flatten(F.transform(pairs, lambda x: sums(x["block"], x["start"])))
+
+    return let(numbers, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -136,20 +177,19 @@ def _spans(rule: Rule, order: int) -> Column:
     pattern = F.lit(rule.pattern)
     whole, gaps = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", rule.pattern, -1)
     tested = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else whole
-    entry = "array<struct<start:bigint,order:int,kind:string,end:bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(entry).alias("found"))
+    # a piece is the text before a match, and the match; arrays_zip pads the matches by a null for the text behind the last one
+    pieces = F.transform(
+        F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), tested.alias("tested")),
+        lambda x: F.struct(F.char_length(x["gap"]).cast("long").alias("gap"), F.char_length(x["whole"]).cast("long").alias("n"), (F.char_length(x["tested"]) >= rule.least).alias("counts")),
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        counts = F.char_length(x["tested"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def spans(pieces: Column) -> Column:
+        since = running(F.transform(pieces, lambda x: x["gap"] + F.coalesce(x["n"], F.lit(0))))
+        found = F.filter(F.arrays_zip(pieces.alias("piece"), since.alias("since")), lambda x: F.coalesce(x["piece"]["counts"], F.lit(False)))
+        start = lambda x: x["since"] + x["piece"]["gap"]
+        return F.transform(found, lambda x: F.struct(start(x).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (start(x) + x["piece"]["n"]).alias("end")))
 
-    # arrays_zip pads the matches by a null for the text behind the last one
-    pieces = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), tested.alias("tested"))
-    matches = F.filter(pieces, lambda x: x["whole"].isNotNull())
-    return F.aggregate(matches, start, step, lambda acc: acc["found"])
+    return let(pieces, spans)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -164,8 +204,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     grams = sorted({g for q in queries.values() for clause in q for grams in clause for g in grams})
     given = docs  # nothing is found in null
     if grams:
-        found = materialize(candidates(trigram_index(given, grams), indexed), "candidates")
+        index = materialize(trigram_index(given, grams), "postings")
+        found = materialize(candidates(index, indexed), "candidates")
+        forget(index)
         found = found.select(F.col("doc_id").alias("found__id"), F.col("kinds").alias("found__kinds"))
+        found = F.broadcast(found) if found.count() <= IDS_SENT else found
         given = given.join(found, F.col("doc_id").eqNullSafe(F.col("found__id")), "left").drop("found__id")
     else:
         given = given.withColumn("found__kinds", F.array().cast("array<string>"))

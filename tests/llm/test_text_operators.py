@@ -204,6 +204,16 @@ def test_archives(spark):
         want.append((str(page), len(body), warc.payload_digest(body), "response" if first else "revisit", None if first else least))
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want, key=lambda x: (*x[:4], str(x[4])))
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("*", "1 AS payload_bytes", "'x' AS record_type", "'y' AS file__", "2 AS row__")
+    assert warc.archive_round_trip(clash).count() == len(rows)
+
+
+def test_long_page(spark):
+    html = "<p>é long</p>" * 400_000
+    pages = spark.createDataFrame([(2, "u", html), (1, "v", html), (3, "w", "<p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()}
+    n = len(html.encode())
+    assert got == {1: (n, "response", None), 2: (n, "revisit", 1), 3: (3, "response", None)}
 
 
 def test_monolithic_stream():
@@ -216,3 +226,55 @@ def test_monolithic_stream():
     assert [(r.fields["WARC-Record-ID"], r.block) for r in back] == [(r.fields["WARC-Record-ID"], r.block) for r in made]
     with pytest.raises(ValueError, match="no end"):
         list(warc.records(iter([made[3].to_bytes()[:-9]])))
+
+
+def test_telephone_numbers_stay_linked(spark):
+    """Equal numbers get equal digits in every notation, also beside other numbers; very long texts; repeated rows."""
+    f = pii.Feistel(b"k")
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    same = lambda *texts: {digits(pii.pseudonymize(t, f)[0])[-10:] for t in texts}
+    assert len(same("+49 170 1234567", "+49-170-1234567", "+49.170.1234567", "+491701234567", "+49 (170) 1234567")) == 1
+    assert len(same("+1 (974) 555-3436", "(974) 555-3436", "974-555-3436", "+1 974.555.3436", "+19745553436")) == 1
+    assert same("+1 (974) 555-3436") != same("+1 (974) 555-3437")
+    text = "call +1 (826) 555-4081 190.137.20.31 or +49 170 1234567"
+    new, found = pii.pseudonymize(text, f)
+    assert [k for k, _, _ in found] == ["phone", "address", "phone"] and pii.pseudonymize(new, f, back=True)[0] == text
+    assert digits(new[5:22])[1:] == same("(826) 555-4081").pop()
+    assert pii.pseudonymize("+1 234 56 and +123456", f)[1] == []
+    long = "a@b.de +1 (974) 555-3436 x " * 20_000
+    df = spark.createDataFrame([(1, long, 1), (1, long, 1), (2, None, 1), (3, "", 1)], DOCS + ", found int")
+    rows = pii.pseudonyms(df, b"k").orderBy("doc_id").collect()
+    assert rows[0] == rows[1] and len(rows[0].found) == 40_000 and (rows[2].text, rows[3].text) == (None, "")
+
+
+def test_pseudonym_report(spark):
+    texts = [(1, "born 1999-12-31, 4111 1111 1111 1111"), (2, None), (None, "mail a1@b.de")]
+    rows = {r.doc_id: r for r in pii.pseudonym_report(spark.createDataFrame(texts, DOCS)).collect()}
+    f = pii.Feistel(pii.QUERY_KEY)
+    for k, t in texts:
+        new, found = pii.pseudonymize(t, f) if t else (t, [])
+        assert rows[k].text == new and rows[k].spans == ",".join(f"{x}:{a}:{b}" for x, a, b in found)
+        assert all(rows[k][f"n_{kind}"] == sum(x == kind for x, _, _ in found) for kind, _, _ in pii.KINDS)
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    rows = [[], [5], list(range(64)), list(range(65)), [3] * 1000]
+    got = spark.createDataFrame([(r,) for r in rows], "x array<long>").select(secrets.running(F.col("x"))).collect()
+    assert [r[0] for r in got] == [[sum(r[:k]) for k in range(len(r))] for r in rows]
+
+
+def test_boolean_queries_from_postings(spark):
+    """Candidates by the postings alone are those whose lower-case text has the trigrams of the query."""
+    rules = (secrets.Rule("a", "(?:abcd|xyz)[0-9]+(?:key|tok)"), secrets.Rule("b", "foobar.+qux"))
+    texts = ["abcd1key", "abc bcd tok", "xyz", "XYZkey", "foobarqux", "fooobarqux foob oba", "", None, "xyz tok foobar qux"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    grams = sorted({r[0] for r in secrets.query_rows(rules)})
+    got = {r.doc_id: set(r.kinds) for r in secrets.candidates(secrets.trigram_index(df, grams), rules).collect()}
+
+    def holds(text, rule):
+        return all(any(all(g in text for g in alternative) for alternative in clause) for clause in secrets.trigram_query(rule.pattern))
+
+    want = {k: {r.kind for r in rules if holds(t.lower(), r)} for k, t in enumerate(texts) if t}
+    assert got == {k: v for k, v in want.items() if v}
