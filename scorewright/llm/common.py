@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +23,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The lists to which the folders of new scratch tables are added, see `recorded`.
+_RECORDS: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder path under the shared spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """A new folder path under the shared spark.checkpoint.dir. Where none is set, a temporary folder serves a single
+    machine (tests); on a cluster that is an error, as every machine would have its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "scorewright-checkpoint")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The list of the scratch folders that are made inside."""
+    record: list[str] = []
+    _RECORDS.append(record)
+    try:
+        yield record
+    finally:
+        _RECORDS[:] = [x for x in _RECORDS if x is not record]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -36,10 +68,81 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with `file__` and `row__`, the file of each row and its number there: keys that even equal rows do not share.
+
+    docs that are more than a table of files are written once, to have such places.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs, "placed")
+    return docs.select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__"))
+
+
+def shelve(rows: DataFrame, what: str) -> str:
+    """Writes rows (file__, row__, and others) as a folder per file__, where whoever reads that file finds its own."""
+    path = scratch(rows.sparkSession, what)
+    rows.withColumn("of", F.md5("file__")).drop("file__").repartition("of").write.partitionBy("of").parquet(path)
+    return path
+
+
+def shelf(path: str, file: str) -> pa.Table | None:
+    """What `shelve` wrote for a file; None if that is nothing. It has as many rows as the file at most."""
+    from pyarrow import fs, parquet
+
+    system, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/of={hashlib.md5(file.encode()).hexdigest()}"
+    found = [x.path for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([parquet.read_table(system.open_input_file(x)) for x in found]) if found else None
+
+
+class Shelf:
+    """What a task reads of shelved rows, a file's at a time: (row__, and a value if they have one)."""
+
+    def __init__(self, path: str, value: str | None = None):
+        self.path, self.value, self.file = path, value, None
+
+    def of(self, file: str) -> tuple[np.ndarray, pa.Array | None]:
+        """The numbers of the file's rows in order, and their values."""
+        if file != self.file:
+            own = shelf(self.path, file)
+            if own is None:
+                self.rows, self.values = np.zeros(0, np.int64), None
+            else:
+                own = own.sort_by("row__")
+                self.rows, self.values = own.column("row__").to_numpy(), own.column(self.value).combine_chunks() if self.value else None
+            self.file = file
+        return self.rows, self.values
+
+    def find(self, file: str, asked: np.ndarray) -> np.ndarray:
+        """The index of each row in what the file has, -1 where it is not there."""
+        rows, _ = self.of(file)
+        if not len(rows):
+            return np.full(len(asked), -1)
+        at = np.minimum(np.searchsorted(rows, asked), len(rows) - 1)
+        return np.where(rows[at] == asked, at, -1)
+
+
+def on_shelf(path: str):
+    """A Spark function of (file__, row__): whether the rows that were shelved at path have this place.
+
+    A worker holds the list of one file at a time; other columns, such as texts, need not leave the JVM.
+    """
+
+    @F.pandas_udf("boolean")
+    def inside(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held = Shelf(path)
+        for files, numbers in batches:
+            out = np.zeros(len(files), bool)
+            for file in files.unique():
+                mine = (files == file).to_numpy()
+                out[mine] = held.find(file, numbers[mine].to_numpy()) >= 0
+            yield pd.Series(out)
+
+    return inside
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import free_shuffles, materialize, scratch
+from scorewright.llm.common import Shelf, delete, materialize, placed, scratch, shelve
 
 #: Bytes of records after which a task begins another archive; bytes inflated at a time.
 ARCHIVE_BYTES, CHUNK = 32_000_000, 1 << 20
+#: Bytes of members that a reading task gets, about; tasks of a step at most.
+READ_BYTES, MOST_TASKS = 16_000_000, 20_000
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -126,11 +128,13 @@ class _Output:
         self.system.move(self.attempt, f"{self.path}/{self.name}")
 
 
-def write_archives(pages: DataFrame, where: str) -> DataFrame:
-    """Writes pages (page_id, url, html, refers_to) as monolithic .warc.gz files; returns (archive, n_records)."""
+def write_archives(pages: DataFrame, revisits: str, where: str) -> DataFrame:
+    """Writes pages (page_id, url, html, file__, row__) as monolithic .warc.gz files, those shelved at revisits as such;
+    returns (archive, n_records). A task writes what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out, done = TaskContext.get().partitionId(), 0, None, []
+        held = Shelf(revisits, "first")
         size = n = 0
 
         def close() -> None:
@@ -140,7 +144,10 @@ def write_archives(pages: DataFrame, where: str) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page_id, url, html, refers_to = (c[k].as_py() for c in batch.columns)
+                page_id, url, html, file, row = (c[k].as_py() for c in batch.columns)
+                rows, first = held.of(file)
+                at = int(rows.searchsorted(row))
+                refers_to = first[at].as_py() if at < len(rows) and rows[at] == row else None
                 if out is None:
                     out, squeeze, size, n = _Output(where, f"part-{part:06d}-{number:04d}.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
                     number += 1
@@ -154,7 +161,7 @@ def write_archives(pages: DataFrame, where: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], names=["archive", "n_records"])
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, n_records long")
+    return pages.select("page_id", "url", "html", "file__", "row__").mapInArrow(run, "archive string, n_records long")
 
 
 def normalize(archives: DataFrame, source: str, target: str) -> DataFrame:
@@ -182,8 +189,9 @@ def normalize(archives: DataFrame, source: str, target: str) -> DataFrame:
                 columns = [pa.array([x[c] for x in index], kind) for c, kind in zip(names, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array([archive] * len(index), pa.string()), *columns], names=["archive", *names])
 
-    # an archive per task: each must be read from its beginning
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, "archive string, record_id string, type string, offset long, length long")
+    # an archive per task: each must be read from its beginning; ranges of names, as hashes would put some together
+    tasks = min(MOST_TASKS, max(1, archives.count()))
+    return archives.select("archive").repartitionByRange(tasks, "archive").mapInArrow(run, "archive string, record_id string, type string, offset long, length long")
 
 
 def read_records(index: DataFrame, where: str) -> DataFrame:
@@ -217,33 +225,35 @@ def read_records(index: DataFrame, where: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return index.select("archive", "offset", "length").mapInArrow(run, schema)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // READ_BYTES))
+    return index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").mapInArrow(run, schema)
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """pages with refers_to: the least page_id with the same payload, null where that is the page's own.
+def revisits(pages: DataFrame) -> DataFrame:
+    """(file__, row__, first) of the pages (page_id, html, file__, row__) that revisit another: first is the least page_id with
+    the same payload.
 
     Payloads are equal if length, SHA-1 and a second hash are. Rows that repeat the least page_id are all responses; a null
-    page_id comes after all others, and pages that only have null ids are all responses.
+    page_id comes after all others, and pages that only have null ids are all responses. No payload is shuffled, only its
+    digests; payloads that occur once are dropped before the join.
     """
     html = F.coalesce("html", F.lit(""))
-    keys = pages.select("page_id", "url", "html", F.sha1(html).alias("sha"), F.xxhash64(html).alias("other"), F.octet_length(html).alias("size"))
-    first = keys.groupBy("sha", "other", "size").agg(F.min("page_id").alias("first"))  # combined before the shuffle
-    joined = keys.join(first, ["sha", "other", "size"])
-    differs = (F.col("size") >= LEAST_REVISIT_BYTES) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "html", F.when(differs, F.col("first")).alias("refers_to"))
+    keys = pages.select("page_id", F.unhex(F.sha1(html)).alias("sha"), F.xxhash64(html).alias("other"), F.octet_length(html).alias("size"), "file__", "row__")
+    keys = materialize(keys.filter(F.col("size") >= LEAST_REVISIT_BYTES), "digests")
+    first = keys.groupBy("sha", "other", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
+    return keys.join(first, ["sha", "other", "size"]).filter("NOT first <=> page_id").select("file__", "row__", "first")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages (page_id, url, html; null html is an empty payload) as monolithic archives in the shared folder,
-    normalises them and reads the result back; the contract's rows."""
+    normalises them and reads the result back; the contract's rows. Other columns are ignored, also with names of the result's."""
     spark = pages.sparkSession
     raw, final = scratch(spark, "warc-raw"), scratch(spark, "warc")
-    archives = materialize(write_archives(with_revisits(pages), raw), "warc-archives")
-    free_shuffles(spark)
+    pages = placed(pages.select("page_id", "url", "html") if set(pages.columns) & {"file__", "row__"} else pages)
+    archives = materialize(write_archives(pages, shelve(revisits(pages), "revisits"), raw), "warc-archives")
     index = materialize(normalize(archives, raw, final), "warc-index")
-    where = spark._jvm.org.apache.hadoop.fs.Path(raw)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(spark, raw)
     return read_records(index, final).drop("payload")
 
 
