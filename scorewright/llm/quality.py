@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
 
-The model is trained on all trusted documents (labels with quality 1). A task counts the n-grams of its texts before they
-are summed over the cluster. Every n-gram that occurs in any document then gets its probability by joining it with the
+The model is trained on the trusted documents (labels with quality 1) but those held out: one in HELD_OUT, by a hash of the
+id. A task counts the n-grams of its texts before they are summed over the cluster. Every n-gram that occurs in any document then gets its probability by joining it with the
 counts of its own order and of its context, order by order (the joins are sharded by n-gram, as Spark joins are). Last,
-the probabilities go back to the documents. Quantiles of the trusted documents' perplexities, by language, are the
-bounds within which a document is kept.
+the probabilities go back to the documents. Quantiles of the held-out documents' perplexities, by language, are the
+bounds within which a document is kept: they are what good text that the model has not seen scores.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ IDS_SENT = 2_000_000
 GRAMS_READ = 3_000_000
 #: Documents whose ids fall into one range of this length form a block.
 BLOCK = 4_096
-#: Quantile of the trusted documents' perplexities by language up to which documents are kept, and the number of trusted
-#: documents below which a language takes the bound of all languages together.
+#: One in so many trusted documents is held out of the training and gives the bounds instead.
+HELD_OUT = 4
+#: Quantile of the held-out documents' perplexities by language up to which documents are kept (as a rank, to one in
+#: 10,000), and the number of these documents below which a language takes the bound of all languages together.
 HIGH, LEAST_TRUSTED = 0.998, 100
-#: Times this quantile, so that the few trusted documents beyond it stay as well.
-MARGIN = 1.05
+#: Languages whose averages and bounds are broadcast at most (a few MB); with more they are joined by a shuffle.
+LANGS_SENT = 100_000
 #: As many bytes of average trusted text of its language are added to each document, so that chance does not reject short ones.
 PRIOR = 100
 
@@ -206,29 +208,41 @@ def _sums(texts: pa.Array, lookup: Lookup) -> list[pa.Array]:
     return [pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, kind)) for k, kind in ((0, np.int64), (1, np.float64))]
 
 
-def log_likelihoods(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, trusted, n_bytes, lp) of each row of docs: lp is the sum of the log probabilities of its bytes."""
+def log_likelihoods(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, lang, trusted, held, n_bytes, lp) of each row of docs: lp is the sum of the log probabilities of its bytes.
+
+    trusted: the model was trained on it; held: it would have been, but is held out. carry adds a column `row`, a struct
+    of all columns of docs.
+    """
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = materialize(ids, "trusted")
+    ids = materialize(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "trusted")
+    if ids.filter("NOT held").isEmpty():  # so few that none is left to train on
+        ids = ids.withColumn("held", F.lit(False))
     if ids.count() <= IDS_SENT:
         ids = F.broadcast(ids)
-    docs = docs.select("doc_id", "lang", "text", F.floor(F.col("doc_id") / BLOCK).alias("block"))
-    orders = model(docs.join(ids, "doc_id", "left_semi"))
-    asked = materialize(_counted(docs, "block").select("block", "g"), "grams")
+    # rows without an id are dealt to as many blocks as they would have with one
+    nulls = docs.filter("doc_id IS NULL").count() // BLOCK + 1
+    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), -1 - F.pmod(F.xxhash64("text"), F.lit(nulls))).cast("long").alias("block")
+    orders = model(docs.select("doc_id", "text").join(ids.filter("NOT held"), "doc_id", "left_semi"))
+    asked = materialize(_counted(docs.select("text", block), "block").select("block", "g"), "grams")
     lp = materialize(log_probabilities(asked.select("g").distinct(), orders), "log-probabilities")
-    marked = docs.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    marked = marked.select("doc_id", "lang", "trusted", F.coalesce("block", F.lit(-1)).alias("block"), "text")
-    names, schema = ["doc_id", "lang", "trusted", "n_bytes", "lp"], "doc_id long, lang string, trusted boolean, n_bytes long, lp double"
-    if lp.count() <= GRAMS_READ:
-        files = lp.inputFiles()
+    row = F.struct(*([F.col(c) for c in docs.columns] if carry else [F.col("text")])).alias("row")
+    marked = docs.select("doc_id", "lang", block, row).join(ids, "doc_id", "left")
+    marked = marked.select("doc_id", "lang", F.coalesce(~F.col("held"), F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"), "row", "block")
+    names, schema = ["doc_id", "lang", "trusted", "held"], "doc_id long, lang string, trusted boolean, held boolean"
+    if carry:
+        names, schema = [*names, "row"], f"{schema}, row {marked.schema['row'].dataType.simpleString()}"
+    names, schema = [*names, "n_bytes", "lp"], f"{schema}, n_bytes long, lp double"
+    if lp.count() > GRAMS_READ:
+        return _by_blocks(marked, asked, lp, names, schema)
+    files = lp.inputFiles()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = _lookup(files)
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *_sums(batch.column(4), lookup)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _lookup(files)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], *_sums(batch.column(4).field("text"), lookup)], names=names)
 
-        return marked.mapInArrow(run, schema)
-    return _by_blocks(marked, asked, lp, names, schema)
+    return marked.drop("block").mapInArrow(run, schema)
 
 
 def _by_blocks(marked: DataFrame, asked: DataFrame, lp: DataFrame, names: list[str], schema: str) -> DataFrame:
@@ -236,41 +250,57 @@ def _by_blocks(marked: DataFrame, asked: DataFrame, lp: DataFrame, names: list[s
     needed = asked.distinct().join(lp, "g").select("block", "g", "lp")
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("lp", pa.float64())]).empty_table()
         lookup = Lookup(own.column("g").to_numpy(), own.column("lp").to_numpy())
-        column = texts.column("text").combine_chunks()
-        found = _sums(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, lookup)
-        return pa.Table.from_arrays([*(texts.column(c) for c in names[:3]), *found], names=names)
+        batches = texts.to_batches()
+        found = [pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-2]), *_sums(x.column("row").field("text"), lookup)], names=names) for x in batches]
+        return pa.Table.from_batches(found) if found else texts.select(names[:-2]).append_column("n_bytes", pa.array([], pa.int64())).append_column("lp", pa.array([], pa.float64()))
 
     return marked.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, score, bound, keep), a row for each row of docs.
+def _by_language(df: DataFrame, known: DataFrame) -> DataFrame:
+    """df with the columns of known (lang, ...) for its language; null is one."""
+    known = materialize(known.withColumnRenamed("lang", "its_lang"), "languages")
+    known = F.broadcast(known) if known.count() <= LANGS_SENT else known
+    return df.join(known, F.col("lang").eqNullSafe(F.col("its_lang")), "left").drop("its_lang")
 
-    score: the perplexity with PRIOR bytes of the language's average added. keep: it is up to the language's bound; where
-    a language (null is one) has fewer than LEAST_TRUSTED trusted documents, average and bound of all languages hold.
-    Null and empty texts have no perplexity and are not kept; with no trusted text at all, every other document is.
-    Labels that repeat count once, contradictory ones as trusted.
-    """
+
+def _judged(docs: DataFrame, labels: DataFrame, carry: bool) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, score, bound, keep) of the rows with text, and `row` if carry."""
     small_batches(docs.sparkSession)
-    scored = materialize(log_likelihoods(docs, labels), "likelihoods").filter("n_bytes > 0")
+    scored = materialize(log_likelihoods(docs, labels, carry), "likelihoods").filter("n_bytes > 0")
+    row = ["row"] if carry else []
     average = (-F.sum("lp") / F.sum("n_bytes")).alias("average")
-    trusted = scored.filter("trusted")
+    trusted = scored.filter("trusted OR held")
     every = trusted.agg(average).first()[0]
     by_lang = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), average).filter(F.col("n") >= LEAST_TRUSTED).drop("n")
     mean = F.coalesce("average", F.lit(every).cast("double"))
-    scored = scored.join(by_lang.withColumnRenamed("lang", "its_lang"), F.col("lang").eqNullSafe(F.col("its_lang")), "left")
-    scored = scored.select("doc_id", "lang", "trusted", "n_bytes", F.exp(-F.col("lp") / F.col("n_bytes")).alias("perplexity"),
+    scored = _by_language(scored, by_lang)
+    scored = scored.select("doc_id", "lang", "trusted", "held", "n_bytes", *row, F.exp(-F.col("lp") / F.col("n_bytes")).alias("perplexity"),
                            F.exp((-F.col("lp") + PRIOR * mean) / (F.col("n_bytes") + PRIOR)).alias("score"))
-    trusted = scored.filter("trusted")
-    bound = (MARGIN * F.percentile_approx("score", F.lit(HIGH), F.lit(10_000))).alias("bound")
-    every = trusted.agg(bound).first()[0]
-    by_lang = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), bound).filter(F.col("n") >= LEAST_TRUSTED).drop("n")
-    out = scored.join(by_lang.withColumnRenamed("lang", "its_lang"), F.col("lang").eqNullSafe(F.col("its_lang")), "left")
-    out = out.withColumn("bound", F.coalesce("bound", F.lit(every).cast("double")))
-    out = out.withColumn("keep", F.coalesce(F.col("score") <= F.col("bound"), F.lit(True)))
-    empty = docs.filter("text IS NULL OR text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_bytes"))
+    held = scored.filter("held")
+    bound = F.percentile_approx("score", F.lit(HIGH), F.lit(10_000)).alias("bound")
+    every = held.agg(bound).first()[0]
+    if every is None:  # too few trusted documents to hold any out
+        every = scored.filter("trusted").agg(bound).first()[0]
+    by_lang = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), bound).filter(F.col("n") >= LEAST_TRUSTED).drop("n")
+    out = _by_language(scored, by_lang).withColumn("bound", F.coalesce("bound", F.lit(every).cast("double")))
+    return out.withColumn("keep", F.coalesce(F.col("score") <= F.col("bound"), F.lit(True)))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, score, bound, keep), a row for each row of docs.
+
+    score: the perplexity with PRIOR bytes of the language's average added. keep: it is up to the language's bound (equal is
+    kept); where a language (null is one) has fewer than LEAST_TRUSTED trusted documents, or held-out ones, average or bound
+    of all languages hold. Null and empty texts have no perplexity and are not kept; with no trusted text at all, every
+    other document is. Labels that repeat count once, contradictory ones as trusted. Other columns of docs are ignored.
+    """
     names = ["doc_id", "lang", "n_bytes", "perplexity", "score", "bound", "keep"]
-    return out.select(*names).unionByName(empty.withColumn("keep", F.lit(False)), allowMissingColumns=True)
+    empty = docs.filter("text IS NULL OR text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_bytes"))
+    return _judged(docs.select("doc_id", "lang", "text"), labels, False).select(*names).unionByName(empty.withColumn("keep", F.lit(False)), allowMissingColumns=True)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify keeps, each judged by its own text, also where a doc_id repeats or is null."""
+    return _judged(docs, labels, True).filter("keep").select("row.*")
