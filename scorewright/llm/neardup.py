@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import forget, free_shuffles, give_back, materialize, small_batches
+from scorewright.llm.common import forget, free_shuffles, give_back, materialize, on_shelf, placed, shelve, small_batches
 from scorewright.llm.components import components
 from scorewright.llm.words import batches_of, grams, mixed, word_hashes
 
@@ -62,7 +62,7 @@ def prob_minhash(shingles: np.ndarray, row: np.ndarray, weight: np.ndarray, n_ro
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, words_key, n, bands, registers, shingles) of each row with words; words_key is a digest of its words in their order.
+    """Of each row with words the columns but text, and words_key, n, bands, registers, shingles; words_key is a digest of its words in their order.
 
     A text of fewer than five words has one shingle, of them all. shingles are the sorted upper 32 bits of the different
     shingle hashes: two sets of a thousand have 0.0002 false common elements on average.
@@ -70,12 +70,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in batches_of(batch.column(1)):
+            for start, stop in batches_of(batch.column(0)):
                 yield one(batch.slice(start, stop - start))
         give_back()
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, offsets = word_hashes(part.column(1))
+        hashes, offsets = word_hashes(part.column(0))
         all_grams = grams(hashes, WORDS)
         rows = np.flatnonzero(np.diff(offsets))
         keys, sets, found = [], [], []
@@ -94,11 +94,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + first.reshape(len(rows), BANDS, ROWS)[:, :, j])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
         registers = [x.tobytes() for x in (first >> np.uint64(56)).astype(np.uint8)]  # a byte each: enough to tell whether they agree
-        columns = [part.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array([len(x) // 4 for x in sets], pa.int32()), lists, pa.array(registers, pa.binary()), pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "words_key", "n", "bands", "registers", "shingles"])
+        own = [part.column(k).take(pa.array(rows)) for k in range(1, part.num_columns)]
+        columns = [*own, pa.array(keys, pa.binary()), pa.array([len(x) // 4 for x in sets], pa.int32()), lists, pa.array(registers, pa.binary()), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, words_key binary, n int, bands array<long>, registers binary, shingles binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    others = docs.drop("text")
+    names = [*others.columns, "words_key", "n", "bands", "registers", "shingles"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema), "words_key binary, n int, bands array<long>, registers binary, shingles binary"])
+    return docs.select("text", *others.columns).mapInArrow(run, schema)
 
 
 def _with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -196,19 +199,14 @@ def prefix_pairs(left: DataFrame, sketch: DataFrame) -> DataFrame:
     return x.join(y, "token").filter((F.col("label") != F.col("label_other")) & enough & (~F.col("minor_other") | (F.col("id") < F.col("other")))).select("id", "other")
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id), a row for each row of docs; class_id is the least doc_id of the class.
+def class_labels(drafts: DataFrame, copies: DataFrame) -> DataFrame | None:
+    """(id, label) of the different texts that are not the least of their class; None if no two are candidates.
 
-    Rows with the same words in the same order are copies and in one class. A text without words (null, empty) is in a
-    class of its own, and so is a row with a null doc_id, whose class is null. Rows of the same doc_id with different texts
-    count as one document with all of them. Other columns of docs are ignored.
+    drafts are sketches with an `id`, copies has the least id (`rep`) of each words_key. Tables that are done with are
+    deleted at once.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    drafts = materialize(sketches(docs.filter("doc_id IS NOT NULL")), "sketch")
-    copies = materialize(drafts.groupBy("words_key").agg(F.min("doc_id").alias("rep")), "copies")
-    sketch = drafts.withColumnRenamed("doc_id", "id")
-    reps = copies.withColumnRenamed("words_key", "key").join(sketch.select("id", "words_key", "bands"), (F.col("words_key") == F.col("key")) & (F.col("id") == F.col("rep")))
+    spark, sketch = drafts.sparkSession, drafts
+    reps = copies.select(F.col("words_key").alias("key"), "rep").join(sketch.select("id", "words_key", "bands"), (F.col("words_key") == F.col("key")) & (F.col("id") == F.col("rep")))
     bands = materialize(reps.select("id", F.explode("bands").alias("bucket")).distinct(), "bands")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = bands.join(shared, "bucket")
@@ -223,9 +221,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         """Adds the similar ones to the links; how many pairs there were, and how many of them are similar."""
         nonlocal links
         pairs = materialize(_ordered(pairs), "pairs")
-        found = materialize(similar(materialize(probable(pairs, sketch), "probable") if prune else pairs, sketch), "similar")
+        likely = materialize(probable(pairs, sketch), "probable") if prune else pairs
+        found = materialize(similar(likely, sketch), "similar")
         links = found if links is None else links.union(found)
-        return pairs.count(), found.count()
+        counts = pairs.count(), found.count()
+        for table in {id(x): x for x in (pairs, likely)}.values():
+            forget(table)
+        return counts
 
     for step in range(HUB_ROUNDS):
         compared, found = add(hub_pairs(members, step == 0))
@@ -236,11 +238,50 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         forget(old)
         free_shuffles(spark)
     left = materialize(apart(members), "apart")
+    forget(members)
     if not left.isEmpty():
         add(prefix_pairs(left, sketch), prune=False)
-    labels = None if links is None else components(links)
+    free_shuffles(spark)
+    return None if links is None else components(links)
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id), a row for each row of docs; class_id is the least doc_id of the class.
 
-    own = drafts.select("doc_id", "words_key").join(copies, "words_key").select("doc_id", "rep")
+    Rows with the same words in the same order are copies and in one class. A text without words (null, empty) is in a
+    class of its own, and so is a row with a null doc_id, whose class is null. Rows of the same doc_id with different texts
+    count as one document with all of them. Other columns of docs are ignored.
+    """
+    small_batches(docs.sparkSession)
+    drafts = materialize(sketches(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")), "sketch")
+    copies = materialize(drafts.groupBy("words_key").agg(F.min("id").alias("rep")), "copies")
+    labels = class_labels(drafts, copies)
+    own = drafts.select("id", "words_key").join(copies, "words_key").select(F.col("id").alias("doc_id"), "rep")
     own = own.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")) if labels is not None else own.withColumnRenamed("rep", "class_id")
     own = own.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each class of near duplicates: that with the least doc_id (null is greater than all), the first by
+    place of those that share it.
+
+    Every row is a document of its own here, also where a doc_id repeats or is null. Rows without words (null, empty) have
+    no near duplicates and stay. No text is shuffled: what stays is listed by file, and the files are read again.
+    """
+    small_batches(docs.sparkSession)
+    docs = placed(docs)
+    own = sketches(docs.select("doc_id", "file__", "row__", "text")).withColumn("id", F.monotonically_increasing_id())
+    drafts = materialize(own, "sketch")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file__", "row__"))
+    copies = materialize(drafts.groupBy("words_key").agg(F.min("id").alias("rep"), first.alias("first")), "copies")
+    labels = class_labels(drafts, copies)
+    texts = copies.select("rep", "first")
+    if labels is not None:
+        texts = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
+    kept = texts.groupBy("rep").agg(F.min("first").alias("first")).select("first.file__", "first.row__")
+    stays = on_shelf(shelve(kept, "kept"))
+    for table in (drafts, copies):
+        forget(table)
+    wordless = F.coalesce(~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(True))
+    return docs.filter(wordless | stays("file__", "row__")).drop("file__", "row__")

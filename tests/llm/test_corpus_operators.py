@@ -318,3 +318,47 @@ def test_pipeline(spark):
     assert all(k == c for k, c in classes_of([(r.doc_id, r.text) for r in rows]).items())
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert set(got) == {r.doc_id for r in rows}
+
+
+def test_pipeline_edges(spark):
+    """Rows that share an id or have none are documents of their own; null, empty and very long texts; clashing columns."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text, other, long = (" ".join(word() for _ in range(n)) for n in (40, 40, 60_000))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (1, other), (5, long), (4, long + " end"), (None, None), (6, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(*r, "en", "src", len(r[1] or "")) for r in rows], DOCS + ", lang string, source string, n_chars int")
+    clash = docs.selectExpr("*", "1 AS keep", "2 AS class_id", "3 AS n_hit", "4 AS secrets", "5 AS words_key", "6 AS row", "7 AS lp")
+    stages = dict(corpus_pipeline.STAGES)
+    for table in (docs, clash):
+        out = stages["near_duplicates"](spark, table, SMALL)
+        assert out.columns == table.columns
+        assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted([("1", text), ("1", other), ("4", long + " end"), ("None", ""), ("6", ""), ("7", ""), ("7", "")])
+        for name in ("quality", "decontaminate", "secrets"):
+            out = stages[name](spark, table, SMALL)
+            assert out.columns == table.columns
+            got = [(r.doc_id, r.text) for r in out.collect()]
+            assert Counter(got) == Counter(r for r in rows if r[1] or name != "quality") or name == "quality"
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, table.limit(0), SMALL).count() == 0, name
+
+
+def test_quality_stage_judges_rows(spark):
+    trusted = [(k, " ".join(random.Random(k).choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)), "en") for k in range(40)]
+    rows = [*trusted, (1, "0x" * 300, "en"), (None, trusted[3][1], "en"), (None, "%" * 500, "en"), (1, None, "en")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    got = Counter((r.doc_id, r.text) for r in quality.accepted(docs, labels).collect())
+    assert (1, "0x" * 300) not in got and (None, "%" * 500) not in got and (1, None) not in got
+    assert got[(None, trusted[3][1])] == 1 and got[(1, trusted[1][1])] == 1
+
+
+def test_bounds_are_of_unseen_text(spark):
+    """The bound is the quantile of held-out documents, by brute force over their scores."""
+    docs, labels = (spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality._judged(docs, labels, False).collect()
+    held = sorted(r.score for r in rows if r.held)
+    trained = {r.doc_id for r in rows if r.trusted}
+    assert held and not trained & {r.doc_id for r in rows if r.held}
+    want = held[min(len(held) - 1, math.ceil(quality.HIGH * len(held)) - 1)]
+    assert {r.bound for r in rows} == {want}  # fewer than LEAST_TRUSTED of a language
+    assert all(r.keep == (r.score <= r.bound) for r in rows)
