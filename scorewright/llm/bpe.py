@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from scorewright.llm.common import claim, give_back, small_batches
 
 #: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
-CACHE = 450_000
+CACHE = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,8 +148,11 @@ class Pieces(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
+    def encoded(self, piece: str) -> bytes:
+        return np.array(PrefixTable(self.vocabulary, piece.encode()).tokens(), np.int32).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(PrefixTable(self.vocabulary, piece.encode()).tokens(), np.int32).tobytes()
+        out = self.encoded(piece)
         if len(piece) <= 64 and len(self) < CACHE:
             self[piece] = out
         return out
@@ -163,7 +166,8 @@ class Words(dict):
         self.pieces, self.find = pieces, find
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, self.find(f" {word}")))
+        found = self.find(f" {word}")  # most words are one piece, which is not to be remembered twice
+        out = self.pieces.encoded(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
         if len(word) <= 64 and len(self) < CACHE:
             self[word] = out
         return out

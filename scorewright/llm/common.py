@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,15 +131,16 @@ def on_shelf(path: str):
     A worker holds the list of one file at a time; other columns, such as texts, need not leave the JVM.
     """
 
-    @F.pandas_udf("boolean")
-    def inside(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def inside(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held = Shelf(path)
         for files, numbers in batches:
-            out = np.zeros(len(files), bool)
-            for file in files.unique():
-                mine = (files == file).to_numpy()
-                out[mine] = held.find(file, numbers[mine].to_numpy()) >= 0
-            yield pd.Series(out)
+            files, asked = files.dictionary_encode(), numbers.to_numpy(zero_copy_only=False)
+            which, out = files.indices.to_numpy(zero_copy_only=False), np.zeros(len(asked), bool)
+            for k, file in enumerate(files.dictionary.to_pylist()):
+                mine = which == k
+                out[mine] = held.find(file, asked[mine]) >= 0
+            yield pa.array(out)
 
     return inside
 
