@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from scorewright.llm.common import claim, give_back, small_batches
 
 #: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
-CACHE = 350_000
+CACHE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +78,7 @@ class Vocabulary:
         """
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 300_000:
+            if len(self._pairs) > 150_000:
                 self._pairs.clear()
             get, before, after = self.ranks.get, self.edges(left)[0], self.edges(right)
             known = after is not None and not any((rank := get(x + y)) is not None and rank < x_ends and rank <= y_ends for x, x_ends in before for y, y_ends in after[1])

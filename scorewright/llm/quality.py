@@ -26,6 +26,9 @@ IDS_SENT = 2_000_000
 #: n-grams whose probabilities every worker reads as a whole at most (3 million: 36 MB as a file, 100 MB as a table); with
 #: more, blocks of documents are grouped with their own.
 GRAMS_READ = 3_000_000
+#: Bytes of text that a worker takes at once (its arrays have eight bytes for each), and n-grams of a block that it holds
+#: before it merges them.
+CHUNK, HELD_ROWS = 400_000, 800_000
 #: Documents whose ids fall into one range of this length form a block.
 BLOCK = 4_096
 #: One in so many trusted documents is held out of the training and gives the bounds instead.
@@ -76,7 +79,7 @@ def _counted(df: DataFrame, group: str | None) -> DataFrame:
 
         for batch in batches:
             blocks = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, stop in batches_of(batch.column(1)):
+            for start, stop in batches_of(batch.column(1), CHUNK):
                 grams, offsets = packed(batch.column(1).slice(start, stop - start))
                 own = np.repeat(blocks[start:stop], np.diff(offsets))
                 for block in np.unique(blocks[start:stop]).tolist():
@@ -85,11 +88,11 @@ def _counted(df: DataFrame, group: str | None) -> DataFrame:
                     parts = held.setdefault(block, [])
                     parts.append((found[first], np.diff(first, append=len(found))))
                     rows += len(first)
-                    if len(parts) > 8:
+                    if len(parts) > 40 or sum(len(x) for x, _ in parts[1:]) > HELD_ROWS:
                         rows -= sum(len(x) for x, _ in parts)
                         held[block] = [merged(parts)]
                         rows += len(held[block][0][0])
-            if rows > 3_000_000:
+            if rows > 3 * HELD_ROWS:
                 yield from out()
                 rows = 0
         yield from out()
@@ -200,7 +203,7 @@ def _lookup(files: list[str]) -> Lookup:
 def _sums(texts: pa.Array, lookup: Lookup) -> list[pa.Array]:
     """The bytes of each text and the sum of their log probabilities."""
     out = []
-    for start, stop in batches_of(texts, 1_000_000):
+    for start, stop in batches_of(texts, CHUNK):
         grams, offsets = packed(texts.slice(start, stop - start))
         total = np.concatenate([[0.0], np.cumsum(lookup(grams).astype(np.float64))]) if len(grams) else np.zeros(1)
         lengths = np.diff(offsets)
