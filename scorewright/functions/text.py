@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,6 +45,22 @@ def normalize_text(text: Column) -> Column:
     return _folded(text)
 
 
+def plain(text: Column) -> Column:
+    """normalize_text, with only the texts beyond ASCII leaving the JVM."""
+    ascii_only = text.rlike(r"\A[\x00-\x7F]*\z")
+    return F.coalesce(F.when(ascii_only, normalize_ascii(text)), _folded(F.when(~ascii_only, text)))
+
+
+#: Parts the values of a list while they are normalized together; no normal form changes it.
+PART = "\u241e"
+
+
+def plain_values(values: Column) -> Column:
+    """The normalized values of an array<string> that are not empty."""
+    joined = plain(F.array_join(values, PART))
+    return F.filter(F.split(joined, f" ?{PART} ?"), lambda x: x != "")
+
+
 def squeeze(text: Column) -> Column:
     """Lower case without any white space, to compare values."""
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
@@ -90,9 +107,9 @@ def contains_value(text: Column, value: Column) -> Column:
 
 
 def contains_unit(text: Column, unit: Column) -> Column:
-    """Whether a unit occurs: as a word if it is of ASCII letters only, else anywhere."""
-    word = F.regexp_like(F.lower(text), F.concat(F.lit("(?<![a-z])"), F.lower(unit), F.lit("(?![a-z])")))
-    return F.when(F.lower(unit).rlike("^[a-z]+$"), word).otherwise(F.contains(F.lower(text), F.lower(unit)))
+    """Whether a unit occurs, both normalized: as a word if it is of ASCII letters only, else anywhere; never an empty one."""
+    word = F.regexp_like(text, F.concat(F.lit("(?<![a-z])"), unit, F.lit("(?![a-z])")))
+    return F.when(unit == "", F.lit(False)).when(unit.rlike("^[a-z]+$"), word).otherwise(F.contains(text, unit))
 
 
 #: Phrases by which an answer declines.
@@ -106,23 +123,72 @@ DECLINES = (
 
 
 def declines(text: Column) -> Column:
-    """Whether an answer looks like an abstention."""
-    plain = F.lower(text)
+    """Whether a normalized answer looks like an abstention."""
     out = F.lit(False)
     for pattern in DECLINES:
-        out = out | plain.rlike(pattern)
+        out = out | text.rlike(pattern)
     return out
 
 
+#: The heading behind which an answer lists its sources, what makes it ambiguous, what introduces its value,
+#: and what may follow the value.
+SOURCES = r"(?is)(?:^|\n)\s{0,3}#{1,6}\s*(?:references?|sources?|citations?|参考资料|参考文献|引用|来源)\b.*$"
+AMBIGUOUS = r"(?i)(?:不是|并非|非\s*[^。；;，,]*$|而不是|或者|或是|还是|either|or|not)|(?:\bno\b|\bneither\b)"
+INTRODUCED = r"(?i)(?:是|为|:|：|=|\bis\b)\s*$"
+CLOSED = r"[\s。．.!！?？,，;；:：\)）\]】]*"
+
+
+def states_one_value(answer: str, values: list[str]) -> bool:
+    """Whether an answer is a plain statement of one value: named once among all values, introduced as such, with only
+    punctuation behind it, without negations or alternatives; its list of sources does not count."""
+    body = re.split(SOURCES, answer, maxsplit=1)[0].strip()
+    if not body or re.search(AMBIGUOUS, body):
+        return False
+    said = _plain(body)
+    found = [m.span(1) for v in map(_plain, values) if v for m in re.finditer(f"(?=({re.escape(v)}))", said)]
+    return len(found) == 1 and bool(re.search(INTRODUCED, said[: found[0][0]]) and re.fullmatch(CLOSED, said[found[0][1] :]))
+
+
+@F.pandas_udf(T.BooleanType())
+def unambiguous_statement(answers: pd.Series, values: pd.Series) -> pd.Series:
+    """states_one_value of an answer and an array of values."""
+    return pd.Series([a is not None and v is not None and states_one_value(a, [x for x in v if x]) for a, v in zip(answers, values)], dtype=bool)
+
+
+_FORMULA = re.compile(r"\\mathrm\{eta\}|\\frac|\\left|\\right|\\times|\\cdot|.")
+
+
 def canonical_formula_text(text: str) -> str:
-    """A formula's comparable form: eta spelled out, fractions as a/b, products unwritten, no braces, spaces or sizes of brackets."""
-    out = re.sub(r"\s+", "", unicodedata.normalize("NFKC", text).casefold())
-    out = re.sub(r"\\mathrm\{eta\}|\\eta|\u03b7", "eta", out)
-    out = re.sub(r"\\(?:left|right|times|cdot)", "", out)  # a product's sign goes in any case
-    before = None
-    while before != out:
-        before, out = out, re.sub(r"\\frac\{([^{}]+)\}\{([^{}]+)\}", r"\1/\2", out)
-    return re.sub(r"[^a-z0-9_=/+.-]", "", out)
+    """A formula's comparable form: eta spelled out, a fraction of groups as a/b, products unwritten; of the rest the letters,
+    digits and _=/+.- stay."""
+    read = _FORMULA.findall(re.sub(r"\s+", "", unicodedata.normalize("NFKC", text).casefold()))
+
+    @cache
+    def group(at: int) -> tuple[str, int] | None:
+        """The form of the brace group that begins there, and its end; None if it has further groups within, or is empty."""
+        if read[at : at + 1] != ["{"]:
+            return None
+        out, at = "", at + 1
+        while at < len(read) and read[at] not in "{}":
+            more, at = one(at)
+            if more is None:
+                return None
+            out += more
+        return (out, at + 1) if read[at : at + 1] == ["}"] and out else None
+
+    def one(at: int) -> tuple[str | None, int]:
+        token = read[at]
+        if token == "\\frac":
+            above = group(at + 1)
+            below = above and group(above[1])
+            return (f"{above[0]}/{below[0]}", below[1]) if below else (None if read[at + 1 : at + 2] == ["{"] else "frac", at + 1)
+        return {"\\mathrm{eta}": "eta", "\u03b7": "eta", "\\left": "", "\\right": "", "\\times": "", "\\cdot": ""}.get(token, token if re.fullmatch("[a-z0-9_=/+.-]", token) else ""), at + 1
+
+    out, at = "", 0
+    while at < len(read):
+        more, at = one(at)
+        out += "frac" if more is None else more
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -132,7 +198,7 @@ def canonical_formula(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 #: Characters behind which a text may be split.
-BOUNDARIES = "\n.!?;\u3002\uff01\uff1f\uff1b"
+BOUNDARIES = "\n。！？；.!?;，,、：:"
 
 
 def split_text(text: str, most: int) -> list[str]:

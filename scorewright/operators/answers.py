@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import canonical_formula, contains_unit, declines, normalize_ascii, normalize_text, numbers
+from scorewright.functions.text import canonical_formula, contains_unit, declines, normalize_ascii, numbers, plain, plain_values, unambiguous_statement
 
 PASS, FAIL, REVIEW = "PASS", "FAIL", "NEEDS_REVIEW"
 
 
 def numeric_verdict(answer: Column, accepted: Column, tolerance: Column, unit: Column) -> Column:
-    """No number, or none within the tolerance of an accepted one, fails; others beside it need review; a missing unit fails."""
+    """No number, or none within the tolerance of an accepted one, fails; others beside it need review; a missing unit fails.
+
+    All texts are given in their normal form.
+    """
     found, want = numbers(answer), F.flatten(F.transform(accepted, numbers))
     near = lambda x: F.coalesce(F.exists(want, lambda y: F.abs(x - y) <= F.coalesce(tolerance, F.lit(0))), F.lit(False))
     return (
@@ -22,20 +25,14 @@ def numeric_verdict(answer: Column, accepted: Column, tolerance: Column, unit: C
     )
 
 
-def set_verdict(answer: Column, gold: Column) -> Column:
-    """Equal sets pass, more or fewer members fail, others and an empty gold set need review. Members are parted by , ; and line ends."""
-    given = F.filter(F.transform(F.split(answer, "[,;\n、，；]"), normalize_ascii), lambda x: x != "")
-    want = F.filter(F.transform(gold, normalize_ascii), lambda x: x != "")
-    more, less = F.size(F.array_except(given, want)), F.size(F.array_except(want, given))
+def set_verdict(members: Column, want: Column) -> Column:
+    """Of normalized values: equal sets pass, more or fewer members fail, others and an empty gold set need review."""
+    more, less = F.size(F.array_except(members, want)), F.size(F.array_except(want, members))
     return F.when(F.size(want) == 0, REVIEW).when((more == 0) & (less == 0), PASS).when((more == 0) | (less == 0), FAIL).otherwise(REVIEW)
 
 
-def text_verdict(answer: Column, accepted: Column, ascii_only: bool = False) -> Column:
-    """An accepted value passes; anything else needs review, never fails."""
-    plain = normalize_ascii if ascii_only else normalize_text
-    # the accepted values are joined for one call of the UDF
-    joined = F.split(plain(F.array_join(accepted, "␞")), " ?␞ ?")
-    return F.when(F.array_contains(joined, plain(answer)), PASS).otherwise(REVIEW)
+#: Fixed value: what parts the members of a set in an answer.
+MEMBERS_PARTED_BY = "[,;\n、，；]+"
 
 
 def formula_verdict(answer: Column, accepted: Column) -> Column:
@@ -46,20 +43,34 @@ def formula_verdict(answer: Column, accepted: Column) -> Column:
 def score_answers(answers: DataFrame, ascii_only: bool = False) -> DataFrame:
     """answers (kind, answer, gold array<string>, accepted array<string>, tolerance, unit) with `verdict`.
 
-    Abstention is decided first; an empty answer fails.
+    Abstention is decided first; an empty answer fails. Text passes if it is an accepted value or a plain statement of one,
+    else it needs review and never fails. Texts are compared in their normal form (NFKC, case-folded, white space as single
+    spaces), each normalized once. ascii_only, for texts known to be ASCII, stays inside the JVM: no formulas and statements.
     """
-    a, gold = F.col("answer"), F.col("gold")
-    everything = F.array_distinct(F.concat(F.coalesce(gold, F.array()), F.coalesce(F.col("accepted"), F.array())))
+    a, gold = F.coalesce("answer", F.lit("")), F.coalesce("gold", F.array().cast("array<string>"))
+    everything = F.array_distinct(F.concat(gold, F.coalesce("accepted", F.array().cast("array<string>"))))
+    members = F.split(a, MEMBERS_PARTED_BY)
+    if ascii_only:
+        one, many = normalize_ascii, lambda values: F.filter(F.transform(values, normalize_ascii), lambda x: x != "")
+    else:
+        one, many = plain, plain_values
+    forms = {"a": one(a), "unit": one(F.col("unit")), "values": many(everything), "members": many(members), "want": many(gold)}
+    if not ascii_only:
+        forms |= {"statement": unambiguous_statement(a, everything), "formula": formula_verdict(a, everything)}
+    # the forms are columns of their own, so that each is computed once
+    given = answers.withColumn("forms__", F.struct(*[c.alias(name) for name, c in forms.items()]))
+    f = {name: F.col(f"forms__.{name}") for name in forms}
+    passes = F.array_contains(f["values"], f["a"])
     verdict = (
-        F.when(F.col("kind") == "abstain", F.when(declines(F.coalesce(a, F.lit(""))), PASS).otherwise(FAIL))
-        .when(F.coalesce(F.trim(a), F.lit("")) == "", FAIL)
-        .when(F.col("kind") == "numeric", numeric_verdict(a, everything, F.col("tolerance"), F.col("unit")))
-        .when(F.col("kind") == "set", set_verdict(a, gold))
-        .when(F.col("kind") == "text", text_verdict(a, everything, ascii_only))
+        F.when(F.col("kind") == "abstain", F.when(declines(f["a"]), PASS).otherwise(FAIL))
+        .when(f["a"] == "", FAIL)
+        .when(F.col("kind") == "numeric", numeric_verdict(f["a"], f["values"], F.col("tolerance"), f["unit"]))
+        .when(F.col("kind") == "set", set_verdict(f["members"], f["want"]))
+        .when(F.col("kind") == "text", F.when(passes if ascii_only else passes | f["statement"], PASS).otherwise(REVIEW))
     )
     if not ascii_only:
-        verdict = verdict.when(F.col("kind") == "formula", formula_verdict(a, everything))
-    return answers.withColumn("verdict", verdict)
+        verdict = verdict.when(F.col("kind") == "formula", f["formula"])
+    return given.withColumn("verdict", verdict).drop("forms__")
 
 
 def grounding(cases: DataFrame) -> DataFrame:

@@ -21,27 +21,9 @@ def paired_deltas(scores: DataFrame, base: str, treatment: str) -> DataFrame:
     return per.agg(F.avg("delta").alias("delta"), F.count(F.lit(1)).alias("seeds"))
 
 
-def clustered_bootstrap(deltas: DataFrame, iterations: int = 200, seed: int = 1) -> DataFrame:
-    """One row: n_cases, estimate, low, high (2.5 and 97.5 per cent) of the mean delta, resampling cases.
-
-    Draw j of iteration i takes the case whose number is a linear congruential number of (i, j): reproducible in any
-    engine. deltas: (case_id, delta); cases are numbered by their order. Only their numbers and deltas are repeated.
-    """
-    # numbering needs one order over the cases: range partitions with their offsets, not one task
-    ordered = deltas.select("case_id", "delta").repartitionByRange("case_id").sortWithinPartitions("case_id").withColumn("part", F.spark_partition_id())
-    local = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("case_id")) - 1)
-    sizes = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = local.join(offsets, "part").select((F.col("k") + F.col("before")).alias("case_no"), "delta")
-    n = deltas.count()
-    draws = deltas.sparkSession.range(iterations * n).select(
-        F.floor(F.col("id") / n).alias("iteration"),
-        F.pmod(F.pmod(F.col("id") + seed, F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)).alias("lcg"),
-    )
-    drawn = draws.select("iteration", F.pmod(F.floor(F.col("lcg") / 65536), F.lit(n)).alias("case_no")).groupBy("case_no", "iteration").agg(F.count(F.lit(1)).alias("times"))
-    means = drawn.join(numbered, "case_no").groupBy("iteration").agg((F.sum(F.col("times") * F.col("delta")) / n).alias("mean"))
-    ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return deltas.agg(F.count(F.lit(1)).alias("n_cases"), F.avg("delta").alias("estimate")).crossJoin(ends)
+def clustered_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int = 1) -> DataFrame:
+    """stratified_bootstrap with all cases in one stratum, named all. deltas: (case_id, delta)."""
+    return stratified_bootstrap(deltas.withColumn("stratum", F.lit("all")), iterations, seed)
 
 
 def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
@@ -51,8 +33,10 @@ def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int =
     name all of them. Draw `slot` of an iteration takes, of the stratum's cases by their order, the one whose number is 60
     bits of the MD5 of seed:iteration:stratum:slot modulo their count: any case, however many, and the same in any engine.
     """
-    rows = deltas.select("case_id", F.col("stratum").cast("string").alias("stratum"), "delta")
-    ordered = rows.repartitionByRange("stratum", "case_id").sortWithinPartitions("stratum", "case_id").withColumn("part", F.spark_partition_id())
+    rows = deltas.select("case_id", F.col("stratum").cast("string").alias("stratum"), "delta").checkpoint()  # read several times
+    # a given number of partitions, which adaptive execution leaves as it is in every branch that reads them
+    parts = int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "stratum", "case_id").sortWithinPartitions("stratum", "case_id").withColumn("part", F.spark_partition_id()).checkpoint()
     local = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("stratum", "case_id")) - 1)
     parts = local.groupBy("part", "stratum").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("first"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -60,7 +44,7 @@ def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int =
     numbered = local.join(offsets, ["part", "stratum"]).select("stratum", (F.col("k") + F.col("shift")).alias("case_no"), "delta")
     strata = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
     if weights is None:
-        share = F.col("n") / deltas.count()
+        share = F.col("n") / rows.count()
     else:
         names = {x.stratum for x in strata.select("stratum").collect()}  # few: the caller lists them
         if names != set(weights) or sum(weights.values()) <= 0:
@@ -115,8 +99,8 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def first_wins(primary: DataFrame, archive: DataFrame, key: str) -> DataFrame:
-    """Rows of both tables, one per key: the primary one if there is one."""
+    """Rows of both tables, one per key, whatever their types: a primary one if there is one."""
     both = primary.withColumn("is_primary", F.lit(1)).unionByName(archive.withColumn("is_primary", F.lit(0)))
     rest = [c for c in both.columns if c not in (key, "is_primary")]
-    picked = both.groupBy(key).agg(F.max(F.struct("is_primary", *rest)).alias("row"))
+    picked = both.groupBy(key).agg(F.max_by(F.struct(*rest), "is_primary").alias("row"))
     return picked.select(key, *[F.col(f"row.{c}").alias(c) for c in rest])

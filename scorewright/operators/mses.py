@@ -40,11 +40,13 @@ def clause_ranks(gold: DataFrame, items: DataFrame, grid: DataFrame) -> DataFram
 
     grid (case_id, stage, k) is what is asked for, so that stages without any item appear. A null k means no limit.
     """
-    asked = grid.join(gold, "case_id")
+    # the least rank within k is the least of all if that is within k: one join and aggregation serve all cutoffs
+    asked = grid.groupBy("case_id", "stage").agg(F.collect_set(F.struct("k")).alias("cutoffs")).join(gold, "case_id")
     best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
     joined = asked.join(best, ["case_id", "stage", "evidence_id"], "left")
-    inside = F.when(F.col("k").isNull() | (F.col("rank") <= F.col("k")), F.col("rank"))
-    return joined.groupBy("case_id", "stage", "k", "path", "clause").agg(F.min(inside).alias("rank"))
+    least = joined.groupBy("case_id", "stage", "path", "clause").agg(F.min("rank").alias("least"), F.first("cutoffs").alias("cutoffs"))
+    inside = F.when(F.col("k").isNull() | (F.col("least") <= F.col("k")), F.col("least"))
+    return least.select("case_id", "stage", "path", "clause", "least", F.inline("cutoffs")).select("case_id", "stage", "k", "path", "clause", inside.alias("rank"))
 
 
 def path_coverage(clauses: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +36,28 @@ def enveloped(segments: DataFrame) -> DataFrame:
     return segments.withColumn("envelope", F.format_string(ENVELOPE, "segment_id", "content"))
 
 
-def packed(segments: DataFrame, most: int) -> DataFrame:
-    """(document_id, batch, first, last, n, size): successive segments (document_id, ordinal, size) in batches of at most
-    `most`; a larger one is alone. The sum begins anew with each batch, so a document's segments are read in order."""
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, rows, held = [], [], 0
-        for ordinal, size in pdf.sort_values("ordinal")[["ordinal", "size"]].itertuples(index=False):
-            if rows and held + size > most:
-                out.append((pdf["document_id"].iloc[0], len(out), rows[0], rows[-1], len(rows), held))
-                rows, held = [], 0
-            rows.append(ordinal)
-            held += size
-        out.append((pdf["document_id"].iloc[0], len(out), rows[0], rows[-1], len(rows), held))
-        return pd.DataFrame(out, columns=["document_id", "batch", "first", "last", "n", "size"])
-
-    given = segments.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("size").cast("long").alias("size"))
-    return given.groupBy("document_id").applyInPandas(whole, "document_id long, batch long, first long, last long, n long, size long")
+def packed(documents: DataFrame, most: int) -> DataFrame:
+    """(document_id, batch, first, last, n, size): the successive segments of each document in batches of at most `most`; a
+    larger one is alone. documents: (document_id, sizes array<long>), a row each, so that nothing is shuffled."""
+    names = ["batch", "first", "last", "n", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found = [], []
+            for row, sizes in enumerate(batch.column(1)):
+                until = np.concatenate([[0], np.cumsum(sizes.values.to_numpy() if sizes.is_valid else [])]).astype(np.int64)
+                start, number = 0, 0
+                while start < len(until) - 1:
+                    stop = max(start + 1, int(np.searchsorted(until, until[start] + most, "right")) - 1)
+                    of.append(row)
+                    found.append((number, start, stop - 1, stop - start, int(until[stop] - until[start])))
+                    start, number = stop, number + 1
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=["document_id", *names])
+
+    kind = documents.schema["document_id"].dataType.simpleString()
+    given = documents.select("document_id", F.col("sizes").cast("array<bigint>").alias("sizes"))
+    return given.mapInArrow(run, f"document_id {kind}, batch long, first long, last long, n long, size long")
 
 
 def runtime_order(segments: DataFrame) -> DataFrame:

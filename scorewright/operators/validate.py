@@ -42,16 +42,17 @@ def parity(a: DataFrame, b: DataFrame, key: str, columns: list[str], rule: str)
     return _as(table_diff(a, b, [key], columns), rule, "error", key)
 
 
-def cycles(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Nodes of edges (source, target) that lie on or only lead to a cycle: what is left when nodes without an edge are removed,
-    round after round. Each round is a semi-join; the state is written to the shared folder."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes of edges (source, target) that lie on or lead to a cycle: what is left when nodes without an edge are removed, round
+    after round, until nothing changes. Each round is a semi-join; the state is written to the shared folder."""
     left = edges.select("source", "target").distinct().checkpoint()
-    for _ in range(most_rounds):
-        rest = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target").checkpoint()
-        if rest.count() == left.count():
-            return rest.select(F.col("source").alias("node")).distinct()
-        left = rest
-    raise ValueError(f"dependencies are deeper than {most_rounds}")
+    n = left.count()
+    while n:
+        left = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target").checkpoint()
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select(F.col("source").alias("node")).distinct()
 
 
 def endpoint_types(relations: DataFrame, objects: DataFrame, allowed: list[tuple[str, str, str]]) -> DataFrame:

@@ -99,7 +99,7 @@ def localization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locator_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").filter("event_id < 4000")
+    e = _t(spark, sf_dir, "events")
     kind = F.element_at(F.array(*map(F.lit, ("text_span", "object", "table_cell", "page_region"))), (F.col("event_id") % 4 + 1).cast("int"))
     n = F.col("event_id")
 
@@ -147,8 +147,8 @@ def illegal_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
-    return segment.packed(d.select("document_id", "ordinal", F.char_length("line").alias("size")), 600)
+    d = _t(spark, sf_dir, "documents")
+    return segment.packed(d.select(F.col("doc_id").alias("document_id"), F.transform(F.split("text", "\n"), F.char_length).alias("sizes")), 600)
 
 
 def leaf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = F.col("text"), F.lit("the")
     return _t(spark, sf_dir, "conversations").select(
         "conv_id", "turn", text.occurrences(c, q).alias("n_the"), text.head_and_tail(c, 80).alias("short"), F.array_join(text.tokens(c), " ").alias("tokens"),
-        text.declines(c).alias("declines"), text.squeeze(F.substring(c, 1, 40)).alias("squeezed"), F.size(text.numbers(F.concat(c, F.lit(" 1,234.5 and -7")))).cast("bigint").alias("n_numbers"),
+        text.declines(c).alias("declines"), text.squeeze(c).alias("squeezed"), F.size(text.numbers(F.concat(c, F.lit(" 1,234.5 and -7")))).cast("bigint").alias("n_numbers"),
     )
 
 
@@ -232,7 +232,8 @@ got AS (SELECT case_id, case_id * 10 + ln % 3 AS chunk_id, min(rank) AS rank FRO
 _SETS = """w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.-]+|[一-鿿]{2,8}'))) AS tok FROM documents), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
 h AS (SELECT id, string_agg(tok, ' ' ORDER BY tok) AS k FROM w GROUP BY 1), r AS (SELECT min(id) AS id FROM h GROUP BY k), wr AS (SELECT w.* FROM w SEMI JOIN r USING (id)),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM wr x JOIN wr y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL),
-j AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b)"""
+j AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b
+ UNION ALL SELECT a, b, 1.0 AS jaccard FROM (SELECT min(id) OVER (PARTITION BY k) AS a, id AS b FROM h) WHERE a <> b)"""
 
 ORACLES = {
     "quote_counts": "SELECT item_id AS quote_id, doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
@@ -253,7 +254,7 @@ SELECT case_id, case_id AS table_id, bool_and(rank IS NOT NULL) AS complete, cou
     "localization": f"""{TRACE_SQL} SELECT s.case_id, s.stage, li.ln AS evidence_id,
  CASE WHEN i.ln % 2 = 0 OR i.rank <= 4 THEN 'matched' WHEN i.ln = 5 THEN 'partial' WHEN i.ln IS NULL AND li.ln <> 6 THEN 'retrieval_missed' ELSE 'provenance_missing' END AS status, CASE WHEN i.ln % 2 = 0 OR i.rank <= 4 THEN i.rank END AS rank
  FROM stages s JOIN li ON li.case_id = s.case_id LEFT JOIN items i ON i.case_id = s.case_id AND i.stage = s.stage AND i.ln = li.ln WHERE s.observable""",
-    "locator_cover": """WITH e AS (SELECT user_id, event_id AS n, event_id % 4 AS kind FROM events WHERE event_id < 4000)
+    "locator_cover": """WITH e AS (SELECT user_id, event_id AS n, event_id % 4 AS kind FROM events)
 SELECT g.n AS evidence_id, i.n AS item_id, i.n % 7 + 1 AS rank FROM e i JOIN e g ON i.user_id = g.user_id AND i.kind = g.kind AND i.n % 3 = 0 AND g.n % 3 = 1
 WHERE CASE g.kind WHEN 0 THEN i.n % 50 - 4 <= g.n % 50 AND i.n % 50 + 9 >= g.n % 50 + 5 WHEN 1 THEN i.n % 11 = g.n % 11 WHEN 2 THEN i.n % 3 = g.n % 3 AND i.n % 5 = g.n % 5 AND i.n % 2 = g.n % 2
  ELSE i.n % 3 = g.n % 3 AND i.n % 9 - 4 <= g.n % 9 AND i.n % 9 + 4 >= g.n % 9 END""",
@@ -286,5 +287,5 @@ SELECT user_id, count(*) FILTER (reached IS NULL OR s > reached) AS n, sum(e - g
 SELECT p_partkey, s::bigint AS start, e::bigint AS "end", s < 9 AND 5 < e AS meets FROM r""",
     "text_functions": r"""SELECT conv_id, turn, ((length(text) - length(replace(text, 'the', ''))) // 3)::bigint AS n_the, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 60) || chr(10) || '...' || chr(10) || right(text, 20) END AS short,
  array_to_string(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{1,}|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]{2,8}'), lambda x: lower(x)), lambda x, i: list_position(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{1,}|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]{2,8}'), lambda y: lower(y)), x) = i), ' ') AS tokens,
- false AS declines, regexp_replace(lower(substr(text, 1, 40)), '\s+', '', 'g') AS squeezed, (2 + len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')))::bigint AS n_numbers FROM conversations""",
+ false AS declines, regexp_replace(lower(text), '\s+', '', 'g') AS squeezed, (2 + len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')))::bigint AS n_numbers FROM conversations""",
 }

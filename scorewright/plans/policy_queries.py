@@ -87,7 +87,7 @@ def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare.clustered_bootstrap(compare.paired_deltas(_scores(spark, sf_dir), "base", "new"))
+    out = compare.clustered_bootstrap(compare.paired_deltas(_scores(spark, sf_dir), "base", "new"), iterations=1000)
     return out.select("n_cases", *[F.round(c, 9).alias(c) for c in ("estimate", "low", "high")])
 
 
@@ -177,7 +177,7 @@ def path_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace(spark, sf_dir)
     options = F.when(F.col("ln") % 2 == 0, F.array(F.array(F.col("ln")), F.array(F.col("ln") + 10, F.col("ln") + 20))).otherwise(F.array(F.array(F.col("ln"))))
     cases = t.lines.groupBy("case_id").agg(F.collect_list(F.transform(options, lambda o: F.transform(o, lambda x: x.cast("string")))).alias("clauses"))
-    out = mses.expand_paths(cases, most=4)
+    out = mses.expand_paths(cases)
     return out.select("case_id", "n_paths", F.size("paths").cast("bigint").alias("made"), F.aggregate("paths", F.lit(0).cast("bigint"), lambda acc, x: acc + F.size(x)).alias("ids"))
 
 
@@ -215,7 +215,7 @@ SELECT axis, category, count(*) AS planned, count(*) FILTER (st IN (2, 3)) AS co
 SELECT case_id, min(code) AS code, ['UNOBSERVABLE', 'PARTIAL', 'FULL'][min(code) + 1] AS status FROM g GROUP BY 1""",
     "paired_deltas": f"WITH {_SCORES} SELECT case_id, round(delta, 9) AS delta, seeds FROM de",
     "bootstrap": f"""WITH {_SCORES}, nu AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS no, delta FROM de), n AS (SELECT count(*) AS n FROM de),
-dr AS (SELECT i.range // n AS it, ((((i.range + 1) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 % n AS no FROM range(0, 200 * (SELECT n FROM n)) i, n),
+dr AS (SELECT it.range AS it, ('0x' || substr(md5('1:' || it.range || ':all:' || nu.no), 1, 15))::bigint % n AS no FROM nu, range(0, 1000) it, n),
 me AS (SELECT it, sum(delta) / any_value(n) AS mean FROM dr JOIN nu USING (no), n GROUP BY 1)
 SELECT (SELECT n FROM n) AS n_cases, round((SELECT avg(delta) FROM de), 9) AS estimate, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM me""",
     "stratified_bootstrap": f"""WITH {_SCORES}, nu AS (SELECT case_id % 3 AS st, row_number() OVER (PARTITION BY case_id % 3 ORDER BY case_id) - 1 AS no, count(*) OVER (PARTITION BY case_id % 3) AS n, delta FROM de),
@@ -246,6 +246,6 @@ SELECT reasons, reasons <> '' AS lossy, count(*) AS n FROM x GROUP BY ALL""",
     "clause_necessity": "SELECT DISTINCT 'clause_necessity' AS rule_id, 'error' AS severity, l_orderkey::varchar AS affected_id FROM lineitem WHERE l_linenumber = 7",
     "content_register": "SELECT p_type, sha256(string_agg(p_name || '/' || p_partkey || chr(0) || sha256(p_brand) || chr(10), '' ORDER BY p_name || '/' || p_partkey)) AS register_id FROM part GROUP BY 1",
     "path_expansion": f"""{TRACE_SQL}, q AS (SELECT case_id, count(*) FILTER (ln % 2 = 0) AS e, count(*) AS n FROM li GROUP BY 1)
-SELECT case_id, (2 ** e)::bigint AS n_paths, CASE WHEN 2 ** e <= 4 THEN 2 ** e END::bigint AS made, CASE WHEN 2 ** e <= 4 THEN (2 ** e) * n + e * (2 ** e) / 2 END::bigint AS ids FROM q""",
+SELECT case_id, (2 ** e)::bigint AS n_paths, CASE WHEN 2 ** e <= 1024 THEN 2 ** e END::bigint AS made, CASE WHEN 2 ** e <= 1024 THEN (2 ** e) * n + e * (2 ** e) / 2 END::bigint AS ids FROM q""",
     "config_merge": "SELECT n_nationkey, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE n_nationkey::varchar END AS key, 'y' AS more FROM nation",
 }

@@ -128,6 +128,7 @@ def test_similar_sets(spark, sets, threshold):
         for t, b in rep.items():
             if a < b and len(s & t) / len(s | t) >= threshold - 1e-12:
                 want.add((a, b))
+    want |= {(rep[frozenset(t)], k) for k, t in enumerate(sets) if t and rep[frozenset(t)] != k}  # copies, by their least id
     assert {(r.a, r.b) for r in dedup.similar_sets(df, threshold).collect()} == want
 
 
