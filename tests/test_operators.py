@@ -1,6 +1,7 @@
 """Operators on small tables: edge cases and what SQL does not reach."""
 
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -192,3 +193,34 @@ def test_set_gate_has_every_copy(spark):
     got = {r.id: (r.rep, r.jaccard, r.gate) for r in dedup.set_gate(spark.createDataFrame(sets, "id long, tokens array<string>")).collect()}
     same = {k: (rep, 1.0, "FAIL") for k, rep in ((1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7))}
     assert got == {**same, 5: (5, None, "PASS"), 6: (None, None, "PASS")}
+
+
+def test_answers_in_any_script(spark):
+    rows = [
+        ("set", "Straße, B", ["STRASSE", "b"], None, "PASS"), ("set", "a、b；c", ["A", "B"], None, "FAIL"), ("set", "a", [], None, "NEEDS_REVIEW"),
+        ("numeric", "１２ kg", ["12"], "KG", "PASS"), ("numeric", "12", ["12"], "", "FAIL"), ("numeric", "12 or 13", ["12"], None, "NEEDS_REVIEW"),
+        ("abstain", "It is not  stated.", [], None, "PASS"), ("abstain", "文档中没有", [], None, "PASS"), ("abstain", None, [], None, "FAIL"),
+        ("text", "型号是 S2910-48GT。", ["s2910-48gt"], None, "PASS"), ("text", "型号不是 S2910-48GT。", ["s2910-48gt"], None, "NEEDS_REVIEW"),
+        ("text", "The model is X1, X1", ["X1"], None, "NEEDS_REVIEW"), ("text", " ｘ１ ", ["X1"], None, "PASS"), ("text", "  ", ["X1"], None, "FAIL"),
+        ("formula", "\\frac{a}{b}", ["a/b"], None, "PASS"),
+    ]
+    df = spark.createDataFrame([(k, *r[:3], None, None, r[3], r[4]) for k, r in enumerate(rows)],
+                               "n int, kind string, answer string, gold array<string>, accepted array<string>, tolerance decimal(38,18), unit string, want string")
+    got = {r.n: r.verdict for r in answers.score_answers(df).collect()}
+    assert got == {k: r[4] for k, r in enumerate(rows)}
+
+
+def test_packing_and_first_rows(spark):
+    df = spark.createDataFrame([(1, [300, 300, 1, 700, 5]), (2, []), (3, None)], "document_id long, sizes array<long>")
+    got = sorted(tuple(r) for r in segment.packed(df, 600).collect())
+    assert got == [(1, 0, 0, 1, 2, 600), (1, 1, 2, 2, 1, 1), (1, 2, 3, 3, 1, 700), (1, 3, 4, 4, 1, 5)]
+    a = spark.createDataFrame([(1, {"x": 1})], "k long, m map<string,int>")
+    b = spark.createDataFrame([(1, {"y": 9}), (2, {"z": 2})], "k long, m map<string,int>")
+    assert {r.k: r.m for r in compare.first_wins(a, b, "k").collect()} == {1: {"x": 1}, 2: {"z": 2}}
+
+
+def test_bootstrap_interval_is_as_wide_as_theory(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.gauss(0, 1)) for k in range(1000)]
+    got = compare.clustered_bootstrap(spark.createDataFrame(rows, "case_id long, delta double"), iterations=1000).first()
+    assert abs((got.high - got.low) / (2 * 1.96) - 1000**-0.5) < 0.1 * 1000**-0.5
