@@ -98,3 +98,35 @@ def roll_up(rows: DataFrame) -> DataFrame:
     groups = rows.groupBy("case_id", "profile", "evidence_group").agg(F.max("code").alias("code"))
     worst = groups.groupBy("case_id").agg(F.min("code").alias("code"))
     return worst.withColumn("status", F.element_at(F.array(F.lit("UNOBSERVABLE"), F.lit("PARTIAL"), F.lit("FULL")), F.col("code") + 1))
+
+
+def mapping_coverage(items: DataFrame, by: list[str]) -> DataFrame:
+    """by, mapped_items, total_items, unmapped_items, coverage of items with a flag `mapped`."""
+    mapped = F.count_if(F.coalesce("mapped", F.lit(False)))
+    per = items.groupBy(*by).agg(mapped.alias("mapped_items"), F.count(F.lit(1)).alias("total_items"))
+    return per.withColumn("unmapped_items", F.col("total_items") - F.col("mapped_items")).withColumn("coverage", F.coalesce(F.try_divide("mapped_items", "total_items"), F.lit(0.0)))
+
+
+def evaluation_summary(cases: DataFrame, metrics: DataFrame, items: DataFrame) -> DataFrame:
+    """(section, name, n, value): a whole evaluation as rows.
+
+    cases: (case_id, status, labels array); metrics: (case_id, metric_id, status, value); items: (case_id, mapped). Sections:
+    cases (all, completed, execution_error), metric_status (counts), metric (observed values and their mean), failure_label
+    (counts) and mapping (mapped items, coverage). Only completed cases count beyond the first section.
+    """
+    null = F.lit(None).cast("double")
+    done = cases.filter("status = 'completed'").select("case_id")
+    m = metrics.join(done, "case_id", "left_semi")
+    section = lambda df, name, of, n, value=null: df.select(F.lit(name).alias("section"), of.alias("name"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
+    count = cases.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "completed").alias("completed"))
+    count = count.withColumn("execution_error", F.col("all") - F.col("completed")).unpivot([], ["all", "completed", "execution_error"], "name", "n")
+    per_metric = m.filter("status = 'observed' AND value IS NOT NULL").groupBy("metric_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    labels = cases.filter("status = 'completed'").select(F.explode("labels").alias("label")).groupBy("label").count()
+    whole = mapping_coverage(items.join(done, "case_id", "left_semi"), [])
+    return (
+        section(count, "cases", F.col("name"), F.col("n"))
+        .unionByName(section(m.groupBy("status").count(), "metric_status", F.col("status"), F.col("count")))
+        .unionByName(section(per_metric, "metric", F.col("metric_id"), F.col("n"), F.col("mean")))
+        .unionByName(section(labels, "failure_label", F.col("label"), F.col("count")))
+        .unionByName(section(whole, "mapping", F.lit("mapped_items"), F.col("mapped_items"), F.col("coverage")))
+    )

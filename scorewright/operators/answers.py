@@ -128,6 +128,49 @@ def failure_labels(cases: DataFrame) -> DataFrame:
     return cases.withColumn("labels", whole)
 
 
+#: Outcomes of a segment stage that are failure labels themselves.
+OUTCOME_LABELS = ("retrieval_missing", "partial_coverage", "unsupported_stage", "runtime_error", "mapping_corrupted")
+
+
+def segment_failure_labels(cases: DataFrame) -> DataFrame:
+    """cases with `labels` in the order in which they are found, each once, and `certainty` (unknown where one is for review).
+
+    Columns: raw_outcome, ranked_outcome, context_outcome, and of the answer accuracy, accuracy_status, groundedness_status,
+    hallucination, hallucination_status; null statuses are metrics that do not exist.
+    """
+    on = lambda condition, label: F.when(F.coalesce(condition, F.lit(False)), label)
+    whole = lambda stage: F.col(f"{stage}_outcome") == "complete"
+    said = [on(F.col(f"{s}_outcome").isin(*OUTCOME_LABELS), F.col(f"{s}_outcome")) for s in ("raw", "ranked", "context")]
+    review = F.lit(False)
+    for metric in ("hallucination", "accuracy", "groundedness"):
+        review = review | F.coalesce(F.col(f"{metric}_status") == REVIEW.lower(), F.lit(False))
+    found = F.array(
+        *said,
+        on(whole("raw") & ~whole("ranked"), "ranking_failure"),
+        on(whole("ranked") & ~whole("context"), "context_selection_loss"),
+        on(whole("context") & (F.col("accuracy_status") == "observed") & (F.col("accuracy") == 0), "generation_failure"),
+        on((F.col("hallucination_status") == "observed") & (F.col("hallucination") == 1), "unsupported_answer"),
+        on(review, "needs_review"),
+    )
+    return cases.withColumn("labels", F.array_distinct(F.array_compact(found))).withColumn("certainty", F.when(review, "unknown").otherwise("deterministic"))
+
+
+def private_failure_labels(cases: DataFrame) -> DataFrame:
+    """cases with sorted `labels` and `certainty`, where absence from a content-only mapping proves nothing.
+
+    Columns: answer_kind, raw_paths, ranked_paths, context_paths (complete paths), unmapped (items of any stage without a
+    mapping), accuracy, accuracy_status. An abstention is never judged by what retrieval lacks.
+    """
+    on = lambda condition, label: F.when(F.coalesce(condition, F.lit(False)), label)
+    wrong = (F.col("accuracy_status") == "observed") & (F.col("accuracy") == 0)
+    lost = F.when(F.col("raw_paths") == 0, "retrieval_missing").when(F.col("ranked_paths") == 0, "ranking_failure").when(F.col("context_paths") == 0, "context_selection_loss")
+    review = (F.col("accuracy_status") == "needs_review") | (F.col("unmapped") > 0)
+    answered = F.array(lost, on(wrong, "generation_failure"), on(review, "needs_review"))
+    abstained = F.array(on(wrong, "unsupported_answer"), F.lit("needs_review"))
+    labels = F.array_sort(F.array_compact(F.when(F.col("answer_kind") == "abstain", abstained).otherwise(answered)))
+    return cases.withColumn("labels", labels).withColumn("certainty", F.when(F.array_contains(labels, "needs_review"), "unknown").otherwise("deterministic"))
+
+
 def capability_faults(stages: DataFrame) -> DataFrame:
     """Stages (declared, required, returned) where what is declared and what is returned differ."""
     fault = F.when(F.col("declared") & F.col("required") & ~F.col("returned"), "declared_but_missing").when(~F.col("declared") & F.col("returned"), "returned_but_not_declared")

@@ -74,6 +74,47 @@ def segment_coverage(gold: DataFrame, items: DataFrame, stages: DataFrame, cutof
     return out.select("case_id", "stage", "k", part.alias("coverage"), F.when(F.col("observable"), F.col("complete").cast("double")).alias("complete_coverage"), outcome.alias("outcome"), "path")
 
 
+def segment_metrics(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[int, ...] = SEGMENT_CUTOFFS) -> DataFrame:
+    """All segment metrics of each stage in long form: recall, gold and complete evidence coverage at each cutoff, and the
+    reciprocal rank of raw and ranked; (case_id, stage, metric_id, status, value).
+
+    stages: (case_id, stage, status) with the status that trace_status gives; only observed ones have values. One join and
+    aggregation serve all cutoffs and the rank.
+    """
+    asked = grid(stages, cutoffs)
+    best = best_path(path_coverage(clause_ranks(gold, items, asked)), ranks_of_incomplete=False)
+    out = stages.select("case_id", "stage", "status", F.explode(F.array(*[F.lit(k) for k in cutoffs], F.lit(None).cast("int"))).alias("k"))
+    j = out.join(best, (out.case_id == best.case_id) & (out.stage == best.stage) & out.k.eqNullSafe(best.k), "left").select(out["*"], "hits", "clauses", "complete", "last_rank")
+    part = F.coalesce(F.col("hits") / F.col("clauses"), F.lit(0.0))
+    whole = F.coalesce(F.col("complete"), F.lit(False))
+    at = lambda name, value: F.struct(F.concat(F.lit("segment_"), "stage", F.lit(f"_{name}@"), F.col("k").cast("string")).alias("metric_id"), value.alias("value"))
+    ranked = F.struct(F.concat(F.lit("segment_"), "stage", F.lit("_mrr")).alias("metric_id"), F.when(whole, 1 / F.col("last_rank")).otherwise(0.0).alias("value"))
+    none = F.array().cast("array<struct<metric_id:string,value:double>>")
+    metrics = F.when(F.col("k").isNotNull(), F.array(at("recall", part), at("gold_evidence_coverage", part), at("complete_evidence_coverage", whole.cast("double")))).when(F.col("stage").isin("raw", "ranked"), F.array(ranked)).otherwise(none)
+    long = j.select("case_id", "stage", "status", F.inline(metrics))
+    return long.select("case_id", "stage", "metric_id", "status", F.when(F.col("status") == "observed", F.col("value")).alias("value"))
+
+
+def clause_matrix(gold: DataFrame, items: DataFrame, stages: DataFrame) -> DataFrame:
+    """(case_id, stage, path, clause, alternatives, matched, earliest_rank): every clause at every stage (case_id, stage)."""
+    best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
+    j = stages.select("case_id", "stage").join(gold, "case_id").join(best, ["case_id", "stage", "evidence_id"], "left")
+    return j.groupBy("case_id", "stage", "path", "clause").agg(
+        F.array_sort(F.collect_set("evidence_id")).alias("alternatives"),
+        F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.col("evidence_id")))).alias("matched"),
+        F.min("rank").alias("earliest_rank"),
+    )
+
+
+def stage_outcomes(matrix: DataFrame) -> DataFrame:
+    """(case_id, stage, complete_paths, outcome) from clause_matrix: the paths of which every clause is matched, and whether
+    the stage is complete, covers a part, or misses all."""
+    per = matrix.groupBy("case_id", "stage", "path").agg(F.bool_and(F.col("earliest_rank").isNotNull()).alias("whole"), F.count("earliest_rank").alias("hits"))
+    out = per.groupBy("case_id", "stage").agg(F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("path")))).alias("complete_paths"), F.sum("hits").alias("hits"))
+    outcome = F.when(F.size("complete_paths") > 0, "complete").when(F.col("hits") > 0, "partial_coverage").otherwise("retrieval_missing")
+    return out.select("case_id", "stage", "complete_paths", outcome.alias("outcome"))
+
+
 def progress(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[int, ...] = SEGMENT_CUTOFFS) -> DataFrame:
     """mses_clause_recall@k, mses_path_success@k and mses_path_mrr: the best over paths, without a chosen path."""
     paths = path_coverage(clause_ranks(gold, items, grid(stages, cutoffs)))

@@ -103,7 +103,71 @@ def trace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.trace_status(rows).groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k, reciprocal_rank, stage_delta, segment_loss, segment_coverage, path_progress, localization_counts, metric_aggregate, repetition_stats, execution_counts, micro_macro, failure_labels, trace_status)}
+def _traced(spark: SparkSession, sf_dir: str):
+    t = trace(spark, sf_dir)
+    n = F.col("case_id")
+    status = F.when(n % 19 == 0, "not_applicable").when(~F.col("observable"), "error").otherwise("observed")
+    return t, t.stages.select("case_id", "stage", status.alias("status"))
+
+
+def segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, stages = _traced(spark, sf_dir)
+    return retrieval.segment_metrics(t.gold, t.items, stages).select("case_id", "metric_id", "status", "value")
+
+
+def clause_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trace(spark, sf_dir)
+    out = retrieval.clause_matrix(t.gold, t.items, t.stages.filter("observable"))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("alternatives", "matched")})
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trace(spark, sf_dir)
+    return retrieval.stage_outcomes(retrieval.clause_matrix(t.gold, t.items, t.stages.filter("observable")))
+
+
+def stage_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).withColumn("complete_paths", F.array_join(F.col("complete_paths").cast("array<string>"), ","))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with what the segment and the private labels are derived from."""
+    wide = _outcomes(spark, sf_dir).groupBy("case_id").pivot("stage", ["raw", "ranked", "context"]).agg(F.first(F.struct("outcome", F.size("complete_paths").alias("paths"))))
+    n = F.col("case_id")
+    of = lambda m, s: F.element_at(F.array(*map(F.lit, s)), (n % m + 1).cast("int"))
+    return wide.select(
+        "case_id", F.coalesce(F.when(n % 43 == 0, "runtime_error"), F.col("raw.outcome"), F.lit("unsupported_stage")).alias("raw_outcome"), F.col("ranked.outcome").alias("ranked_outcome"),
+        F.when(n % 47 == 0, "mapping_corrupted").otherwise(F.col("context.outcome")).alias("context_outcome"), *[F.coalesce(F.col(f"{s}.paths"), F.lit(0)).alias(f"{s}_paths") for s in ("raw", "ranked", "context")],
+        of(3, ("observed", "needs_review", "observed")).alias("accuracy_status"), (n % 2).cast("double").alias("accuracy"), of(5, ("observed", "observed", "needs_review", "observed", "not_applicable")).alias("groundedness_status"),
+        of(7, ("observed", "needs_review", "observed", "observed", "observed", "observed", "observed")).alias("hallucination_status"), (n % 4 == 3).cast("double").alias("hallucination"),
+        F.when(n % 19 == 0, "abstain").otherwise("text").alias("answer_kind"), (n % 6).alias("unmapped"), F.when(n % 29 == 0, "failed").otherwise("completed").alias("status"),
+    )
+
+
+def segment_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = answers.segment_failure_labels(_labelled(spark, sf_dir))
+    return out.select("case_id", F.array_join("labels", ",").alias("labels"), "certainty")
+
+
+def private_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = answers.private_failure_labels(_labelled(spark, sf_dir))
+    return out.select("case_id", F.array_join("labels", ",").alias("labels"), "certainty")
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, stages = _traced(spark, sf_dir)
+    cases = answers.private_failure_labels(_labelled(spark, sf_dir)).select("case_id", "status", "labels")
+    items = t.items.select("case_id", (F.col("evidence_id") % 3 != 0).alias("mapped"))
+    out = aggregate.evaluation_summary(cases, retrieval.segment_metrics(t.gold, t.items, stages), items)
+    return out.withColumn("value", F.round("value", 9))
+
+
+def mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trace(spark, sf_dir)
+    return aggregate.mapping_coverage(t.items.withColumn("mapped", F.when(F.col("evidence_id") == 2, None).otherwise(F.col("evidence_id") % 3 != 0)), ["case_id", "stage"])
+
+
+QUERIES = {f.__name__: f for f in (recall_at_k, reciprocal_rank, stage_delta, segment_loss, segment_coverage, path_progress, localization_counts, metric_aggregate, repetition_stats, execution_counts, micro_macro, failure_labels, trace_status, segment_metrics, clause_matrix, stage_outcomes, segment_failures, private_failures, evaluation_summary, mapping_coverage)}
 
 _REC = "stage || '_recall@' || k::varchar AS metric_id, CASE WHEN observable THEN 'observed' ELSE 'unavailable' END AS status, value"
 _MRR = "stage || '_mrr' AS metric_id, CASE WHEN observable THEN 'observed' ELSE 'unavailable' END AS status, value"
@@ -115,7 +179,33 @@ _LOC = """loc AS (SELECT b.case_id, b.stage, g.clause, min(CASE WHEN i.ln IS NOT
 lc AS (SELECT case_id, stage, count(*) AS denominator, count(*) FILTER (code = 1) AS matched, count(*) FILTER (code = 2) AS partial, count(*) FILTER (code = 3) AS provenance_missing, count(*) FILTER (code = 4) AS retrieval_missed FROM loc GROUP BY ALL),
 ll AS (SELECT case_id, stage || '_localization_' || st AS metric_id, v AS value, denominator FROM lc, LATERAL (VALUES ('matched', matched), ('partial', partial), ('provenance_missing', provenance_missing), ('retrieval_missed', retrieval_missed)) t(st, v))"""
 
+_SEG = """sm AS (SELECT s.case_id, s.stage, v.m AS metric_id, CASE WHEN s.case_id % 19 = 0 THEN 'not_applicable' WHEN NOT observable THEN 'error' ELSE 'observed' END AS status, v.x AS x
+ FROM stages s JOIN sbest b ON b.case_id = s.case_id AND b.stage = s.stage, LATERAL (VALUES ('segment_' || s.stage || '_recall@' || k, hits / clauses, 1), ('segment_' || s.stage || '_gold_evidence_coverage@' || k, hits / clauses, 1),
+ ('segment_' || s.stage || '_complete_evidence_coverage@' || k, complete::int::double, 1), ('segment_' || s.stage || '_mrr', CASE WHEN complete THEN 1 / last_rank ELSE 0 END, 2)) v(m, x, kind)
+ WHERE CASE WHEN k IS NULL THEN kind = 2 AND s.stage <> 'context' ELSE kind = 1 END), sv AS (SELECT case_id, metric_id, status, CASE WHEN status = 'observed' THEN x END AS value FROM sm)"""
+_MATRIX = """mx AS (SELECT s.case_id, s.stage, g.path, g.clause, list_sort(list(DISTINCT g.ln)) AS al, list_sort(list(DISTINCT g.ln) FILTER (i.ln IS NOT NULL)) AS ma, min(i.rank) AS earliest_rank FROM stages s JOIN gold g ON g.case_id = s.case_id
+ LEFT JOIN items i ON i.case_id = s.case_id AND i.stage = s.stage AND i.ln = g.ln WHERE s.observable GROUP BY ALL),
+mp AS (SELECT case_id, stage, path, count(earliest_rank) AS h, count(*) AS n FROM mx GROUP BY ALL),
+oc AS (SELECT case_id, stage, coalesce(list_sort(list(path) FILTER (h = n)), []) AS cp, CASE WHEN count(*) FILTER (h = n) > 0 THEN 'complete' WHEN sum(h) > 0 THEN 'partial_coverage' ELSE 'retrieval_missing' END AS outcome FROM mp GROUP BY ALL),
+ow AS (SELECT case_id, CASE WHEN case_id % 43 = 0 THEN 'runtime_error' ELSE coalesce(max(outcome) FILTER (stage = 'raw'), 'unsupported_stage') END AS a, max(outcome) FILTER (stage = 'ranked') AS b, CASE WHEN case_id % 47 = 0 THEN 'mapping_corrupted' ELSE max(outcome) FILTER (stage = 'context') END AS c,
+ coalesce(max(len(cp)) FILTER (stage = 'raw'), 0) AS na, max(len(cp)) FILTER (stage = 'ranked') AS nb, max(len(cp)) FILTER (stage = 'context') AS nc FROM oc GROUP BY 1),
+pf AS (SELECT case_id, list_sort(list_filter(CASE WHEN case_id % 19 = 0 THEN [CASE WHEN case_id % 3 <> 1 AND case_id % 2 = 0 THEN 'unsupported_answer' END, 'needs_review'] ELSE
+ [CASE WHEN na = 0 THEN 'retrieval_missing' WHEN nb = 0 THEN 'ranking_failure' WHEN nc = 0 THEN 'context_selection_loss' END, CASE WHEN case_id % 3 <> 1 AND case_id % 2 = 0 THEN 'generation_failure' END, CASE WHEN case_id % 3 = 1 OR case_id % 6 > 0 THEN 'needs_review' END] END, lambda x: x IS NOT NULL)) AS l FROM ow)"""
+
 ORACLES = {
+    "segment_metrics": f"{TRACE_SQL}, {_SEG} SELECT * FROM sv",
+    "clause_matrix": f"{TRACE_SQL}, {_MATRIX} SELECT case_id, stage, path, clause, array_to_string(al, ',') AS alternatives, coalesce(array_to_string(ma, ','), '') AS matched, earliest_rank FROM mx",
+    "stage_outcomes": f"{TRACE_SQL}, {_MATRIX} SELECT case_id, stage, array_to_string(cp, ',') AS complete_paths, outcome FROM oc",
+    "segment_failures": f"""{TRACE_SQL}, {_MATRIX}, q AS (SELECT *, case_id % 3 = 1 OR case_id % 5 = 2 OR case_id % 7 = 1 AS r FROM ow),
+z AS (SELECT case_id, r, list_filter([nullif(a, 'complete'), nullif(b, 'complete'), nullif(c, 'complete'), CASE WHEN a = 'complete' AND b <> 'complete' THEN 'ranking_failure' END, CASE WHEN b = 'complete' AND c <> 'complete' THEN 'context_selection_loss' END,
+ CASE WHEN c = 'complete' AND case_id % 3 <> 1 AND case_id % 2 = 0 THEN 'generation_failure' END, CASE WHEN case_id % 7 <> 1 AND case_id % 4 = 3 THEN 'unsupported_answer' END, CASE WHEN r THEN 'needs_review' END], lambda x: x IS NOT NULL) AS l FROM q)
+SELECT case_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS labels, CASE WHEN r THEN 'unknown' ELSE 'deterministic' END AS certainty FROM z""",
+    "private_failures": f"{TRACE_SQL}, {_MATRIX} SELECT case_id, array_to_string(l, ',') AS labels, CASE WHEN list_contains(l, 'needs_review') THEN 'unknown' ELSE 'deterministic' END AS certainty FROM pf",
+    "evaluation_summary": f"""{TRACE_SQL}, {_SEG}, {_MATRIX}, d AS (SELECT case_id FROM pf WHERE case_id % 29 <> 0)
+SELECT 'cases' AS section, v.a AS name, v.n AS n, NULL::double AS value FROM (SELECT count(*) AS a, count(*) FILTER (case_id % 29 <> 0) AS c FROM pf), LATERAL (VALUES ('all', a), ('completed', c), ('execution_error', a - c)) v(a, n)
+UNION ALL SELECT 'metric_status', status, count(*), NULL FROM sv SEMI JOIN d USING (case_id) GROUP BY 2 UNION ALL SELECT 'metric', metric_id, count(*), round(avg(value), 9) FROM sv SEMI JOIN d USING (case_id) WHERE value IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'failure_label', x, count(*), NULL FROM (SELECT unnest(l) AS x FROM pf SEMI JOIN d USING (case_id)) GROUP BY 2 UNION ALL SELECT 'mapping', 'mapped_items', count(*) FILTER (ln % 3 <> 0), round(count(*) FILTER (ln % 3 <> 0) / count(*), 9) FROM items SEMI JOIN d USING (case_id)""",
+    "mapping_coverage": f"{TRACE_SQL} SELECT case_id, stage, count(*) FILTER (ln <> 2 AND ln % 3 <> 0) AS mapped_items, count(*) AS total_items, count(*) FILTER (ln = 2 OR ln % 3 = 0) AS unmapped_items, count(*) FILTER (ln <> 2 AND ln % 3 <> 0) / count(*) AS coverage FROM items GROUP BY ALL",
     "recall_at_k": f"{TRACE_SQL} SELECT case_id, {_REC}, path, complete FROM rec",
     "reciprocal_rank": f"{TRACE_SQL} SELECT case_id, {_MRR} FROM mrr",
     "stage_delta": f"{TRACE_SQL} {_CHANGE.format('retrieval_stage_delta', 'ranked', 'raw', 'ranked - raw')} UNION ALL {_CHANGE.format('context_selection_loss', 'ranked', 'context', 'ranked - context')}",
