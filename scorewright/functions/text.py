@@ -90,11 +90,21 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_.-]+|" + HAN_RUN), F.lit(0)))
 
 
+#: The forms of a number from fine to coarse; those that cannot hold it are null.
+NUMBER_FORMS = ("fine", "large", "any")
+
+
 def numbers(text: Column) -> Column:
-    """array<decimal(38,18)> of the signed numbers of a text; commas part thousands; no digit or dot may touch them."""
+    """The signed numbers of a text as structs of NUMBER_FORMS: decimals of up to 20 and 32 integer digits, and a double for
+    any; commas part thousands; no digit or dot may touch them."""
     pattern = r"(?<![0-9.])[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?![0-9.])"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(38,18)"))
+
+    def forms(x: Column) -> Column:
+        bare = F.replace(x, F.lit(","), F.lit(""))
+        return F.struct(*[bare.try_cast(kind).alias(name) for name, kind in zip(NUMBER_FORMS, ("decimal(38,18)", "decimal(38,6)", "double"))])
+
+    return F.transform(found, forms)
 
 
 def contains_value(text: Column, value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import canonical_formula, contains_unit, declines, normalize_ascii, numbers, plain, plain_values, unambiguous_statement
+from scorewright.functions.text import NUMBER_FORMS, canonical_formula, contains_unit, declines, normalize_ascii, numbers, plain, plain_values, unambiguous_statement
 
 PASS, FAIL, REVIEW = "PASS", "FAIL", "NEEDS_REVIEW"
 
@@ -16,7 +16,14 @@ def numeric_verdict(answer: Column, accepted: Column, tolerance: Column, unit: C
     All texts are given in their normal form.
     """
     found, want = numbers(answer), F.flatten(F.transform(accepted, numbers))
-    near = lambda x: F.coalesce(F.exists(want, lambda y: F.abs(x - y) <= F.coalesce(tolerance, F.lit(0))), F.lit(False))
+    within = F.coalesce(tolerance, F.lit(0))
+
+    def near(x: Column) -> Column:
+        # the finest form that both numbers have decides
+        far = lambda y: F.coalesce(*[F.abs(F.try_subtract(x[f], y[f])).cast("double") for f in NUMBER_FORMS])
+        exact = lambda y: F.coalesce(*[F.abs(F.try_subtract(x[f], y[f])) <= within for f in NUMBER_FORMS[:-1]], far(y) <= within)
+        return F.coalesce(F.exists(want, exact), F.lit(False))
+
     return (
         F.when((F.size(found) == 0) | (F.size(want) == 0) | ~F.exists(found, near), FAIL)
         .when(F.exists(found, lambda x: ~near(x)), REVIEW)

@@ -41,7 +41,7 @@ def test_contains_value(spark, value, quote, found):
 
 def test_numbers(spark):
     row = spark.createDataFrame([("-1,234.5 and 1.2.3 or 7",)], "t string").select(text.numbers(F.col("t"))).first()[0]
-    assert row == [Decimal("-1234.5"), Decimal("7")]
+    assert [x.fine for x in row] == [Decimal("-1234.5"), Decimal("7")]
 
 
 def test_formula_and_text_answers(spark):
@@ -224,3 +224,48 @@ def test_bootstrap_interval_is_as_wide_as_theory(spark):
     rows = [(k, rng.gauss(0, 1)) for k in range(1000)]
     got = compare.clustered_bootstrap(spark.createDataFrame(rows, "case_id long, delta double"), iterations=1000).first()
     assert abs((got.high - got.low) / (2 * 1.96) - 1000**-0.5) < 0.1 * 1000**-0.5
+
+
+def test_numbers_of_any_size(spark):
+    big = "1" + "0" * 24
+    rows = [(big, [big], 0), (big[:-1] + "1", [big], 0), (big[:-1] + "1", [big], 1), ("9" * 40, ["9" * 40], 0), ("3", [big], 0), (f"{big}.5", [f"{big}.5"], 0)]
+    df = spark.createDataFrame([("numeric", a, g, [], Decimal(t), None) for a, g, t in rows], "kind string, answer string, gold array<string>, accepted array<string>, tolerance decimal(38,18), unit string")
+    assert [r.verdict for r in answers.score_answers(df).collect()] == ["PASS", "FAIL", "PASS", "PASS", "FAIL", "PASS"]
+
+
+def test_cascade_decides_in_order(spark):
+    gold = spark.createDataFrame([("c", e, "d", f"o{e}", 100, 200, f"quote {e}", e == 1, e != 6) for e in range(1, 8)], "case_id string, evidence_id int, document_id string, object_id string, start int, end int, quote string, quote_unique boolean, extent_complete boolean")
+    gold = gold.filter("evidence_id <> 7").unionByName(gold.filter("evidence_id = 7").withColumn("document_id", F.lit("e")))
+    rows = [
+        ("c", "raw", "i1", 3, "d", "k1", "legacy", None, None, "has quote 1 in it"),
+        ("c", "raw", "i2", 2, "d", "k2", "invalid", None, None, "has quote 2 in it"),
+        ("c", "raw", "i3", 1, "e", "k3", "formal", 100, 150, ""),
+        ("c", "raw", "i4", 4, "e", "k4", "formal", 150, 200, ""),
+    ]
+    items = spark.createDataFrame(rows, "case_id string, stage string, item_id string, rank int, document_id string, chunk_id string, integrity string, i_start int, i_end int, content string")
+    edges = spark.createDataFrame([("o4", "k9", "full"), ("o5", "k9", None), ("o6", "k9", "full"), ("cell1", "k1", "full"), ("cell2", "k9", "full")], "object_id string, chunk_id string, coverage string")
+    cells = spark.createDataFrame([("c", 3, "cell1"), ("c", 3, "cell2")], "case_id string, evidence_id int, object_id string")
+    stages = spark.createDataFrame([("c", "raw", True), ("c", "ranked", False), ("c", "context", True)], "case_id string, stage string, observable boolean")
+    out = {(r.stage, r.evidence_id): (r.status, r.how, r.rank, r.item_id) for r in evidence.cascade(stages, gold, items, edges, cells).collect()}
+    assert {s for s, _ in out} == {"raw", "context"}
+    assert out["raw", 1] == ("matched", "exact", 3, "i1") and out["raw", 2] == ("provenance_missing", "near", 2, "i2") and out["raw", 3] == ("partial", "table_part", 3, None)
+    assert out["raw", 4][:2] == ("retrieval_missed", "proven") and out["raw", 5][:2] == ("retrieval_missed", "unproven") and out["raw", 6][:2] == ("retrieval_missed", "unproven")
+    assert out["raw", 7] == ("matched", "union", 4, None) and out["context", 1][:2] == ("retrieval_missed", "unproven")
+
+
+def test_witnesses_are_of_one_class(spark):
+    base = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(120))
+    objects = spark.createDataFrame([("a", base), ("b", "  " + base.upper()), ("c", base[:60] + "0123456789" * 6), ("s", "short")], "object_id string, value string")
+    chunks = spark.createDataFrame([("1", "x " + base[10:] + " y"), ("2", base[:60]), ("3", "0123456789" * 6), ("4", ""), ("5", None)], "chunk_id string, text string")
+    want = {("1", "a"), ("3", "c")}
+    for most in (1_000_000, 0):
+        assert {(r.chunk_id, r.class_id) for r in evidence.witness_bridges(chunks, objects, most=most).collect()} == want
+
+
+def test_release_rules_without_violations_and_canonical(spark):
+    from scorewright.operators import formal
+
+    none = spark.createDataFrame([], "rule_id string, severity string, affected_id string")
+    out = {r.rule_id: (r.result, r.severity) for r in formal.report(none, has_canonical=False).collect()}
+    assert len(out) == 17 and all(out[r] == ("NOT_APPLICABLE", "error") for r in formal.OF_CANONICAL)
+    assert out["gold.ambiguity"] == ("PASS", "error") and out["bundle_v2.projection_lossiness"] == ("PASS", "info")
