@@ -269,3 +269,22 @@ def test_release_rules_without_violations_and_canonical(spark):
     out = {r.rule_id: (r.result, r.severity) for r in formal.report(none, has_canonical=False).collect()}
     assert len(out) == 17 and all(out[r] == ("NOT_APPLICABLE", "error") for r in formal.OF_CANONICAL)
     assert out["gold.ambiguity"] == ("PASS", "error") and out["bundle_v2.projection_lossiness"] == ("PASS", "info")
+
+
+def test_duplicate_and_near_miss_questions(spark):
+    from scorewright.operators import formal
+
+    words = " ".join(f"w{i}" for i in range(20))
+    asked = [("1", "Same  question"), ("2", "same Question"), ("3", words), ("4", words + " more"), ("5", "alone here")]
+    cases = spark.createDataFrame([(i, f"r{i}", q, [], "approved", "a") for i, q in asked], "case_id string, case_revision_id string, question string, object_ids array<string>, lifecycle string, actor string")
+    digests_of = ", ".join(f"{side}_{d} string" for side in ("revision", "manifest") for d in formal.DIGESTS)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = formal.violations(
+        empty("object_id string, representation string, n_spans int, source_sha256 string, eligible boolean"), empty("relation_id string, source_id string, target_id string"),
+        empty(f"document_id string, {digests_of}, dataset_source string, file_sha256 string"), cases,
+        empty("gold_id string, case_id string, case_revision_id string, answer_kind string, answers array<string>, accepted array<string>, paths array<array<array<string>>>, negative_scope array<string>, negative_rationale string, lifecycle string, actor string"),
+        empty("gold_id string, evidence_id string, object_id string, role string, rationale string"), empty("gold_id string, dependency_id int, depends_on int"),
+        empty("record_id string, identity string"), empty("record_id string, identity string"),
+    )
+    got = {(r.severity, r.affected_id) for r in found.filter("rule_id = 'case.duplicate_near_miss'").collect()}
+    assert got == {("error", "1"), ("error", "2"), ("warn", "3"), ("warn", "4")}
