@@ -143,20 +143,19 @@ def log_probabilities(grams: DataFrame, orders: list[dict]) -> DataFrame:
 
 
 class Lookup:
-    """Numbers to values in a few random reads each: a table at half load, with a second one for what collides, and so on."""
+    """Numbers to values in a few random reads each: a table of at least as many slots as numbers, a second one for what collides, and so on."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.levels = []
         while len(keys):
-            bits = max(4, int(len(keys) * 2 - 1).bit_length())
+            bits = max(4, int(len(keys) - 1).bit_length())
             slot = self._slot(keys, bits, len(self.levels))
-            taken, index = np.unique(slot, return_index=True)
             table, found = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, values.dtype)
-            table[taken], found[taken] = keys[index], values[index]
+            table[slot] = keys
+            placed = table[slot] == keys
+            found[slot[placed]] = values[placed]
             self.levels.append((bits, table, found))
-            left = np.ones(len(keys), bool)
-            left[index] = False
-            keys, values = keys[left], values[left]
+            keys, values = keys[~placed], values[~placed]
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
@@ -195,8 +194,11 @@ def _lookup(files: list[str]) -> Lookup:
             system, path = fs.FileSystem.from_uri(file)
             parts.append(parquet.read_table(path, filesystem=system, columns=["g", "lp"]))
         table = pa.concat_tables(parts) if parts else pa.table({"g": pa.array([], pa.int64()), "lp": pa.array([], pa.float32())})
+        parts.clear()
         read.clear()
         read[key] = Lookup(table.column("g").to_numpy(), table.column("lp").to_numpy())
+        del table
+        give_back()
     return read[key]
 
 
