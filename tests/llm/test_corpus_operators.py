@@ -229,6 +229,18 @@ def kneser_ney(texts, order=quality.ORDER):
     return p
 
 
+def test_lookup():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 15, 16, 17, 70_000):
+        keys = rng.permutation(np.unique(rng.integers(0, 1 << 40, n)))
+        values = rng.random(len(keys)).astype(np.float32)
+        lookup = quality.Lookup(keys, values)
+        asked = rng.integers(0, len(keys), 3 * n)
+        assert (lookup(keys[asked]) == values[asked]).all()
+        with pytest.raises(KeyError):
+            lookup(np.append(keys, (1 << 40) + 1))
+
+
 def test_probabilities(spark):
     texts = ["abracadabra", "abba baab", "cab é"]
     orders = quality.model(spark.createDataFrame([(t,) for t in texts], "text string"))
