@@ -23,7 +23,7 @@ from scorewright.llm.words import batches_of
 ORDER = 5
 #: Ids of trusted documents that are broadcast at most (2 million: 16 MB); more are joined by a shuffle.
 IDS_SENT = 2_000_000
-#: n-grams whose probabilities every worker reads as a whole at most (3 million: 36 MB as a file, 100 MB as a table); with
+#: n-grams whose probabilities every worker reads as a whole at most (3 million: 36 MB as a file, 70 MB as a table); with
 #: more, blocks of documents are grouped with their own.
 GRAMS_READ = 3_000_000
 #: Bytes of text that a worker takes at once (its arrays have eight bytes for each), and n-grams of a block that it holds
