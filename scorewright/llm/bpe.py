@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewright.llm.common import claim, give_back, small_batches
+from scorewright.llm.words import batches_of
 
-#: Pieces, and words with what is attached to them, whose encoding a Python worker remembers at most.
-CACHE = 250_000
+#: Bytes that the remembered pieces of a Python worker take at most, and as many again its words; what an entry takes
+#: besides its text and its tokens; the longest text that is remembered.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 48 << 20, 190, 64
+#: Bytes of text that are encoded before the rows leave the worker.
+CHUNK = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,14 +150,15 @@ class Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.room = vocabulary, CACHE_BYTES
 
     def encoded(self, piece: str) -> bytes:
         return np.array(PrefixTable(self.vocabulary, piece.encode()).tokens(), np.int32).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         out = self.encoded(piece)
-        if len(piece) <= 64 and len(self) < CACHE:
+        if len(piece) <= LONGEST_KEPT and (cost := len(piece) + len(out) + ENTRY_BYTES) <= self.room:
+            self.room -= cost
             self[piece] = out
         return out
 
@@ -163,12 +168,13 @@ class Words(dict):
 
     def __init__(self, pieces: Pieces, find):
         super().__init__()
-        self.pieces, self.find = pieces, find
+        self.pieces, self.find, self.room = pieces, find, CACHE_BYTES
 
     def __missing__(self, word: str) -> bytes:
         found = self.find(f" {word}")  # most words are one piece, which is not to be remembered twice
         out = self.pieces.encoded(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
-        if len(word) <= 64 and len(self) < CACHE:
+        if len(word) <= LONGEST_KEPT and (cost := len(word) + len(out) + ENTRY_BYTES) <= self.room:
+            self.room -= cost
             self[word] = out
         return out
 
@@ -254,8 +260,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         ids_of = encoder(shared.value, pattern)
         token = ids_of.pieces.vocabulary.bytes_of.__getitem__
         for batch in batches:
-            for k in range(0, batch.num_rows, 300):
-                part = batch.slice(k, 300)
+            for start, stop in batches_of(batch.column(batch.num_columns - 1), CHUNK):
+                part = batch.slice(start, stop - start)
                 rows = [ids_of(value) for value in part.column(part.num_columns - 1).to_pylist()]
                 columns = [*part.columns[:-1], _int_lists(rows)]
                 if decoded:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import hashlib
 import os
@@ -22,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The lists to which the folders of new scratch tables are added, see `recorded`.
-_RECORDS: list[list[str]] = []
+#: The lists to which the folders of new scratch tables are added, see `recorded`; every thread has its own.
+_RECORDS: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("records", default=())
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -36,7 +37,7 @@ def scratch(spark: SparkSession, what: str) -> str:
         base = "file://" + os.path.join(tempfile.gettempdir(), "scorewright-checkpoint")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-    for record in _RECORDS:
+    for record in _RECORDS.get():
         record.append(path)
     return path
 
@@ -45,11 +46,11 @@ def scratch(spark: SparkSession, what: str) -> str:
 def recorded() -> Iterator[list[str]]:
     """The list of the scratch folders that are made inside."""
     record: list[str] = []
-    _RECORDS.append(record)
+    token = _RECORDS.set((*_RECORDS.get(), record))
     try:
         yield record
     finally:
-        _RECORDS[:] = [x for x in _RECORDS if x is not record]
+        _RECORDS.reset(token)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -58,6 +59,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(spark: SparkSession, paths: list[str], but: DataFrame, *more: str) -> None:
+    """Delete the scratch folders in paths that `but` does not read and that are not in more."""
+    read = but.inputFiles()
+    for path in paths:
+        name = path.rpartition("/")[2]
+        if path not in more and not any(f"/{name}/" in file for file in read):
+            delete(spark, path)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, what)

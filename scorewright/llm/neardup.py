@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import forget, free_shuffles, give_back, materialize, on_shelf, placed, shelve, small_batches
+from scorewright.llm.common import discard, forget, free_shuffles, give_back, materialize, on_shelf, placed, recorded, shelve, small_batches
 from scorewright.llm.components import components
 from scorewright.llm.words import batches_of, grams, mixed, word_hashes
 
@@ -271,17 +271,18 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = placed(docs)
-    own = sketches(docs.select("doc_id", "file__", "row__", "text")).withColumn("id", F.monotonically_increasing_id())
-    drafts = materialize(own, "sketch")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file__", "row__"))
-    copies = materialize(drafts.groupBy("words_key").agg(F.min("id").alias("rep"), first.alias("first")), "copies")
-    labels = class_labels(drafts, copies)
-    texts = copies.select("rep", "first")
-    if labels is not None:
-        texts = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
-    kept = texts.groupBy("rep").agg(F.min("first").alias("first")).select("first.file__", "first.row__")
-    stays = on_shelf(shelve(kept, "kept"))
-    for table in (drafts, copies):
-        forget(table)
+    with recorded() as made:
+        own = sketches(docs.select("doc_id", "file__", "row__", "text")).withColumn("id", F.monotonically_increasing_id())
+        drafts = materialize(own, "sketch")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file__", "row__"))
+        copies = materialize(drafts.groupBy("words_key").agg(F.min("id").alias("rep"), first.alias("first")), "copies")
+        labels = class_labels(drafts, copies)
+        texts = copies.select("rep", "first")
+        if labels is not None:
+            texts = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
+        kept = texts.groupBy("rep").agg(F.min("first").alias("first")).select("first.file__", "first.row__")
+        shelf = shelve(kept, "kept")
+    discard(docs.sparkSession, made, docs, shelf)
+    stays = on_shelf(shelf)
     wordless = F.coalesce(~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(True))
     return docs.filter(wordless | stays("file__", "row__")).drop("file__", "row__")

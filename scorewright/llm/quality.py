@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import claim, give_back, materialize, small_batches, utf8
+from scorewright.llm.common import claim, discard, give_back, materialize, on_shelf, placed, recorded, shelve, small_batches, utf8
 from scorewright.llm.words import batches_of
 
 #: Bytes in an n-gram (7 at most, so that it fits into a long).
@@ -213,11 +213,10 @@ def _sums(texts: pa.Array, lookup: Lookup) -> list[pa.Array]:
     return [pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, kind)) for k, kind in ((0, np.int64), (1, np.float64))]
 
 
-def log_likelihoods(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+def log_likelihoods(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang, trusted, held, n_bytes, lp) of each row of docs: lp is the sum of the log probabilities of its bytes.
 
-    trusted: the model was trained on it; held: it would have been, but is held out. carry adds a column `row`, a struct
-    of all columns of docs.
+    trusted: the model was trained on it; held: it would have been, but is held out. carry names more columns of docs to keep.
     """
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     ids = materialize(ids.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "trusted")
@@ -231,13 +230,10 @@ def log_likelihoods(docs: DataFrame, labels: DataFrame, carry: bool = False) ->
     orders = model(docs.select("doc_id", "text").join(ids.filter("NOT held"), "doc_id", "left_semi"))
     asked = materialize(_counted(docs.select("text", block), "block").select("block", "g"), "grams")
     lp = materialize(log_probabilities(asked.select("g").distinct(), orders), "log-probabilities")
-    row = F.struct(*([F.col(c) for c in docs.columns] if carry else [F.col("text")])).alias("row")
-    marked = docs.select("doc_id", "lang", block, row).join(ids, "doc_id", "left")
-    marked = marked.select("doc_id", "lang", F.coalesce(~F.col("held"), F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"), "row", "block")
-    names, schema = ["doc_id", "lang", "trusted", "held"], "doc_id long, lang string, trusted boolean, held boolean"
-    if carry:
-        names, schema = [*names, "row"], f"{schema}, row {marked.schema['row'].dataType.simpleString()}"
-    names, schema = [*names, "n_bytes", "lp"], f"{schema}, n_bytes long, lp double"
+    marked = docs.select("doc_id", "lang", block, *carry, "text").join(ids, "doc_id", "left")
+    marked = marked.select("doc_id", "lang", F.coalesce(~F.col("held"), F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"), *carry, "text", "block")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.drop("text", "block").schema)
+    names, schema = [*marked.drop("text", "block").columns, "n_bytes", "lp"], f"{own}, n_bytes long, lp double"
     if lp.count() > GRAMS_READ:
         return _by_blocks(marked, asked, lp, names, schema)
     files = lp.inputFiles()
@@ -245,7 +241,7 @@ def log_likelihoods(docs: DataFrame, labels: DataFrame, carry: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _lookup(files)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], *_sums(batch.column(4).field("text"), lookup)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_sums(batch.column(batch.num_columns - 1), lookup)], names=names)
 
     return marked.drop("block").mapInArrow(run, schema)
 
@@ -257,7 +253,7 @@ def _by_blocks(marked: DataFrame, asked: DataFrame, lp: DataFrame, names: list[s
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
         lookup = Lookup(own.column("g").to_numpy(), own.column("lp").to_numpy())
         batches = texts.to_batches()
-        found = [pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-2]), *_sums(x.column("row").field("text"), lookup)], names=names) for x in batches]
+        found = [pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-2]), *_sums(x.column("text"), lookup)], names=names) for x in batches]
         return pa.Table.from_batches(found) if found else texts.select(names[:-2]).append_column("n_bytes", pa.array([], pa.int64())).append_column("lp", pa.array([], pa.float64()))
 
     return marked.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, schema)
@@ -270,18 +266,20 @@ def _by_language(df: DataFrame, known: DataFrame) -> DataFrame:
     return df.join(known, F.col("lang").eqNullSafe(F.col("its_lang")), "left").drop("its_lang")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, carry: bool) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, score, bound, keep) of the rows with text, and `row` if carry."""
+def _judged(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, score, bound, keep) of the rows with text, and the columns in carry."""
     small_batches(docs.sparkSession)
-    scored = materialize(log_likelihoods(docs, labels, carry), "likelihoods").filter("n_bytes > 0")
-    row = ["row"] if carry else []
+    with recorded() as made:
+        scored = materialize(log_likelihoods(docs, labels, carry), "likelihoods")
+    discard(docs.sparkSession, made, scored)
+    scored = scored.filter("n_bytes > 0")
     average = (-F.sum("lp") / F.sum("n_bytes")).alias("average")
     trusted = scored.filter("trusted OR held")
     every = trusted.agg(average).first()[0]
     by_lang = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), average).filter(F.col("n") >= LEAST_TRUSTED).drop("n")
     mean = F.coalesce("average", F.lit(every).cast("double"))
     scored = _by_language(scored, by_lang)
-    scored = scored.select("doc_id", "lang", "trusted", "held", "n_bytes", *row, F.exp(-F.col("lp") / F.col("n_bytes")).alias("perplexity"),
+    scored = scored.select("doc_id", "lang", "trusted", "held", "n_bytes", *carry, F.exp(-F.col("lp") / F.col("n_bytes")).alias("perplexity"),
                            F.exp((-F.col("lp") + PRIOR * mean) / (F.col("n_bytes") + PRIOR)).alias("score"))
     held = scored.filter("held")
     bound = F.percentile_approx("score", F.lit(HIGH), F.lit(10_000)).alias("bound")
@@ -303,9 +301,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     names = ["doc_id", "lang", "n_bytes", "perplexity", "score", "bound", "keep"]
     empty = docs.filter("text IS NULL OR text = ''").select("doc_id", "lang", F.lit(0).cast("long").alias("n_bytes"))
-    return _judged(docs.select("doc_id", "lang", "text"), labels, False).select(*names).unionByName(empty.withColumn("keep", F.lit(False)), allowMissingColumns=True)
+    return _judged(docs.select("doc_id", "lang", "text"), labels).select(*names).unionByName(empty.withColumn("keep", F.lit(False)), allowMissingColumns=True)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify keeps, each judged by its own text, also where a doc_id repeats or is null."""
-    return _judged(docs, labels, True).filter("keep").select("row.*")
+    """The rows of docs that classify keeps, each judged by its own text, also where a doc_id repeats or is null.
+
+    What stays is listed by file and row, and the files are read again: the texts are not written a second time.
+    """
+    docs = placed(docs)
+    with recorded() as made:
+        kept = _judged(docs.select("doc_id", "lang", "text", "file__", "row__"), labels, ("file__", "row__")).filter("keep")
+        shelf = shelve(kept.select("file__", "row__"), "accepted")
+    discard(docs.sparkSession, made, docs, shelf)
+    return docs.filter(on_shelf(shelf)("file__", "row__")).drop("file__", "row__")

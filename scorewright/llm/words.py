@@ -17,10 +17,19 @@ def words(text: bytes | str | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text or b"").translate(_FOLD).split()
 
 
+#: Bytes that the remembered words of a worker take at most, and those of an entry besides the word's own.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 160
+
+
 class _Hashes(dict):
+    def __init__(self):
+        super().__init__()
+        self.room = CACHE_BYTES
+
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if (cost := len(word) + ENTRY_BYTES) <= self.room:
+            self.room -= cost
             self[word] = out
         return out
 

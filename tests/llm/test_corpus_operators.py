@@ -2,15 +2,18 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from scorewright.llm import components, decontaminate, neardup, neighbours, quality, repeats
+from scorewright.llm import bpe, components, decontaminate, neardup, neighbours, quality, repeats
+from scorewright.llm.common import recorded
 from scorewright.llm.words import words
 
 DOCS = "doc_id long, text string"
@@ -345,11 +348,23 @@ def test_pipeline_edges(spark):
         out = stages["near_duplicates"](spark, table, SMALL)
         assert out.columns == table.columns
         assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted([("1", text), ("1", other), ("4", long + " end"), ("None", ""), ("6", ""), ("7", ""), ("7", "")])
-        for name in ("quality", "decontaminate", "secrets"):
+        for name in ("decontaminate", "secrets"):
             out = stages[name](spark, table, SMALL)
             assert out.columns == table.columns
-            got = [(r.doc_id, r.text) for r in out.collect()]
-            assert Counter(got) == Counter(r for r in rows if r[1] or name != "quality") or name == "quality"
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(rows)
+        out = stages["quality"](spark, table, SMALL)
+        assert out.columns == table.columns
+        got = Counter((r.doc_id, len(r.text)) for r in out.collect())
+        judged = quality.classify(table, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+        assert got == Counter((r.doc_id, r.n_bytes) for r in judged if r.keep) and len(judged) == len(rows)
+        import tiktoken
+        import public_tokenizers
+
+        coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+        ids = {t: coder.encode_ordinary(t or "") for _, t in rows}
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        want = [(i, len(ids[t]), sha(",".join(map(str, ids[t])).encode()), sha((t or "").encode())) for i, t in rows]
+        assert Counter(map(tuple, stages["encode"](spark, table, SMALL).collect())) == Counter(want)
         for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, table.limit(0), SMALL).count() == 0, name
 
@@ -367,10 +382,28 @@ def test_quality_stage_judges_rows(spark):
 def test_bounds_are_of_unseen_text(spark):
     """The bound is the quantile of held-out documents, by brute force over their scores."""
     docs, labels = (spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/{n}.parquet") for n in ("documents", "labels"))
-    rows = quality._judged(docs, labels, False).collect()
+    rows = quality._judged(docs, labels).collect()
     held = sorted(r.score for r in rows if r.held)
     trained = {r.doc_id for r in rows if r.trusted}
     assert held and not trained & {r.doc_id for r in rows if r.held}
     want = held[min(len(held) - 1, math.ceil(quality.HIGH * len(held)) - 1)]
     assert {r.bound for r in rows} == {want}  # fewer than LEAST_TRUSTED of a language
     assert all(r.keep == (r.score <= r.bound) for r in rows)
+
+
+def test_stages_and_runs_leave_others_alone(spark):
+    """A stage deletes nothing that another result reads, and two runs at once do not meet."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality"](spark, docs, SMALL)
+    second = stages["near_duplicates"](spark, docs, SMALL)
+    third = stages["decontaminate"](spark, docs, SMALL)
+    n = first.count(), second.count(), third.count()
+    assert (first.count(), second.count(), third.count()) == n
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(lambda _: corpus_pipeline.run(spark, SMALL), range(2))
+    assert sorted(one.collect()) == sorted(two.collect())
+    with recorded() as made:
+        assert corpus_pipeline.run(spark, SMALL).count() == one.count()
+    where = {p for p in made if os.path.isdir(p.removeprefix("file://"))}
+    assert len(made) > 20 and len(where) <= 2  # the rest went
