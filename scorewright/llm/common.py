@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,8 +84,10 @@ def forget(df: DataFrame) -> None:
 def placed(docs: DataFrame) -> DataFrame:
     """docs with `file__` and `row__`, the file of each row and its number there: keys that even equal rows do not share.
 
-    docs that are more than a table of files are written once, to have such places.
+    docs that are more than a table of files are written once, to have such places; those that have them stay as they are.
     """
+    if {"file__", "row__"} <= set(docs.columns):
+        return docs
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = materialize(docs, "placed")
     return docs.select("*", F.col("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__"))
@@ -155,6 +157,64 @@ def on_shelf(path: str):
     return inside
 
 
+def from_shelf(path: str, value: str, kind: str = "long"):
+    """A Spark function of (file__, row__): the value that was shelved at path for this place, null where none was."""
+
+    @F.arrow_udf(kind)
+    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held = Shelf(path, value)
+        for files, numbers in batches:
+            files, asked = files.dictionary_encode(), numbers.to_numpy(zero_copy_only=False)
+            which, parts, order = files.indices.to_numpy(zero_copy_only=False), [], []
+            for k, file in enumerate(files.dictionary.to_pylist()):
+                mine = np.flatnonzero(which == k)
+                at = held.find(file, asked[mine])
+                order.append(mine)
+                parts.append(held.values.take(pa.array(at, mask=at < 0)) if held.values is not None else pa.nulls(len(mine), pa.int64()))
+            if not parts:
+                yield pa.array([], pa.int64())
+                continue
+            back = np.argsort(np.concatenate(order))
+            yield pa.concat_arrays(parts).take(pa.array(back))
+
+    return found
+
+
+#: Groups that hold at least this part of all rows are broadcast with their values: so many of them at most.
+HOT_GROUPS = 10_000
+#: Rows in a range of `numbered`.
+RANGE_ROWS = 500_000
+
+
+def with_values(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows with the columns of groups (key, n rows, ...) for their key; both are written tables, every key has a group.
+
+    Groups of n_rows / HOT_GROUPS or more rows are broadcast, as there are HOT_GROUPS of them at most; so no task has to
+    gather the rows of a frequent key. The other rows meet their groups by a shuffle.
+    """
+    least = max(2, -(-n_rows // HOT_GROUPS))
+    hot = F.broadcast(groups.filter(F.col("n") >= least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.filter(F.col("n") < least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def numbered(df: DataFrame, group: list[str], order: list, n_rows: int, name: str = "place") -> DataFrame:
+    """df with a column `name`: the place, from 0, of each row among the rows of its group by the columns in order.
+
+    The rows are dealt to ranges of (group, order), so a group may be of any size; a range numbers its rows by itself, and
+    what the ranges before it hold of the same group (a row per range and group) is added.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // RANGE_ROWS))
+    by = [*map(F.col, group), *order]
+    laid = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("at__", F.monotonically_increasing_id())
+    laid = materialize(laid, "ordered").withColumn("part__", F.shiftright("at__", 33)).withColumn("at__", F.col("at__").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = laid.groupBy("part__", *group).agg(F.min("at__").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part__", *group, (F.coalesce(F.sum("n__").over(earlier), F.lit(0)) - F.col("first__")).alias("start__"))
+    out = laid.join(F.broadcast(starts), ["part__", *group])
+    return out.withColumn(name, F.col("start__") + F.col("at__")).drop("part__", "at__", "start__")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop shuffle files whose data frames are gone, before the next phase writes its own."""
     spark.sparkContext._jvm.System.gc()
