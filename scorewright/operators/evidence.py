@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewright.sources.scratch import written
+
 
 def locator_covers(observed: str, expected: str) -> Column:
     """Whether one locator struct covers another: same type, and containment or equality by type.
@@ -85,11 +87,12 @@ def quote_matches(items: DataFrame, gold: DataFrame, counts: DataFrame) -> DataF
     return joined.filter(unique).select("case_id", "evidence_id", "item_id", "rank")
 
 
-def interval_union(gold: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(case_id, evidence_id, complete, rank): whether pieces cover [start, end) of gold without a gap, and from which rank on.
+def interval_union(gold: DataFrame, pieces: DataFrame, items: bool = False) -> DataFrame:
+    """(case_id, evidence_id, complete, rank, covered): whether pieces cover [start, end) of gold without a gap, and from which rank on.
 
     pieces (case_id, evidence_id, item_id, rank, start, end) lie inside the gold range. Taken by (start, end, rank, item_id);
-    a piece that does not reach beyond those before is not used. rank is the greatest of the used ones.
+    a piece that does not reach beyond those before is not used. rank is the greatest of the used ones. With items, a column
+    of that name has the used pieces as sorted (rank, item_id).
     """
     keys = ["case_id", "evidence_id"]
     w = Window.partitionBy(*keys).orderBy("start", "end", "rank", "item_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,10 +105,11 @@ def interval_union(gold: DataFrame, pieces: DataFrame) -> DataFrame:
         F.max("end").alias("last"),
         F.max(F.when(used, F.col("rank"))).alias("used_rank"),
         F.sum(F.when(used, F.col("end") - F.greatest("start", "reached"))).alias("covered"),
+        *([F.sort_array(F.collect_set(F.when(used, F.struct("rank", "item_id")))).alias("items")] if items else []),
     )
     out = g.join(per, keys, "left")
     complete = F.coalesce(~F.col("gap") & (F.col("last") >= F.col("high")), F.lit(False))
-    return out.select(*keys, complete.alias("complete"), F.when(complete, F.col("used_rank")).alias("rank"), F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"))
+    return out.select(*keys, complete.alias("complete"), F.when(complete, F.col("used_rank")).alias("rank"), F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"), *(["items"] if items else []))
 
 
 def footprint(cells: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
@@ -144,80 +148,6 @@ def localize(gold: DataFrame, exact: DataFrame, union: DataFrame, partial: DataF
     return out.select(*keys, status.alias("status"), rank.alias("rank"))
 
 
-def item_matches(items: DataFrame, gold: DataFrame, edges: DataFrame) -> DataFrame:
-    """(case_id, stage, evidence_id, item_id, rank, kind, from, to): what each item is to each gold evidence of its case and
-    document: exact, piece (inside the gold range, formal), near (names or touches it, without proof); others have no row.
-
-    items: (case_id, stage, item_id, rank, document_id, chunk_id, integrity, i_start, i_end, content), places null without a
-    verified locator; gold: (case_id, evidence_id, document_id, object_id, start, end, quote, quote_unique), texts normalized;
-    edges: (object_id, chunk_id, coverage). A legacy item may match by a quote that is unique in the document, a formal one by
-    a full edge; invalid ones never match.
-    """
-    known = edges.groupBy("object_id", "chunk_id").agg(F.bool_or(F.coalesce(F.col("coverage") == "full", F.lit(False))).alias("full"))
-    j = items.join(gold, ["case_id", "document_id"]).join(known, ["object_id", "chunk_id"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    placed, formal = F.col("i_start").isNotNull(), F.col("integrity") == "formal"
-    said = ~placed & (F.col("quote") != "") & F.contains("content", "quote")
-    covers = placed & (F.col("integrity") != "invalid") & (F.col("i_start") <= F.col("start")) & (F.col("i_end") >= F.col("end"))
-    exact = covers | (formal & F.col("full")) | ((F.col("integrity") == "legacy") & F.col("quote_unique") & said)
-    piece = formal & (F.col("i_start") >= F.col("start")) & (F.col("i_end") <= F.col("end")) & (F.col("i_start") < F.col("i_end"))
-    near = F.col("full").isNotNull() | said | ((F.col("i_start") < F.col("end")) & (F.col("start") < F.col("i_end")))
-    kind = F.when(yes(exact), "exact").when(yes(piece), "piece").when(yes(near), "near")
-    return j.select("case_id", "stage", "evidence_id", "item_id", "rank", kind.alias("kind"), F.col("i_start").alias("from"), F.col("i_end").alias("to")).filter("kind IS NOT NULL")
-
-
-def table_hits(cells: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
-    """(case_id, stage, evidence_id, hit_cells, cells, rank) of tables of which some cell has a fully covering item.
-
-    cells: (case_id, evidence_id, object_id); the least rank of a cell counts, the table's is the greatest of these.
-    """
-    led = cells.join(edges.filter("coverage = 'full'").select("object_id", "chunk_id"), "object_id")
-    hits = led.join(items.select("case_id", "stage", "chunk_id", "rank"), ["case_id", "chunk_id"]).groupBy("case_id", "stage", "evidence_id", "object_id").agg(F.min("rank").alias("rank"))
-    size = cells.groupBy("case_id", "evidence_id").agg(F.count_distinct("object_id").alias("cells"))
-    per = hits.groupBy("case_id", "stage", "evidence_id").agg(F.count(F.lit(1)).alias("hit_cells"), F.max("rank").alias("rank"))
-    return per.join(size, ["case_id", "evidence_id"])
-
-
-def cascade(stages: DataFrame, gold: DataFrame, items: DataFrame, edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """(case_id, stage, evidence_id, status, rank, item_id, how): every gold evidence at every observable stage, decided by the
-    first that holds of: an exact item, a whole table, a part of a table, a gapless union of pieces, a piece, a proven miss, an
-    item that only refers to it (provenance_missing), and else retrieval_missed.
-
-    stages: (case_id, stage, observable); gold also has extent_complete; the others as for item_matches and table_hits.
-    A miss is proven where the extent is complete, every edge of the object states its coverage and none leads to an item of
-    the stage. All kinds are reduced in one aggregation by (case_id, stage, evidence_id).
-    """
-    keys = ["case_id", "stage", "evidence_id"]
-    met = item_matches(items, gold, edges)
-    place = F.struct("rank", "item_id")
-    of = lambda kind, what: F.when(F.col("kind") == kind, what)
-    per = met.groupBy(*keys).agg(F.min(of("exact", place)).alias("exact"), F.max(of("piece", F.col("rank"))).alias("piece"), F.min(of("near", place)).alias("near"))
-    pieces = met.filter("kind = 'piece'").select(F.struct("case_id", "stage").alias("case_id"), "evidence_id", "item_id", "rank", F.col("from").alias("start"), F.col("to").alias("end"))
-    asked = stages.filter("observable").select("case_id", "stage").join(gold, "case_id")
-    ranges = asked.select(F.struct("case_id", "stage").alias("case_id"), "evidence_id", "start", "end").join(pieces.select("case_id", "evidence_id").distinct(), ["case_id", "evidence_id"], "left_semi")
-    union = interval_union(ranges, pieces).filter("complete").select("case_id.case_id", "case_id.stage", "evidence_id", F.col("rank").alias("union_rank"))
-    tables = table_hits(cells, edges, items).select(*keys, "hit_cells", "cells", F.col("rank").alias("table_rank"))
-    stated = edges.groupBy("object_id").agg(F.bool_and(F.coalesce(F.col("coverage").isin("full", "partial"), F.lit(False))).alias("stated"))
-    got = edges.join(gold.select("case_id", "evidence_id", "object_id"), "object_id").join(items.select("case_id", "stage", "chunk_id").distinct(), ["case_id", "chunk_id"]).select(*keys, F.lit(True).alias("led")).distinct()
-    out = asked.select(*keys, "object_id", "extent_complete").join(stated, "object_id", "left")
-    for other in (per, union, tables, got):
-        out = out.join(other, keys, "left")
-    missed = F.col("extent_complete") & F.coalesce("stated", F.lit(False)) & F.col("led").isNull()
-    decided = lambda status, rank, item, how: F.struct(F.lit(status).alias("status"), rank.alias("rank"), item.alias("item_id"), F.lit(how).alias("how"))
-    no_rank, no_item = F.lit(None).cast(items.schema["rank"].dataType), F.lit(None).cast(items.schema["item_id"].dataType)
-    what = (
-        F.when(F.col("exact").isNotNull(), decided("matched", F.col("exact.rank"), F.col("exact.item_id"), "exact"))
-        .when(F.col("hit_cells") == F.col("cells"), decided("matched", F.col("table_rank"), no_item, "table"))
-        .when(F.col("hit_cells") > 0, decided("partial", F.col("table_rank"), no_item, "table_part"))
-        .when(F.col("union_rank").isNotNull(), decided("matched", F.col("union_rank"), no_item, "union"))
-        .when(F.col("piece").isNotNull(), decided("partial", F.col("piece"), no_item, "piece"))
-        .when(missed, decided("retrieval_missed", no_rank, no_item, "proven"))
-        .when(F.col("near").isNotNull(), decided("provenance_missing", F.col("near.rank"), F.col("near.item_id"), "near"))
-        .otherwise(decided("retrieval_missed", no_rank, no_item, "unproven"))
-    )
-    return out.select(*keys, what.alias("w")).select(*keys, "w.*")
-
-
 #: Fixed value: why a stage cannot be scored although it is observable.
 UNMAPPED = "runtime provenance mapping is unavailable for required Gold Evidence"
 
@@ -226,7 +156,7 @@ def observability(stages: DataFrame, paths: DataFrame, localized: DataFrame) ->
     """(case_id, stage, reason): why a stage cannot be scored, null if it can.
 
     A stage that some path completes can; otherwise a clause without a matched alternative must have none whose provenance is
-    missing. stages: (case_id, stage, observable); paths: (case_id, path, clause, evidence_id); localized: from cascade.
+    missing. stages: (case_id, stage, observable); paths: (case_id, path, clause, evidence_id); localized: from localize.cascade.
     """
     keys = ["case_id", "stage"]
     j = stages.filter("observable").select(*keys).join(paths, "case_id").join(localized.select(*keys, "evidence_id", "status"), [*keys, "evidence_id"], "left")
@@ -330,7 +260,7 @@ def witness_bridges(chunks: DataFrame, objects: DataFrame, length: int = 48, ste
     own = values.select("class_id", F.explode(F.transform(starts, lambda at: F.substring("value", at + 1, F.lit(length)))).alias("window")).distinct()
     every = _windows(values.select("class_id", F.col("value").alias("text")), "class_id", length)
     alone = every.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("window")
-    witnesses = own.join(alone, "window", "left_semi").checkpoint()
+    witnesses = written(own.join(alone, "window", "left_semi"))
     only = frozenset(r.window for r in witnesses.select("window").toLocalIterator()) if witnesses.count() <= most else None
     texts = chunks.select("chunk_id", plain(F.col("text")).alias("text"))
     return _windows(texts, "chunk_id", length, only).join(witnesses, "window").select("chunk_id", "class_id").distinct()

@@ -130,35 +130,6 @@ def witness_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.witness_bridges(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), items)
 
 
-#: Inputs of the localization cascade, in SQL that Spark and DuckDB read alike.
-INPUTS = {
-    "lg": """SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS evidence_id, l_orderkey % 100 AS document_id, l_orderkey * 10 + l_linenumber AS object_id, l_linenumber * 100 AS start, l_linenumber * 100 + 60 AS "end",
- 'q' || (l_orderkey * 10 + l_linenumber) || ';' AS quote, (l_orderkey + l_linenumber) % 4 <> 0 AS quote_unique, l_linenumber <> 4 AS extent_complete FROM {lineitem}""",
-    "lt": """SELECT l_orderkey AS case_id, stage, l_partkey * 10 + l_linenumber AS item_id, l_suppkey % 9 + 1 AS rank, CASE WHEN l_partkey % 11 = 0 THEN -1 ELSE l_orderkey % 100 END AS document_id, l_partkey % 50 AS chunk_id,
- CASE l_partkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'legacy' ELSE 'formal' END AS integrity, CASE WHEN l_partkey % 4 <> 0 THEN (l_linenumber + l_partkey % 3) * 100 + l_suppkey % 4 * 20 END AS i_start,
- CASE WHEN l_partkey % 4 <> 0 THEN (l_linenumber + l_partkey % 3) * 100 + l_suppkey % 4 * 20 + l_partkey % 3 * 20 + 20 END AS i_end, 'x q' || (l_orderkey * 10 + l_linenumber % 3 + 1) || '; y' AS content
- FROM {lineitem} CROSS JOIN (VALUES ('raw', 9), ('ranked', 6), ('context', 3)) t(stage, top) WHERE l_suppkey % 9 + 1 <= top""",
-    "le": "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS object_id, l_partkey % 50 AS chunk_id, CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'full' WHEN 1 THEN NULL ELSE 'partial' END AS coverage FROM {lineitem} WHERE l_suppkey % 3 <> 0",
-    "lc": "SELECT DISTINCT l_orderkey AS case_id, 7 AS evidence_id, l_orderkey * 10 + l_linenumber AS object_id FROM {lineitem} WHERE l_linenumber <= 2",
-    "ls": "SELECT o_orderkey AS case_id, stage, NOT (stage = 'raw' AND o_orderkey % 13 = 0) AS observable FROM {orders} CROSS JOIN (VALUES ('raw'), ('ranked'), ('context')) t(stage)",
-    "lp": "SELECT DISTINCT l_orderkey AS case_id, CASE WHEN l_linenumber <= 3 THEN 0 ELSE 1 END AS path, CASE WHEN l_linenumber <= 3 THEN l_linenumber ELSE 9 END AS clause, l_linenumber AS evidence_id FROM {lineitem}",
-}
-
-
-def _inputs(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    tables = {t: _t(spark, sf_dir, t) for t in ("lineitem", "orders")}
-    return [spark.sql(INPUTS[n].replace('"', "`"), **{t: df for t, df in tables.items() if f"{{{t}}}" in INPUTS[n]}) for n in names]
-
-
-def localization_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.cascade(*_inputs(spark, sf_dir, "ls", "lg", "lt", "le", "lc"))
-
-
-def stage_observability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages, paths = _inputs(spark, sf_dir, "ls", "lp")
-    return evidence.observability(stages, paths, localization_cascade(spark, sf_dir))
-
-
 def latest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     old = e.filter("event_id % 10 = 3").select("user_id", "event_id")
@@ -257,7 +228,7 @@ def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (quote_counts, interval_union, overlap_edges, section_of, active_spans, earliest_match, table_footprint, true_misses, edge_round_trip, localization, locator_cover, leaf_chunks,
-                                   unique_bridges, witness_bridges, localization_cascade, stage_observability, latest_revision, review_decisions, illegal_steps, sentence_packing, leaf_segments, cell_headers, shared_tokens, near_sets, overlap_gate, set_gate, text_functions, markup, digests, seeded_order, range_merge, range_parse)}
+                                   unique_bridges, witness_bridges, latest_revision, review_decisions, illegal_steps, sentence_packing, leaf_segments, cell_headers, shared_tokens, near_sets, overlap_gate, set_gate, text_functions, markup, digests, seeded_order, range_merge, range_parse)}
 
 _EDGES = """o AS (SELECT user_id AS d, event_id AS id, event_id AS s, event_id + 30 + event_id % 50 AS e FROM events), c AS (SELECT user_id AS d, event_id AS id, event_id - 20 AS s, event_id + 300 AS e FROM events WHERE event_id % 5 = 0),
 x AS (SELECT o.d AS document_id, o.id AS object_id, c.id AS chunk_id, CASE WHEN c.s <= o.s AND c.e >= o.e THEN 'full' ELSE 'partial' END AS coverage, greatest(o.s, c.s) AS start, least(o.e, c.e) AS "end" FROM o JOIN c ON o.d = c.d AND o.s < c.e AND c.s < o.e)"""
@@ -269,32 +240,7 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM wr x JOIN wr y ON x.tok =
 j AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b
  UNION ALL SELECT a, b, 1.0 AS jaccard FROM (SELECT min(id) OVER (PARTITION BY k) AS a, id AS b FROM h) WHERE a <> b)"""
 
-_CASCADE = ", ".join(f"{n} AS ({q})" for n, q in INPUTS.items()).replace("{", "").replace("}", "") + """,
-jn AS (SELECT t.case_id, t.stage, g.evidence_id, t.item_id, t.rank, t.i_start AS a, t.i_end AS b, g.start AS s, g."end" AS e, integrity, contains(content, quote) AND i_start IS NULL AS said, quote_unique,
- (SELECT count(*) FROM le WHERE le.object_id = g.object_id AND le.chunk_id = t.chunk_id) AS ne, (SELECT count(*) FROM le WHERE le.object_id = g.object_id AND le.chunk_id = t.chunk_id AND coverage = 'full') AS nf
- FROM lt t JOIN lg g ON g.case_id = t.case_id AND g.document_id = t.document_id),
-kd AS (SELECT *, CASE WHEN integrity <> 'invalid' AND a <= s AND b >= e THEN 'exact' WHEN integrity = 'formal' AND nf > 0 THEN 'exact' WHEN integrity = 'legacy' AND quote_unique AND said THEN 'exact'
- WHEN integrity = 'formal' AND a >= s AND b <= e AND a < b THEN 'piece' WHEN ne > 0 OR said OR (a < e AND s < b) THEN 'near' END AS kind FROM jn),
-ex AS (SELECT case_id, stage, evidence_id, rank, item_id FROM kd WHERE kind = 'exact' QUALIFY row_number() OVER (PARTITION BY case_id, stage, evidence_id ORDER BY rank, item_id) = 1),
-nr AS (SELECT case_id, stage, evidence_id, rank, item_id FROM kd WHERE kind = 'near' QUALIFY row_number() OVER (PARTITION BY case_id, stage, evidence_id ORDER BY rank, item_id) = 1),
-pc AS (SELECT *, coalesce(max(b) OVER (PARTITION BY case_id, stage, evidence_id ORDER BY a, b, rank, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS reach FROM kd WHERE kind = 'piece'),
-pp AS (SELECT case_id, stage, evidence_id, max(rank) AS top, bool_or(a > reach) AS gap, max(b) >= any_value(e) AS done, max(rank) FILTER (b > reach) AS used FROM pc GROUP BY ALL),
-ch AS (SELECT lc.case_id, lt.stage, lc.evidence_id, lc.object_id, min(lt.rank) AS r FROM lc JOIN le ON le.object_id = lc.object_id AND coverage = 'full' JOIN lt ON lt.case_id = lc.case_id AND lt.chunk_id = le.chunk_id GROUP BY ALL),
-tb AS (SELECT case_id, stage, evidence_id, count(*) AS h, max(r) AS r, (SELECT count(*) FROM lc WHERE lc.case_id = ch.case_id) AS n FROM ch GROUP BY ALL),
-ok AS (SELECT object_id FROM le GROUP BY 1 HAVING count(*) = count(coverage)),
-ca AS (SELECT s.case_id, s.stage, g.evidence_id, ex.rank AS xr, ex.item_id AS xi, nr.rank AS nrk, nr.item_id AS ni, pp.top, CASE WHEN NOT gap AND done THEN used END AS ur, h, tb.n, tb.r AS tr,
- g.extent_complete AND g.object_id IN (SELECT object_id FROM ok) AND NOT EXISTS (SELECT 1 FROM le JOIN lt ON lt.chunk_id = le.chunk_id WHERE le.object_id = g.object_id AND lt.case_id = s.case_id AND lt.stage = s.stage) AS ms
- FROM ls s JOIN lg g ON g.case_id = s.case_id LEFT JOIN ex ON (ex.case_id, ex.stage, ex.evidence_id) = (s.case_id, s.stage, g.evidence_id) LEFT JOIN nr ON (nr.case_id, nr.stage, nr.evidence_id) = (s.case_id, s.stage, g.evidence_id)
- LEFT JOIN pp ON (pp.case_id, pp.stage, pp.evidence_id) = (s.case_id, s.stage, g.evidence_id) LEFT JOIN tb ON (tb.case_id, tb.stage, tb.evidence_id) = (s.case_id, s.stage, g.evidence_id) WHERE s.observable),
-cx AS (SELECT *, CASE WHEN xr IS NOT NULL THEN 'exact' WHEN h = n THEN 'table' WHEN h > 0 THEN 'table_part' WHEN ur IS NOT NULL THEN 'union' WHEN top IS NOT NULL THEN 'piece' WHEN ms THEN 'proven' WHEN nrk IS NOT NULL THEN 'near' ELSE 'unproven' END AS how FROM ca),
-lo AS (SELECT case_id, stage, evidence_id, how, CASE how WHEN 'table_part' THEN 'partial' WHEN 'piece' THEN 'partial' WHEN 'proven' THEN 'retrieval_missed' WHEN 'unproven' THEN 'retrieval_missed' WHEN 'near' THEN 'provenance_missing' ELSE 'matched' END AS status,
- CASE how WHEN 'exact' THEN xr WHEN 'table' THEN tr WHEN 'table_part' THEN tr WHEN 'union' THEN ur WHEN 'piece' THEN top WHEN 'near' THEN nrk END AS rank, CASE how WHEN 'exact' THEN xi WHEN 'near' THEN ni END AS item_id FROM cx)"""
-
 ORACLES = {
-    "localization_cascade": f"WITH {_CASCADE} SELECT * FROM lo",
-    "stage_observability": f"""WITH {_CASCADE}, cc AS (SELECT lo.case_id, lo.stage, path, clause, max((status = 'matched')::int) AS hit, max((status = 'provenance_missing')::int) AS unk FROM lo JOIN lp ON lp.case_id = lo.case_id AND lp.evidence_id = lo.evidence_id GROUP BY ALL),
-cp AS (SELECT case_id, stage, path, min(hit) AS whole, max(unk * (1 - hit)) AS unk FROM cc GROUP BY ALL), cs AS (SELECT case_id, stage, max(whole) AS whole, max(unk) AS unk FROM cp GROUP BY ALL)
-SELECT ls.case_id, ls.stage, CASE WHEN NOT observable THEN ls.stage || ' stage is not observable' WHEN whole = 0 AND unk = 1 THEN 'runtime provenance mapping is unavailable for required Gold Evidence' END AS reason FROM ls LEFT JOIN cs ON cs.case_id = ls.case_id AND cs.stage = ls.stage""",
     "witness_bridges": r"""WITH b AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS v, min(item_id) AS class_id FROM benchmark GROUP BY 1), c AS (SELECT * FROM b WHERE length(v) >= 48),
 w AS (SELECT DISTINCT class_id, substr(v, p + 1, 48) AS w FROM (SELECT *, unnest(list_append(range(0, length(v) - 47, 24), length(v) - 48)) AS p FROM c)), u AS (SELECT w.* FROM w WHERE (SELECT count(*) FROM c WHERE contains(c.v, w.w)) = 1)
 SELECT DISTINCT doc_id AS chunk_id, class_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) JOIN u ON contains(t, w)""",

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorewright.functions import digests, text
-from scorewright.operators import aggregate, answers, compare, dedup, evidence, lifecycle, mses, segment, validate
+from scorewright.operators import aggregate, answers, compare, dedup, evidence, lifecycle, localize, mses, provenance, segment, validate
 from scorewright.sources import readers, sinks
 from scorewright.streaming.metrics import running_metrics
 
@@ -233,24 +233,124 @@ def test_numbers_of_any_size(spark):
     assert [r.verdict for r in answers.score_answers(df).collect()] == ["PASS", "FAIL", "PASS", "PASS", "FAIL", "PASS"]
 
 
+CATALOG = "map_id string, key string, object_id string, document_id string, status string, ranges array<struct<start:int,end:int>>, table_id string, start int, end int, source_sha256 string"
+EDGES = "map_id string, object_id string, chunk_id string, document_id string, coverage string, start int, end int"
+CHUNKS = "map_id string, chunk_id string, document_id string, span_start int, span_end int, span_status string, attribution string"
+
+
+def entry(object_id, low, high, key=None, document="d", status="mapped", table=None, m="m", span=None, source=None):
+    return (m, key, object_id, document, status, [(low, high)] if low is not None else [], table, *(span or (None, None)), source)
+
+
+def test_catalog_keys_fall_into_valid_and_invalid(spark):
+    rows = [entry("a", 0, 9), entry("b", 0, 9, key="c"), entry(None, 0, 9, key="d"), entry(None, 0, 9), entry("e", 9, 9), entry("f", -1, 3), entry("g", 0, 9, document=""),
+            entry("h", 0, 9, status="fine"), entry("a", 5, 5, m="n"), entry("a", 0, 9, m="n"), entry("i", None, None), entry("j", 0, 9, status="partial"), entry("k", 0, 9, document=None)]
+    checked = provenance.catalog_faults(spark.createDataFrame(rows, CATALOG))
+    assert [r.fault for r in checked.collect()] == [None, "key_differs", None, "no_object_id", "malformed_extent", "malformed_extent", "blank_document", "unknown_status", "malformed_extent", None, None, None, None]
+    assert {(r.map_id, r.object_id, r.complete) for r in provenance.records(checked).collect()} == {("m", "a", True), ("m", "d", True), ("m", "i", False), ("m", "j", False), ("m", "k", True)}
+
+
+def test_maps_are_trusted_only_if_both_directions_and_pins_agree(spark):
+    good = [("o1", "k1", "d", "full", 0, 9), ("o2", "k1", None, None, None, None)]
+    cases = {
+        "fine": (good, good, {}),
+        "loose": (good, [("o1", "k1", None, None, None, None), good[1]], {}),
+        "forward": (good, good[:1], {}),
+        "reverse": (good[:1], good, {}),
+        "coverage": (good, [("o1", "k1", "d", "partial", 0, 9), good[1]], {}),
+        "place": (good, [("o1", "k1", "d", "full", 1, 9), good[1]], {}),
+        "document": ([("o1", "k1", "e", "full", 0, 9)], [("o1", "k1", "e", "full", 0, 9)], {}),
+        "chunk": ([("o1", "k9", "d", "full", 0, 9)], [("o1", "k9", "d", "full", 0, 9)], {}),
+        "object": ([("o9", "k1", "d", "full", 0, 9)], [("o9", "k1", "d", "full", 0, 9)], {}),
+        "none": ([], [], {}),
+        "digest": (good, good, {"digest": "y"}),
+        "unpinned": (good, good, {"pin": None}),
+        "source": (good, good, {"pin": "other"}),
+    }
+    reverse, forward, catalog, chunks, pins, maps = [], [], [], [], [], []
+    for m, (r, f, more) in cases.items():
+        reverse += [(m, *x) for x in r]
+        forward += [(m, *x) for x in f]
+        catalog += [entry("o1", 0, 9, m=m, source="s"), entry("o2", 0, 9, m=m)]
+        chunks += [(m, "k1", "d", 0, 99, "verified", "full")]
+        maps += [(m, more.get("digest", "x"), "x")]
+        pins += [(m, "d", more.get("pin", "s")), (m, "e", "s")] if more.get("pin", "s") else []
+    frame = spark.createDataFrame
+    reverse, forward, chunks = frame(reverse, EDGES), frame(forward, EDGES), frame(chunks, CHUNKS)
+    checked = provenance.catalog_faults(frame(catalog, CATALOG))
+    faults = provenance.edge_faults(forward, reverse, chunks, provenance.records(checked))
+    found = {(r.map_id, r.direction, r.fault) for r in faults.collect()}
+    both = lambda m, fault: {(m, "reverse", fault), (m, "forward", fault)}
+    assert found == {("forward", "reverse", "no_forward_edge"), ("reverse", "forward", "no_reverse_edge")} | both("coverage", "edges_differ") | both("place", "edges_differ") | both("document", "document_differs") | both("chunk", "no_chunk") | both("object", "not_in_catalog")
+    states = provenance.map_states(frame(maps, "map_id string, digest string, pinned string"), checked, reverse, faults, frame(pins, "map_id string, document_id string, digest string"))
+    want = {m: "round_trip_failed" for m in cases} | {"fine": "trusted", "loose": "trusted", "none": "no_edges", "digest": "map_not_pinned", "unpinned": "source_not_pinned", "source": "source_differs"}
+    assert {r.map_id: r.state for r in states.collect()} == want
+
+
 def test_cascade_decides_in_order(spark):
-    gold = spark.createDataFrame([("c", e, "d", f"o{e}", 100, 200, f"quote {e}", e == 1, e != 6) for e in range(1, 8)], "case_id string, evidence_id int, document_id string, object_id string, start int, end int, quote string, quote_unique boolean, extent_complete boolean")
-    gold = gold.filter("evidence_id <> 7").unionByName(gold.filter("evidence_id = 7").withColumn("document_id", F.lit("e")))
-    rows = [
-        ("c", "raw", "i1", 3, "d", "k1", "legacy", None, None, "has quote 1 in it"),
-        ("c", "raw", "i2", 2, "d", "k2", "invalid", None, None, "has quote 2 in it"),
-        ("c", "raw", "i3", 1, "e", "k3", "formal", 100, 150, ""),
-        ("c", "raw", "i4", 4, "e", "k4", "formal", 150, 200, ""),
+    """One gold per way to decide; items of a document that a gold does not name are nothing to it; untrusted edges prove nothing."""
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    span = lambda a, b: text[a:b]
+    gold = [
+        ("c", 1, "m", "d", "o1", False, None, None, "quote one", True, False),  # quote of a legacy item
+        ("c", 2, "m", "d", "o2", False, None, None, "quote two", True, True),  # an item without a document
+        ("c", 3, "m", "d", "t", True, None, None, "", False, False),  # two cells, two items
+        ("c", 4, "m", "d", "o4", False, None, None, "", False, False),  # union of two pieces
+        ("c", 5, "m", "d", "o5", False, None, None, "", False, False),  # a piece; another has other bytes than the source
+        ("c", 6, "m", "d", "o6", False, None, None, "", False, False),  # proven miss
+        ("c", 7, "m", "d", "o7", False, None, None, "quote seven", True, False),  # said by an item whose chunk lies elsewhere
+        ("c", 8, "m", "d", "o8", False, None, None, "quote eight", True, False),  # said by an invalid item
+        ("c", 9, "m", "d", None, False, 900, 950, "", False, False),  # span, by an edge of exactly this place
+        ("c", 10, "m", "x", "o1", False, None, None, "quote one", True, False),  # another document
+        ("c", 11, "m", "d", "o9", False, None, None, "", False, False),  # formal, its metadata claims another object
     ]
-    items = spark.createDataFrame(rows, "case_id string, stage string, item_id string, rank int, document_id string, chunk_id string, integrity string, i_start int, i_end int, content string")
-    edges = spark.createDataFrame([("o4", "k9", "full"), ("o5", "k9", None), ("o6", "k9", "full"), ("cell1", "k1", "full"), ("cell2", "k9", "full")], "object_id string, chunk_id string, coverage string")
-    cells = spark.createDataFrame([("c", 3, "cell1"), ("c", 3, "cell2")], "case_id string, evidence_id int, object_id string")
+    gold = spark.createDataFrame(gold, "case_id string, evidence_id int, map_id string, document_id string, object_id string, is_table boolean, start int, end int, quote string, quote_unique boolean, corpus_unique boolean")
+    items = [
+        ("c", "raw", "i1", 3, "d", "k1", "legacy", None, None, None, None, None, None, "has quote one in it"),
+        ("c", "raw", "i2", 2, None, "k0", "legacy", None, None, None, None, None, None, "quote two"),
+        ("c", "raw", "i3", 4, "d", "k3", "formal", None, None, None, None, None, None, ""),
+        ("c", "raw", "i4", 5, "d", "k4", "formal", None, None, None, None, None, None, ""),
+        ("c", "raw", "i5", 7, "d", "k5", "formal", None, None, None, None, 400, 460, span(400, 460)),
+        ("c", "raw", "i6", 6, "d", "k6", "formal", None, None, None, None, 440, 500, span(440, 500)),
+        ("c", "raw", "i7", 8, "d", "k7", "formal", None, None, None, None, 500, 560, span(500, 560)),
+        ("c", "raw", "i8", 1, "d", "k8", "formal", None, None, None, None, 560, 600, "not what the source has there"),
+        ("c", "raw", "i9", 9, "d", "k9", "legacy", "missing", None, None, None, None, None, "quote seven"),
+        ("c", "raw", "ia", 9, "d", "ka", "invalid", None, None, None, None, None, None, "quote eight"),
+        ("c", "raw", "ib", 9, "d", "kb", "formal", None, None, 890, 960, None, None, ""),
+        ("c", "raw", "ic", 9, "d", "kc", "formal", None, None, None, None, None, None, ""),
+        ("c", "context", "i3", 1, "d", "k3", "formal", None, None, None, None, None, None, ""),
+    ]
+    items = spark.createDataFrame(items, "case_id string, stage string, item_id string, rank int, document_id string, chunk_id string, integrity string, provenance_status string, i_object string, i_start int, i_end int, r_start int, r_end int, content string")
+    claims = spark.createDataFrame([("c", "raw", "ic", 1, 0, "other", "full", None, None, None, None), ("c", "raw", "i5", 1, 0, "o4", "partial", 400, 460, None, None)],
+                                   "case_id string, stage string, item_id string, source int, place int, object_id string, coverage string, start int, end int, e_start int, e_end int")
+    edges = [("o4", "k5", "partial", 400, 460), ("o4", "k6", "partial", 440, 500), ("o5", "k7", "partial", 500, 560), ("o5", "k8", "partial", 560, 600), ("o6", "kz", "full", None, None), ("o1", "k9", "full", None, None),
+             ("cell1", "k3", "full", None, None), ("cell2", "k4", "full", None, None), ("place", "kb", "full", None, None), ("o9", "kc", "full", None, None), ("o7", "kz", None, None, None), ("o8", "kz", None, None, None)]
+    edges = spark.createDataFrame([("m", o, k, "d", *x) for o, k, *x in edges], EDGES)
+    catalog = [entry(f"o{k}", 100 * k, 100 * k + 100) for k in (1, 2, 4, 6, 7, 8, 9)] + [entry("o5", 500, 600), entry("cell1", 300, 350, table="t"), entry("cell2", 350, 400, table="t"), entry("t", 300, 400), entry("place", 900, 950, span=(900, 950))]
+    known = provenance.records(provenance.catalog_faults(spark.createDataFrame(catalog, CATALOG)))
+    chunks = spark.createDataFrame([("m", "k9", "d", 0, 90, "verified", "full"), ("m", "ka", "d", 0, 90, "verified", "full")], CHUNKS)
+    texts = spark.createDataFrame([("d", text)], "document_id string, text string")
     stages = spark.createDataFrame([("c", "raw", True), ("c", "ranked", False), ("c", "context", True)], "case_id string, stage string, observable boolean")
-    out = {(r.stage, r.evidence_id): (r.status, r.how, r.rank, r.item_id) for r in evidence.cascade(stages, gold, items, edges, cells).collect()}
-    assert {s for s, _ in out} == {"raw", "context"}
-    assert out["raw", 1] == ("matched", "exact", 3, "i1") and out["raw", 2] == ("provenance_missing", "near", 2, "i2") and out["raw", 3] == ("partial", "table_part", 3, None)
-    assert out["raw", 4][:2] == ("retrieval_missed", "proven") and out["raw", 5][:2] == ("retrieval_missed", "unproven") and out["raw", 6][:2] == ("retrieval_missed", "unproven")
-    assert out["raw", 7] == ("matched", "union", 4, None) and out["context", 1][:2] == ("retrieval_missed", "unproven")
+
+    def run(edges, known, chunks):
+        rows = localize.cascade(stages, gold, items, claims, edges, known, chunks, texts).collect()
+        assert {r.stage for r in rows} == {"raw", "context"}
+        return {(r.stage, r.evidence_id): (r.status, r.how, r["rank"], r.item_ids) for r in rows}
+
+    out = run(edges, known, chunks)
+    raw = {k: out["raw", k] for k in range(1, 12)}
+    assert raw[1] == ("matched", "exact", 3, ["i1"]) and raw[2] == ("matched", "exact", 2, ["i2"])
+    assert raw[3] == ("matched", "table", 5, ["i3", "i4"]) and out["context", 3] == ("partial", "table_part", 1, ["i3"])
+    assert raw[4] == ("matched", "union", 7, ["i6", "i5"]) and raw[5] == ("partial", "piece", 8, ["i7"])
+    assert raw[6] == ("retrieval_missed", "proven", None, None)
+    assert raw[7] == ("retrieval_missed", "unproven", None, None)  # the chunk is mapped and lies elsewhere
+    assert raw[8] == ("provenance_missing", "near", 9, ["ia"])
+    assert raw[9] == ("matched", "exact", 9, ["ib"])
+    assert raw[10] == ("retrieval_missed", "unproven", None, None)
+    assert raw[11] == ("provenance_missing", "near", 9, ["ic"])
+    assert run(edges, known, chunks.withColumn("attribution", F.lit("partial")))["raw", 7] == ("provenance_missing", "near", 9, ["i9"])
+    nothing = run(edges.limit(0), known.limit(0), chunks.limit(0))
+    assert nothing["raw", 1][1] == nothing["raw", 2][1] == "exact" and all(nothing["raw", k][1] in ("near", "unproven") for k in range(3, 12))
 
 
 def test_witnesses_are_of_one_class(spark):
