@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorewright.functions import digests, text
-from scorewright.operators import aggregate, answers, compare, dedup, evidence, lifecycle, localize, mses, provenance, segment, validate
+from scorewright.operators import aggregate, align, answers, compare, dedup, evidence, lifecycle, localize, mses, provenance, segment, validate
 from scorewright.sources import readers, sinks
 from scorewright.streaming.metrics import running_metrics
 
@@ -388,3 +388,44 @@ def test_duplicate_and_near_miss_questions(spark):
     )
     got = {(r.severity, r.affected_id) for r in found.filter("rule_id = 'case.duplicate_near_miss'").collect()}
     assert got == {("error", "1"), ("error", "2"), ("warn", "3"), ("warn", "4")}
+
+
+def walked(text, blocks):
+    """By definition: one cursor over the lines."""
+    lines, at = [], 0
+    for raw in text.splitlines(keepends=True):
+        lines.append((raw.rstrip("\r\n"), at))
+        at += len(raw)
+    cursor, out = 0, {}
+    for block_id, ordinal, kind, level, value, status in sorted(blocks, key=lambda b: (b[1] or -1, str(b[0]))):
+        if status == "unsupported":
+            out[block_id] = ("unsupported_object", None, None)
+            continue
+        mark = "#" * level + " " if kind == "heading" and level and 1 <= level <= 9 else "- " if kind == "list_item" else ""
+        hit = next(((t, s) for t, s in lines if t == mark + value and s >= cursor), None)
+        if hit is None or not value:
+            out[block_id] = ("execution_line_not_found", None, None)
+            continue
+        cursor = hit[1] + len(hit[0])
+        out[block_id] = ("aligned", hit[1] + len(mark), cursor)
+    return out
+
+
+def test_line_alignment(spark):
+    rng = random.Random(2)
+    kinds = [("paragraph", None), ("list_item", None), ("heading", 2), ("heading", None), ("heading", 12)]
+    documents, blocks = [(-1, ""), (-2, None), (-3, "a\r\n\r\nb\x0bc\u2028d\r"), (-4, "same\n" * 40)], []
+    for d in range(30):
+        pool = [rng.choice(["x", "y", "ß", "long line", "🙂"]) for _ in range(rng.randrange(1, 4))]
+        documents.append((d, rng.choice(["\n", "\r\n", "\x85"]).join(rng.choice(["", "- ", "## "]) + rng.choice(pool) for _ in range(rng.randrange(25)))))
+        blocks += [(d, b, rng.choice([None, 0, b, b, b // 3]), *rng.choice(kinds), rng.choice([*pool, "", "z"]), rng.choice([None, "ok", "ok", "ok", "unsupported"])) for b in range(rng.randrange(25))]
+    blocks += [(-3, k, k, "paragraph", None, v, None) for k, v in enumerate("abcd", 1)] + [(-4, k, 7, "paragraph", None, "same", None) for k in range(50)] + [(-1, 1, 1, "paragraph", None, "a", None), (-9, 1, 1, "paragraph", None, "a", None)]
+    docs = spark.createDataFrame(documents, "document_id long, text string")
+    frame = spark.createDataFrame(blocks, "document_id long, block_id int, body_ordinal int, kind string, level int, value string, status string")
+    got = {(r.document_id, r.block_id): (r.status, r.start, r.end) for r in align.aligned(docs, frame).collect()}
+    texts = dict(documents)
+    want = {}
+    for d in {b[0] for b in blocks}:
+        want |= {(d, k): v for k, v in walked(texts.get(d) or "", [b[1:] for b in blocks if b[0] == d]).items()}
+    assert got == want and sum(v[0] == "aligned" for v in want.values()) > 60
+    assert align.aligned(docs, frame.limit(0)).count() == 0
