@@ -12,6 +12,7 @@ import base64
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,25 +98,40 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _token_at(self, data: bytes, end: int) -> int:
-        v, last = self.vocabulary, self.last
-        get, pair = v.ranks.get, v._pairs.get
-        for start in range(max(0, end - v.longest), end):
-            token = get(data[start:end])
-            if token is not None:
+    def _grow(self, stop: int) -> None:
+        """Store the last tokens of the prefixes up to stop bytes."""
+        v, data, last = self.vocabulary, self.data, self.last
+        get, pair, fits, edges, longest = v.ranks.get, v._pairs.get, v.fits, v.edges, v.longest
+        for end in range(len(last), stop + 1):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):  # only one token fits, and it is seldom a long one
+                token = get(data[start:end])
+                if token is None:
+                    continue
                 if start == 0:
-                    fits = v.edges(token)
-                elif (fits := pair((last[start], token))) is None:
-                    fits = v.fits(last[start], token)
-                if fits:
-                    return token
-        raise ValueError(f"the vocabulary lacks byte {data[end - 1]}")
+                    fit = edges(token)
+                elif (fit := pair((last[start], token))) is None:
+                    fit = fits(last[start], token)
+                if fit:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"the vocabulary lacks byte {data[end - 1]}")
+
+    def become(self, data: bytes) -> None:
+        """Go on to another piece; the prefixes that both share stay, so sorted pieces cost little more than what is new in each."""
+        old, same = self.data, 0
+        for x, y in zip(old, data):
+            if x != y:
+                break
+            same += 1
+        del self.last[same + 1 :]
+        self.data = data[:same]
+        self.append(data[same:])
 
     def append(self, more: bytes) -> None:
         """Extend the piece; the prefixes before stay."""
-        begin, self.data = len(self.data), self.data + more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._token_at(self.data, end))
+        self.data += more
+        self._grow(len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put new in the place of bytes [start, stop); returns how many prefixes were computed anew.
@@ -127,8 +143,8 @@ class PrefixTable:
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same, done = old_last[: start + 1], 0, 0
         for end in range(start + 1, len(self.data) + 1):
-            token, done = self._token_at(self.data, end), done + 1
-            self.last.append(token)
+            self._grow(end)
+            token, done = self.last[end], done + 1
             before = end - shift
             same = same + 1 if before > stop and old_last[before] == token else 0
             if same >= self.vocabulary.longest and before - stop >= 2 * self.vocabulary.longest:
@@ -153,7 +169,7 @@ class Pieces(dict):
         self.vocabulary, self.room = vocabulary, CACHE_BYTES
 
     def encoded(self, piece: str) -> bytes:
-        return np.array(PrefixTable(self.vocabulary, piece.encode()).tokens(), np.int32).tobytes()
+        return array("i", PrefixTable(self.vocabulary, piece.encode()).tokens()).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         out = self.encoded(piece)
@@ -163,22 +179,6 @@ class Pieces(dict):
         return out
 
 
-class Words(dict):
-    """Word to the tokens of a space and the word, filled on demand."""
-
-    def __init__(self, pieces: Pieces, find):
-        super().__init__()
-        self.pieces, self.find, self.room = pieces, find, CACHE_BYTES
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.find(f" {word}")  # most words are one piece, which is not to be remembered twice
-        out = self.pieces.encoded(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
-        if len(word) <= LONGEST_KEPT and (cost := len(word) + len(out) + ENTRY_BYTES) <= self.room:
-            self.room -= cost
-            self[word] = out
-        return out
-
-
 class Encoder:
     """Encodes texts whose matches of the pattern are encoded one by one."""
 
@@ -190,17 +190,38 @@ class Encoder:
         # white space (or the end) follow one another. This holds for patterns whose matches have a space at their
         # beginning only, or consist of white space.
         self.unclear = re.compile(r"\s (?:\s|\Z)").search
-        self.words = Words(self.pieces, self.find)
+        self.words: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
         self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
 
+    def _learn(self, asked: set[str]) -> dict[str, bytes]:
+        """The tokens of a space and the word, for each of these words. Those that are not remembered are taken in order, in one
+        table of prefixes that grows and shrinks from word to word."""
+        known = self.words
+        out = {word: known[word] for word in asked if word in known}
+        table = PrefixTable(self.pieces.vocabulary)
+        for word in sorted(asked - out.keys()):
+            first, *rest = self.find(f" {word}")
+            table.become(first.encode())
+            ids = array("i", table.tokens()).tobytes()
+            out[word] = ids = b"".join([ids, *map(self.pieces.__getitem__, rest)]) if rest else ids
+            if len(word) <= LONGEST_KEPT and (cost := len(word) + len(ids) + ENTRY_BYTES) <= self.room:
+                self.room -= cost
+                known[word] = ids
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as int32 bytes."""
+        cut = [None if not text or not self.by_words or self.unclear(text) else text.split(" ") for text in texts]
+        of = self._learn({word for words in cut if words for word in words[1:]}).__getitem__
+        piece = self.pieces.__getitem__
+        return [
+            b"".join([*map(piece, self.find(words[0])), *map(of, words[1:])]) if words else b"".join(map(piece, self.find(text))) if text else b""
+            for text, words in zip(texts, cut)
+        ]
+
     def __call__(self, text: str | None) -> bytes:
-        """The ids as int32 bytes."""
-        if not text:
-            return b""
-        if not self.by_words or self.unclear(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.pieces.__getitem__, self.find(first)), *map(self.words.__getitem__, rest)])
+        return self.encode_all([text])[0]
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
@@ -262,7 +283,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         for batch in batches:
             for start, stop in batches_of(batch.column(batch.num_columns - 1), CHUNK):
                 part = batch.slice(start, stop - start)
-                rows = [ids_of(value) for value in part.column(part.num_columns - 1).to_pylist()]
+                rows = ids_of.encode_all(part.column(part.num_columns - 1).to_pylist())
                 columns = [*part.columns[:-1], _int_lists(rows)]
                 if decoded:
                     columns.append(pa.array([b"".join(map(token, np.frombuffer(r, np.int32).tolist())) for r in rows], pa.binary()))
