@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorewright.functions import digests, text
-from scorewright.operators import aggregate, align, answers, compare, dedup, evidence, lifecycle, localize, mses, provenance, segment, validate
+from scorewright.operators import aggregate, align, answers, compare, dedup, evidence, lifecycle, localize, mses, provenance, records, releases, segment, validate
 from scorewright.sources import readers, sinks
 from scorewright.streaming.metrics import running_metrics
 
@@ -429,3 +429,45 @@ def test_line_alignment(spark):
         want |= {(d, k): v for k, v in walked(texts.get(d) or "", [b[1:] for b in blocks if b[0] == d]).items()}
     assert got == want and sum(v[0] == "aligned" for v in want.values()) > 60
     assert align.aligned(docs, frame.limit(0)).count() == 0
+
+
+def test_release_chains(spark):
+    chain = [(f"r{k:03d}", f"r{k - 1:03d}" if k else None) for k in range(70)]
+    rows = [*chain, ("f1", "r069"), ("f2", "r069"), ("lost", "gone"), ("below", "lost"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("in", "c1"), ("self", "self"), ("two", "r000"), ("two", "r001")]
+    frame = spark.createDataFrame(rows, "release_id string, parent_id string")
+    got = {r.release_id: (r.root_id, r.depth, r.state) for r in releases.lineages(frame).collect()}
+    assert len(got) == len(rows) - 1 and got["r000"] == ("r000", 0, "complete") and got["r069"] == ("r000", 69, "complete") and got["f2"][1] == 70
+    assert got["lost"] == ("lost", 0, "missing_parent") and got["below"] == ("lost", 1, "missing_parent") and got["two"] == ("r000", 1, "complete")
+    assert all(got[k] == (None, None, "cycle") for k in ("c1", "c2", "c3", "in", "self"))
+    cases = [(r, f"case{k % 5}", k) for k, (r, _) in enumerate(chain)] + [("f1", "case0", 900), ("f1", "alone", 901), ("f2", "case1", 902), ("f2", "case1", 903), ("below", "case0", 904), ("in", "case0", 905)]
+    gold = [(r, c, f"g{p}") for r, c, p in cases if c != "alone"] + [("f2", "more", "g")]
+    frames = spark.createDataFrame(cases, "release_id string, case_id string, case_pin int"), spark.createDataFrame(gold, "release_id string, case_id string, gold_pin string")
+    faults = {(r.release_id, r.fault, r.n) for r in releases.chain_faults(frame, *frames).collect()}
+    assert faults == {("two", "several_parents", 2), ("r069", "fork", 2), ("r000", "fork", 2), ("r001", "fork", 2), ("c1", "fork", 2), ("lost", "missing_parent", 1), ("below", "missing_parent", 1), ("c1", "cycle", 1), ("c2", "cycle", 1),
+                      ("c3", "cycle", 1), ("in", "cycle", 1), ("self", "cycle", 1), ("f1", "case_without_gold", 1), ("f2", "gold_without_case", 1), ("f2", "repeated_case", 1), ("f2", "repeated_gold", 1)}
+    chosen = {(r.head_id, r.case_id): (r.release_id, r.steps, r.case_pin, r.gold_pin) for r in releases.effective_selection(frame, *frames).collect()}
+    assert {h for h, _ in chosen} == {"f1", "f2", "two"} and ("f1", "alone") not in chosen
+    assert chosen["f1", "case0"] == ("f1", 0, 900, "g900") and chosen["f2", "case0"] == ("r065", 5, 65, "g65") and chosen["f2", "case1"] == ("f2", 0, 902, "g902") and chosen["two", "case0"] == ("r000", 1, 0, "g0")
+    assert releases.lineages(frame.limit(0)).count() == 0 and releases.effective_selection(frame.limit(0), *frames).count() == 0
+
+
+def test_records_at_any_depth(spark):
+    def objects(value, path="$", depth=0):
+        found = [(path, depth, value)] if isinstance(value, dict) else []
+        steps = [(f"{path}.{k}", v) for k, v in value.items()] if isinstance(value, dict) else [(f"{path}[{i}]", v) for i, v in enumerate(value)] if isinstance(value, list) else []
+        return found + [x for p, v in steps for x in objects(v, p, depth + 1)]
+
+    deep = 1
+    for k in range(16):
+        deep = {"n": [deep, {"k": k}]} if k % 2 else [deep]
+    rows = [("a", json.dumps(deep)), ("b", '{"x": {"é": [{}, null, {"y": "}"}]}}'), ("c", '{"q": 1}\n\n{"r": {"s": 2}}\r\nnot json {\n[{"t": []}]'), ("d", ""), ("e", None), ("f", "7"), ("g", "1] junk"), ("h", "1} junk"), ("i", "{} {}"), ("j", '{"a": 1, "a": 2'), ("k", "[]")]
+    got = sorted((r.text_id, r.value_no, r.path, r.depth, r.n_fields, json.dumps(json.loads(r.record), sort_keys=True)) for r in records.walked(spark.createDataFrame(rows, "text_id string, text string")).collect())
+    want = []
+    for i, text in rows[:3]:
+        values = list(enumerate(text.splitlines())) if i == "c" else [(0, text)]
+        for no, part in values:
+            try:
+                want += [(i, no, p, d, len(v), json.dumps(v, sort_keys=True)) for p, d, v in objects(json.loads(part))]
+            except ValueError:
+                pass
+    assert got == sorted(want) and max(x[3] for x in got) == 23
