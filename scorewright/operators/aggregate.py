@@ -93,6 +93,30 @@ def coverage(slots: DataFrame, axes: list[str], state: str = "state") -> DataFra
     return per.withColumn("missing", F.col("planned") - F.col("completed") - F.col("blocked"))
 
 
+def coverage_report(slots: DataFrame, axes: list[str], pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """(axis, value, planned, completed, blocked, missing, overrepresented, deficit): what is there of each value of each axis.
+
+    slots: (state, completed) and the axes, an array counts for each different entry; a pair of axes is an axis of its own, its
+    values joined by |. missing is what is planned and not completed, blocked or not; overrepresented what is completed beyond the
+    plan, where slots are unplanned (planned false). deficit: something is missing or blocked. Null values are left out. One
+    scan and one aggregation for all axes: each slot becomes a row for every cell that it counts in.
+    """
+    kinds = dict(slots.dtypes)
+    listed = lambda a: F.col(a).cast("array<string>") if kinds[a].startswith("array") else F.array(F.col(a).cast("string"))
+    many = lambda a: F.array_distinct(F.coalesce(listed(a), F.array().cast("array<string>")))
+    values = [(a, many(a)) for a in axes]
+    crossed = lambda a, b: F.flatten(F.transform(many(a), lambda x: F.transform(many(b), lambda y: F.concat(x, F.lit("|"), y))))
+    values += [(f"{a}|{b}", crossed(a, b)) for a, b in pairs]
+    tagged = lambda axis, v: F.transform(v, lambda x: F.struct(F.lit(axis).alias("axis"), x.alias("value")))
+    cells = F.flatten(F.array(*[tagged(a, v) for a, v in values]))
+    planned = F.coalesce("planned", F.lit(True)) if "planned" in kinds else F.lit(True)
+    rows = slots.select(F.explode(cells).alias("cell"), "state", F.coalesce("completed", F.lit(False)).alias("completed"), planned.alias("planned")).filter("cell.value IS NOT NULL")
+    per = rows.groupBy("cell.axis", "cell.value").agg(F.count_if("planned").alias("planned"), F.count_if("completed").alias("completed"), F.count_if(F.col("state") == "blocked").alias("blocked"))
+    short = F.col("planned") - F.col("completed")
+    per = per.withColumn("missing", F.greatest(short, F.lit(0).cast("long"))).withColumn("overrepresented", F.greatest(-short, F.lit(0).cast("long")))
+    return per.withColumn("deficit", (F.col("missing") > 0) | (F.col("blocked") > 0))
+
+
 def roll_up(rows: DataFrame) -> DataFrame:
     """Representability per case: full if any in a group is, the worst group, the worst profile. code: 2 full, 1 partial, 0 none."""
     groups = rows.groupBy("case_id", "profile", "evidence_group").agg(F.max("code").alias("code"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.operators import graph, grid
+from scorewright.functions import forms
+from scorewright.operators import aggregate, fragments, graph, grid
 
 _KINDS = "CASE s % 23 " + " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate([s[0] for s in graph.SHAPES if s[2] != "table" or s[0] != "caption_of"] + list(graph.FREE) + ["other"])) + " ELSE 'parent_child' END"
 _TYPES = "CASE (k * 7 + 3) % 15 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(("document", "section", "section", "table", "row", "cell", "logical_row", "logical_column", "logical_cell", "caption", "reference", "figure", "media_resource", "paragraph"))) + " ELSE 'equation' END"
 #: Inputs in SQL that Spark and DuckDB read alike: eight orders are a table, its rows their lines; twenty orders are a document.
 INPUTS = {
+    "ft": """SELECT l_suppkey % 40 AS table_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INT) AS "row", CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 90 END AS signature FROM {lineitem}""",
+    "fp": """SELECT table_id * 1000 + "row" // 7 AS fragment_id, table_id, CAST("row" % 7 + 1 AS INT) AS "row", CASE WHEN table_id % 5 = 2 AND "row" % 31 = 4 THEN 991 ELSE signature END AS signature
+ FROM (SELECT l_suppkey % 40 AS table_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS INT) AS "row", CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 90 END AS signature FROM {lineitem}) t WHERE "row" % 7 < 1 + table_id % 4""",
     "gt": "SELECT DISTINCT o_orderkey // 8 AS table_id, CASE WHEN o_orderkey // 8 % 3 = 0 THEN 7 END AS grid_width, o_orderkey // 8 % 5 = 1 AS first_column_header FROM {orders}",
     "gr": """SELECT o_orderkey // 8 AS table_id, CAST(o_orderkey % 8 + 1 AS INT) AS "row", CASE WHEN o_orderkey % 41 = 3 THEN 1 WHEN o_orderkey % 83 = 4 THEN -1 ELSE 0 END AS grid_before, CASE WHEN o_orderkey % 59 = 5 THEN 2 ELSE 0 END AS grid_after,
  o_orderkey % 8 < o_orderkey // 8 % 3 OR o_orderkey % 101 = 7 AS is_header FROM {orders}""",
@@ -50,7 +54,27 @@ def document_graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_faults(*_inputs(spark, sf_dir, "gd", "go", "ge"))
 
 
-QUERIES = {f.__name__: f for f in (merged_grid_errors, merged_grid_cells, merged_grid_tables, document_graph_faults)}
+def table_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full, parts = _inputs(spark, sf_dir, "ft", "fp")
+    return fragments.fragment_rows(parts, full)
+
+
+def portfolio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    state = F.element_at(F.array(*map(F.lit, ("planned", "authored", "approved", "frozen", "blocked"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    slots = p.select("p_brand", "p_type", F.split("p_name", " ").alias("words"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4).alias("level"), state.alias("state"), (F.col("p_partkey") % 3 > 0).alias("planned"), (F.col("p_partkey") % 5).isin(2, 3).alias("completed"))
+    return aggregate.coverage_report(slots, ["p_brand", "p_type", "words", "level"], [("p_brand", "level"), ("level", "words")])
+
+
+def normal_form_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("form", forms.offset_form("text"))
+    wanted = forms.normal_text(F.concat(F.lit("  "), F.regexp_replace(F.substring("text", 31, 25), " ", "\n \t")))
+    start = F.when(F.col("doc_id") % 2 == 0, 5).otherwise(40)
+    spans = d.select("doc_id", F.char_length("form.text").cast("long").alias("n"), F.size("form.offsets").cast("long").alias("n_offsets"), forms.raw_span(F.col("form"), wanted, start).alias("s"))
+    return spans.select("doc_id", "n", "n_offsets", "s.start", "s.end")
+
+
+QUERIES = {f.__name__: f for f in (table_fragments, portfolio_report, normal_form_spans, merged_grid_errors, merged_grid_cells, merged_grid_tables, document_graph_faults)}
 
 _IN = ", ".join(f"{n} AS ({q})" for n, q in INPUTS.items()).replace("{orders}", "orders").replace("{lineitem}", "lineitem")
 _GRID = f"""{_IN}, c0 AS (SELECT c.*, greatest(span, 1) AS wide, CASE WHEN v_merge IN ('restart', 'continue') THEN v_merge ELSE 'none' END AS merge, greatest(grid_before, 0) AS off FROM gc c JOIN gr r ON r.table_id = c.table_id AND r."row" = c."row"),
@@ -71,7 +95,18 @@ ou AS (SELECT lt.table_id, lt."row", lt.col AS "column", row_end, wide AS span,
  CASE WHEN lt.table_id IN (SELECT table_id FROM er) THEN 'partial' ELSE 'supported' END AS status FROM lt LEFT JOIN hp ON hp.table_id = lt.table_id AND hp."row" = lt."row" AND hp.col = lt.col)"""
 _SHAPES = ", ".join(f"('{k}', '{s}', '{t}')" for k, s, t in graph.SHAPES if t)
 _BOUND = ", ".join(f"'{k}'" for k in sorted({s[0] for s in graph.SHAPES}))
+_PLAIN = "translate({}, chr(10) || chr(9) || chr(13), '   ')"
 ORACLES = {
+    "table_fragments": f"""WITH {_IN}, n AS (SELECT fragment_id, table_id, count(*) AS n, min("row") AS low FROM fp GROUP BY ALL), a AS (SELECT f.fragment_id, f.table_id, t."row" - f."row" AS shift, count(*) AS k FROM fp f JOIN ft t ON t.table_id = f.table_id AND t.signature = f.signature GROUP BY ALL),
+w AS (SELECT n.fragment_id, n.table_id, count(k) AS places, min(low + shift) AS first, min(low + shift + n - 1) AS last FROM n LEFT JOIN a ON a.fragment_id = n.fragment_id AND a.table_id = n.table_id AND k = n GROUP BY ALL)
+SELECT fragment_id, table_id, CASE WHEN places = 1 THEN first END AS first, CASE WHEN places = 1 THEN last END AS last, places FROM w""",
+    "portfolio_report": """WITH s AS (SELECT p_brand, p_type, list_distinct(string_split(p_name, ' ')) AS words, CASE WHEN p_size % 4 > 0 THEN (p_size % 4)::varchar END AS level, p_partkey % 5 = 4 AS b, p_partkey % 3 > 0 AS p, p_partkey % 5 IN (2, 3) AS c FROM part),
+e AS (SELECT 'p_brand' AS axis, p_brand AS value, b, p, c FROM s UNION ALL SELECT 'p_type', p_type, b, p, c FROM s UNION ALL SELECT 'words', unnest(words), b, p, c FROM s UNION ALL SELECT 'level', level, b, p, c FROM s UNION ALL SELECT 'p_brand|level', p_brand || '|' || level, b, p, c FROM s UNION ALL SELECT 'level|words', level || '|' || unnest(words), b, p, c FROM s),
+g AS (SELECT axis, value, count(*) FILTER (p) AS planned, count(*) FILTER (c) AS completed, count(*) FILTER (b) AS blocked FROM e WHERE value IS NOT NULL GROUP BY ALL)
+SELECT *, greatest(planned - completed, 0) AS missing, greatest(completed - planned, 0) AS overrepresented, planned > completed OR blocked > 0 AS deficit FROM g""",
+    "normal_form_spans": f"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 40 END AS st, trim(regexp_replace(substr(text, 31, 25), '\\s+', ' ', 'g')) AS q FROM documents), b AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t,
+ regexp_extract(substr(text, st + 1), replace(regexp_escape(q), '\\ ', '\\s+')) AS m FROM d)
+SELECT doc_id, length(t) AS n, length(t) AS n_offsets, CASE WHEN q <> '' AND m <> '' THEN (st + position(m IN substr(text, st + 1)) - 1)::int END AS start, CASE WHEN q <> '' AND m <> '' THEN (st + position(m IN substr(text, st + 1)) - 1 + length(m))::int END AS "end" FROM b""",
     "merged_grid_errors": f"WITH RECURSIVE {_GRID} SELECT * FROM er",
     "merged_grid_cells": f"WITH RECURSIVE {_GRID} SELECT * FROM ou",
     "merged_grid_tables": f"""WITH RECURSIVE {_GRID}, n AS (SELECT table_id, count(*) AS errors FROM er GROUP BY 1), p AS (SELECT table_id, count(*) AS cells, count(*) FILTER (row_end > "row" OR span > 1) AS merged, bool_or(is_header) AS head, bool_or(is_data) AS data FROM ou GROUP BY 1)
