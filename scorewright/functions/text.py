@@ -23,6 +23,12 @@ def _folded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(_plain, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _casefolded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(str.casefold, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
@@ -51,6 +57,12 @@ def plain(text: Column) -> Column:
     return F.coalesce(F.when(ascii_only, normalize_ascii(text)), _folded(F.when(~ascii_only, text)))
 
 
+def folded(text: Column) -> Column:
+    """The text case-folded (ß is ss), with only the texts beyond ASCII leaving the JVM."""
+    ascii_only = text.rlike(r"\A[\x00-\x7F]*\z")
+    return F.coalesce(F.when(ascii_only, F.lower(text)), _casefolded(F.when(~ascii_only, text)))
+
+
 #: Parts the values of a list while they are normalized together; no normal form changes it.
 PART = "\u241e"
 
@@ -62,8 +74,13 @@ def plain_values(values: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Lower case without any white space, to compare values."""
-    return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
+    """Case-folded and without any white space, to compare values."""
+    return F.regexp_replace(folded(text), r"(?U)\s+", "")
+
+
+def squeezed_values(values: Column) -> Column:
+    """The squeezed values of an array<string> that are not empty."""
+    return F.filter(F.split(squeeze(F.array_join(values, PART)), PART), lambda x: x != "")
 
 
 def normalize_lines(text: Column) -> Column:
@@ -86,8 +103,8 @@ def tokens(text: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    """The distinct lower-case alphanumeric words of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_.-]+|" + HAN_RUN), F.lit(0)))
+    """The distinct case-folded alphanumeric words of a text."""
+    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit("[a-z0-9_.-]+|" + HAN_RUN), F.lit(0)))
 
 
 #: The forms of a number from fine to coarse; those that cannot hold it are null.

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import squeeze
+from scorewright.functions.text import plain, squeeze, squeezed_values, tokens
+from scorewright.operators.dedup import open_overlap
 
 PASS, FAIL, HUMAN, NA = "PASS", "FAIL", "HUMAN_REVIEW_REQUIRED", "NOT_APPLICABLE"
 #: What a comparison of two texts can be found to be.
@@ -81,15 +82,17 @@ def source_admission(sources: DataFrame, similarity: DataFrame, families: DataFr
     ])
 
 
-def case_admission(cases: DataFrame, evidence: DataFrame, objects: DataFrame, clauses: DataFrame, checks: DataFrame, comparisons: DataFrame, reviews: DataFrame, assistance: DataFrame) -> DataFrame:
+def case_admission(cases: DataFrame, evidence: DataFrame, sources: DataFrame, scope: DataFrame, objects: DataFrame, clauses: DataFrame, checks: DataFrame, comparisons: DataFrame, reviews: DataFrame, assistance: DataFrame) -> DataFrame:
     """The eleven findings of each case.
 
     cases: (case_id, gold_case_id, usage, source_eligible, source_admitted, source_matches, has_scope, scope_matches, lineage,
-    multi_hop, dependencies, generated, risky_source, paths, question, answer_kind, answers array, negative_scope array,
-    negative_rationale); evidence: (case_id, object_id, role, in_scope); objects: (object_id, eligible); clauses and checks:
-    (case_id, path, clause, alternatives array), checks with `necessary`, null while it is undetermined; comparisons:
-    (case_id, other_id, usage, disposition); reviews: (case_id, reviewer, independent, complete); assistance: (case_id,
-    assistance_id, of_case_id, proposal_only).
+    multi_hop, dependencies, generated, risky_source, structured, paths, question, answer_kind, answers array, negative_scope
+    array, negative_rationale, actors array), actors being who wrote case and gold; evidence: (case_id, object_id, role); sources:
+    (case_id, object_id), the case's own objects; scope: (case_id, object_id), the objects that its scope lists; objects:
+    (object_id, eligible); clauses and checks: (case_id, path, clause, alternatives array), checks with `necessary`, null while
+    it is undetermined; comparisons: (case_id, other_id, usage, disposition); reviews: (case_id, reviewer, complete), independent
+    if the reviewer is none of the actors; assistance: (case_id, assistance_id, of_case_id, proposal_only). A scope must hold
+    all source and evidence objects, and none that is unknown or not eligible, cited or not.
     """
     key = lambda df: df.withColumn("alternatives", F.array_sort("alternatives"))
     name = F.concat_ws("/", "path", "clause")
@@ -98,11 +101,13 @@ def case_admission(cases: DataFrame, evidence: DataFrame, objects: DataFrame, cl
     unusable = ~(_yes(F.col("known")) & _yes(F.col("eligible")))
     per_evidence = cited.groupBy("case_id").agg(
         _which(unusable, F.col("object_id")).alias("unreachable"),
-        _which(~F.col("in_scope"), F.col("object_id")).alias("unscoped"),
         _which(F.col("role") == "negative_scope", F.col("object_id")).alias("negative"),
         _which((F.col("role") == "negative_scope") & ~unusable, F.col("object_id")).alias("usable_negative"),
         F.bool_or(F.col("role").isin(*RISKY_ROLES)).alias("risky_roles"),
     )
+    needed = evidence.select("case_id", "object_id").union(sources.select("case_id", "object_id")).distinct()
+    per_needed = needed.join(scope, ["case_id", "object_id"], "left_anti").groupBy("case_id").agg(_which(F.lit(True), F.col("object_id")).alias("unscoped"))
+    per_scope = scope.join(known, "object_id", "left").filter(unusable).groupBy("case_id").agg(_which(F.lit(True), F.col("object_id")).alias("unsafe"))
     exact = ["case_id", "path", "clause", "alternatives"]
     unchecked = key(clauses).join(key(checks), exact, "left_anti").groupBy("case_id").agg(F.collect_set(name).alias("unchecked"))
     per_check = checks.groupBy("case_id").agg(_which(F.col("necessary") == False, name).alias("redundant"), _which(F.col("necessary").isNull(), name).alias("undecided"))  # noqa: E712
@@ -111,35 +116,35 @@ def case_admission(cases: DataFrame, evidence: DataFrame, objects: DataFrame, cl
         _which(F.col("disposition") == UNDETERMINED, F.col("other_id")).alias("unresolved"),
         F.bool_or(F.col("usage") == "development").alias("met_development"),
     )
-    able = _yes(F.col("independent") & F.col("complete"))
-    per_review = reviews.groupBy("case_id").agg(F.count_distinct(F.when(able, F.col("reviewer"))).alias("reviewers"))
+    able = reviews.filter("complete").join(cases.select("case_id", "actors"), "case_id").filter(~_yes(F.array_contains("actors", F.col("reviewer"))))
+    per_review = able.groupBy("case_id").agg(F.count_distinct("reviewer").alias("reviewers"))
     sound = F.col("of_case_id").eqNullSafe(F.col("case_id")) & _yes(F.col("proposal_only"))
     per_help = assistance.groupBy("case_id").agg(_which(~sound, F.col("assistance_id")).alias("malformed"), F.count(F.lit(1)).alias("helped"))
-    rows = _with(cases.withColumnRenamed("usage", "slot_usage"), [per_evidence, unchecked, per_check, per_other, per_review, per_help], "case_id")
+    rows = _with(cases.withColumnRenamed("usage", "slot_usage"), [per_evidence, per_needed, per_scope, unchecked, per_check, per_other, per_review, per_help], "case_id")
 
     ids = F.array(F.col("case_id").cast("string"))
     some = lambda c: F.size(F.coalesce(c, _none())) > 0
     abstains = F.col("answer_kind") == "abstain"
     held_out = _yes(F.col("slot_usage") == "held_out")
-    scope = F.when(~_yes(F.col("has_scope")), NA).otherwise(_verdict(F.col("scope_matches") & ~some("unscoped") & ~some("unreachable")))
+    scope = F.when(~_yes(F.col("has_scope")), NA).otherwise(_verdict(F.col("scope_matches") & ~some("unscoped") & ~some("unsafe")))
     admitted = _yes(F.col("source_admitted"))
     bound = F.when(held_out, admitted & _yes(F.col("source_eligible"))).otherwise(admitted | (scope == PASS))
     minimal = F.when(some("unchecked") | some("redundant"), FAIL).when(some("undecided"), HUMAN).otherwise(PASS)
     want = F.coalesce(F.col("negative_scope").cast("array<string>"), _none())
     negative = (F.size(want) > 0) & (F.size(F.array_except(want, F.coalesce("usable_negative", _none()))) == 0) & (F.col("negative_rationale") != "")
-    question = squeeze(F.col("question"))
-    leaks = F.exists("answers", lambda a: (F.char_length(squeeze(a)) >= 3) & F.contains(question, squeeze(a)))
+    rows = rows.withColumn("q", squeeze(F.col("question"))).withColumn("said", squeezed_values(F.col("answers")))
+    leaks = F.exists("said", lambda a: (F.char_length(a) >= 3) & F.contains("q", a))
     leaked = F.when(abstains, NA).otherwise(_verdict(~_yes(leaks)))
     similar = F.when(some("duplicates"), FAIL).when(held_out & ~_yes(F.col("met_development")), HUMAN).when(some("unresolved"), HUMAN).otherwise(PASS)
     who = F.when(some("duplicates"), F.col("duplicates")).when(similar == HUMAN, F.when(held_out & ~_yes(F.col("met_development")), _none()).otherwise(F.col("unresolved")))
     reviewers = F.coalesce("reviewers", F.lit(0))
     unhelped = _yes(F.col("generated")) & ((F.coalesce("helped", F.lit(0)) == 0) | (reviewers == 0))
     proposal = F.when(some("malformed"), FAIL).when(unhelped, HUMAN).otherwise(PASS)
-    risk = _yes(F.col("multi_hop")) | _yes(F.col("risky_source")) | (F.col("paths") > 1) | _yes(F.col("risky_roles"))
+    risk = _yes(F.col("multi_hop")) | _yes(F.col("structured")) | _yes(F.col("risky_source")) | (F.col("paths") > 1) | _yes(F.col("risky_roles"))
     reviewed = F.when(reviewers < F.when(_yes(risk), 2).otherwise(1), HUMAN).otherwise(PASS)
     return _report(rows, "case_id", [
         _finding("case.source_and_slot_binding", "error", _verdict(bound & F.col("source_matches")), ids),
-        _finding("case.reliable_canonical_evidence_scope", _severity(scope), scope, F.when(scope == FAIL, F.concat(F.coalesce("unscoped", _none()), F.coalesce("unreachable", _none())))),
+        _finding("case.reliable_canonical_evidence_scope", _severity(scope), scope, F.when(scope == FAIL, F.array_distinct(F.concat(F.coalesce("unscoped", _none()), F.coalesce("unsafe", _none()))))),
         _finding("case.gold_lineage", "error", _verdict(F.col("lineage") & (F.col("gold_case_id") == F.col("case_id"))), ids),
         _finding("gold.evidence_reachability", "error", _verdict(~some("unreachable")), F.col("unreachable")),
         _finding("gold.mses_minimality", _severity(minimal), minimal, F.when(minimal == FAIL, F.concat(F.coalesce("unchecked", _none()), F.coalesce("redundant", _none()))).otherwise(F.col("undecided"))),
@@ -154,22 +159,27 @@ def case_admission(cases: DataFrame, evidence: DataFrame, objects: DataFrame, cl
 
 #: Similarity of questions from which a candidate fails, and from which it is flagged.
 OVERLAP_FAIL, OVERLAP_FLAG = 0.98, 0.75
+#: States in which a candidate is history and no proposal that others are compared with.
+CLOSED_STATES = ("rejected", "blocked")
 
 
 def candidate_gates(candidates: DataFrame, evidence: DataFrame, objects: DataFrame) -> DataFrame:
     """The twelve gates of each candidate: (subject, gate, status).
 
-    candidates: (candidate_id, question, cues array, digests_match, answer_kind, answers array, overlap, n_sources, capability,
-    has_negative_scope, profile_status), texts as they are; profile_status is the worst of all profiles, null if there is none; overlap is the greatest similarity to another open candidate, null
-    for none. evidence: (candidate_id, object_id); objects: (object_id, status, eligible, object_type).
+    candidates: (candidate_id, question, state, cues array, digests_match, answer_kind, answers array, n_sources, capability,
+    has_negative_scope, profile_status), texts as they are; profile_status is the worst of all profiles, null if there is none.
+    The overlap of a question is its greatest similarity, by tokens, to that of another candidate that is neither rejected nor
+    blocked. evidence: (candidate_id, object_id); objects: (object_id, status, eligible, object_type).
     """
     known = objects.select("object_id", "status", "eligible", "object_type", F.lit(True).alias("known"))
     cited = evidence.join(known, "object_id", "left")
     sound = _yes(F.col("known")) & (F.col("status") == "supported") & F.coalesce("eligible", F.lit(True))
     per = cited.groupBy("candidate_id").agg(F.count_if(~_yes(sound)).alias("unsound"), F.count_distinct("object_id").alias("cited"), F.count_if(F.col("object_type") == "cell").alias("cells"))
-    rows = candidates.join(per, "candidate_id", "left").fillna(0, ["unsound", "cited", "cells"])
-    question = squeeze(F.col("question"))
-    inside = lambda values, least: F.exists(values, lambda v: (F.char_length(squeeze(v)) >= least) & F.contains(question, squeeze(v)))
+    sets = candidates.select(F.col("candidate_id").alias("id"), tokens(F.col("question")).alias("tokens"), plain(F.col("question")).alias("text"), (~F.coalesce("state", F.lit("")).isin(*CLOSED_STATES)).alias("open"))
+    overlap = open_overlap(sets, OVERLAP_FLAG).withColumnRenamed("id", "candidate_id")
+    rows = candidates.join(per, "candidate_id", "left").join(overlap, "candidate_id", "left").fillna(0, ["unsound", "cited", "cells"])
+    rows = rows.withColumn("q", squeeze(F.col("question"))).withColumns({c: squeezed_values(F.col(c)) for c in ("cues", "answers")})
+    inside = lambda values, least: F.exists(values, lambda v: (F.char_length(v) >= least) & F.contains("q", v))
     abstains = F.col("answer_kind") == "abstain"
     gate = lambda name, status: F.struct(F.lit(name).alias("gate"), status.alias("status"))
     fails = lambda when: F.when(_yes(when), "FAIL").otherwise("PASS")

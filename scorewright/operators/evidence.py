@@ -56,22 +56,65 @@ def quote_candidates(quotes: DataFrame, documents: DataFrame, n: int = 3) -> Dat
     return used.join(pick, "window").select("quote_id", "doc_id")
 
 
-def quote_counts(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+#: Bytes of quotes that go to every task at once (16 MB; as an automaton a few times as much).
+QUOTES_SENT = 16 << 20
+
+
+def quote_counts(quotes: DataFrame, documents: DataFrame, most: int = QUOTES_SENT) -> DataFrame:
     """(quote_id, doc_id, n): occurrences without overlap of quotes (quote_id, quote) in documents (doc_id, text), where any.
 
-    Both are compared in their normal form. Long quotes meet documents by a shared word window; the short ones, a stated set,
-    are looked for in every document.
+    Both are compared in their normal form; empty quotes occur nowhere. Quotes of up to `most` bytes in all (summed first) go to
+    the tasks as one automaton, and the documents are read once. Beyond, long quotes meet documents by a shared word window, and
+    the short ones, a stated set, are looked for in every document.
     """
     from scorewright.functions.text import occurrences, plain
 
-    quotes = quotes.select("quote_id", plain(F.col("quote")).alias("quote"))
+    quotes = quotes.select("quote_id", plain(F.col("quote")).alias("quote")).filter("quote <> ''")
     documents = documents.select("doc_id", plain(F.col("text")).alias("text"))
+    if (quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0) <= most:
+        return _counted_at_once(quotes, documents)
     found = quote_candidates(quotes, documents).join(quotes, "quote_id").join(documents, "doc_id")
     short = quotes.filter(F.size(F.split("quote", " ")) < 5).crossJoin(documents)
     both = found.select("quote_id", "doc_id", "quote", "text").unionByName(short.select("quote_id", "doc_id", "quote", "text"))
     return both.select("quote_id", "doc_id", occurrences(F.col("text"), F.col("quote")).alias("n")).filter("n > 0")
 
 
+def _counted_at_once(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    rows = quotes.toArrow()  # bounded by QUOTES_SENT
+    ids, texts = rows.column("quote_id"), rows.column("quote").to_pylist()
+    sent = quotes.sparkSession.sparkContext.broadcast((ids.combine_chunks(), texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        keys, wanted = sent.value
+        of: dict[str, list[int]] = {}
+        for k, quote in enumerate(wanted):
+            of.setdefault(quote, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for quote, places in of.items():
+            automaton.add_word(quote, (len(quote), places))
+        if of:
+            automaton.make_automaton()
+        for batch in batches:
+            quote_rows, doc_rows, counts = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                free: dict[int, list[int]] = {}  # by quote: where the last one counted ends, how many there are
+                for last, (length, places) in automaton.iter(text) if of and text else ():
+                    seen = free.setdefault(places[0], [0, 0])
+                    if last + 1 - length >= seen[0]:
+                        seen[:] = last + 1, seen[1] + 1
+                for first, (_, n) in free.items():
+                    same = of[wanted[first]]
+                    quote_rows += same
+                    doc_rows += [row] * len(same)
+                    counts += [n] * len(same)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(quote_rows, pa.int64())), batch.column(0).take(pa.array(doc_rows, pa.int64())), pa.array(counts, pa.int64())], names=["quote_id", "doc_id", "n"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((quotes, "quote_id"), (documents, "doc_id"))]
+    return documents.mapInArrow(run, f"quote_id {kinds[0]}, doc_id {kinds[1]}, n long")
+
+
 def quote_matches(items: DataFrame, gold: DataFrame, counts: DataFrame) -> DataFrame:
     """Items that match gold by their quote: it is unique in the item's document, or in the corpus if the item names none.
 
@@ -112,6 +155,16 @@ def interval_union(gold: DataFrame, pieces: DataFrame, items: bool = False) -> D
     return out.select(*keys, complete.alias("complete"), F.when(complete, F.col("used_rank")).alias("rank"), F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"), *(["items"] if items else []))
 
 
+def merge_ranges(ranges: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, end: the disjoint ranges that the ranges (keys, start, end) of each key make up, adjacent ones joined; empty
+    ranges do not count. A range begins where none before it reaches: windows and sums, no list of a key's ranges."""
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    r = ranges.filter("start < end").select(*keys, "start", "end").withColumn("fresh", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("long"))
+    r = r.withColumn("nth", F.sum("fresh").over(upto))
+    return r.groupBy(*keys, "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nth")
+
+
 def footprint(cells: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
     """(case_id, table_id, complete, hit_cells, cells, rank): whether every cell of a table has a fully covering item.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import squeeze, word_set
+from scorewright.functions.text import squeeze, squeezed_values, word_set
 from scorewright.operators.dedup import similar_sets
 from scorewright.operators.validate import cycles
 
@@ -81,8 +81,8 @@ def violations(
     copies = questions.join(questions.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "q", "left_semi")
     near = similar_sets(cases.select(F.col("case_id").alias("id"), word_set(F.col("question")).alias("tokens")), NEAR)
     near = near.select(F.explode(F.array("a", "b")).alias("case_id")).distinct()
-    asked = gold.filter(~abstains).join(questions, "case_id")
-    leak = F.exists("answers", lambda a: (F.char_length(squeeze(a)) >= 3) & F.contains("q", squeeze(a)))
+    asked = gold.filter(~abstains).join(questions, "case_id").withColumn("said", squeezed_values(F.col("answers")))
+    leak = F.exists("said", lambda a: (F.char_length(a) >= 3) & F.contains("q", a))
 
     per_approval = approvals.groupBy("record_id").agg(F.collect_set("identity").alias("approvers"))
     judged = records.join(per_approval, "record_id", "left").join(reviews.select("record_id", F.lit(True).alias("reviewed")).distinct(), "record_id", "left")

@@ -17,17 +17,19 @@ INPUTS = {
     "fam": "SELECT n_nationkey AS family_id FROM {nation} WHERE n_nationkey < 5",
     "ca": """SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey END AS gold_case_id, CASE WHEN o_orderkey % 3 = 0 THEN 'held_out' ELSE 'development' END AS usage, o_orderkey % 4 <> 0 AS source_eligible, o_orderkey % 5 <> 0 AS source_admitted,
  o_orderkey % 43 <> 0 AS source_matches, o_orderkey % 2 = 0 AS has_scope, o_orderkey % 47 <> 0 AS scope_matches, o_orderkey % 53 <> 0 AS lineage, o_orderpriority LIKE '1%' AS multi_hop, o_orderkey % 6 AS dependencies, o_orderkey % 7 = 0 AS generated,
- o_orderkey % 59 = 0 AS risky_source, 1 + CAST(o_orderkey % 13 = 0 AS INT) AS paths, 'Is it Order ' || o_orderkey || ' ' || o_orderpriority AS question, CASE WHEN o_orderkey % 11 = 0 THEN 'abstain' ELSE 'text' END AS answer_kind,
+ o_orderkey % 59 = 0 AS risky_source, o_orderkey % 61 = 0 AS structured, @array(o_orderkey % 9, o_orderkey % 90) AS actors, 1 + CAST(o_orderkey % 13 = 0 AS INT) AS paths, 'Is it Order ' || o_orderkey || ' ' || o_orderpriority AS question, CASE WHEN o_orderkey % 11 = 0 THEN 'abstain' ELSE 'text' END AS answer_kind,
  @array(CASE WHEN o_orderkey % 17 = 0 THEN 'IT  order' ELSE o_orderstatus END, o_orderkey || 'x') AS answers, @array(CAST(o_orderkey % 190 + 1 AS STRING)) AS negative_scope, CASE WHEN o_orderkey % 22 = 0 THEN '' ELSE 'none there' END AS negative_rationale FROM {orders}""",
-    "ev": "SELECT l_orderkey AS case_id, CASE WHEN l_linenumber = 5 THEN l_orderkey % 190 + 1 ELSE l_partkey END AS object_id, CASE l_linenumber WHEN 5 THEN 'negative_scope' WHEN 6 THEN 'conflicting' ELSE 'required' END AS role, l_linenumber <> 4 AS in_scope FROM {lineitem}",
+    "ev": "SELECT l_orderkey AS case_id, CASE WHEN l_linenumber = 5 THEN l_orderkey % 190 + 1 ELSE l_partkey END AS object_id, CASE l_linenumber WHEN 5 THEN 'negative_scope' WHEN 6 THEN 'conflicting' ELSE 'required' END AS role FROM {lineitem}",
+    "so": "SELECT l_orderkey AS case_id, l_suppkey % 190 + 1 AS object_id FROM {lineitem} WHERE l_linenumber = 1",
+    "sc": "SELECT l_orderkey AS case_id, CASE WHEN l_linenumber = 5 THEN l_orderkey % 190 + 1 ELSE l_partkey END AS object_id FROM {lineitem} WHERE l_linenumber <> 4 OR l_partkey % 5 > 0 UNION SELECT l_orderkey, l_suppkey % 190 + 1 FROM {lineitem} WHERE l_linenumber = 1 AND l_suppkey % 7 > 0 UNION SELECT l_orderkey, l_suppkey % 195 + 1 FROM {lineitem} WHERE l_linenumber = 2",
     "ob": "SELECT p_partkey AS object_id, p_partkey % 29 <> 0 AS eligible FROM {part} WHERE p_partkey % 31 <> 0",
     "cl": "SELECT l_orderkey AS case_id, 0 AS path, l_linenumber AS clause, @array(CAST(l_partkey AS STRING), 'z') AS alternatives FROM {lineitem}",
     "ck": "SELECT l_orderkey AS case_id, 0 AS path, l_linenumber AS clause, @array('z', CAST(l_partkey AS STRING)) AS alternatives, CASE l_suppkey % 23 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS necessary FROM {lineitem} WHERE (l_partkey + l_orderkey) % 19 <> 0",
     "co": "SELECT l_orderkey AS case_id, l_suppkey AS other_id, CASE WHEN l_linenumber % 2 = 0 THEN 'development' ELSE 'held_out' END AS usage, CASE (l_suppkey + l_orderkey) % 37 WHEN 0 THEN 'near_duplicate' WHEN 1 THEN 'undetermined' ELSE 'distinct' END AS disposition FROM {lineitem}",
-    "re": "SELECT l_orderkey AS case_id, l_suppkey AS reviewer, l_suppkey % 5 <> 0 AS independent, l_partkey % 6 <> 0 AS complete FROM {lineitem} WHERE l_linenumber <= 3",
+    "re": "SELECT l_orderkey AS case_id, l_suppkey % 9 AS reviewer, l_partkey % 6 <> 0 AS complete FROM {lineitem} WHERE l_linenumber <= 3",
     "he": "SELECT l_orderkey AS case_id, l_partkey AS assistance_id, CASE WHEN l_partkey % 61 = 0 THEN 0 ELSE l_orderkey END AS of_case_id, l_partkey % 67 <> 0 AS proposal_only FROM {lineitem} WHERE l_linenumber = 3",
-    "cd": """SELECT p_partkey AS candidate_id, p_name || ' ' || p_type AS question, @array(p_brand, CASE WHEN p_partkey % 9 = 0 THEN p_type ELSE '' END) AS cues, p_partkey % 37 <> 0 AS digests_match, CASE p_partkey % 5 WHEN 0 THEN 'abstain' WHEN 1 THEN 'numeric' ELSE 'text' END AS answer_kind,
- @array(CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_brand END) AS answers, CASE WHEN p_partkey % 3 <> 0 THEN p_size / 50.0E0 END AS overlap, p_partkey % 4 AS n_sources, CASE p_partkey % 6 WHEN 0 THEN 'x_multi_hop' WHEN 1 THEN 'cross_section_relation' ELSE 'fact' END AS capability,
+    "cd": """SELECT p_partkey AS candidate_id, CASE WHEN p_partkey % 40 = 0 THEN CASE WHEN p_partkey % 80 = 0 THEN '?' ELSE ' ! ' || p_size END WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_name ELSE p_name || ' ' || p_type END AS question, @array(p_brand, CASE WHEN p_partkey % 9 = 0 THEN p_type ELSE '' END) AS cues, p_partkey % 37 <> 0 AS digests_match, CASE p_partkey % 5 WHEN 0 THEN 'abstain' WHEN 1 THEN 'numeric' ELSE 'text' END AS answer_kind,
+ @array(CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_brand END) AS answers, CASE p_partkey % 9 WHEN 4 THEN 'rejected' WHEN 5 THEN 'blocked' ELSE 'draft' END AS state, p_partkey % 4 AS n_sources, CASE p_partkey % 6 WHEN 0 THEN 'x_multi_hop' WHEN 1 THEN 'cross_section_relation' ELSE 'fact' END AS capability,
  p_partkey % 2 = 0 AS has_negative_scope, CASE p_partkey % 3 WHEN 0 THEN 'FULL' WHEN 1 THEN 'PARTIAL_UNOBSERVABLE' END AS profile_status FROM {part}""",
     "ce": "SELECT l_partkey AS candidate_id, l_suppkey AS object_id FROM {lineitem} WHERE l_linenumber = 7 AND l_partkey % 8 <> 0",
     "cob": "SELECT s_suppkey AS object_id, CASE WHEN s_suppkey % 10 = 4 THEN 'partial' ELSE 'supported' END AS status, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey % 10 <> 1 END AS eligible, CASE WHEN s_suppkey % 3 = 0 THEN 'cell' ELSE 'paragraph' END AS object_type FROM {supplier}",
@@ -67,7 +69,7 @@ def source_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = admission.case_admission(*_inputs(spark, sf_dir, "ca", "ev", "ob", "cl", "ck", "co", "re", "he"))
+    out = admission.case_admission(*_inputs(spark, sf_dir, "ca", "ev", "so", "sc", "ob", "cl", "ck", "co", "re", "he"))
     return out.withColumn("affected", F.array_join("affected", ","))
 
 
@@ -94,7 +96,7 @@ def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (source_admission, case_admission, candidate_gates, release_violations, release_report)}
 
 _JOINED = "coalesce(array_to_string(list_sort(list_distinct({})), ','), '')"
-_SQ = r"regexp_replace(lower({}), '\s+', '', 'g')"
+_SQ = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '\s+', '', 'g')"
 _SOURCES = f"""{_ctes("src", "sim", "fam")},
 p AS (SELECT source_id, family_id, document_id::varchar AS d, disposition AS x FROM sim SEMI JOIN fam USING (family_id)),
 m AS (SELECT source_id, fam.family_id::varchar AS d FROM src, fam WHERE independent_test AND NOT EXISTS (SELECT 1 FROM p WHERE p.source_id = src.source_id AND p.family_id = fam.family_id)),
@@ -104,20 +106,22 @@ SELECT source_id AS subject, 'source.parse_structure_locator' AS rule_id, 'error
 UNION ALL SELECT source_id, 'source.family_classification', 'error', CASE WHEN source_id % 19 = 0 OR (independent_test AND family_id % 2 = 1) THEN 'FAIL' ELSE 'PASS' END, family_id::varchar FROM src
 UNION ALL SELECT source_id, 'source.family_isolation_and_similarity', CASE WHEN bad = 1 THEN 'human_review' ELSE 'error' END, CASE bad WHEN 2 THEN 'FAIL' WHEN 1 THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END, coalesce(who, '') FROM src LEFT JOIN i USING (source_id)
 UNION ALL SELECT source_id, 'source.admission_status', 'error', CASE WHEN source_id % 5 = 0 THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END, source_id::varchar FROM src"""
-_CASES = f"""{_ctes("ca", "ev", "ob", "cl", "ck", "co", "re", "he")},
-e1 AS (SELECT case_id, list(object_id::varchar) FILTER (NOT coalesce(eligible, false)) AS un, list(object_id::varchar) FILTER (NOT in_scope OR NOT coalesce(eligible, false)) AS sc, count(*) FILTER (NOT in_scope) AS ns,
+_CASES = f"""{_ctes("ca", "ev", "so", "sc", "ob", "cl", "ck", "co", "re", "he")},
+e1 AS (SELECT case_id, list(object_id::varchar) FILTER (NOT coalesce(eligible, false)) AS un,
  list(object_id::varchar) FILTER (role = 'negative_scope') AS ng, list(object_id::varchar) FILTER (role = 'negative_scope' AND coalesce(eligible, false)) AS nu, bool_or(role IN ('conflicting', 'negative_scope')) AS rk FROM ev LEFT JOIN ob USING (object_id) GROUP BY 1),
+s1 AS (SELECT case_id, list(DISTINCT o::varchar) AS sc FROM (SELECT case_id, object_id AS o FROM (SELECT case_id, object_id FROM ev UNION SELECT case_id, object_id FROM so) n WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.case_id = n.case_id AND sc.object_id = n.object_id)
+ UNION SELECT case_id, object_id FROM sc WHERE object_id NOT IN (SELECT object_id FROM ob WHERE eligible)) GROUP BY 1),
 c1 AS (SELECT case_id, list('0/' || clause) AS un FROM cl WHERE NOT EXISTS (SELECT 1 FROM ck WHERE ck.case_id = cl.case_id AND ck.clause = cl.clause AND ck.alternatives[2] = cl.alternatives[1]) GROUP BY 1),
 k1 AS (SELECT case_id, list('0/' || clause) FILTER (NOT necessary) AS no, list('0/' || clause) FILTER (necessary IS NULL) AS op FROM ck GROUP BY 1),
 o1 AS (SELECT case_id, list(other_id::varchar) FILTER (disposition = 'near_duplicate') AS du, list(other_id::varchar) FILTER (disposition = 'undetermined') AS un, bool_or(usage = 'development') AS dev FROM co GROUP BY 1),
-r1 AS (SELECT case_id, count(DISTINCT reviewer) FILTER (independent AND complete) AS n FROM re GROUP BY 1),
+r1 AS (SELECT re.case_id, count(DISTINCT reviewer) FILTER (complete AND NOT list_contains(actors, reviewer)) AS n FROM re JOIN ca USING (case_id) GROUP BY 1),
 h1 AS (SELECT case_id, count(*) AS n, list(assistance_id::varchar) FILTER (of_case_id <> case_id OR NOT proposal_only) AS bad FROM he GROUP BY 1),
-x AS (SELECT ca.*, e1.un AS e_un, sc, coalesce(ns, 0) AS ns, coalesce(ng, []) AS ng, coalesce(nu, []) AS nu, coalesce(rk, false) AS rk, c1.un AS c_un, no, op, du, o1.un AS o_un, coalesce(dev, false) AS dev, coalesce(r1.n, 0) AS rn, coalesce(h1.n, 0) AS hn, bad,
- CASE WHEN NOT has_scope THEN 'NOT_APPLICABLE' WHEN scope_matches AND coalesce(ns, 0) = 0 AND e1.un IS NULL THEN 'PASS' ELSE 'FAIL' END AS scope, answer_kind = 'abstain' AS ab, {_SQ.format("question")} AS q
- FROM ca LEFT JOIN e1 USING (case_id) LEFT JOIN c1 USING (case_id) LEFT JOIN k1 USING (case_id) LEFT JOIN o1 USING (case_id) LEFT JOIN r1 USING (case_id) LEFT JOIN h1 USING (case_id)),
+x AS (SELECT ca.*, e1.un AS e_un, s1.sc, coalesce(ng, []) AS ng, coalesce(nu, []) AS nu, coalesce(rk, false) AS rk, c1.un AS c_un, no, op, du, o1.un AS o_un, coalesce(dev, false) AS dev, coalesce(r1.n, 0) AS rn, coalesce(h1.n, 0) AS hn, bad,
+ CASE WHEN NOT has_scope THEN 'NOT_APPLICABLE' WHEN scope_matches AND s1.sc IS NULL THEN 'PASS' ELSE 'FAIL' END AS scope, answer_kind = 'abstain' AS ab, {_SQ.format("question")} AS q
+ FROM ca LEFT JOIN e1 USING (case_id) LEFT JOIN s1 USING (case_id) LEFT JOIN c1 USING (case_id) LEFT JOIN k1 USING (case_id) LEFT JOIN o1 USING (case_id) LEFT JOIN r1 USING (case_id) LEFT JOIN h1 USING (case_id)),
 y AS (SELECT *, CASE WHEN c_un IS NOT NULL OR no IS NOT NULL THEN 'FAIL' WHEN op IS NOT NULL THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS mi,
  CASE WHEN du IS NOT NULL THEN 'FAIL' WHEN usage = 'held_out' AND NOT dev THEN 'HUMAN_REVIEW_REQUIRED' WHEN o_un IS NOT NULL THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS si,
- CASE WHEN bad IS NOT NULL THEN 'FAIL' WHEN generated AND (hn = 0 OR rn = 0) THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS pr, CASE WHEN rn < CASE WHEN multi_hop OR risky_source OR paths > 1 OR rk THEN 2 ELSE 1 END THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS rv,
+ CASE WHEN bad IS NOT NULL THEN 'FAIL' WHEN generated AND (hn = 0 OR rn = 0) THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS pr, CASE WHEN rn < CASE WHEN multi_hop OR structured OR risky_source OR paths > 1 OR rk THEN 2 ELSE 1 END THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS rv,
  CASE WHEN ab THEN 'NOT_APPLICABLE' WHEN len(list_filter(answers, lambda a: length({_SQ.format("a")}) >= 3 AND contains(q, {_SQ.format("a")}))) > 0 THEN 'FAIL' ELSE 'PASS' END AS le FROM x),
 f AS (SELECT case_id, unnest([
  {{'r': 'case.source_and_slot_binding', 'v': CASE WHEN source_matches AND CASE WHEN usage = 'held_out' THEN source_admitted AND source_eligible ELSE source_admitted OR scope = 'PASS' END THEN 'PASS' ELSE 'FAIL' END, 'a': [case_id::varchar]}},
@@ -133,11 +137,14 @@ f AS (SELECT case_id, unnest([
  {{'r': 'review.independent_admission_checklist', 'v': rv, 'a': [case_id::varchar]}}]) AS u FROM y)
 SELECT case_id AS subject, u.r AS rule_id, CASE u.v WHEN 'HUMAN_REVIEW_REQUIRED' THEN 'human_review' WHEN 'NOT_APPLICABLE' THEN 'info' ELSE 'error' END AS severity, u.v AS result, {_JOINED.format("u.a")} AS affected FROM f"""
 _GATES = f"""{_ctes("cd", "ce", "cob")},
+tk AS (SELECT candidate_id AS id, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS t, state NOT IN ('rejected', 'blocked') AS open, list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_.-]{{1,}}|[0-9]+(?:\\.[0-9]+)?'), lambda y: lower(y))) AS ws FROM cd),
+tw AS (SELECT id, unnest(ws) AS w FROM tk), sh AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM tw x JOIN tw y ON x.w = y.w AND x.id <> y.id GROUP BY ALL),
+ov AS (SELECT id, max(j) AS overlap FROM (SELECT a AS id, c / (len(p.ws) + len(q.ws) - c) AS j FROM sh JOIN tk p ON p.id = a JOIN tk q ON q.id = b WHERE q.open UNION ALL SELECT p.id, 1.0 FROM tk p JOIN tk q ON p.t = q.t AND p.id <> q.id AND q.open WHERE len(p.ws) = 0) GROUP BY 1),
 e AS (SELECT candidate_id, count(*) FILTER (NOT (coalesce(status = 'supported', false) AND coalesce(eligible, true))) AS bad, count(DISTINCT object_id) AS n, count(*) FILTER (object_type = 'cell') AS cells FROM ce LEFT JOIN cob USING (object_id) GROUP BY 1),
-x AS (SELECT cd.*, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n, coalesce(cells, 0) AS cells, {_SQ.format("question")} AS q, answer_kind = 'abstain' AS ab, candidate_id % 6 IN (0, 1) AS hop, coalesce(n, 0) >= 2 AND n_sources >= 2 AS many FROM cd LEFT JOIN e USING (candidate_id)),
+x AS (SELECT cd.*, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n, coalesce(cells, 0) AS cells, {_SQ.format("question")} AS q, answer_kind = 'abstain' AS ab, candidate_id % 6 IN (0, 1) AS hop, coalesce(n, 0) >= 2 AND n_sources >= 2 AS many, overlap FROM cd LEFT JOIN e USING (candidate_id) LEFT JOIN ov ON ov.id = candidate_id),
 g AS (SELECT candidate_id, unnest([
  {{'g': 'source_evidence_digest_match', 's': CASE WHEN digests_match THEN 'PASS' ELSE 'FAIL' END}},
- {{'g': 'title_file_object_id_leakage', 's': CASE WHEN contains(q, {_SQ.format("cues[1]")}) OR candidate_id % 9 = 0 THEN 'FAIL' ELSE 'PASS' END}},
+ {{'g': 'title_file_object_id_leakage', 's': CASE WHEN contains(q, {_SQ.format("cues[1]")}) OR (cues[2] <> '' AND contains(q, {_SQ.format("cues[2]")})) THEN 'FAIL' ELSE 'PASS' END}},
  {{'g': 'answer_leakage', 's': CASE WHEN NOT ab AND contains(q, {_SQ.format("answers[1]")}) THEN 'FAIL' ELSE 'PASS' END}},
  {{'g': 'duplicate_template_overlap', 's': CASE WHEN overlap >= 0.98 THEN 'FAIL' WHEN overlap >= 0.75 THEN 'FLAG' ELSE 'PASS' END}},
  {{'g': 'locator_witness_round_trip', 's': CASE WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END}},
@@ -154,7 +161,7 @@ o AS (SELECT object_id::varchar AS id, * FROM fob), c AS (SELECT *, case_id::var
 rec AS (SELECT id, lifecycle, actor FROM c UNION ALL SELECT gold_id, lifecycle, actor FROM fgo),
 pg AS (SELECT gold_id, list(evidence_id) FILTER (role = 'required') AS rq, list(object_id) FILTER (role = 'negative_scope') AS ng, coalesce(bool_or(role = 'conflicting' AND coalesce(rationale, '') = ''), false) AS un, bool_or(role = 'conflicting') AS oth FROM fev GROUP BY 1),
 g AS (SELECT fgo.*, rq, coalesce(ng, []) AS ng, coalesce(un, false) AS un, coalesce(oth, false) AS oth, answer_kind = 'abstain' AS ab, EXISTS (SELECT 1 FROM fde WHERE fde.gold_id = fgo.gold_id) AS dep FROM fgo LEFT JOIN pg USING (gold_id)),
-tok AS (SELECT id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_.-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')) AS t FROM c),
+tok AS (SELECT id, list_distinct(regexp_extract_all(replace(lower(question), 'ß', 'ss'), '[a-z0-9_.-]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,8}}')) AS t FROM c),
 pr AS (SELECT a.id AS a, b.id AS b FROM tok a JOIN tok b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.9 - 1e-12),
 dup AS (SELECT id FROM c WHERE q IN (SELECT q FROM c GROUP BY q HAVING count(*) > 1)),
 v AS (SELECT 'canonical.schema_relation_integrity' AS rule_id, 'error' AS severity, relation_id::varchar AS affected_id FROM frl WHERE source_id NOT IN (SELECT object_id FROM fob) OR target_id NOT IN (SELECT object_id FROM fob)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import text
-from scorewright.functions.digests import case_order_key, joined_digest, merged_ranges, overlaps, parsed_range, valid_digest
+from scorewright.functions.digests import case_order_key, joined_digest, overlaps, parsed_range, valid_digest
 from scorewright.operators import dedup, evidence, lifecycle, segment
 from scorewright.plans.traces import TRACE_SQL, trace
 
@@ -185,7 +185,8 @@ def overlap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.set_gate(_word_sets(spark, sf_dir))
+    sets = _word_sets(spark, sf_dir).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.plain(F.col("text")).alias("text")), "id")
+    return dedup.set_gate(sets)
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +215,9 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select("user_id", F.struct(F.col("event_id").alias("start"), (F.col("event_id") + 40).alias("end")).alias("r"))
-    m = e.groupBy("user_id").agg(merged_ranges(F.collect_list("r")).alias("m"))
-    width = F.aggregate("m", F.lit(0).cast("bigint"), lambda acc, r: acc + r["end"] - r["start"])
-    return m.select("user_id", F.size("m").cast("bigint").alias("n"), width.alias("covered"))
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 40).alias("end"))
+    m = evidence.merge_ranges(e, "user_id")
+    return m.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
 def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ _EDGES = """o AS (SELECT user_id AS d, event_id AS id, event_id AS s, event_id +
 x AS (SELECT o.d AS document_id, o.id AS object_id, c.id AS chunk_id, CASE WHEN c.s <= o.s AND c.e >= o.e THEN 'full' ELSE 'partial' END AS coverage, greatest(o.s, c.s) AS start, least(o.e, c.e) AS "end" FROM o JOIN c ON o.d = c.d AND o.s < c.e AND c.s < o.e)"""
 _TABLES = """, ids AS (SELECT case_id, case_id * 10 + ln AS object_id, case_id * 10 + ln % 3 AS chunk_id, ln, r, CASE WHEN r % 5 = 0 THEN 'partial' WHEN r = 7 THEN NULL ELSE 'full' END AS coverage FROM li),
 got AS (SELECT case_id, case_id * 10 + ln % 3 AS chunk_id, min(rank) AS rank FROM ranked GROUP BY ALL)"""
-_SETS = """w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.-]+|[一-鿿]{2,8}'))) AS tok FROM documents), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
+_SETS = """w AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_.-]+|[一-鿿]{2,8}'))) AS tok FROM documents), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
 h AS (SELECT id, string_agg(tok, ' ' ORDER BY tok) AS k FROM w GROUP BY 1), r AS (SELECT min(id) AS id FROM h GROUP BY k), wr AS (SELECT w.* FROM w SEMI JOIN r USING (id)),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM wr x JOIN wr y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL),
 j AS (SELECT a, b, c / (na.n + nb.n - c) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b
@@ -287,8 +287,8 @@ SELECT doc_id AS document_id, batch, min(o)::bigint AS first, max(o)::bigint AS
     "shared_tokens": "WITH t AS (SELECT DISTINCT p_partkey AS s, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, count(*) AS n_sections, array_to_string(list_sort(list(s))[1:3], ',') AS sections FROM t GROUP BY 1 HAVING count(*) >= 2",
     "near_sets": f"WITH {_SETS} SELECT a, b, jaccard FROM j WHERE jaccard >= 0.9 - 1e-12",
     "overlap_gate": f"WITH {_SETS}, s AS (SELECT a AS id, jaccard FROM j WHERE jaccard >= 0.75 - 1e-12 UNION ALL SELECT b, jaccard FROM j WHERE jaccard >= 0.75 - 1e-12) SELECT id, max(jaccard) AS jaccard, CASE WHEN max(jaccard) >= 0.98 THEN 'FAIL' WHEN max(jaccard) >= 0.75 THEN 'FLAG' ELSE 'PASS' END AS gate FROM s GROUP BY 1",
-    "set_gate": f"""WITH {_SETS}, q AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.tok = y.tok AND x.id <> y.id GROUP BY ALL),
-m AS (SELECT a AS id, max(c / (na.n + nb.n - c)) AS jaccard FROM q JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.75 - 1e-12 GROUP BY 1), k AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM h)
+    "set_gate": rf"""WITH {_SETS}, q AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.tok = y.tok AND x.id <> y.id GROUP BY ALL),
+m AS (SELECT a AS id, max(c / (na.n + nb.n - c)) AS jaccard FROM q JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.75 - 1e-12 GROUP BY 1), k AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM h UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) FROM documents WHERE doc_id NOT IN (SELECT id FROM h))
 SELECT doc_id AS id, rep, jaccard, CASE WHEN jaccard >= 0.98 THEN 'FAIL' WHEN jaccard >= 0.75 THEN 'FLAG' ELSE 'PASS' END AS gate FROM documents LEFT JOIN k ON k.id = doc_id LEFT JOIN m ON m.id = doc_id""",
     "markup": r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, length(t)::bigint AS n_chars, sha256(t) AS digest FROM p""",
@@ -300,5 +300,5 @@ SELECT user_id, count(*) FILTER (reached IS NULL OR s > reached) AS n, sum(e - g
 SELECT p_partkey, s::bigint AS start, e::bigint AS "end", s < 9 AND 5 < e AS meets FROM r""",
     "text_functions": r"""SELECT conv_id, turn, ((length(text) - length(replace(text, 'the', ''))) // 3)::bigint AS n_the, CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 60) || chr(10) || '...' || chr(10) || right(text, 20) END AS short,
  array_to_string(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{1,}|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]{2,8}'), lambda x: lower(x)), lambda x, i: list_position(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.-]{1,}|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]{2,8}'), lambda y: lower(y)), x) = i), ' ') AS tokens,
- false AS declines, regexp_replace(lower(text), '\s+', '', 'g') AS squeezed, (2 + len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')))::bigint AS n_numbers FROM conversations""",
+ false AS declines, regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', '', 'g') AS squeezed, (2 + len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')))::bigint AS n_numbers FROM conversations""",
 }

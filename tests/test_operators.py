@@ -556,3 +556,44 @@ def test_grids_and_graphs_in_small(spark):
     relations = spark.createDataFrame([("d", i, "d", *x) for i, x in enumerate(links)], "bundle_id string, relation_id int, document_id string, kind string, source_id int, target_id int")
     found = {(r.document_id, r.fault, r.affected_id) for r in graph.graph_faults(spark.createDataFrame([("d",), ("e",)], "document_id string"), objects, relations).collect()}
     assert found == {("e", "no_document_object", "e"), ("d", "hierarchy_without_parent_child", "7"), ("d", "caption_of", "8"), ("d", "document_order", "9"), ("d", "parent_cycle", "4"), ("d", "several_parents", "3"), ("d", "unknown_kind", "12"), ("d", "unknown_end", "13")}
+
+
+def test_case_folding_beyond_ascii(spark):
+    df = spark.createDataFrame([("STRASSE  4", "straße 4"), ("ΣΑΣ", "σας"), (None, "x")], "a string, b string")
+    got = df.select(text.squeeze(F.col("a")).alias("a"), text.squeeze(F.col("b")).alias("b"), text.word_set(F.col("b")).alias("w"), text.squeezed_values(F.array("a", F.lit(" "), "b")).alias("v")).collect()
+    assert [r.a == r.b for r in got] == [True, True, False] and got[0].w == ["strasse", "4"] and got[0].v == ["strasse4", "strasse4"] and got[2].v == ["x"]
+
+
+def test_overlap_with_open_candidates(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, words, True), (2, words + " more", False), (3, words, False), (4, "", True), (5, "?", True), (6, "?", False), (7, "!", False), (8, "other thing", True), (9, "other thing", True), (10, "w1 alone", True)]
+    sets = spark.createDataFrame(rows, "id int, t string, open boolean").select("id", text.word_set(F.col("t")).alias("tokens"), F.col("t").alias("text"), "open")
+    got = {r.id: r.overlap for r in dedup.open_overlap(sets).collect()}
+    assert got == {1: None, 2: 20 / 21, 3: 1.0, 4: None, 5: None, 6: 1.0, 7: None, 8: 1.0, 9: 1.0, 10: None}
+    gates = {r.id: (r.rep, r.gate) for r in dedup.set_gate(sets).collect()}
+    assert gates[5] == gates[6] == (5, "FAIL") and gates[4] == (4, "PASS") and gates[7] == (7, "PASS") and gates[1] == gates[3] == (1, "FAIL") and gates[2] == (2, "FLAG")
+
+
+def test_quotes_counted_at_once_and_by_windows(spark):
+    quotes = [(1, "one two three four five six"), (2, "One  TWO"), (3, "aa"), (4, ""), (5, None), (6, "aa"), (7, "ß"), (8, "not there at all in any text"), (9, "a")]
+    docs = [(1, "x one two three four five six one two"), (2, "aaaa aaa AA"), (3, None), (4, "STRASSE"), (5, "one\ntwo three four five six seven"), (None, "aa")]
+    q, d = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "doc_id int, text string")
+    plain = lambda t: " ".join((t or "").casefold().split())
+    want = {(k, i, plain(t).count(plain(x))) for k, x in quotes for i, t in docs if plain(x) and plain(x) in plain(t)}
+    assert {tuple(r) for r in evidence.quote_counts(q, d).collect()} == want
+    keyed = {x for x in want if x[1] is not None}
+    assert {tuple(r) for r in evidence.quote_counts(q, d.filter("doc_id IS NOT NULL"), most=0).collect()} == keyed
+    assert evidence.quote_counts(q.limit(0), d).count() == 0
+
+
+def test_merge_ranges(spark):
+    rng = random.Random(5)
+    rows = [(k, s, s + rng.randrange(-1, 9)) for k in range(8) for s in (rng.randrange(60) for _ in range(15))]
+    want = set()
+    for k in range(8):
+        cells = sorted({x for i, a, b in rows if i == k for x in range(a, b)})
+        for x in cells:
+            if x - 1 not in cells or not any(a <= x - 1 and x < b or b == x or a == x for i, a, b in rows if i == k):
+                want.add((k, x, next(y for y in range(x, 99) if y not in cells)))
+    got = {tuple(r) for r in evidence.merge_ranges(spark.createDataFrame(rows, "k int, start int, end int"), "k").collect()}
+    assert got == want
