@@ -30,6 +30,18 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.score_answers(rows, ascii_only=True).select("p_partkey", "kind", "verdict")
 
 
+def answer_scores_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in any script: two words of each document as value, said in other notations, stated, as a set, in a formula."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: w != "").alias("w"))
+    d = d.filter("size(w) > 1").select("doc_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"), (F.col("doc_id") % 6).alias("way"))
+    pick = lambda *options: F.element_at(F.array(*options), (F.col("way") + 1).cast("int"))
+    both, text = F.concat("a", F.lit(" "), "b"), F.lit("text")
+    answer = pick(F.concat(F.lit("  "), F.lower("a"), F.lit(" \n\t"), F.lower("b")), F.concat(F.lit("The name is: "), both, F.lit(".")), F.concat("b", F.lit("，"), "a", F.lit("; ")), F.concat(F.lit("\\frac{v "), "a", F.lit("}{2} \\times X")), both, F.concat("b", F.lit("; "), "a", F.lit(", one more")))
+    gold = pick(F.array(both), F.array(both), F.array("a", "b"), F.array(F.concat(F.lit("V"), F.lower("a"), F.lit(" / 2 x"))), F.array("a"), F.array("a", "b"))
+    rows = d.select("doc_id", pick(text, text, F.lit("set"), F.lit("formula"), text, F.lit("set")).alias("kind"), answer.alias("answer"), gold.alias("gold"), F.array().cast("array<string>").alias("accepted"), F.lit(None).cast("decimal(38,18)").alias("tolerance"), F.lit(None).cast("string").alias("unit"))
+    return answers.score_answers(rows).select("doc_id", "kind", "verdict")
+
+
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "P", "FAIL").otherwise("NEEDS_REVIEW").alias("verdict"),
                                            (F.col("o_orderkey") % 3 == 0).alias("context_complete"), F.when(F.col("o_orderkey") % 7 == 0, "context is not observable").alias("observability_reason"))
@@ -189,12 +201,16 @@ def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", m["name"].alias("name"), m["key"].alias("key"), m["more"].alias("more"))
 
 
-QUERIES = {f.__name__: f for f in (answer_scores, grounding, segment_answers, capability_faults, expected_metrics, portfolio_coverage, judgments, representability, paired_deltas, bootstrap, stratified_bootstrap, table_diff, manifest_check,
+QUERIES = {f.__name__: f for f in (answer_scores, answer_scores_unicode, grounding, segment_answers, capability_faults, expected_metrics, portfolio_coverage, judgments, representability, paired_deltas, bootstrap, stratified_bootstrap, table_diff, manifest_check,
                                    config_drift, incompatible_fields, first_wins, policy_violations, endpoint_types, packed_once, lossiness, clause_necessity, content_register, path_expansion, config_merge)}
 
 _SCORES = "sc AS (SELECT s_suppkey AS case_id, seed, (s_suppkey * 7 + seed * 3) % 10 AS a, (s_suppkey * 7 + seed * 3 + 5 * s_suppkey) % 10 AS b FROM supplier, (VALUES (0), (1), (2)) t(seed)), de AS (SELECT case_id, avg((b - a)::double) AS delta, count(*) AS seeds FROM sc GROUP BY 1)"
 
 ORACLES = {
+    "answer_scores_unicode": r"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(w, '[^\p{L}]', '', 'g')), lambda w: w <> '') AS w FROM documents), v AS (SELECT doc_id, doc_id % 6 AS way, replace(lower(w[1]), 'ß', 'ss') AS a, replace(lower(w[2]), 'ß', 'ss') AS b FROM d WHERE len(w) > 1),
+s AS (SELECT *, 'the name is: ' || a || ' ' || b || '.' AS said, a || ' ' || b AS ab FROM v)
+SELECT doc_id, CASE WHEN way = 3 THEN 'formula' WHEN way IN (2, 5) THEN 'set' ELSE 'text' END AS kind, CASE way WHEN 0 THEN 'PASS' WHEN 1 THEN CASE WHEN NOT regexp_matches(said, 'either|or|not|\bno\b|\bneither\b') AND length(said) - length(replace(said, ab, '')) = length(ab) THEN 'PASS' ELSE 'NEEDS_REVIEW' END
+ WHEN 2 THEN 'PASS' WHEN 3 THEN 'PASS' WHEN 4 THEN CASE WHEN a = ab THEN 'PASS' ELSE 'NEEDS_REVIEW' END ELSE 'FAIL' END AS verdict FROM s""",
     "answer_scores": """SELECT p_partkey, CASE p_partkey % 8 WHEN 3 THEN 'set' WHEN 4 THEN 'set' WHEN 5 THEN 'text' WHEN 6 THEN 'abstain' ELSE 'numeric' END AS kind,
  CASE p_partkey % 8 WHEN 0 THEN CASE WHEN p_partkey % 5 = 0 THEN 'FAIL' ELSE 'PASS' END WHEN 1 THEN CASE WHEN p_partkey % 5 = 0 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END WHEN 2 THEN 'FAIL'
  WHEN 3 THEN 'PASS' WHEN 4 THEN 'FAIL' WHEN 5 THEN 'PASS' WHEN 6 THEN CASE WHEN p_partkey % 3 = 0 THEN 'PASS' ELSE 'FAIL' END ELSE 'FAIL' END AS verdict FROM part""",
