@@ -290,7 +290,8 @@ def pseudonymize(text: str, f: Feistel, back: bool = False) -> tuple[str, list[t
         moving = [x for x in chosen if (k := bisect(begins, x[1] + NEAR - 1)) and parts[k - 1][1] + NEAR > x[0]]
         while [x[:4] for x in _chosen(_put(text, moving), f, back)] != [x[:4] for x in chosen]:
             moving = [(*x[:4], rules[x[2]][1](f, rules[x[2]][0].fullmatch(x[4]), back)) for x in moving]
-        chosen = sorted([x for x in chosen if x[:2] not in {y[:2] for y in moving}] + moving)
+        moved = {x[:2] for x in moving}
+        chosen = sorted([x for x in chosen if x[:2] not in moved] + moving)
     return _put(text, chosen), [(kind, start, end) for start, end, kind, _, _ in chosen]
 
 
