@@ -5,7 +5,7 @@ Tables: gold (case_id, path, clause, evidence_id), one row per alternative; item
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FAR = 10**12
@@ -65,6 +65,6 @@ def best_path(paths: DataFrame, ranks_of_incomplete: bool = True) -> DataFrame:
     """
     rank = F.coalesce("last_rank", F.lit(_FAR))
     rank = rank if ranks_of_incomplete else F.when(F.col("complete"), rank).otherwise(_FAR)
-    order = [F.desc("complete"), F.desc(F.col("hits") / F.col("clauses")), rank, "clauses", "path"]
-    w = Window.partitionBy("case_id", "stage", "k").orderBy(*order)
-    return paths.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+    order = F.struct(~F.col("complete"), -F.col("hits") / F.col("clauses"), rank, "clauses", "path")
+    rest = F.struct(*[c for c in paths.columns if c not in ("case_id", "stage", "k")])
+    return paths.groupBy("case_id", "stage", "k").agg(F.min_by(rest, order).alias("best")).select("case_id", "stage", "k", "best.*")

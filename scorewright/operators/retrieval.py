@@ -43,6 +43,31 @@ def reciprocal_rank(gold: DataFrame, items: DataFrame, stages: DataFrame, of: tu
     return out.select("case_id", "stage", F.concat("stage", F.lit("_mrr")).alias("metric_id"), status.alias("status"), value.alias("value"))
 
 
+def recall_and_rank(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, of: tuple[str, ...] = ("raw", "ranked")) -> DataFrame:
+    """(case_id, metric_id, status, value): the rows of recall and reciprocal_rank together, from one pass.
+
+    Every cutoff is a pair of columns of a path, so that no row is multiplied by the cutoffs, and the best path of each is a
+    minimum: four aggregations in all, each grouped finer than the one after it.
+    """
+    asked = stages.join(gold, "case_id")
+    best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
+    keys = ["case_id", "stage", "observable"]
+    least = asked.join(best, ["case_id", "stage", "evidence_id"], "left").groupBy(*keys, "path", "clause").agg(F.min("rank").alias("rank"))
+    inside = lambda k: F.when(F.col("rank") <= k, F.col("rank"))
+    paths = least.groupBy(*keys, "path").agg(
+        F.count(F.lit(1)).alias("clauses"), F.count("rank").alias("all"), F.max("rank").alias("last"),
+        *[F.count(inside(k)).alias(f"hits_{k}") for k in cutoffs], *[F.max(inside(k)).alias(f"last_{k}") for k in cutoffs],
+    )
+    part = lambda k: F.col(f"hits_{k}") / F.col("clauses")
+    order = lambda k: F.struct(F.col(f"hits_{k}") < F.col("clauses"), -part(k), F.coalesce(f"last_{k}", F.lit(10**12)), "clauses", "path", part(k).alias("part"))
+    per = paths.groupBy(*keys).agg(F.min(F.when(F.col("all") == F.col("clauses"), F.col("last"))).alias("first"), *[F.min(order(k)).alias(f"best_{k}") for k in cutoffs])
+    row = lambda name, value: F.struct(F.concat("stage", F.lit(name)).alias("metric_id"), value.alias("value"))
+    ranks = F.when(F.col("stage").isin(*of), F.array(row("_mrr", F.coalesce(1 / F.col("first"), F.lit(0.0))))).otherwise(F.array().cast("array<struct<metric_id:string,value:double>>"))
+    rows = F.concat(F.array(*[row(f"_recall@{k}", F.col(f"best_{k}.part")) for k in cutoffs]), ranks)
+    out = per.select("case_id", "observable", F.inline(rows))
+    return out.select("case_id", "metric_id", F.when(F.col("observable"), "observed").otherwise("unavailable").alias("status"), F.when(F.col("observable"), F.col("value")).alias("value"))
+
+
 def stage_changes(recalls: DataFrame, clipped: bool = False) -> DataFrame:
     """Differences between stages at the same k: ranked - raw and ranked - context, signed.
 

@@ -51,8 +51,7 @@ def localization_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace(spark, sf_dir)
-    rec = retrieval.recall(t.gold, t.items, t.stages).select("case_id", "metric_id", "status", "value")
-    return rec.unionByName(retrieval.reciprocal_rank(t.gold, t.items, t.stages).select("case_id", "metric_id", "status", "value"))
+    return retrieval.recall_and_rank(t.gold, t.items, t.stages)
 
 
 def metric_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
