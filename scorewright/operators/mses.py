@@ -5,7 +5,7 @@ Tables: gold (case_id, path, clause, evidence_id), one row per alternative; item
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FAR = 10**12
@@ -68,3 +68,36 @@ def best_path(paths: DataFrame, ranks_of_incomplete: bool = True) -> DataFrame:
     order = F.struct(~F.col("complete"), -F.col("hits") / F.col("clauses"), rank, "clauses", "path")
     rest = F.struct(*[c for c in paths.columns if c not in ("case_id", "stage", "k")])
     return paths.groupBy("case_id", "stage", "k").agg(F.min_by(rest, order).alias("best")).select("case_id", "stage", "k", "best.*")
+
+
+def paths_at(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple) -> DataFrame:
+    """Paths of each row of stages (case_id, stage, ...): the columns of stages, path, clauses, and for the i-th cutoff hits_i and
+    last_i, the number and the greatest rank of the clauses that are hit within it; None means no limit.
+
+    Cutoffs are columns, so no row is multiplied by them, and a case is dealt out once: what is grouped by case_id and more
+    afterwards needs no further shuffle. A stage whose case has no gold keeps one row with a null path and no clause.
+    """
+    best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
+    joined = stages.join(gold, "case_id", "left").join(best, ["case_id", "stage", "evidence_id"], "left")
+    dealt = joined.select(*stages.columns, "path", "clause", "rank").repartition("case_id")
+    least = dealt.groupBy(*stages.columns, "path", "clause").agg(F.min("rank").alias("rank"))
+    inside = [F.col("rank") if k is None else F.when(F.col("rank") <= k, F.col("rank")) for k in cutoffs]
+    return least.groupBy(*stages.columns, "path").agg(
+        F.count("path").alias("clauses"), *[F.count(x).alias(f"hits_{i}") for i, x in enumerate(inside)], *[F.max(x).alias(f"last_{i}") for i, x in enumerate(inside)]
+    )
+
+
+def best_at(paths: DataFrame, stages: DataFrame, cutoffs: tuple, ranks_of_incomplete: bool = True) -> DataFrame:
+    """The columns of stages, k, path, hits, clauses, last_rank, complete: best_path of paths_at for every cutoff; path and what
+    follows are null where there is no path."""
+    def best(i: int) -> Column:
+        whole = F.col(f"hits_{i}") == F.col("clauses")
+        rank = F.coalesce(f"last_{i}", F.lit(_FAR))
+        rank = rank if ranks_of_incomplete else F.when(whole, rank).otherwise(_FAR)
+        order = F.struct((~whole).alias("short"), (-F.col(f"hits_{i}") / F.col("clauses")).alias("part"), rank.alias("by"), "clauses", "path", F.col(f"hits_{i}").alias("hits"), F.col(f"last_{i}").alias("last_rank"))
+        return F.min(F.when(F.col("path").isNotNull(), order)).alias(f"best_{i}")
+
+    per = paths.groupBy(*stages.columns).agg(*[best(i) for i in range(len(cutoffs))])
+    row = lambda i, k: F.struct(F.lit(k).cast("int").alias("k"), F.col(f"best_{i}").alias("best"))
+    out = per.select(*stages.columns, F.inline(F.array(*[row(i, k) for i, k in enumerate(cutoffs)])))
+    return out.select(*stages.columns, "k", "best.path", "best.hits", "best.clauses", "best.last_rank", (~F.col("best.short")).alias("complete"))

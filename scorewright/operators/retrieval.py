@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.mses import best_path, clause_ranks, path_coverage
+from scorewright.operators.mses import best_at, clause_ranks, path_coverage, paths_at
 
 #: Cutoffs of the locator and of the segment metrics.
 CUTOFFS, SEGMENT_CUTOFFS = (1, 3, 5), (1, 3, 5, 10)
@@ -22,9 +22,7 @@ def recall(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[
 
     stages (case_id, stage, observable) lists all that should be there; unobservable ones are unavailable, not zero.
     """
-    asked = grid(stages, cutoffs).filter("k IS NOT NULL")
-    best = best_path(path_coverage(clause_ranks(gold, items, asked)))
-    out = stages.join(best, ["case_id", "stage"], "left").filter("k IS NOT NULL")
+    out = best_at(paths_at(gold, items, stages, cutoffs), stages, cutoffs).filter("path IS NOT NULL")
     value = F.when(F.col("observable"), F.col("hits") / F.col("clauses"))
     name = F.concat("stage", F.lit("_recall@"), F.col("k").cast("string"))
     status = F.when(F.col("observable"), "observed").otherwise("unavailable")
@@ -91,9 +89,7 @@ def stage_changes(recalls: DataFrame, clipped: bool = False) -> DataFrame:
 
 def segment_coverage(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[int, ...] = SEGMENT_CUTOFFS) -> DataFrame:
     """Segment metrics: gold evidence coverage, whether complete, and the outcome of each (case, stage, k)."""
-    asked = grid(stages, cutoffs).filter("k IS NOT NULL")
-    best = best_path(path_coverage(clause_ranks(gold, items, asked)), ranks_of_incomplete=False)
-    out = stages.join(best, ["case_id", "stage"], "left").filter("k IS NOT NULL")
+    out = best_at(paths_at(gold, items, stages, cutoffs), stages, cutoffs, ranks_of_incomplete=False).filter("path IS NOT NULL")
     part = F.when(F.col("observable"), F.col("hits") / F.col("clauses"))
     outcome = F.when(~F.col("observable"), None).when(F.col("complete"), "complete").when(F.col("hits") > 0, "partial_coverage").otherwise("retrieval_missing")
     return out.select("case_id", "stage", "k", part.alias("coverage"), F.when(F.col("observable"), F.col("complete").cast("double")).alias("complete_coverage"), outcome.alias("outcome"), "path")
@@ -106,10 +102,8 @@ def segment_metrics(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoff
     stages: (case_id, stage, status) with the status that trace_status gives; only observed ones have values. One join and
     aggregation serve all cutoffs and the rank.
     """
-    asked = grid(stages, cutoffs)
-    best = best_path(path_coverage(clause_ranks(gold, items, asked)), ranks_of_incomplete=False)
-    out = stages.select("case_id", "stage", "status", F.explode(F.array(*[F.lit(k) for k in cutoffs], F.lit(None).cast("int"))).alias("k"))
-    j = out.join(best, (out.case_id == best.case_id) & (out.stage == best.stage) & out.k.eqNullSafe(best.k), "left").select(out["*"], "hits", "clauses", "complete", "last_rank")
+    s = stages.select("case_id", "stage", "status")
+    j = best_at(paths_at(gold, items, s, (*cutoffs, None)), s, (*cutoffs, None), ranks_of_incomplete=False)
     part = F.coalesce(F.col("hits") / F.col("clauses"), F.lit(0.0))
     whole = F.coalesce(F.col("complete"), F.lit(False))
     at = lambda name, value: F.struct(F.concat(F.lit("segment_"), "stage", F.lit(f"_{name}@"), F.col("k").cast("string")).alias("metric_id"), value.alias("value"))
@@ -142,12 +136,16 @@ def stage_outcomes(matrix: DataFrame) -> DataFrame:
 
 def progress(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple[int, ...] = SEGMENT_CUTOFFS) -> DataFrame:
     """mses_clause_recall@k, mses_path_success@k and mses_path_mrr: the best over paths, without a chosen path."""
-    paths = path_coverage(clause_ranks(gold, items, grid(stages, cutoffs)))
-    per = paths.groupBy("case_id", "stage", "k").agg(
-        F.max(F.col("hits") / F.col("clauses")).alias("clause_recall"),
-        F.bool_or("complete").cast("double").alias("path_success"),
-        F.min(F.when(F.col("complete"), F.col("last_rank"))).alias("rank"),
+    asked, ks = stages.select("case_id", "stage"), (*cutoffs, None)
+    paths = paths_at(gold, items, asked, ks).filter("path IS NOT NULL")
+    whole = [F.col(f"hits_{i}") == F.col("clauses") for i in range(len(ks))]
+    wide = paths.groupBy("case_id", "stage").agg(
+        *[F.max(F.col(f"hits_{i}") / F.col("clauses")).alias(f"recall_{i}") for i in range(len(ks))],
+        *[F.bool_or(x).cast("double").alias(f"success_{i}") for i, x in enumerate(whole)],
+        *[F.min(F.when(x, F.col(f"last_{i}"))).alias(f"rank_{i}") for i, x in enumerate(whole)],
     )
+    row = lambda i, k: F.struct(F.lit(k).cast("int").alias("k"), F.col(f"recall_{i}").alias("clause_recall"), F.col(f"success_{i}").alias("path_success"), F.col(f"rank_{i}").alias("rank"))
+    per = wide.select("case_id", "stage", F.inline(F.array(*[row(i, k) for i, k in enumerate(ks)])))
     return per.withColumn("path_mrr", F.when(F.col("k").isNull(), F.coalesce(1 / F.col("rank"), F.lit(0.0)))).drop("rank")
 
 

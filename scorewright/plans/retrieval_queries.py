@@ -41,10 +41,10 @@ def path_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def localization_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace(spark, sf_dir)
-    whole = t.stages.filter("observable").select("case_id", "stage", F.lit(None).cast("int").alias("k"))
-    best = mses.best_path(mses.path_coverage(mses.clause_ranks(t.gold, t.items, whole))).select("case_id", "stage", "path")
+    whole = t.stages.filter("observable").select("case_id", "stage")
+    best = mses.best_at(mses.paths_at(t.gold, t.items, whole, (None,)), whole, (None,)).filter("path IS NOT NULL").select("case_id", "stage", "path")
     hit = t.items.select("case_id", "stage", "evidence_id", F.lit(True).alias("hit")).distinct()
-    found = whole.drop("k").join(t.gold, "case_id").join(hit, ["case_id", "stage", "evidence_id"], "left")
+    found = whole.join(t.gold, "case_id").join(hit, ["case_id", "stage", "evidence_id"], "left")
     status = F.when(F.col("hit"), "matched").when(F.col("evidence_id") % 3 == 0, "partial").when(F.col("evidence_id") % 3 == 1, "retrieval_missed").otherwise("provenance_missing")
     return retrieval.localization_counts(found.select("case_id", "stage", "path", "clause", status.alias("status")), best)
 
@@ -79,8 +79,8 @@ def micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace(spark, sf_dir)
-    rec = retrieval.recall(t.gold, t.items, t.stages, (5,)).join(t.stages, ["case_id", "stage"])
-    wide = rec.groupBy("case_id").pivot("stage", ["raw", "ranked", "context"]).agg(F.first(F.when(F.col("observable"), F.col("complete"))))
+    rec = retrieval.recall(t.gold, t.items, t.stages, (5,))
+    wide = rec.groupBy("case_id").pivot("stage", ["raw", "ranked", "context"]).agg(F.first(F.when(F.col("status") == "observed", F.col("complete"))))
     n = F.col("case_id")
     cases = wide.select(
         "case_id", *[F.col(x).alias(f"{x}_complete") for x in ("raw", "ranked", "context")],
