@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.sources.scratch import written
+
 #: Statuses of a metric, and their precedence where none is observed.
 STATUSES = ("observed", "unavailable", "not_applicable", "error", "needs_review")
 PRECEDENCE = ("needs_review", "not_applicable", "error", "unavailable")
@@ -136,20 +138,23 @@ def evaluation_summary(cases: DataFrame, metrics: DataFrame, items: DataFrame) -
 
     cases: (case_id, status, labels array); metrics: (case_id, metric_id, status, value); items: (case_id, mapped). Sections:
     cases (all, completed, execution_error), metric_status (counts), metric (observed values and their mean), failure_label
-    (counts) and mapping (mapped items, coverage). Only completed cases count beyond the first section.
+    (counts) and mapping (mapped items, coverage). Only completed cases count beyond the first section. The cases and the counts of
+    metrics by status are made once and kept, so that no section repeats the plan of another.
     """
+    cases = written(cases.select("case_id", "status", "labels"))
     null = F.lit(None).cast("double")
     done = cases.filter("status = 'completed'").select("case_id")
     m = metrics.join(done, "case_id", "left_semi")
     section = lambda df, name, of, n, value=null: df.select(F.lit(name).alias("section"), of.alias("name"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
     count = cases.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "completed").alias("completed"))
     count = count.withColumn("execution_error", F.col("all") - F.col("completed")).unpivot([], ["all", "completed", "execution_error"], "name", "n")
-    per_metric = m.filter("status = 'observed' AND value IS NOT NULL").groupBy("metric_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    counted = written(m.groupBy("metric_id", "status").agg(F.count(F.lit(1)).alias("count"), F.count("value").alias("n"), F.avg("value").alias("mean")))
+    per_metric = counted.filter("status = 'observed' AND n > 0")
     labels = cases.filter("status = 'completed'").select(F.explode("labels").alias("label")).groupBy("label").count()
     whole = mapping_coverage(items.join(done, "case_id", "left_semi"), [])
     return (
         section(count, "cases", F.col("name"), F.col("n"))
-        .unionByName(section(m.groupBy("status").count(), "metric_status", F.col("status"), F.col("count")))
+        .unionByName(section(counted.groupBy("status").agg(F.sum("count").alias("count")), "metric_status", F.col("status"), F.col("count")))
         .unionByName(section(per_metric, "metric", F.col("metric_id"), F.col("n"), F.col("mean")))
         .unionByName(section(labels, "failure_label", F.col("label"), F.col("count")))
         .unionByName(section(whole, "mapping", F.lit("mapped_items"), F.col("mapped_items"), F.col("coverage")))
