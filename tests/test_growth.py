@@ -2,7 +2,9 @@
 
 import json
 
-from scorewright.operators import locators, records
+from pyspark.sql import functions as F
+
+from scorewright.operators import locators, provenance, records
 
 
 def plan(df):
@@ -34,3 +36,68 @@ def test_records_of_lines_and_whole_texts(spark):
                 break
     got = [(r.text_id, r.value_no, json.dumps(json.loads(r.record), sort_keys=True)) for r in records.walked(spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def place_tables(spark, n):
+    """n orders with one span each at the same place of one document, and n catalog objects there, in chunks 0 to 4."""
+    gold = spark.range(n).selectExpr("id AS case_id", "1 AS evidence_id", "0 AS map_id", "0 AS document_id", "CAST(NULL AS BIGINT) AS object_id", "false AS is_table", "5 AS start", "9 AS end", "'' AS quote", "false AS quote_unique", "false AS corpus_unique")
+    items = spark.range(n).selectExpr("id AS case_id", "'raw' AS stage", "id AS item_id", "1 AS rank", "0 AS document_id", "CAST(id % 5 AS INT) AS chunk_id")
+    known = spark.range(n).selectExpr("0 AS map_id", "0 AS document_id", "id AS object_id", "array(named_struct('start', 5, 'end', 9)) AS ranges", "CAST(NULL AS BIGINT) AS table_id", "5 AS start", "9 AS end", "id % 2 = 0 AS complete")
+    edges = spark.range(n).selectExpr("0 AS map_id", "id AS object_id", "CAST(id % 5 AS INT) AS chunk_id", "0 AS document_id", "IF(id % 3 = 0, 'full', 'partial') AS coverage", "5 AS start", "9 AS end")
+    claims = spark.createDataFrame([(3, "raw", 3, 0, 0, 18, "full", 0, 1, 0, 1), (3, "raw", 3, 0, 1, 3, "full", 5, 9, 5, 9)], "case_id long, stage string, item_id long, source int, place int, object_id long, coverage string, start int, end int, e_start int, e_end int")
+    return gold, items, known, edges, claims
+
+
+def joined_rows(df):
+    """The most rows that an operator of df has put out once it has run."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        for inner in ("executedPlan", "plan"):
+            if type_name(p) in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec") and hasattr(p, inner):
+                try:
+                    todo.append(getattr(p, inner)())
+                except Exception:
+                    pass
+        metric = p.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def type_name(plan_node):
+    return plan_node.getClass().getSimpleName()
+
+
+def test_golds_of_one_place_do_not_meet_its_objects(spark):
+    n = 600
+    gold, items, known, edges, claims = place_tables(spark, n)
+    out = provenance.first_edges(items, gold, claims, edges, known)
+    rows = {r.case_id: r for r in out.collect()}
+    full = {c: [o for o in range(n) if o % 5 == c and o % 2 == 0 and o % 3 == 0] for c in range(5)}
+    assert len(rows) == n and all(rows[k].n_full == len(full[k % 5]) and rows[k].led and rows[k].edge.object_id == k % 5 and rows[k].edge.source == 2 for k in range(n) if k != 3)
+    assert rows[3].edge.source == 0 and rows[3].edge.object_id == 3 and rows[3].n_full == 1 and rows[3].full == [18]
+    assert joined_rows(out) < 20 * n
+    summary = provenance.target_summary(gold, known)
+    assert {(r.n_targets, r.target.object_id) for r in summary.collect()} == {(n, 0)}
+
+
+def test_misses_of_spans(spark):
+    gold, items, known, edges, _ = place_tables(spark, 30)
+    stages = items.select("case_id", "stage")
+    missed = lambda e, i=items: {r.case_id for r in provenance.proven_misses(stages, gold, i, e, known).collect()}
+    assert missed(edges) == set(range(30))
+    one = edges.withColumn("chunk_id", F.lit(1))  # every object only in chunk 1
+    assert missed(one) == {k for k in range(30) if k % 5 != 1}
+    two = one.union(edges.withColumn("chunk_id", F.lit(2)))  # and in chunk 2: counted twice by chunks 1 and 2, yet all are led to
+    both = items.union(items.withColumn("chunk_id", F.lit(2)))
+    assert missed(two, both) == set() and missed(two) == {k for k in range(30) if k % 5 not in (1, 2)}
+    assert missed(two.withColumn("coverage", F.lit(None).cast("string"))) == set()
+
+
+def test_exclusions_list_every_object(spark):
+    gold, items, known, _, _ = place_tables(spark, 40)
+    chunks = spark.createDataFrame([(0, c, 0, c * 5, c * 5 + 4, "verified", "full") for c in range(5)], "map_id int, chunk_id int, document_id int, span_start int, span_end int, span_status string, attribution string")
+    got = sorted((r.case_id, r.object_id) for r in provenance.exclusions(items, gold, known, chunks).collect())
+    assert got == sorted((c, o) for c in range(40) if c % 5 != 1 for o in range(0, 40, 2))
