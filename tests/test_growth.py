@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from scorewright.operators import locators, provenance, records
+from scorewright.operators import dedup, locators, provenance, records
 
 
 def plan(df):
@@ -101,3 +101,37 @@ def test_exclusions_list_every_object(spark):
     chunks = spark.createDataFrame([(0, c, 0, c * 5, c * 5 + 4, "verified", "full") for c in range(5)], "map_id int, chunk_id int, document_id int, span_start int, span_end int, span_status string, attribution string")
     got = sorted((r.case_id, r.object_id) for r in provenance.exclusions(items, gold, known, chunks).collect())
     assert got == sorted((c, o) for c in range(40) if c % 5 != 1 for o in range(0, 40, 2))
+
+
+def test_candidates_of_similar_sets_are_few(spark):
+    """200 sets share ten of their rarer words each with the others of a row, yet none is like another but two: pairs are told apart before they are shuffled or compared."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [f"c{i // 20}.{k}" for k in range(10)] + [f"u{i}.{k}" for k in range(10)] + [f"f{rng.randrange(200)}" for _ in range(60)]) for i in range(200)]
+    rows.append((200, rows[7][1][:-1] + ["other"]))
+    sets = spark.createDataFrame([(i, sorted(set(t))) for i, t in rows], "id int, tokens array<string>").repartition(4)
+    out = dedup.similar_sets(sets, 0.75)
+    want = [(a, b) for a, s in rows for b, t in rows if a < b and len(set(s) & set(t)) >= 0.75 * len(set(s) | set(t))]
+    assert sorted((r.a, r.b) for r in out.collect()) == want == [(7, 200)]
+    assert "bit_count" in plan(out)
+
+
+def test_similar_sets_of_any_size_and_order(spark):
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(700)]
+    rows = []
+    for i in range(120):
+        size = rng.choice([1, 2, 3, 4, 9, 40, 300, 650])
+        rows.append((i, sorted({*rng.sample(base[:size + size // 6 + 1], size)})))
+    sets = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(4)
+    for threshold in (0.5, 0.75, 0.9):
+        reps = {}
+        for i, t in rows:
+            reps.setdefault(tuple(t), []).append(i)
+        want = [(a[0], b) for a in reps.values() for b in a[1:]]
+        firsts = [(ids[0], set(t)) for t, ids in reps.items()]
+        want += [(a, b) for a, s in firsts for b, t in firsts if a < b and len(s & t) / len(s | t) >= threshold - 1e-12]
+        assert sorted((r.a, r.b) for r in dedup.similar_sets(sets, threshold).collect()) == sorted(want)
