@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most cases that are broadcast.
+BROADCAST_CASES = 2_000_000
+
+
 def paired_deltas(scores: DataFrame, base: str, treatment: str) -> DataFrame:
     """(case_id, delta): the mean over matched seeds of treatment - base. scores: (case_id, seed, system, value).
 
@@ -32,8 +36,10 @@ def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int =
     deltas: (case_id, stratum, delta). The weight of a stratum is its part of the cases, or weights by stratum, which must
     name all of them. Draw `slot` of an iteration takes, of the stratum's cases by their order, the one whose number is 60
     bits of the MD5 of seed:iteration:stratum:slot modulo their count: any case, however many, and the same in any engine.
+    Up to BROADCAST_CASES cases are sent to the tasks, which draw whole iterations and shuffle only sums; beyond, draws are shuffled.
     """
     rows = deltas.select("case_id", F.col("stratum").cast("string").alias("stratum"), "delta").checkpoint()  # read several times
+    cases = rows.count()
     # a given number of partitions, which adaptive execution leaves as it is in every branch that reads them
     parts = int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "stratum", "case_id").sortWithinPartitions("stratum", "case_id").withColumn("part", F.spark_partition_id()).checkpoint()
@@ -44,7 +50,7 @@ def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int =
     numbered = local.join(offsets, ["part", "stratum"]).select("stratum", (F.col("k") + F.col("shift")).alias("case_no"), "delta")
     strata = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
     if weights is None:
-        share = F.col("n") / rows.count()
+        share = F.col("n") / cases
     else:
         names = {x.stratum for x in strata.select("stratum").collect()}  # few: the caller lists them
         if names != set(weights) or sum(weights.values()) <= 0:
@@ -52,11 +58,18 @@ def stratified_bootstrap(deltas: DataFrame, iterations: int = 10000, seed: int =
         given = F.create_map(*[F.lit(v) for k, w in weights.items() for v in (k, float(w))])
         share = F.element_at(given, F.col("stratum")) / sum(weights.values())
     strata = strata.withColumn("weight", share)
-    slots = numbered.select("stratum", F.col("case_no").alias("slot")).join(strata.select("stratum", "n"), "stratum")
-    draws = slots.crossJoin(deltas.sparkSession.range(iterations).withColumnRenamed("id", "iteration"))
+    slots = numbered.select("stratum", F.col("case_no").alias("slot")).join(F.broadcast(strata.select("stratum", "n")), "stratum")
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "iteration", "stratum", "slot").cast("binary")), 1, 15), 16, 10).cast("bigint")
-    drawn = draws.select("stratum", "iteration", F.pmod(bits, F.col("n")).alias("case_no")).groupBy("stratum", "case_no", "iteration").agg(F.count(F.lit(1)).alias("times"))
-    means = drawn.join(numbered, ["stratum", "case_no"]).groupBy("iteration", "stratum").agg(F.sum(F.col("times") * F.col("delta")).alias("total"))
+    number = F.pmod(bits, F.col("n"))
+    if cases <= BROADCAST_CASES:  # iterations are dealt out, and each meets all cases where it is
+        tasks = max(1, min(iterations, deltas.sparkSession.sparkContext.defaultParallelism * 8))
+        draws = deltas.sparkSession.range(0, iterations, 1, tasks).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(slots))
+        drawn = draws.select("stratum", "iteration", number.alias("case_no")).join(F.broadcast(numbered), ["stratum", "case_no"])
+        means = drawn.groupBy("iteration", "stratum").agg(F.sum("delta").alias("total"))
+    else:
+        draws = slots.crossJoin(F.broadcast(deltas.sparkSession.range(iterations).withColumnRenamed("id", "iteration")))
+        drawn = draws.select("stratum", "iteration", number.alias("case_no")).groupBy("stratum", "case_no", "iteration").agg(F.count(F.lit(1)).alias("times"))
+        means = drawn.join(numbered, ["stratum", "case_no"]).groupBy("iteration", "stratum").agg(F.sum(F.col("times") * F.col("delta")).alias("total"))
     means = means.join(strata, "stratum").groupBy("iteration").agg(F.sum(F.col("weight") * F.col("total") / F.col("n")).alias("mean"))
     ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return strata.agg(F.sum("n").alias("n_cases"), F.sum(F.col("weight") * F.col("mean")).alias("estimate")).crossJoin(ends)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from scorewright.operators import dedup, locators, provenance, records
+from scorewright.operators import compare, dedup, fragments, locators, provenance, records
 
 
 def plan(df):
@@ -135,3 +135,45 @@ def test_similar_sets_of_any_size_and_order(spark):
         firsts = [(ids[0], set(t)) for t, ids in reps.items()]
         want += [(a, b) for a, s in firsts for b, t in firsts if a < b and len(s & t) / len(s | t) >= threshold - 1e-12]
         assert sorted((r.a, r.b) for r in dedup.similar_sets(sets, threshold).collect()) == sorted(want)
+
+
+def test_bootstrap_draws_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, str(i % 3), (i * 7 % 11) / 3 - 1) for i in range(200)]
+    deltas = spark.createDataFrame(rows, "case_id int, stratum string, delta double")
+    out = compare.stratified_bootstrap(deltas, 50, weights={"0": 1.0, "1": 2.0, "2": 1.0})
+    assert "times" not in plan(out)  # only sums by iteration leave a task
+    small = out.first()
+    monkeypatch.setattr(compare, "BROADCAST_CASES", 0)
+    large = compare.stratified_bootstrap(deltas, 50, weights={"0": 1.0, "1": 2.0, "2": 1.0}).first()
+    assert [round(x, 9) for x in small] == [round(x, 9) for x in large]
+
+
+def test_fragments_of_frequent_signatures(spark):
+    """Equal fragments of frequent signatures cost no rows each; gaps, nulls, long fragments and unknown signatures keep the places of a plain search."""
+    import random
+
+    rng = random.Random(3)
+    tables = {t: [rng.choice([0, 0, 1, 2]) for _ in range(120)] for t in range(3)}
+    tables[2][7] = None
+    parts, no = {}, 0
+    for t, rows in tables.items():
+        for n in (1, 2, 3, 5, 6, 40):
+            for at in (0, 17, 33, 120 - n):
+                parts[no, t], no = [(9 + k, x) for k, x in enumerate(rows[at:at + n])], no + 1
+        parts[no, t], no = [(1, rows[4]), (3, rows[6])], no + 1
+        parts[no, t], no = [(1, 77), (2, rows[6])], no + 1
+        parts[no, t], no = [(1, None)], no + 1
+    full = spark.createDataFrame([(t, k + 1, x) for t, rows in tables.items() for k, x in enumerate(rows)], "table_id int, row int, signature int")
+    some = spark.createDataFrame([(f, t, r, x) for (f, t), rows in parts.items() for r, x in rows], "fragment_id int, table_id int, row int, signature int")
+    want = []
+    for (f, t), rows in parts.items():
+        low, n = rows[0][0], rows[-1][0] - rows[0][0]
+        hits = [at for at in range(120 - n) if all(x is not None and tables[t][at + r - low] == x for r, x in rows)]
+        end = len(rows) - 1
+        want.append((f, t, hits[0] + 1 if len(hits) == 1 else None, hits[0] + 1 + end if len(hits) == 1 else None, len(hits)))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in fragments.fragment_rows(some, full).collect())
+    n = 2000
+    full = spark.range(1, n + 1).selectExpr("0 AS table_id", "CAST(id AS INT) AS row", "0 AS signature")
+    some = spark.range(n).selectExpr("id AS fragment_id", "0 AS table_id", "1 AS row", "0 AS signature")
+    out = fragments.fragment_rows(some, full)
+    assert joined_rows(out) < 20 * n and {r.places for r in out.collect()} == {n}
