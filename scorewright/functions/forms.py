@@ -5,9 +5,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,8 @@ def bare(text: str) -> str:
     return _TAG.sub("\n", html.unescape(text))
 
 
-def _form(text: str) -> tuple[str, list[int]]:
-    out, at, space = [], [], None
+def _form(text: str) -> tuple[str, array]:
+    out, at, space = [], array("i"), None
     for i, c in enumerate(bare(text)):
         units = unicodedata.normalize("NFKC", c)
         if not units or units.isspace():
@@ -33,21 +35,45 @@ def _form(text: str) -> tuple[str, list[int]]:
             at.append(space)
             space = None
         out.append(units)
-        at += [i] * len(units)
+        at.extend([i] * len(units))
     return "".join(out), at
 
 
+#: The UTF-8 bytes of the texts whose forms are held together, single longer texts excepted.
+_TOGETHER = 1 << 21
+
+
+def _shares(texts: pa.Array) -> Iterator[pa.Array]:
+    """Successive parts of texts of up to _TOGETHER bytes, or of one text."""
+    sizes, first, held = pc.fill_null(pc.binary_length(texts), 0), 0, 0
+    for i, size in enumerate(sizes):
+        held += size.as_py()
+        if held > _TOGETHER and i > first:
+            yield texts.slice(first, i - first)
+            first, held = i, size.as_py()
+    yield texts.slice(first)
+
+
 @F.arrow_udf(FORM)
 def _forms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([("text", pa.string()), ("offsets", pa.list_(pa.int32()))])
-    for texts in batches:
-        yield pa.array([None if t is None else dict(zip(("text", "offsets"), _form(t))) for t in texts.to_pylist()], kind)
+    names = ["text", "offsets"]
+    for batch in batches:
+        for texts in _shares(batch):
+            said, places, ends = [], array("i"), [0]
+            for t in texts:
+                text, at = _form(t.as_py()) if t.is_valid else (None, ())
+                said.append(text)
+                places.extend(at)
+                ends.append(len(places))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(places), [None, pa.py_buffer(places)]))
+            yield pa.StructArray.from_arrays([pa.array(said, pa.string()), lists], names, mask=texts.is_null())
 
 
 @F.arrow_udf(T.StringType())
 def _normal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        yield pa.array([None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", bare(t))).strip() for t in texts.to_pylist()], pa.string())
+    for batch in batches:
+        for texts in _shares(batch):
+            yield pa.array([None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", bare(t))).strip() for t in texts.to_pylist()], pa.string())
 
 
 def offset_form(text: Column) -> Column:
