@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from scorewright.functions import forms
 from scorewright.operators import compare, dedup, fragments, locators, provenance, records
 
 
@@ -177,3 +178,29 @@ def test_fragments_of_frequent_signatures(spark):
     some = spark.range(n).selectExpr("id AS fragment_id", "0 AS table_id", "1 AS row", "0 AS signature")
     out = fragments.fragment_rows(some, full)
     assert joined_rows(out) < 20 * n and {r.places for r in out.collect()} == {n}
+
+
+def test_forms_are_made_in_shares(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(forms, "_TOGETHER", 20)
+    texts = ["<b>a</b>  c", None, "", "x" * 50, "ﬁ\n\n&amp;", "end"]
+    parts = list(forms._forms.func(iter([pa.array(texts), pa.array(["z"])])))
+    assert len(parts) > 3 and max(len(p) for p in parts) < len(texts)  # never a whole batch at once
+    rows = [x for p in parts for x in p.to_pylist()]
+    assert rows[1] is None and rows[2] == {"text": "", "offsets": []} and rows[6] == {"text": "z", "offsets": [0]}
+    assert rows[0] == {"text": "a c", "offsets": [1, 2, 5]} and rows[3]["offsets"] == list(range(50)) and rows[4] == {"text": "fi &", "offsets": [0, 0, 1, 3]}
+    assert [x for p in forms._normal.func(iter([pa.array(texts)])) for x in p.to_pylist()] == ["a c", None, "", "x" * 50, "fi &", "end"]
+
+
+def test_edges_of_both_directions_meet_once(spark):
+    kinds = "map_id int, object_id int, chunk_id int, document_id int, coverage string, start int, end int"
+    forward = spark.createDataFrame([(1, 1, 1, 5, "full", 0, 9), (1, 2, 1, None, "full", None, None), (1, 3, 1, 5, "full", 0, 9), (1, 4, 2, 5, None, None, None), (1, None, 1, 5, "full", 0, 9)], kinds)
+    reverse = spark.createDataFrame([(1, 1, 1, None, None, 0, 9), (1, 2, 1, 6, "full", 1, 2), (1, 3, 1, 5, "partial", 0, 9), (1, 6, 1, 5, "full", 0, 9), (1, None, 1, 5, "full", 0, 9)], kinds)
+    chunks, known = spark.createDataFrame([(1, 1, 5)], "map_id int, chunk_id int, document_id int"), spark.createDataFrame([(1, o, 5) for o in (1, 3, 6)], "map_id int, object_id int, document_id int")
+    out = provenance.edge_faults(forward, reverse, chunks, known)
+    assert plan(out).count("join") == 2
+    assert sorted((r.object_id or 0, r.direction, r.fault) for r in out.collect()) == [
+        (0, "forward", "no_reverse_edge"), (0, "reverse", "no_forward_edge"), (2, "forward", "edges_differ"), (2, "reverse", "document_differs"), (3, "forward", "edges_differ"), (3, "reverse", "edges_differ"),
+        (4, "forward", "no_chunk"), (6, "reverse", "no_forward_edge"),
+    ]
