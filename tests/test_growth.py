@@ -204,3 +204,10 @@ def test_edges_of_both_directions_meet_once(spark):
         (0, "forward", "no_reverse_edge"), (0, "reverse", "no_forward_edge"), (2, "forward", "edges_differ"), (2, "reverse", "document_differs"), (3, "forward", "edges_differ"), (3, "reverse", "edges_differ"),
         (4, "forward", "no_chunk"), (6, "reverse", "no_forward_edge"),
     ]
+
+
+def test_chunks_of_lineage_take_one_pass(spark):
+    from scorewright.plans import mapping_queries
+
+    chunks = plan(mapping_queries.lineage_chunks(spark, "/root/testdata/sf0.001"))
+    assert chunks.count("arrowevalpython") <= 3  # one pass over the atoms for all counts of a chunk; there were three
