@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.operators.releases import lineages
+from scorewright.sources.scratch import written
 
 #: The kinds of relations that bind certain types of objects, with the types of their ends (None: any).
 SHAPES = (
@@ -46,32 +47,38 @@ def graph_faults(documents: DataFrame, objects: DataFrame, relations: DataFrame)
     twice = lambda df, key: df.groupBy("b", key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = [
         fault(twice(o, "object_id"), "repeated_object", "object_id"), fault(twice(o, "document_order"), "repeated_order", "document_order"), fault(twice(r, "relation_id"), "repeated_relation", "relation_id"),
-        fault(o.filter("NOT (document_id <=> b)"), "object_of_another_document", "object_id"), fault(r.filter("NOT (document_id <=> b)"), "relation_of_another_document", "relation_id"),
+        fault(o.filter("NOT (document_id <=> b)"), "object_of_another_document", "object_id"),
         fault(documents.select(F.col("document_id").alias("b")).join(o.filter("object_type = 'document'").select("b").distinct(), "b", "left_anti"), "no_document_object", "b"),
     ]
     one = o.groupBy("b", "object_id").agg(F.min(F.struct("document_order", "object_type")).alias("x")).select("b", "object_id", "x.*")
     end = lambda side: one.select("b", F.col("object_id").alias(f"{side}_id"), F.col("object_type").alias(f"{side}_type"), F.col("document_order").alias(f"{side}_order"))
+    # all that one relation shows with its ends is told in one pass
     j = r.join(end("source"), ["b", "source_id"], "left").join(end("target"), ["b", "target_id"], "left")
     unknown = F.col("source_type").isNull() | F.col("target_type").isNull()
-    parts.append(fault(j.filter(unknown), "unknown_end", "relation_id"))
-    j = j.filter(~unknown)
     fits = F.lit(False)
     for kind, source, target in SHAPES:
         fits = fits | ((F.col("kind") == kind) & (F.col("source_type") == source) & (F.lit(target is None) | (F.col("target_type") == F.lit(target))))
     kinds = sorted({s[0] for s in SHAPES})
-    parts.append(fault(j.filter(F.col("kind").isin(*kinds) & ~F.coalesce(fits, F.lit(False))), F.col("kind"), "relation_id"))
-    parts.append(fault(j.filter(~F.coalesce(F.col("kind").isin(*kinds, *FREE), F.lit(False))), "unknown_kind", "relation_id"))
-    parts.append(fault(j.filter("kind = 'document_order' AND source_order >= target_order"), "document_order", "relation_id"))
-    tree = j.filter("kind = 'parent_child'").select("b", "source_id", "target_id").distinct()
+    elsewhere = F.when(~F.col("document_id").eqNullSafe(F.col("b")), "relation_of_another_document")
+    unsound = F.when(unknown, "unknown_end").when(F.col("kind").isin(*kinds) & ~F.coalesce(fits, F.lit(False)), F.col("kind")).when(~F.coalesce(F.col("kind").isin(*kinds, *FREE), F.lit(False)), "unknown_kind")
+    unsound = unsound.when(F.expr("kind = 'document_order' AND source_order >= target_order"), "document_order")
+    parts.append(fault(j.select("b", "relation_id", F.explode(F.array_compact(F.array(elsewhere, unsound))).alias("fault")), F.col("fault"), "relation_id"))
+    # what several relations show together needs those of three kinds only; they are kept
+    there = lambda side: one.filter("object_type IS NOT NULL").select("b", F.col("object_id").alias(f"{side}_id"))
+    links = r.filter("kind IN ('parent_child', 'sibling', 'section_hierarchy')").select("b", "relation_id", "kind", "source_id", "target_id")
+    links = written(links.join(there("source"), ["b", "source_id"], "left_semi").join(there("target"), ["b", "target_id"], "left_semi"))
+    parent_child = links.filter("kind = 'parent_child'").select("b", "source_id", "target_id")
+    tree = parent_child.distinct()
     under = lambda side: tree.select("b", F.col("source_id").alias("parent"), F.col("target_id").alias(f"{side}_id"))
-    kin = j.filter("kind = 'sibling'").join(under("source"), ["b", "source_id"]).join(under("target"), ["b", "parent", "target_id"]).select("b", "relation_id").distinct()
-    parts.append(fault(j.filter("kind = 'sibling'").join(kin, ["b", "relation_id"], "left_anti"), "sibling_without_shared_parent", "relation_id"))
-    parts.append(fault(j.filter("kind = 'section_hierarchy'").join(tree, ["b", "source_id", "target_id"], "left_anti"), "hierarchy_without_parent_child", "relation_id"))
+    sibling = links.filter("kind = 'sibling'")
+    kin = sibling.select("b", "source_id", "target_id").join(under("source"), ["b", "source_id"]).join(under("target"), ["b", "parent", "target_id"])
+    parts.append(fault(sibling.join(kin, ["b", "source_id", "target_id"], "left_anti"), "sibling_without_shared_parent", "relation_id"))
+    parts.append(fault(links.filter("kind = 'section_hierarchy'").join(tree, ["b", "source_id", "target_id"], "left_anti"), "hierarchy_without_parent_child", "relation_id"))
     parts.append(fault(tree.groupBy("b", "target_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several_parents", "target_id"))
     node = lambda c: F.struct("b", F.col(c).alias("object_id"))
-    links = tree.select(node("target_id").alias("release_id"), node("source_id").alias("parent_id"))
-    links = links.unionByName(tree.select(node("source_id").alias("release_id"), F.lit(None).cast(links.schema["parent_id"].dataType).alias("parent_id")))
-    rings = lineages(links).filter("state = 'cycle'").select("release_id.b", "release_id.object_id")
+    chains = parent_child.select(node("target_id").alias("release_id"), node("source_id").alias("parent_id"))
+    chains = chains.unionByName(parent_child.select(node("source_id").alias("release_id"), F.lit(None).cast(chains.schema["parent_id"].dataType).alias("parent_id")))
+    rings = lineages(chains).filter("state = 'cycle'").select("release_id.b", "release_id.object_id")
     parts.append(fault(rings, "parent_cycle", "object_id"))
     out = parts[0]
     for part in parts[1:]:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scorewright.functions import forms
-from scorewright.operators import compare, dedup, fragments, locators, provenance, records
+from scorewright.operators import compare, dedup, fragments, graph, locators, provenance, records
 
 
 def plan(df):
@@ -211,3 +211,14 @@ def test_chunks_of_lineage_take_one_pass(spark):
 
     chunks = plan(mapping_queries.lineage_chunks(spark, "/root/testdata/sf0.001"))
     assert chunks.count("arrowevalpython") <= 3  # one pass over the atoms for all counts of a chunk; there were three
+
+
+def test_document_graph_meets_its_ends_once(spark):
+    objects = [("d", i, "d", "section", i) for i in range(6)]
+    relations = [("d", 1, "d", "parent_child", 0, 1), ("d", 2, "d", "parent_child", 0, 2), ("d", 3, "x", "sibling", 1, 2), ("d", 0, "d", "sibling", 2, 1), ("d", 0, "d", "sibling", 4, 5), ("d", 4, "d", None, 1, 2), ("d", 5, "x", "sibling", 1, 9), ("d", 6, "d", "document_order", 3, 3)]
+    o = spark.createDataFrame(objects, "bundle_id string, object_id long, document_id string, object_type string, document_order long")
+    r = spark.createDataFrame(relations, "bundle_id string, relation_id long, document_id string, kind string, source_id long, target_id long")
+    out = graph.graph_faults(spark.createDataFrame([("d",)], "document_id string"), o, r)
+    assert plan(out).count("join leftouter") == 2
+    want = [("no_document_object", "d"), ("repeated_relation", "0"), ("sibling_without_shared_parent", "0"), ("relation_of_another_document", "3"), ("relation_of_another_document", "5"), ("unknown_end", "5"), ("unknown_kind", "4"), ("document_order", "6")]
+    assert sorted((x.fault, x.affected_id) for x in out.collect()) == sorted(want)  # of two siblings with one id, that without a parent shows
