@@ -1,17 +1,20 @@
 """Blocks of a document aligned with the lines of its rendered text, in order, by a cursor that only moves forward.
 
 A block takes the first line at or after the cursor that reads as the block does, and the cursor then stands behind it; a
-block without such a line leaves the cursor where it is. What a block gets thus depends on all blocks before it. Here no
-document is walked: every pair of a block and a line that could be its match is a node, its successor is the next block that
-still has a line and that line, and the path from the document's beginning is found by pointer doubling.
+block without such a line leaves the cursor where it is. What a block gets thus depends on all blocks before it in its
+document, and on nothing else: lines and blocks meet by document, whose text is one row already, and each is looked at once.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from scorewright.sources.scratch import written
+from pyspark.sql import types as T
 
 #: Where lines end.
 _ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
@@ -19,7 +22,7 @@ _ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 def source_lines(documents: DataFrame) -> DataFrame:
     """(document_id, line, start, end, text) of the lines of documents (document_id, text), from 0; end excludes the line's end."""
-    found = F.regexp_extract_all("text", F.lit(rf"[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+"), F.lit(0))
+    found = F.filter(F.split("text", rf"(?<=[{_ENDS}])(?!(?<=\r)\n)"), lambda piece: piece != "")
     raw = documents.select("document_id", F.posexplode(found).alias("line", "raw"))
     before = Window.partitionBy("document_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     out = raw.withColumn("start", F.coalesce(F.sum(F.char_length("raw")).over(before), F.lit(0)).cast("int")).withColumn("text", F.regexp_replace("raw", r"[\r\n]+$", ""))
@@ -32,13 +35,28 @@ def rendered(value: Column, kind: Column, level: Column) -> Column:
     return F.when((kind == "heading") & level.between(1, 9), heading).when(kind == "list_item", F.concat(F.lit("- "), value)).otherwise(value)
 
 
-def _first_after(asked: DataFrame, lines: DataFrame) -> DataFrame:
-    """asked (document_id, text, p, ...) with q, the first line after p of this text; by one window over both."""
-    rest = [c for c in asked.columns if c not in ("document_id", "text", "p")]
-    both = asked.select("document_id", "text", F.col("p").alias("at"), F.lit(None).cast("int").alias("line"), F.struct(*rest).alias("of"), F.lit(1).alias("ask"))
-    have = lines.select("document_id", "text", F.col("line").alias("at"), "line", F.lit(None).cast(both.schema["of"].dataType).alias("of"), F.lit(0).alias("ask"))
-    seen = Window.partitionBy("document_id", "text").orderBy(F.desc("at"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.unionByName(have).withColumn("q", F.last("line", ignorenulls=True).over(seen)).filter("ask = 1").select("document_id", "text", F.col("at").alias("p"), "q", "of.*")
+def _taken(lines: Iterable[str], wanted: Iterable[str | None]) -> list[int | None]:
+    """Of each wanted text in turn the first line that reads so behind those taken before."""
+    at, cursor, out = defaultdict(list), 0, []
+    for i, text in enumerate(lines):
+        at[text].append(i)
+    for text in wanted:
+        places = at.get(text, ())
+        k = bisect_left(places, cursor)
+        out.append(places[k] if k < len(places) else None)
+        cursor = places[k] + 1 if k < len(places) else cursor
+    return out
+
+
+#: How many documents are walked before their places are handed back.
+_TOGETHER = 64
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _walked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for lines, wanted in batches:
+        for k in range(0, len(lines), _TOGETHER):
+            yield pa.array([_taken(t.as_py() or (), w.as_py()) for t, w in zip(lines.slice(k, _TOGETHER), wanted.slice(k, _TOGETHER))], pa.list_(pa.int32()))
 
 
 def aligned(documents: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -46,43 +64,16 @@ def aligned(documents: DataFrame, blocks: DataFrame) -> DataFrame:
 
     blocks: (document_id, block_id, body_ordinal, kind, level, value, status), taken by body_ordinal (none and 0 first), then
     id. status is aligned, unsupported_object or execution_line_not_found, with null places; a block without a value is
-    found nowhere. The nodes of a text are the blocks times the lines that read so, less those that earlier equal blocks use up.
+    found nowhere. A document's lines and blocks are one row while they meet.
     """
-    b = blocks.withColumn("text", rendered(F.col("value"), F.col("kind"), F.col("level")))
     fault = F.when(F.col("status").eqNullSafe("unsupported"), "unsupported_object").when(F.coalesce("value", F.lit("")) == "", "execution_line_not_found")
-    b = b.withColumn("fault", fault).withColumn("ordinal", F.coalesce(F.nullif("body_ordinal", F.lit(0)), F.lit(-1)))
-    of_text = Window.partitionBy("document_id", "text")
-    asked = b.filter("fault IS NULL").select("document_id", "text").distinct()
-    lines = written(source_lines(documents).join(asked, ["document_id", "text"], "left_semi").withColumn("nth", F.row_number().over(of_text.orderBy("line"))).withColumn("last", F.max("line").over(of_text)))
-    has = lines.select("document_id", "text", "last").distinct()
-    able = b.filter("fault IS NULL").join(has, ["document_id", "text"])
-    in_order = Window.partitionBy("document_id").orderBy("ordinal", F.col("block_id").cast("string"))
-    able = able.withColumn("i", F.row_number().over(in_order)).withColumn("rank", F.row_number().over(of_text.orderBy("i")))
-    able = written(able.select("document_id", "i", "block_id", "text", "value", "last", "rank"))
-    most = able.agg(F.max("i")).first()[0] or 0
-
-    nodes = able.join(lines.select("document_id", "text", F.col("line").alias("p"), "nth"), ["document_id", "text"]).filter("nth >= rank").select("document_id", "i", "p")
-    nodes = nodes.unionByName(able.select("document_id").distinct().select("document_id", F.lit(0).alias("i"), F.lit(-1).alias("p")))
-    # the next block with a line after p: steps of 1, 2, 4 ... blocks from table to table, the longest first
-    ahead = Window.partitionBy("document_id").orderBy("i")
-    jump, k = nodes.withColumn("j", F.col("i") + 1), max(0, most.bit_length())
-    while k >= 0:
-        reach = able.select("document_id", F.col("i").alias("j"), F.max("last").over(ahead.rowsBetween(0, (1 << k) - 1)).alias("reach"))
-        jump = jump.join(reach, ["document_id", "j"], "left").withColumn("j", F.when(F.col("reach") <= F.col("p"), F.col("j") + (1 << k)).otherwise(F.col("j"))).drop("reach")
-        k -= 1
-    follow = jump.join(able.select("document_id", F.col("i").alias("j"), "text"), ["document_id", "j"])
-    step = written(_first_after(follow, lines).select("document_id", "i", "p", F.col("j").alias("to_i"), F.col("q").alias("to_p")))
-
-    steps = [step]
-    while 1 << len(steps) <= most:
-        onward = steps[-1].select("document_id", F.col("i").alias("to_i"), F.col("p").alias("to_p"), F.col("to_i").alias("far_i"), F.col("to_p").alias("far_p"))
-        steps.append(written(steps[-1].join(onward, ["document_id", "to_i", "to_p"]).select("document_id", "i", "p", F.col("far_i").alias("to_i"), F.col("far_p").alias("to_p"))))
-    path = able.select("document_id").distinct().select("document_id", F.lit(0).alias("i"), F.lit(-1).alias("p"))
-    for step in reversed(steps):
-        path = written(path.unionByName(path.join(step, ["document_id", "i", "p"]).select("document_id", F.col("to_i").alias("i"), F.col("to_p").alias("p"))))
-    where = path.filter("i > 0").join(able.select("document_id", "i", "block_id", "value", "text"), ["document_id", "i"]).join(lines.select("document_id", F.col("line").alias("p"), F.col("start").alias("from")), ["document_id", "p"])
-    found = where.select("document_id", "block_id", (F.col("from") + F.char_length("text") - F.char_length("value")).alias("start")).join(b.select("document_id", "block_id", F.char_length("value").alias("n")), ["document_id", "block_id"])
-    found = found.select("document_id", "block_id", "start", (F.col("start") + F.col("n")).alias("end"))
-    out = b.select("document_id", "block_id", "fault").join(found, ["document_id", "block_id"], "left")
-    status = F.coalesce("fault", F.when(F.col("start").isNull(), "execution_line_not_found").otherwise("aligned"))
-    return out.select("document_id", "block_id", status.alias("status"), "start", "end")
+    b = blocks.withColumn("fault", fault).withColumn("ordinal", F.coalesce(F.nullif("body_ordinal", F.lit(0)), F.lit(-1)))
+    text = F.when(F.col("fault").isNull(), rendered(F.col("value"), F.col("kind"), F.col("level")))
+    block = F.struct("ordinal", F.col("block_id").cast("string").alias("name"), "block_id", "fault", F.char_length("value").alias("n"), text.alias("text"))
+    in_order = lambda row, name: F.sort_array(F.collect_list(row)).alias(name)
+    lines = source_lines(documents).groupBy("document_id").agg(in_order(F.struct("line", "end", "text"), "lines"))
+    met = b.groupBy("document_id").agg(in_order(block, "blocks")).join(lines, "document_id", "left")
+    taken = F.transform(_walked("lines.text", "blocks.text"), lambda i: F.try_element_at("lines.end", i + 1))
+    out = met.select("document_id", F.explode(F.arrays_zip("blocks", taken.alias("end"))).alias("x")).select("document_id", "x.blocks.*", "x.end")
+    status = F.coalesce("fault", F.when(F.col("end").isNull(), "execution_line_not_found").otherwise("aligned"))
+    return out.select("document_id", "block_id", status.alias("status"), (F.col("end") - F.col("n")).alias("start"), "end")

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scorewright.functions import forms
-from scorewright.operators import compare, dedup, fragments, graph, locators, provenance, records
+from scorewright.operators import align, compare, dedup, fragments, graph, locators, provenance, records
 
 
 def plan(df):
@@ -222,3 +222,14 @@ def test_document_graph_meets_its_ends_once(spark):
     assert plan(out).count("join leftouter") == 2
     want = [("no_document_object", "d"), ("repeated_relation", "0"), ("sibling_without_shared_parent", "0"), ("relation_of_another_document", "3"), ("relation_of_another_document", "5"), ("unknown_end", "5"), ("unknown_kind", "4"), ("document_order", "6")]
     assert sorted((x.fault, x.affected_id) for x in out.collect()) == sorted(want)  # of two siblings with one id, that without a parent shows
+
+
+def test_repeated_lines_are_aligned_without_their_pairs(spark):
+    n = 300
+    docs = spark.createDataFrame([(1, "same\n" * n + "- last"), (2, "a\nb")], "document_id int, text string")
+    rows = [(1, k, k + 1, "paragraph", None, "same", None) for k in range(n)] + [(1, n, n + 1, "list_item", None, "last", None), (2, 1, 1, "paragraph", None, "b", None), (2, 2, 2, "paragraph", None, "a", None), (2, 3, 3, "paragraph", None, "b", "unsupported")]
+    out = align.aligned(docs, spark.createDataFrame(rows, "document_id int, block_id int, body_ordinal int, kind string, level int, value string, status string"))
+    got = {(r.document_id, r.block_id): tuple(r)[2:] for r in out.collect()}
+    assert got == {(1, k): ("aligned", 5 * k, 5 * k + 4) for k in range(n)} | {(1, n): ("aligned", 5 * n + 2, 5 * n + 6), (2, 1): ("aligned", 2, 3), (2, 2): ("execution_line_not_found", None, None), (2, 3): ("unsupported_object", None, None)}
+    assert joined_rows(out) <= 3 * (n + 5)  # not n * n / 2
+    assert plan(out).count("join") == 1
