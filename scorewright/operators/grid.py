@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,23 @@ def placed_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     rows: (table_id, row, grid_before); cells: (table_id, row, ordinal, span, v_merge, text); spans under 1 and null count as 1,
     unknown kinds of merging as none.
     """
+    same = Window.partitionBy("table_id", "column", "wide").orderBy("row")
+    c = _in_columns(rows, cells)
+    c = c.withColumn("starts", (F.col("merge") != "continue") | ~F.lag("row").over(same).eqNullSafe(F.col("row") - 1))
+    head = F.last(F.when(F.col("starts"), F.struct("merge", "row")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0))
+    origin = F.when(F.col("merge") != "continue", F.col("row")).when(head["merge"] == "restart", head["row"])
+    return c.withColumn("origin_row", origin).drop("starts")
+
+
+def _in_columns(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells with wide and merge, their span and kind of merging as they count, and column and end; see placed_cells."""
     span = F.when(F.col("span") >= 1, F.col("span")).otherwise(1)
     merge = F.when(F.col("v_merge").isin("restart", "continue"), F.col("v_merge")).otherwise("none")
     before = Window.partitionBy(*_ROW).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.select(*_ROW, F.when(F.col("grid_before") > 0, F.col("grid_before")).otherwise(0).alias("offset"))
     c = cells.join(offset, _ROW, "left").withColumn("wide", span).withColumn("merge", merge)
-    c = c.withColumn("column", (1 + F.coalesce("offset", F.lit(0)) + F.coalesce(F.sum("wide").over(before), F.lit(0))).cast("int")).withColumn("end", (F.col("column") + F.col("wide") - 1).cast("int"))
-    same = Window.partitionBy("table_id", "column", "wide").orderBy("row")
-    starts = (F.col("merge") != "continue") | ~F.lag("row").over(same).eqNullSafe(F.col("row") - 1)
-    c = c.withColumn("island", F.sum(starts.cast("int")).over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("table_id", "column", "wide", "island").orderBy("row")
-    head = F.first(F.struct("merge", "row")).over(whole)
-    origin = F.when(F.col("merge") != "continue", F.col("row")).when(head["merge"] == "restart", head["row"])
-    return c.withColumn("origin_row", origin).drop("island", "offset")
+    c = c.withColumn("column", (1 + F.coalesce("offset", F.lit(0)) + F.coalesce(F.sum("wide").over(before), F.lit(0))).cast("int")).drop("offset")
+    return c.withColumn("end", (F.col("column") + F.col("wide") - 1).cast("int"))
 
 
 def grid_errors(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -64,28 +70,46 @@ def grid_errors(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFra
     return out
 
 
+def _table_states(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_id, side, heads, wrong) of each table: whether its first column is a header, how many rows are, and whether any error of
+    grid_errors is there, lost cells excepted. What rows have is reduced row by row, then table by table, before it meets the tables."""
+    odd = ~F.coalesce(F.col("span") >= 1, F.lit(False)) | ~F.coalesce(F.col("v_merge").isin("restart", "continue", "none"), F.lit(True))
+    per_row = _in_columns(rows, cells).groupBy(*_ROW).agg(F.max("end").alias("last"), F.bool_or(odd).alias("odd"))
+    stated = rows.select(*_ROW, "grid_after", F.col("is_header").alias("header"), F.coalesce((F.col("grid_before") == 0) & (F.col("grid_after") == 0), F.lit(False)).alias("even"), F.lit(True).alias("stated"))
+    fault = F.col("odd") | (F.col("stated") & (~F.col("even") | F.col("last").isNull()))
+    full = F.when(F.col("stated"), F.col("last") + F.col("grid_after"))  # where the offset is invalid, the table is wrong anyway
+    per_table = stated.join(per_row, _ROW, "full_outer").groupBy("table_id").agg(
+        F.bool_or(fault).alias("fault"), F.max("last").alias("last"), F.min(full).alias("least"), F.max(full).alias("most"), F.count_if("header").alias("n"), F.max(F.when(F.col("header"), F.col("row"))).alias("last_head"),
+    )
+    width = F.col("grid_width")
+    wrong = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), [F.col("last") > width, F.col("least") != width, F.col("most") != width, F.col("n") != F.col("last_head")], F.coalesce("fault", F.lit(False)))
+    heads = F.when(F.col("n") == F.col("last_head"), F.col("n")).otherwise(0)
+    return tables.join(per_table, "table_id", "left").select("table_id", F.coalesce("first_column_header", F.lit(False)).alias("side"), heads.alias("heads"), wrong.alias("wrong"))
+
+
 def logical_cells(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
     """(table_id, row, column, row_end, span, text, is_header, is_data, header_path, status): the cells as they are seen, merged ones once.
 
     header_path: the texts of the header cells above its first column, by row, then that of the first column's cell in its
-    row if that column is a header; each header once. status is partial in a table with any error, else supported.
+    row if that column is a header; each header once. status is partial in a table with any error, else supported. Header cells stand once
+    more in each column or row that they head, and windows over these hand them to the cells; cells are dealt out by table once.
     """
-    c = placed_cells(rows, cells).filter("origin_row IS NOT NULL")
-    ends = c.groupBy("table_id", "column", F.col("wide").alias("span"), F.col("origin_row").alias("row")).agg(F.max("row").alias("row_end"), F.min_by("text", "row").alias("text"))
-    heads = rows.filter("is_header").groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last")).select("table_id", F.when(F.col("n") == F.col("last"), F.col("n")).otherwise(0).alias("heads"))
-    wrong = grid_errors(tables, rows, cells).select("table_id").distinct().withColumn("wrong", F.lit(True))
-    t = tables.select("table_id", F.coalesce("first_column_header", F.lit(False)).alias("side")).join(heads, "table_id", "left").join(wrong, "table_id", "left")
-    lc = ends.join(t, "table_id").withColumn("heads", F.coalesce("heads", F.lit(0)))
-    key = ["table_id", "row", "column"]
-    h = lc.select("table_id", F.col("row").alias("h_row"), F.col("row_end").alias("h_end"), F.col("column").alias("h_column"), (F.col("column") + F.col("span") - 1).alias("h_last"), F.col("text").alias("h_text"), "heads", "side")
-    top = h.filter("h_row <= heads").select("table_id", "h_row", "h_text", F.explode(F.sequence("h_column", "h_last")).alias("column"))
-    left = h.filter("side AND h_column = 1").select("table_id", "h_row", "h_text", F.explode(F.sequence("h_row", "h_end")).alias("row"))
-    above = lc.filter("row > heads").select(*key).join(top, ["table_id", "column"]).select(*key, F.lit(0).alias("aside"), "h_row", "h_text")
-    beside = lc.filter("side AND column > 1").select(*key).join(left, ["table_id", "row"]).select(*key, F.lit(1).alias("aside"), "h_row", "h_text")
-    path = above.unionByName(beside).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("aside", "h_row", "h_text"))).alias("path"))  # header rows at most
+    c = placed_cells(rows, cells)
+    lost = (F.col("merge") == "continue") & F.col("origin_row").isNull()
+    ends = c.groupBy("table_id", "column", F.col("wide").alias("span"), F.col("origin_row").alias("row")).agg(F.max("row").alias("row_end"), F.min_by("text", "row").alias("text"), F.bool_or(lost).alias("lost"))
+    lc = ends.join(_table_states(tables, rows, cells), "table_id").withColumn("wrong", F.col("wrong") | F.bool_or("lost").over(Window.partitionBy("table_id"))).filter("row IS NOT NULL")
+    at = lambda kind, row, column: F.struct(F.lit(kind).alias("kind"), row.alias("at_row"), column.alias("at_column"))
+    itself = F.array(at("cell", F.col("row"), F.col("column")))
+    above = F.when(F.col("row") <= F.col("heads"), F.transform(F.sequence(F.col("column"), F.col("column") + F.col("span") - 1), lambda x: at("above", F.col("row"), x)))
+    beside = F.when(F.col("side") & (F.col("column") == 1), F.transform(F.sequence("row", "row_end"), lambda x: at("beside", x, F.col("column"))))
+    none = F.slice(itself, 1, 0)
+    x = lc.select("*", F.inline(F.concat(itself, F.coalesce(above, none), F.coalesce(beside, none))))
+    of = lambda kind, line: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.struct("row", "text"))).over(Window.partitionBy("table_id", line)))
+    x = x.withColumn("top", of("above", "at_column")).filter("kind <> 'above'").withColumn("left", of("beside", "at_row")).filter("kind = 'cell'")
+    top, left = (F.when(when, F.col(name)).otherwise(F.slice(name, 1, 0)) for name, when in (("top", F.col("row") > F.col("heads")), ("left", F.col("side") & (F.col("column") > 1))))
     is_header = (F.col("row_end") <= F.col("heads")) | (F.col("side") & (F.col("column") <= 1))
-    out = lc.join(path, key, "left")
-    return out.select(*key, "row_end", "span", "text", is_header.alias("is_header"), ((F.col("row") > F.col("heads")) & (~F.col("side") | (F.col("column") > 1))).alias("is_data"), F.coalesce(F.transform("path", lambda x: x["h_text"]), F.array().cast("array<string>")).alias("header_path"), F.when(F.col("wrong"), "partial").otherwise("supported").alias("status"))
+    is_data = (F.col("row") > F.col("heads")) & (~F.col("side") | (F.col("column") > 1))
+    return x.select("table_id", "row", "column", "row_end", "span", "text", is_header.alias("is_header"), is_data.alias("is_data"), F.concat(top, left)["text"].alias("header_path"), F.when(F.col("wrong"), "partial").otherwise("supported").alias("status"))
 
 
 def grid_tables(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:

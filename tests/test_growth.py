@@ -1,11 +1,12 @@
 """Steps whose work has to grow with the input: what they read, parse, join and shuffle, with the results of a plain definition."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from scorewright.functions import forms
-from scorewright.operators import align, compare, dedup, fragments, graph, locators, provenance, records
+from scorewright.operators import align, compare, dedup, fragments, graph, grid, locators, provenance, records
 
 
 def plan(df):
@@ -233,3 +234,24 @@ def test_repeated_lines_are_aligned_without_their_pairs(spark):
     assert got == {(1, k): ("aligned", 5 * k, 5 * k + 4) for k in range(n)} | {(1, n): ("aligned", 5 * n + 2, 5 * n + 6), (2, 1): ("aligned", 2, 3), (2, 2): ("execution_line_not_found", None, None), (2, 3): ("unsupported_object", None, None)}
     assert joined_rows(out) <= 3 * (n + 5)  # not n * n / 2
     assert plan(out).count("join") == 1
+
+
+def test_logical_cells_place_their_cells_twice_at_most(spark):
+    rng, one = random.Random(5), lambda rare, *usual: rng.choice([rare] + 30 * list(usual))
+    tables = [(t, rng.choice([None, 2, 3]), rng.choice([None, True, False])) for t in range(120)]
+    rows = [(t, r, one(-1, 0), one(None, 0), r == 1 or rng.random() < 0.02) for t in range(119) for r in range(1, 4) if rng.random() < 0.98]
+    cells = [(t, r, k, one(2, 1), one("odd", None, None, None, "restart", "continue" if r > 1 else None), f"{r}.{k}") for t in range(119) for r in range(1, 4) if rng.random() < 0.98 for k in range(1, rng.choice([3, 4]) if t % 3 == 0 else 4)]
+    t = spark.createDataFrame(tables, "table_id int, grid_width int, first_column_header boolean")
+    r = spark.createDataFrame(rows, "table_id int, row int, grid_before int, grid_after int, is_header boolean")
+    c = spark.createDataFrame(cells, "table_id int, row int, ordinal int, span int, v_merge string, text string")
+    out = grid.logical_cells(t, r, c)
+    assert plan(out).count("join") == 5
+    got, wrong = out.collect(), {x.table_id for x in grid.grid_errors(t, r, c).collect()}
+    assert 20 < len(wrong) < 119 and all((x.status == "partial") == (x.table_id in wrong) for x in got)
+    heads = {k: [x[1] for x in rows if x[0] == k and x[4]] for k in range(120)}
+    for x in got:
+        n = len(heads[x.table_id]) if heads[x.table_id] == list(range(1, len(heads[x.table_id]) + 1)) else 0
+        mine = [y for y in got if y.table_id == x.table_id]
+        above = sorted((y.row, y.text) for y in mine if x.row > n >= y.row and y.column <= x.column < y.column + y.span)
+        beside = sorted((y.row, y.text) for y in mine if tables[x.table_id][2] and x.column > 1 == y.column and y.row <= x.row <= y.row_end)
+        assert x.header_path == [y[1] for y in above + beside]
