@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from scorewright.functions import forms
+from scorewright.functions import forms, text
 from scorewright.operators import align, compare, dedup, fragments, graph, grid, locators, provenance, records
+from scorewright.plans import admission_queries
 
 
 def plan(df):
@@ -255,3 +256,16 @@ def test_logical_cells_place_their_cells_twice_at_most(spark):
         above = sorted((y.row, y.text) for y in mine if x.row > n >= y.row and y.column <= x.column < y.column + y.span)
         beside = sorted((y.row, y.text) for y in mine if tables[x.table_id][2] and x.column > 1 == y.column and y.row <= x.row <= y.row_end)
         assert x.header_path == [y[1] for y in above + beside]
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_case_admission_leaves_the_jvm_once(spark):
+    out = admission_queries.case_admission(spark, "/root/testdata/sf0.001")
+    assert python_steps(out) == 1 and plan(out).count("join leftouter") == 3  # known objects twice, and one table of details
+    rows = [("Straße  4", ["STRASSE", " ", None, "x"]), (None, None), ("plain", []), ("Σας", ["ΣΑΣ"])]
+    df = spark.createDataFrame(rows, "t string, v array<string>")
+    got = df.transform(text.squeezed_together({"q": F.col("t")}, {"said": F.col("v")})).select("q", "said").collect()
+    assert got == df.select(text.squeeze(F.col("t")).alias("q"), text.squeezed_values(F.col("v")).alias("said")).collect() and got[0] == ("strasse4", ["strasse", "x"])
