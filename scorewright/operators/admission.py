@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import plain, squeeze, squeezed_together, squeezed_values, tokens
+from scorewright.functions.text import plain, squeezed_together, tokens
 from scorewright.operators.dedup import open_overlap
+from scorewright.sources.scratch import written
 
 PASS, FAIL, HUMAN, NA = "PASS", "FAIL", "HUMAN_REVIEW_REQUIRED", "NOT_APPLICABLE"
 #: What a comparison of two texts can be found to be.
@@ -176,9 +177,9 @@ def candidate_gates(candidates: DataFrame, evidence: DataFrame, objects: DataFra
     sound = _yes(F.col("known")) & (F.col("status") == "supported") & F.coalesce("eligible", F.lit(True))
     per = cited.groupBy("candidate_id").agg(F.count_if(~_yes(sound)).alias("unsound"), F.count_distinct("object_id").alias("cited"), F.count_if(F.col("object_type") == "cell").alias("cells"))
     sets = candidates.select(F.col("candidate_id").alias("id"), tokens(F.col("question")).alias("tokens"), plain(F.col("question")).alias("text"), (~F.coalesce("state", F.lit("")).isin(*CLOSED_STATES)).alias("open"))
-    overlap = open_overlap(sets, OVERLAP_FLAG).withColumnRenamed("id", "candidate_id")
+    overlap = open_overlap(written(sets), OVERLAP_FLAG).withColumnRenamed("id", "candidate_id")
     rows = candidates.join(per, "candidate_id", "left").join(overlap, "candidate_id", "left").fillna(0, ["unsound", "cited", "cells"])
-    rows = rows.withColumn("q", squeeze(F.col("question"))).withColumns({c: squeezed_values(F.col(c)) for c in ("cues", "answers")})
+    rows = rows.transform(squeezed_together({"q": F.col("question")}, {c: F.col(c) for c in ("cues", "answers")}))
     inside = lambda values, least: F.exists(values, lambda v: (F.char_length(v) >= least) & F.contains("q", v))
     abstains = F.col("answer_kind") == "abstain"
     gate = lambda name, status: F.struct(F.lit(name).alias("gate"), status.alias("status"))

@@ -269,3 +269,7 @@ def test_case_admission_leaves_the_jvm_once(spark):
     df = spark.createDataFrame(rows, "t string, v array<string>")
     got = df.transform(text.squeezed_together({"q": F.col("t")}, {"said": F.col("v")})).select("q", "said").collect()
     assert got == df.select(text.squeeze(F.col("t")).alias("q"), text.squeezed_values(F.col("v")).alias("said")).collect() and got[0] == ("strasse4", ["strasse", "x"])
+
+
+def test_candidate_gates_leave_the_jvm_once(spark):
+    assert python_steps(admission_queries.candidate_gates(spark, "/root/testdata/sf0.001")) == 1
