@@ -86,6 +86,26 @@ def test_golds_of_one_place_do_not_meet_its_objects(spark):
     assert {(r.n_targets, r.target.object_id) for r in summary.collect()} == {(n, 0)}
 
 
+def test_what_is_dealt_by_case_is_not_shuffled_again(spark):
+    """Items, golds and claims that are dealt by case already meet there: only what the catalog says of golds is moved to them."""
+    tables = {"gold": "case_id long, evidence_id int, map_id int, document_id int, object_id int, start int, end int", "items": "case_id long, stage string, item_id int, document_id int, chunk_id int", "claims": "case_id long, stage string, item_id int, source int, place int, object_id int, coverage string, start int, end int, e_start int, e_end int"}
+    rows = {
+        "gold": [(1, 1, 0, 0, 7, None, None), (1, 2, 0, 0, None, 5, 9), (1, 3, 0, 0, 8, None, None), (2, 1, 0, 1, 9, None, None)],
+        "items": [(1, "raw", 1, 0, 4), (1, "raw", 1, 0, 5), (1, "raw", 2, 1, 4), (1, "raw", 3, 0, 6), (2, "raw", 1, None, 4)],
+        "claims": [(1, "raw", 1, 1, 3, 8, "full", 1, 2, 0, 0), (1, "raw", 1, 0, 4, 8, None, None, None, 0, 0), (1, "raw", 3, 1, 1, 1, "partial", 4, 9, 0, 0), (1, "raw", 3, 1, 2, 1, "partial", 0, 1, 5, 9), (1, "raw", 2, 1, 1, 7, "full", 0, 1, 0, 0), (2, "raw", 1, 0, 1, 9, "full", 0, 1, 0, 0)],
+    }
+    frames = {n: spark.createDataFrame(rows[n], kinds).repartition(4, "case_id") for n, kinds in tables.items()}
+    known = spark.createDataFrame([(0, 0, 7, [(0, 9)], True, None, None), (0, 1, 7, [(0, 9)], True, None, None)], "map_id int, document_id int, object_id int, ranges array<struct<start: int, end: int>>, complete boolean, start int, end int")
+    edges = spark.createDataFrame([(0, 7, 4, None, "full", 1, 2), (0, 7, 5, 0, "partial", 3, 4), (0, 7, 6, 1, "full", 1, 2)], "map_id int, object_id int, chunk_id int, document_id int, coverage string, start int, end int")
+    out = provenance.first_edges(frames["items"], frames["gold"], frames["claims"], edges, known)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(case_id" in x and "stage" in x.split("hashpartitioning", 1)[1].split(")")[0] for x in text.splitlines())
+    got = {(r.case_id, r.item_id, r.evidence_id): (tuple(r.edge), r.n_full, r.full, [tuple(p) for p in r.parts], r.led) for r in out.collect()}
+    assert got == {
+        (1, 1, 1): ((2, 0, 7, "full", 1, 2), 0, [], [(7, 3, 4)], True), (1, 1, 3): ((0, 4, 8, None, None, None), 0, [], [], False), (1, 3, 2): ((1, 1, 1, "partial", 4, 9), 0, [], [], False),
+    }
+
+
 def test_misses_of_spans(spark):
     gold, items, known, edges, _ = place_tables(spark, 30)
     stages = items.select("case_id", "stage")
