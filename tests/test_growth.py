@@ -235,6 +235,15 @@ def test_chunks_of_lineage_take_one_pass(spark):
     assert chunks.count("arrowevalpython") <= 3  # one pass over the atoms for all counts of a chunk; there were three
 
 
+def test_atoms_stay_with_their_chunk(spark):
+    """Atoms and chunks are dealt by chunk once; what is chosen for atoms comes to the chunk, and no atom is shuffled by its place."""
+    from scorewright.plans import mapping_queries
+
+    for query in (mapping_queries.lineage_edges, mapping_queries.lineage_chunks):
+        moved = [x for x in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert moved and not any("place#" in x for x in moved)
+
+
 def test_document_graph_meets_its_ends_once(spark):
     objects = [("d", i, "d", "section", i) for i in range(6)]
     relations = [("d", 1, "d", "parent_child", 0, 1), ("d", 2, "d", "parent_child", 0, 2), ("d", 3, "x", "sibling", 1, 2), ("d", 0, "d", "sibling", 2, 1), ("d", 0, "d", "sibling", 4, 5), ("d", 4, "d", None, 1, 2), ("d", 5, "x", "sibling", 1, 9), ("d", 6, "d", "document_order", 3, 3)]
