@@ -70,6 +70,18 @@ def best_path(paths: DataFrame, ranks_of_incomplete: bool = True) -> DataFrame:
     return paths.groupBy("case_id", "stage", "k").agg(F.min_by(rest, order).alias("best")).select("case_id", "stage", "k", "best.*")
 
 
+def ranked_gold(gold: DataFrame, items: DataFrame, stages: DataFrame, how: str = "inner") -> DataFrame:
+    """stages joined with gold by case, and `rank`, the least of the case's items of that stage and evidence, null if there is none.
+
+    The items of a case come to it as one list: all meet by case, so tables that are dealt by case are not shuffled again, and what
+    is grouped by case_id and more afterwards is not either.
+    """
+    of_case = items.groupBy("case_id").agg(F.collect_list(F.struct("stage", "evidence_id", "rank")).alias("its"))
+    s = stages.join(of_case, "case_id", "left").withColumn("its", F.filter("its", lambda x: x["stage"] == F.col("stage")))
+    found = F.filter("its", lambda x: x["evidence_id"] == F.col("evidence_id"))
+    return s.join(gold, "case_id", how).withColumn("rank", F.array_min(F.transform(found, lambda x: x["rank"]))).drop("its")
+
+
 def paths_at(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tuple) -> DataFrame:
     """Paths of each row of stages (case_id, stage, ...): the columns of stages, path, clauses, and for the i-th cutoff hits_i and
     last_i, the number and the greatest rank of the clauses that are hit within it; None means no limit.
@@ -77,9 +89,7 @@ def paths_at(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoffs: tupl
     Cutoffs are columns, so no row is multiplied by them, and a case is dealt out once: what is grouped by case_id and more
     afterwards needs no further shuffle. A stage whose case has no gold keeps one row with a null path and no clause.
     """
-    best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
-    joined = stages.join(gold, "case_id", "left").join(best, ["case_id", "stage", "evidence_id"], "left")
-    dealt = joined.select(*stages.columns, "path", "clause", "rank").repartition("case_id")
+    dealt = ranked_gold(gold, items, stages, "left").select(*stages.columns, "path", "clause", "rank")
     least = dealt.groupBy(*stages.columns, "path", "clause").agg(F.min("rank").alias("rank"))
     inside = [F.col("rank") if k is None else F.when(F.col("rank") <= k, F.col("rank")) for k in cutoffs]
     return least.groupBy(*stages.columns, "path").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.mses import best_at, clause_ranks, path_coverage, paths_at
+from scorewright.operators.mses import best_at, clause_ranks, path_coverage, paths_at, ranked_gold
 
 #: Cutoffs of the locator and of the segment metrics.
 CUTOFFS, SEGMENT_CUTOFFS = (1, 3, 5), (1, 3, 5, 10)
@@ -116,8 +116,7 @@ def segment_metrics(gold: DataFrame, items: DataFrame, stages: DataFrame, cutoff
 
 def clause_matrix(gold: DataFrame, items: DataFrame, stages: DataFrame) -> DataFrame:
     """(case_id, stage, path, clause, alternatives, matched, earliest_rank): every clause at every stage (case_id, stage)."""
-    best = items.groupBy("case_id", "stage", "evidence_id").agg(F.min("rank").alias("rank"))
-    j = stages.select("case_id", "stage").join(gold, "case_id").join(best, ["case_id", "stage", "evidence_id"], "left")
+    j = ranked_gold(gold, items, stages.select("case_id", "stage"))
     return j.groupBy("case_id", "stage", "path", "clause").agg(
         F.array_sort(F.collect_set("evidence_id")).alias("alternatives"),
         F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.col("evidence_id")))).alias("matched"),

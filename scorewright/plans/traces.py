@@ -22,7 +22,7 @@ class Trace:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> Trace:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
     lines = li.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("ln")).agg(F.min(1 + (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 20).alias("r"))
     raw = lines.filter("r <= 15").select("case_id", F.col("ln").alias("evidence_id"), F.col("r").alias("rank"))
     order = Window.partitionBy("case_id").orderBy("rank", "evidence_id")

@@ -244,6 +244,19 @@ def test_atoms_stay_with_their_chunk(spark):
         assert moved and not any("place#" in x for x in moved)
 
 
+def test_items_meet_golds_by_case(spark):
+    """Tables that are dealt by case are not shuffled again for the golds' ranks; of several items of a gold the least rank counts."""
+    from scorewright.operators import mses
+
+    gold = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 0, 2), (1, 1, 0, 3), (3, 0, 0, 1)], "case_id long, path int, clause int, evidence_id int").repartition(4, "case_id")
+    items = spark.createDataFrame([(1, "raw", 1, 4), (1, "raw", 1, 2), (1, "raw", 2, 9), (1, "ranked", 3, 1), (1, "raw", None, 1), (3, "raw", 1, None)], "case_id long, stage string, evidence_id int, rank int").repartition(4, "case_id")
+    stages = spark.createDataFrame([(1, "raw"), (1, "ranked"), (2, "raw"), (3, "raw")], "case_id long, stage string").repartition(4, "case_id")
+    out = mses.paths_at(gold, items, stages, (3, None))
+    assert "ENSURE_REQUIREMENTS" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([(1, "raw", 0, 1, 1, 1, 2, 2), (1, "raw", 1, 1, 0, 0, None, None), (1, "ranked", 0, 1, 0, 0, None, None), (1, "ranked", 1, 1, 1, 1, 1, 1), (2, "raw", None, 0, 0, 0, None, None), (3, "raw", 0, 1, 0, 0, None, None)], key=str)
+
+
 def test_document_graph_meets_its_ends_once(spark):
     objects = [("d", i, "d", "section", i) for i in range(6)]
     relations = [("d", 1, "d", "parent_child", 0, 1), ("d", 2, "d", "parent_child", 0, 2), ("d", 3, "x", "sibling", 1, 2), ("d", 0, "d", "sibling", 2, 1), ("d", 0, "d", "sibling", 4, 5), ("d", 4, "d", None, 1, 2), ("d", 5, "x", "sibling", 1, 9), ("d", 6, "d", "document_order", 3, 3)]
